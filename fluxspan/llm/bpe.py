@@ -330,18 +330,19 @@ class SpeculativeBPE:
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         split = [t.split() for t in texts]
-        known, out = self.words, []
-        try:
+
+        def look() -> list[tuple[bytes, bytes]]:
+            known, out = self.words, []
             for ws in split:
                 got = [known[w] for w in ws]
                 out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])))
             return out
+
+        try:
+            return look()
         except KeyError:
             self.learn({w for ws in split for w in ws})
-        for ws in split:
-            got = [known[w] for w in ws]
-            out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])))
-        return out
+            return look()
 
 
 _coders: dict[str, SpeculativeBPE] = {}
