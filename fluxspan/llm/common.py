@@ -45,12 +45,16 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (tests), a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if "dir" not in _local:
+            _local["dir"] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        base = _local["dir"]
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
