@@ -254,34 +254,53 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **names)
     return matches(docs, items, window, **names).drop("text").mapInArrow(work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, **names) -> DataFrame:
-    """doc_id and text without the spans inside item windows; documents with more than `max_coverage` of their words hit go.
-
-    A span is cut from its first word's first byte to its last word's last byte; other bytes stay as they are, and a text
-    without hits is unchanged (a null text becomes empty).
+def cut(text: bytes, n_words: int, spans: list[tuple[int, int]], max_coverage: float) -> bytes | None:
+    """The text without its spans of words, each from its first word's first byte to its last word's last; None if they
+    cover more than `max_coverage` of the words."""
+    mask = np.zeros(n_words, bool)
+    for x, y in spans:
+        mask[x:y] = True
+    if mask.sum() > max_coverage * n_words:
+        return None
+    s, e = common.word_spans(_lower[np.frombuffer(text, np.uint8)], _gap)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+    at, left = 0, []
+    for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        left.append(text[at : int(s[x])])
+        at = int(e[y - 1])
+    return b"".join([*left, text[at:]])
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
+    """All columns of `docs`, texts without the spans inside item windows; rows whose words are covered by more than
+    `max_coverage` go.  Rows without hits are unchanged; in others `chars_col`, if given, is set to the new length.
     """
+    out = docs
 
-    def work(batches):
-        for b in common.chunks(batches):
-            ids, out_ids, out = b.column("doc_id").to_pylist(), [], []
-            rows = zip(ids, b.column("text").to_pylist(), b.column("n_words").to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True)
-            for i, text, n, starts, ends in rows:
-                if starts:
-                    mask = np.zeros(n, bool)
-                    for x, y in zip(starts, ends, strict=True):
-                        mask[x:y] = True
-                    if mask.sum() > max_coverage * n:
-                        continue
-                    data = np.frombuffer(text, np.uint8)
-                    s, e = common.word_spans(_lower[data], _gap)
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                    at, left = 0, []
-                    for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
-                        left.append(text[at : int(s[x])])
-                        at = int(e[y - 1])
-                    text = b"".join([*left, text[at:]])
-                out_ids.append(i)
-                out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "text"])
-
-    return matches(docs, items, window, **names).mapInArrow(work, "doc_id long, text string")
+    def passing(group):
+        def work(batches):
+            auto = SuffixAutomaton(group, window)
+            for b in batches:
+                at = b.schema.get_field_index(text_col)
+                small = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at).cast(pa.binary())], ["row", "text"])
+                for c in common.chunks([small]):
+                    rows, texts = c.column("row").to_pylist(), c.column("text").to_pylist()
+                    n_words, found = match_chunk(texts, auto)
+                    part = b.slice(rows[0], len(rows)) if rows else b.slice(0, 0)
+                    if found:
+                        new = {d: cut(texts[d], int(n_words[d]), spans, max_coverage) for d, (spans, _) in found.items()}
+                        old = part.column(at).to_pylist()
+                        values = [new[d].decode("utf-8", "replace") if new.get(d) is not None else t for d, t in enumerate(old)]
+                        part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
+                        if chars_col in part.schema.names:
+                            k = part.schema.get_field_index(chars_col)
+                            sizes = [len(values[d]) if new.get(d) is not None else v for d, v in enumerate(part.column(k).to_pylist())]
+                            part = part.set_column(k, part.schema.field(k), pa.array(sizes, part.schema.field(k).type))
+                        part = part.filter(pa.array([not (d in new and new[d] is None) for d in range(part.num_rows)]))
+                    yield part
+
+        return work
+
+    for group in automata(items, window, item_id, item_text, limit):
+        out = out.mapInArrow(passing(group), docs.schema)
+    return out
