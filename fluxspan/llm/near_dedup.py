@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets are one node.  Each bucket links its nodes to one centre, so candidates are at most one
 for each node and band.  They are confirmed on full sets: first each node with its closest centre, then the candidates that
-still join different components and whose sketches don't rule the similarity out.  A bucket whose other nodes still lie in
-several components is compared exactly, block by block, so a star that hides a link loses nothing.
+still join different components and whose sketches don't rule the similarity out.  A cluster of candidates whose nodes
+still lie in several components is compared exactly, block by block, so a star that hides a link loses nothing; such a
+task gives back only links that join components.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BANDS, ROWS = 40, 5
-#: A sketch that agrees in a smaller share of its bytes can't belong to a similarity of 0.8: seven standard deviations away.
-SKETCH_FLOOR_GAP = 0.2
-#: Nodes of a bucket that one comparing task holds at once, on either side.
-BLOCK = 1000
+#: Standard deviations below the threshold at which the share of equal sketch bytes rules a pair out.
+SKETCH_SIGMAS = 5.5
+#: Nodes that one comparing task holds at once, on either side; and nodes from which a cluster is compared by buckets.
+BLOCK, CLUSTER = 1000, 5000
 NO_ID = (1 << 63) - 1
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -54,6 +55,13 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return owner[new], value[new]
 
 
+def sketch_floor(n: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest share of equal sketch bytes that leaves a similarity of `percent` % possible for sets of n shingles: the
+    bins that n shingles fill count, as filled-up ones add nothing."""
+    p, bins = percent / 100, BANDS * ROWS
+    return p - SKETCH_SIGMAS * np.sqrt(p * (1 - p) / (bins * (1 - np.exp(-np.maximum(n, 1) / bins))))
+
+
 def hash_sequence(h: np.ndarray) -> int:
     x = len(h)
     for v in h.tolist():
@@ -148,7 +156,6 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     stars = common.written(inside.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     used = stars.select("node").union(stars.select("centre")).distinct()
     wanted = nodes.join(used, "node")
-    floor = percent / 100 - SKETCH_FLOOR_GAP
     sketches = common.written(sig.join(wanted, ["node", "doc_id", "mark"]).dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
 
     def set_rows(batches):
@@ -176,13 +183,13 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     def plausible(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-            keep = pa.array((p == q).mean(1) >= floor)
+            keep = pa.array((p == q).mean(1) >= sketch_floor(b.column("least").to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Pairs whose set sizes and sketches allow the similarity."""
         s = lambda c: sketches.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        return pairs.join(s("a"), "a").join(s("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(plausible, "a long, b long")
+        return pairs.join(s("a"), "a").join(s("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb", F.least("na", "nb").alias("least")).mapInArrow(plausible, "a long, b long")
 
     best = stars.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("b")).withColumnRenamed("node", "a")
     links = common.written(confirmed(sized(best)))
@@ -196,32 +203,49 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     more = common.written(confirmed(sized(rest)))
     links = links.union(more)
     comp = components(links)
-    # buckets whose nodes besides the centre still lie in several components
-    apart = common.written(labelled(inside, "node", "comp"))
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    apart = apart.join(mixed, "key")
-    sizes = apart.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    open_nodes = apart.join(main, "key").join(sketches, "node").withColumns({"left": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)"), "right": F.expr(f"cast(ceil(all / {BLOCK}) as int)")})
+    # clusters of candidates whose nodes still lie in several components; in a large cluster, buckets take its place
+    clusters = labelled(components(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"))), "node", "root")
+    clusters = common.written(clusters.select("node", F.col("comp").alias("cluster"), F.col("root").alias("comp")))
+    big = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster", "size")
+    mixed = clusters.join(big, "cluster")
+    small = mixed.where(F.col("size") <= CLUSTER).select(F.col("cluster").alias("unit"), F.lit(0).alias("kind"), "node", "comp")
+    large = mixed.where(F.col("size") > CLUSTER).select("node", "comp").join(inside.select("node", "key"), "node").select(F.col("key").alias("unit"), F.lit(1).alias("kind"), "node", "comp")
+    apart = common.written(small.unionByName(large))
+    sizes = apart.groupBy("kind", "unit", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("kind", "unit").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = {"left": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)"), "right": F.expr(f"cast(ceil(all / {BLOCK}) as int)")}
+    open_nodes = apart.join(main, ["kind", "unit"]).join(sketches, "node").join(sets, "node").withColumns(blocks)
     here = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
     lefts = open_nodes.where("comp != main").withColumns({"i": F.pmod(here, F.col("left")), "j": F.explode(F.expr("sequence(0, right - 1)")), "side": F.lit(0)})
     rights = open_nodes.withColumns({"j": F.pmod(here, F.col("right")), "i": F.explode(F.expr("sequence(0, left - 1)")), "side": F.lit(1)})
-    cols = ["key", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "side", "node", "comp", "n_shingles", "sketch"]
+    cols = ["kind", "unit", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "side", "node", "comp", "n_shingles", "sketch", "items"]
 
     def compare(group: pa.Table) -> pa.Table:
         side, node, cls, n = (group.column(c).to_numpy() for c in ("side", "node", "comp", "n_shingles"))
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        right, a, b = np.flatnonzero(side == 1), [], []
+        items, cls = group.column("items").to_pylist(), np.unique(cls, return_inverse=True)[1]
+        right, links = np.flatnonzero(side == 1), []
         for k in np.flatnonzero(side == 0).tolist():
             r = right[(cls[right] != cls[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-            r = r[(sketch[r] == sketch[k]).mean(1) >= floor] if len(r) else r
-            a += [int(node[k])] * len(r)
-            b += node[r].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    pairs = lefts.select(*cols).union(rights.select(*cols)).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    last = common.written(confirmed(pairs))
+            if not len(r):
+                continue
+            share = (sketch[r] == sketch[k]).mean(1)
+            may = share >= sketch_floor(np.minimum(n[r], n[k]), percent)
+            r = r[may][np.argsort(-share[may], kind="stable")]
+            own = np.frombuffer(items[k], np.uint64)
+            while len(r):
+                some, r = r[:64], r[64:]
+                flat = np.frombuffer(b"".join([items[x] for x in some.tolist()]), np.uint64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(n[some]) - n[some])
+                for x in some[100 * both >= percent * (n[some] + n[k] - both)].tolist():
+                    if cls[x] != cls[k]:
+                        links.append((int(node[k]), int(node[x])))
+                        cls[cls == cls[x]] = cls[k]
+                r = r[cls[r] != cls[k]]
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    last = common.written(lefts.select(*cols).union(rights.select(*cols)).groupBy("kind", "unit", "i", "j").applyInArrow(compare, "a long, b long"))
     if last.limit(1).count():
         comp = components(links.union(last))
     ids = sig.groupBy("node").agg(F.min("doc_id").alias("least_id"))
