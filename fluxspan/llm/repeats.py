@@ -27,6 +27,8 @@ BUCKET_BYTES = 24 << 20
 #: Bytes of sampled text that splitters and frequent anchors are taken from.
 SAMPLE_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
+#: zstandard level of packed runs: they are most of what the operators shuffle.
+PACK_LEVEL = 4
 
 
 def first_rank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -208,7 +210,7 @@ def doc_ranks(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def pack(ids, marks, start, n, anchor, lengths, data: bytes) -> bytes:
     head = np.array([len(ids), len(data)], np.int64).tobytes()
     body = b"".join((np.diff(ids, prepend=0).tobytes(), marks.astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), anchor.astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), data))
-    return zstandard.ZstdCompressor(level=4).compress(head + body)
+    return zstandard.ZstdCompressor(level=PACK_LEVEL).compress(head + body)
 
 
 def unpack(blob: bytes):
