@@ -174,9 +174,9 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     for m, t in zip(member, toxic, strict=True):
         (bad if t else good)[m] += 1
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    # evidence that a string, or a piece of four characters of it, belongs to toxic texts: log likelihood ratios of its
+    # evidence that a string, or a piece of it (four characters, or up to seven at its beginning), belongs to toxic texts: log likelihood ratios of its
     # numbers of texts, which must exceed the logarithm of the number of candidates
-    grams = [{f"^{w}"[i : i + 4] for i in range(max(1, len(w) - 2))} for w in words]
+    grams = [{f"^{w}"[i : i + 4] for i in range(max(1, len(w) - 2))} | {f"^{w[:k]}" for k in (4, 5, 6, 7)} for w in words]
     pieces: dict[str, np.ndarray] = {}
     for m, t in zip(member, toxic, strict=True):
         for g in {g for k in m.tolist() for g in grams[k]}:
@@ -193,12 +193,13 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     of_piece = dict(zip(names, evidence(both[:, 1], both[:, 0]).tolist(), strict=True))
     own = evidence(bad, good)
     score = np.maximum(own, [max((of_piece[g] for g in gs), default=-9.0) for gs in grams])
-    surely = np.flatnonzero((score > np.log(len(words) + len(names))) & (good == 0) & (bad > 0))
+    enough = np.log(len(words) + len(names))
+    surely = np.flatnonzero((score > enough) & ((good == 0) | (own > enough)) & (bad > 0))
     if not len(surely):
         surely = np.argsort(-own, kind="stable")[: max(1, n_bad // 2)]
     marked = np.zeros(len(words), bool)
     marked[surely] = True
-    clean = np.flatnonzero(good > 0)
+    clean = np.flatnonzero((good > 0) & ~marked)
     machine = None
     for _ in range(rounds):
         extra = [m[np.argmax(score[m])] for m, t in zip(member, toxic, strict=True) if machine is not None and t and len(m) and not marked[m].any()]
@@ -223,7 +224,7 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
         root = vector[:, keep] / np.sqrt(value[keep])
         z = np.vstack([_kernel(x, codes, columns) for x in (pos, gapped, neg)]) @ root
         y = np.concatenate((np.ones(2 * len(pos)), -np.ones(len(neg))))
-        share = np.array(pos_weight) ** 0.75
+        share = np.array(pos_weight) ** 1.0
         against = good[negative] ** 0.5
         weight = np.concatenate((share / share.sum(), 0.3 * share / share.sum(), 6 * against / max(against.sum(), 1)))
         w = _svm(z, y, weight)
