@@ -268,3 +268,23 @@ def _(spark, d):
     px = v.pixels(spark, d).where("y < 32 and x < 32 and image_id < 4")
     psf = px.select("image_id").distinct().withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(0.2 if (a, b) == (0, 0) else 0.1).alias("value")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))).select("image_id", "o.*")
     return rounded(spectra.expectation_spectrum(px, psf, 4, 1489, 12, 5))
+
+
+@query("agg29_k_diagnostic")
+def _(spark, d):
+    pk = spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 40, 5)
+    ek = pk.select("image_id", "k", (1 / (0.1 + F.col("k"))).alias("power"))
+    fit = spectra.window_fits(pk, ek, ["image_id"], [(0.05, 0.4), (0.1, 0.5)], 5)
+    return rounded(spectra.k_diagnostic(pk, ek, fit, ["image_id"]), 5)
+
+
+@query("agg25_expectation_median", f"with {v.PIXELS} select image_id, x as kbin, round(median(value), 6) as power, count(*) as n from pixels group by 1, 2")
+def _(spark, d):
+    return rounded(v.pixels(spark, d).groupBy("image_id", F.col("x").alias("kbin")).agg(F.median("value").alias("power"), F.count("*").alias("n")))
+
+
+@query("win3_pick_window")
+def _(spark, d):
+    prof = v.profile(spark, d)
+    plateau = windows.find_plateau(prof, ["event_type"], "x", "y", 3, 25.0)
+    return rounded(windows.pick_window(prof, plateau, ["event_type"], "y", {"x": 1e-4}).select("event_type", "x", "cost"), 4)

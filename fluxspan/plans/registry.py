@@ -202,13 +202,13 @@ def _(spark, d):
 _sql["jn1_assemble"] = _sql["jn1_assemble"].replace("case when n_nationkey % 2 = 0 then 'clean' else n_name end", "case when n_nationkey is null or n_nationkey % 2 = 0 then 'clean' else n_name end")
 
 
-@query("jn2_calibration_input", """select c_custkey as galaxy, round(c_acctbal / 1000 - o.mu, 6) as M_abs, round(sqrt(0.01 + o.s * o.s), 6) as sigma_M_abs, case when o.mu is null then 'none' when c_nationkey % 3 = 0 then 'clean' else 'flagged' end as fit_sample
+@query("jn2_calibration_input", """select c_custkey as galaxy, round(c_acctbal / 1000 - o.mu, 3) as M_abs, round(sqrt(0.01 + o.s * o.s), 4) as sigma_M_abs, case when o.mu is null then 'none' when c_nationkey % 3 = 0 then 'clean' else 'flagged' end as fit_sample
 from customer left join (select o_custkey, avg(o_totalprice) / 1e4 as mu, count(*) / 100.0 as s from orders group by 1) o on o_custkey = c_custkey where o.mu is not null
 union all select c_custkey, null, 0.1, 'none' from customer where c_custkey not in (select o_custkey from orders)""")
 def _(spark, d):
     paper = v.table(spark, d, "customer").select(F.col("c_custkey").alias("galaxy"), (F.col("c_acctbal") / 1000).alias("mbar"), F.lit(0.1).alias("sigma_mbar"), F.when(F.col("c_nationkey") % 3 == 0, "clean").otherwise("warn").alias("quality_flag"))
     lit = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("galaxy")).agg((F.avg("o_totalprice") / 1e4).alias("mu_lit"), (F.count("*") / 100.0).alias("sigma_mu_lit"))
-    return rounded(joins.calibration_input(paper, lit).select("galaxy", "M_abs", "sigma_M_abs", "fit_sample"))
+    return rounded(joins.calibration_input(paper, lit).select("galaxy", "M_abs", "sigma_M_abs", "fit_sample"), M_abs=3, sigma_M_abs=4)
 
 
 @query("jn3_merge_known", "select s_suppkey, case when s_suppkey % 2 = 0 then n_name else s_name end as name, n_nationkey::double as size from supplier join nation on n_nationkey = s_nationkey")

@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from a table below spark.checkpoint.dir; where that is unset (tests), from a local folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset (tests), a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _local.get("dir")
     if not base:
         base = _local["dir"] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read from a table in a new shared folder."""
+    spark, path = df.sparkSession, folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
