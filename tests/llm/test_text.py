@@ -97,7 +97,8 @@ def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     forest = quality.train(docs, labels.where("doc_id % 2 = 0"))
-    out = quality.verdicts(docs, forest).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", labels["quality"].alias("y")) if False else quality.verdicts(docs, forest).withColumnRenamed("quality", "p").join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    held = labels.where("doc_id % 2 = 1")
+    out = quality.verdicts(docs, forest).withColumnRenamed("quality", "p").join(held, "doc_id").toPandas()
     assert ((out["p"] >= 0.5) == (out["quality"] == 1)).mean() > 0.95
     assert quality.verdicts(docs.limit(0), forest).count() == 0
     assert quality.keep_good(docs, forest).columns == docs.columns
