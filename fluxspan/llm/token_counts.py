@@ -92,4 +92,5 @@ def token_counts(docs: DataFrame, path: str, separator: int, words_apart: bool =
     side = write_flat(docs, path, separator, words_apart)
     files = side.where("n_tokens_file is not null").select("uri", F.col("n_tokens_file").alias("tokens"))
     counts = separator_scan(files, separator, encoder(path, words_apart, literal=True).width, block)
-    return side.select("uri", "ordinal", "doc_id").join(counts, ["uri", "ordinal"], "left").select("doc_id", "n_tokens")
+    # the side table is far smaller as a file than in memory, so its file size must not make it a broadcast
+    return side.select("uri", "ordinal", "doc_id").join(counts.hint("merge"), ["uri", "ordinal"], "left").select("doc_id", "n_tokens")
