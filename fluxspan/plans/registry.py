@@ -153,8 +153,8 @@ def _(spark, d):
 
 @query("flt2_products", "select p_partkey from part where p_size % 3 = 0 and p_partkey % 2 = 0 and p_size % 2 = 0")
 def _(spark, d):
-    name = F.concat(F.lit("jw0"), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.when(F.col("p_size") % 2 == 0, "-o001_t_").otherwise("-c1001_t_"), F.when(F.col("p_size") % 3 == 0, "i2d.fits").otherwise("cal.fits"))
-    p = v.table(spark, d, "part").where("p_partkey < 10000").select("p_partkey", F.regexp_replace(name, "_t_", "_").alias("file_name"), F.when(F.col("p_partkey") % 2 == 0, "F150W").otherwise("F200W").alias("filters"), F.lit("obs").alias("obs_id"), F.lit("science").alias("product_type"))
+    name = F.concat(F.lit("jw"), F.lpad((F.col("p_partkey") % 100000).cast("string"), 5, "0"), F.when(F.col("p_size") % 2 == 0, "-o001_t_").otherwise("-c1001_t_"), F.when(F.col("p_size") % 3 == 0, "i2d.fits").otherwise("cal.fits"))
+    p = v.table(spark, d, "part").select("p_partkey", F.regexp_replace(name, "_t_", "_").alias("file_name"), F.when(F.col("p_partkey") % 2 == 0, "F150W").otherwise("F200W").alias("filters"), F.lit("obs").alias("obs_id"), F.lit("science").alias("product_type"))
     return filters.filter_products(p, 3, ["F150W", "F090W"]).select("p_partkey")
 
 
