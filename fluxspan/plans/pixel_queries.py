@@ -249,6 +249,7 @@ def _(spark, d):
 
 
 def _square(spark, d):
+    """The corner of three images that the SQL of num1_periodogram names; num1_periodogram_whole takes all pixels."""
     return v.pixels(spark, d).where("y < 16 and x < 16 and image_id < 3")
 
 
@@ -258,6 +259,11 @@ def _(spark, d):
     return rounded(spectra.periodogram(_square(spark, d)).select("image_id", "ky", "kx", "power"))
 
 
+@query("num1_periodogram_whole")
+def _(spark, d):
+    return rounded(spectra.periodogram(v.pixels(spark, d)).select("image_id", "ky", "kx", "power"))
+
+
 @query("agg24_radial_power")
 def _(spark, d):
     return rounded(spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 20, 10))
@@ -265,7 +271,7 @@ def _(spark, d):
 
 @query("num2_expectation")
 def _(spark, d):
-    px = v.pixels(spark, d).where("y < 32 and x < 32 and image_id < 4")
+    px = v.pixels(spark, d)
     psf = px.select("image_id").distinct().withColumn("o", F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(0.2 if (a, b) == (0, 0) else 0.1).alias("value")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))).select("image_id", "o.*")
     return rounded(spectra.expectation_spectrum(px, psf, 4, 1489, 12, 5))
 

@@ -1,9 +1,12 @@
-"""Queries whose cuts the smallest tables can't show: against SQL on larger ones."""
+"""Queries on whole tables: against SQL where the smallest tables can't show a cut, or against numpy."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from fluxspan.operators import spectra
 from fluxspan.plans import registry
+from fluxspan.plans import views as v
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -28,3 +31,42 @@ def same(spark, duck, name):
 
 def test_products(spark, duck):
     assert same(spark, duck, "flt2_products") == 1633
+
+
+@pytest.fixture(scope="module")
+def images():
+    rows = duckdb.sql("select label, embedding from '/root/testdata/sf0.001/embeddings.parquet' order by vec_id").fetchall()
+    return {g: np.array([e for k, e in rows if k == g], float) for g in {k for k, _ in rows}}
+
+
+def power_of(image):
+    return np.abs(np.fft.fft2(image - image.mean())) ** 2 / image.size
+
+
+def test_periodogram_of_all_pixels(spark, sf, images):
+    got = {g: np.full(i.shape, np.nan) for g, i in images.items()}
+    for r in registry.queries()["num1_periodogram_whole"](spark, sf).collect():
+        got[r.image_id][r.ky, r.kx] = r.power
+    for g, i in images.items():
+        assert np.allclose(got[g], power_of(i), atol=1e-5)
+
+
+def test_expectation_of_all_pixels(spark, sf, images):
+    got = {(int(r.image_id), r.kbin): (r.power, r.n_realisations) for r in registry.queries()["num2_expectation"](spark, sf).collect()}
+    noise = {(g, r): np.zeros(i.shape) for g, i in images.items() for r in range(4)}
+    for r in spectra.white_noise(v.pixels(spark, sf).select("image_id", "y", "x"), 4, 1489).collect():
+        noise[r.image_id, r.r][r.y, r.x] = r.value
+    bins = {}
+    for (g, _), n in noise.items():
+        ny, nx = n.shape
+        wide = np.pad(n, 1)
+        power = power_of(sum((0.2 if (a, b) == (0, 0) else 0.1) * wide[1 - a : 1 - a + ny, 1 - b : 1 - b + nx] for a in (-1, 0, 1) for b in (-1, 0, 1)))
+        k = np.hypot(np.fft.fftfreq(ny)[:, None], np.fft.fftfreq(nx)[None, :])
+        at = np.where((k > 0) & (k < k.max()), np.floor(k / (k.max() / 11)), -1).astype(int)
+        for b in range(11):
+            if (at == b).sum() >= 5:
+                bins.setdefault((g, b), []).append(np.median(power[at == b]))
+    assert {g for g, _ in got} == set(images)
+    assert got.keys() == bins.keys()
+    for key, each in bins.items():
+        assert got[key][1] == len(each) and np.isclose(got[key][0], np.median(each), atol=2e-6)
