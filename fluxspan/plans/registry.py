@@ -259,13 +259,22 @@ def _(spark, d):
     return rounded(joins.near_join(a, b, ["galaxy"], ["kmin"], 1e-9).select("galaxy", "wnd", "mbar", "other"))
 
 
+def _branches(li: DataFrame) -> DataFrame:
+    return li.select(F.col("l_suppkey").alias("galaxy"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("branch"), F.col("l_returnflag").alias("resid_source"), F.lit("m").alias("model_source"), F.col("l_linestatus").alias("psf_ext"), F.lit("o").alias("opd_path"), (F.col("l_linenumber") == 7).alias("uses_two_annuli"), F.log10("l_extendedprice").alias("mbar"))
+
+
 @query("jn11_psf_branches", """with r as (select l_suppkey as galaxy, l_orderkey, l_linenumber, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem where l_orderkey % 10 = 0),
 ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where (r.l_orderkey || '-' || r.l_linenumber) <> (ref.l_orderkey || '-' || ref.l_linenumber) and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
 select galaxy, ref.l_orderkey || '-' || ref.l_linenumber as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
 def _(spark, d):
-    li = v.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
-    b = li.select(F.col("l_suppkey").alias("galaxy"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("branch"), F.col("l_returnflag").alias("resid_source"), F.lit("m").alias("model_source"), F.col("l_linestatus").alias("psf_ext"), F.lit("o").alias("opd_path"), (F.col("l_linenumber") == 7).alias("uses_two_annuli"), F.log10("l_extendedprice").alias("mbar"))
-    return rounded(joins.psf_branch_sigma(b))
+    return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))))
+
+
+@query("jn11_psf_branches_whole", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem),
+ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where r.branch <> ref.branch and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
+select galaxy, ref.branch as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
+def _(spark, d):
+    return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem"))))
 
 
 @query("jn12_delta", f"with {v.MEASUREMENTS} select a.galaxy, a.wnd, round(a.mbar - b.mbar, 6) as delta from meas a left join meas b on a.galaxy = b.galaxy and b.wnd = 4 and b.region = 'inner' where a.region = 'inner'")
@@ -281,11 +290,20 @@ def _(spark, d):
     return joins.reconcile(todo, done, "o_orderkey").select("o_orderkey", "state")
 
 
+def _external(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    ours = customers.select(F.col("c_custkey").alias("galaxy"), (F.col("c_acctbal") / 1000).alias("mu"), F.lit(0.1).alias("sigma_mu"))
+    ext = orders.select(F.col("o_custkey").alias("galaxy"), (F.col("o_totalprice") / 1e4).alias("ext_mag"), F.lit(0.02).alias("ext_mag_sigma"), (F.col("o_custkey") % 10 / 10.0).alias("ext_color"), F.lit(0.03).alias("ext_color_sigma"))
+    return rounded(joins.compare_external(ours, ext, -3.45, 1.17, 0.014, 0.22).select("galaxy", "delta_mu", "sigma_delta"))
+
+
 @query("jn14_external", "select c_custkey as galaxy, round(c_acctbal / 1000 - (o_totalprice / 1e4 - (-3.45 + 1.17 * (o_custkey % 10 / 10.0 - 0.4))), 6) as delta_mu, round(sqrt(0.01 + 0.0004 + power(1.17 * 0.03, 2) + power(0.014, 2) + power(0.22 * (o_custkey % 10 / 10.0 - 0.4), 2)), 6) as sigma_delta from customer join orders on o_custkey = c_custkey where o_orderkey % 16 = 1")
 def _(spark, d):
-    ours = v.table(spark, d, "customer").select(F.col("c_custkey").alias("galaxy"), (F.col("c_acctbal") / 1000).alias("mu"), F.lit(0.1).alias("sigma_mu"))
-    ext = v.table(spark, d, "orders").where("o_orderkey % 16 = 1").select(F.col("o_custkey").alias("galaxy"), (F.col("o_totalprice") / 1e4).alias("ext_mag"), F.lit(0.02).alias("ext_mag_sigma"), (F.col("o_custkey") % 10 / 10.0).alias("ext_color"), F.lit(0.03).alias("ext_color_sigma"))
-    return rounded(joins.compare_external(ours, ext, -3.45, 1.17, 0.014, 0.22).select("galaxy", "delta_mu", "sigma_delta"))
+    return _external(v.table(spark, d, "customer"), v.table(spark, d, "orders").where("o_orderkey % 16 = 1"))
+
+
+@query("jn14_external_whole", "select c_custkey as galaxy, round(c_acctbal / 1000 - (o_totalprice / 1e4 - (-3.45 + 1.17 * (o_custkey % 10 / 10.0 - 0.4))), 6) as delta_mu, round(sqrt(0.01 + 0.0004 + power(1.17 * 0.03, 2) + power(0.014, 2) + power(0.22 * (o_custkey % 10 / 10.0 - 0.4), 2)), 6) as sigma_delta from customer join orders on o_custkey = c_custkey")
+def _(spark, d):
+    return _external(v.table(spark, d, "customer"), v.table(spark, d, "orders"))
 
 
 # -- measurements and calibration ----------------------------------------------------------------------------------
@@ -445,6 +463,11 @@ def _(spark, d):
     return rounded(v.table(spark, d, "lineitem").where("l_discount <> 0.08").select("l_orderkey", "l_linenumber", stats.contaminant_power("l_quantity", "l_tax", F.col("l_discount") * 10).alias("pr")))
 
 
+@query("agg23_contaminant_power_whole", "select l_orderkey, l_linenumber, case when l_discount * 10 < 0.8 then round(l_quantity * l_tax * l_tax / ((0.8 - l_discount * 10) * ln(10)), 6) end as pr from lineitem")
+def _(spark, d):
+    return rounded(v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", stats.contaminant_power("l_quantity", "l_tax", F.col("l_discount") * 10).alias("pr")))
+
+
 @query("agg34_color_summary", "select l_suppkey, round(sum(l_tax / power(0.01 + l_discount, 2)) / sum(1 / power(0.01 + l_discount, 2)), 6) as color_weighted, round(avg(l_tax), 6) as color_mean, round(stddev_samp(l_tax), 6) as color_std, round((max(l_tax) - min(l_tax)) / 2, 6) as color_half_range from lineitem group by 1")
 def _(spark, d):
     return rounded(stats.color_summary(v.table(spark, d, "lineitem").withColumn("s", 0.01 + F.col("l_discount")), ["l_suppkey"], "l_tax", "s"))

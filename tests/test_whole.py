@@ -33,6 +33,16 @@ def test_products(spark, duck):
     assert same(spark, duck, "flt2_products") == 1633
 
 
+@pytest.mark.parametrize("name, table", [("jn14_external_whole", "orders"), ("jn11_psf_branches_whole", "(select distinct l_suppkey from lineitem)"), ("agg23_contaminant_power_whole", "lineitem")])
+def test_all_rows(spark, duck, name, table):
+    assert same(spark, duck, name) == duck.execute(f"select count(*) from {table}").fetchall()[0][0]
+
+
+def test_boundary_is_null(spark, duck):
+    null = registry.queries()["agg23_contaminant_power_whole"](spark, LARGER).where("pr is null").count()
+    assert null == duck.execute("select count(*) from lineitem where l_discount >= 0.08").fetchall()[0][0]
+
+
 @pytest.fixture(scope="module")
 def images():
     rows = duckdb.sql("select label, embedding from '/root/testdata/sf0.001/embeddings.parquet' order by vec_id").fetchall()
