@@ -93,7 +93,7 @@ def minima(owner: np.ndarray, value: np.ndarray, texts: int, bins: int) -> np.nd
     return m.reshape(texts, bins)
 
 
-SIGNED = "doc_id long, mark int, n_shingles int, node long, sketch binary, bands array<long>"
+SIGNED = "doc_id long, mark long, n_shingles int, node long, sketch binary, bands array<long>"
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -144,7 +144,17 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     an empty set, linked with nothing.  Rows under one id are linked by their texts like others, each keeps its own count;
     a null id is never the smallest while its component has another, and is kept only if it has none.
     """
-    d = common.documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.expr("cast(pmod(xxhash64(text), 2147483647) as int)").alias("mark"), "text")
+    return _marked(docs, size, percent, id_col, text_col).drop("mark")
+
+
+def _mark(text: str) -> str:
+    """SQL of a text's hash, which tells the texts under one id apart."""
+    return f"xxhash64(cast({text} as binary))"
+
+
+def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """`near_classes` with the hash of each text (mark)."""
+    d = common.documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.expr(_mark("text")).alias("mark"), "text")
     sig = common.written(signatures(d, size))
     # nodes: sets that differ
     first = sig.where("bands is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("f"))
@@ -253,12 +263,13 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = ids.join(least, "comp").select("node", "component_id")
     bare = F.expr("bands is null")
-    out = sig.where(~bare).join(by_node, "node").select("doc_id", "n_shingles", "component_id").union(sig.where(bare).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = sig.where(~bare).join(by_node, "node").select("doc_id", "mark", "n_shingles", "component_id").union(sig.where(bare).select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
     real = lambda c: F.expr(f"nullif({c}, {NO_ID})").alias(c)
-    return out.select(real("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), real("component_id"), F.expr("doc_id = component_id").alias("kept"))
+    return out.select(real("doc_id"), "mark", F.col("n_shingles").cast("long").alias("n_shingles"), real("component_id"), F.expr("doc_id = component_id").alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that `near_classes` keeps, with all their columns."""
-    gone = near_classes(docs, size, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = _marked(docs, size, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_gone_mark")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_gone")) & F.expr(_mark(f"`{text_col}`")).eqNullSafe(F.col("_gone_mark"))
+    return docs.join(gone, same, "left_anti")

@@ -125,6 +125,13 @@ def test_one_of_each(spark):
     assert sorted(one_of_each(df).collect()) == [(1, same, "b"), (2, "other words", "c")]
 
 
+def test_one_of_each_without_ids(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, same, "a"), (None, same, "b"), (None, "quite other words without an id", "c"), (5, same, "d"), (5, "a text of its own under a shared id", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.lang for r in one_of_each(df).collect()) == ["a", "c", "e"]
+
+
 def test_lines(spark):
     rows = [(i, f"Licence line\nown {i}\n\n \nshared", f"s{i % 12}") for i in range(24)] + [(90, "Licence line", None), (91, None, "s1"), (92, "", "s1"), (93, "own 1\nlate", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
