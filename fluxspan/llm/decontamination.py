@@ -271,13 +271,22 @@ def cut(text: bytes, n_words: int, spans: list[tuple[int, int]], max_coverage: f
     return b"".join([*left, text[at:]])
 
 
+#: Columns of the spans that earlier passes of `clean_rows` found.
+SPANS = ("_span_starts", "_span_ends")
+
+
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
     """All columns of `docs`, texts without the spans inside item windows; rows whose words are covered by more than
     `max_coverage` go.  Rows without hits are unchanged; in others `chars_col`, if given, is set to the new length.
+
+    Each group of items is matched on the unchanged text; the last pass cuts the spans of all groups at once.
     """
-    out = docs
+    groups = list(automata(items, window, item_id, item_text, limit))
+    spans_type, several = pa.list_(pa.int32()), len(groups) > 1
+    out = docs.withColumns({c: F.array().cast("array<int>") for c in SPANS}) if several else docs
+    marked = out.schema
 
-    def passing(group):
+    def passing(group, last):
         def work(batches):
             auto = SuffixAutomaton(group, window)
             for b in batches:
@@ -287,8 +296,20 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage
                     rows, texts = c.column("row").to_pylist(), c.column("text").to_pylist()
                     n_words, found = match_chunk(texts, auto)
                     part = b.slice(rows[0], len(rows)) if rows else b.slice(0, 0)
-                    if found:
-                        new = {d: cut(texts[d], int(n_words[d]), spans, max_coverage) for d, (spans, _) in found.items()}
+                    spans = {d: spans for d, (spans, _) in found.items()}
+                    if several:
+                        before = zip(*(part.column(k).to_pylist() for k in SPANS), strict=True)
+                        each = [[*zip(x, y, strict=True), *spans.get(d, [])] for d, (x, y) in enumerate(before)]
+                        if not last:
+                            for k, name in enumerate(SPANS):
+                                col = part.schema.get_field_index(name)
+                                part = part.set_column(col, part.schema.field(col), pa.array([[x[k] for x in row] for row in each], spans_type))
+                            yield part
+                            continue
+                        spans = {d: row for d, row in enumerate(each) if row}
+                        part = part.select([name for name in part.schema.names if name not in SPANS])
+                    if spans:
+                        new = {d: cut(texts[d], int(n_words[d]), row, max_coverage) for d, row in spans.items()}
                         old = part.column(at).to_pylist()
                         values = [new[d].decode("utf-8", "replace") if new.get(d) is not None else t for d, t in enumerate(old)]
                         part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
@@ -301,6 +322,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage
 
         return work
 
-    for group in automata(items, window, item_id, item_text, limit):
-        out = out.mapInArrow(passing(group), docs.schema)
+    for k, group in enumerate(groups):
+        last = k == len(groups) - 1
+        out = out.mapInArrow(passing(group, last), docs.schema if last else marked)
     return out
