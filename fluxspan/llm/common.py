@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import discard, folder, written  # noqa: F401
+
 #: Bytes of text that one vectorised step inside a task takes at once.  A longer text is taken alone and whole.
 CHUNK_BYTES = 4 << 20
 
@@ -45,35 +46,11 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if "dir" not in _local:
-            _local["dir"] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        base = _local["dir"]
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder: lineage is cut, and lost executors cost no recomputation."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of text in all rows, to size buckets by."""
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
 
 
-def batches_of(table: pa.Table, rows: int = 20_000):
-    yield from table.to_batches(max_chunksize=rows)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(32))
@@ -84,29 +61,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x2545F4914F6CDD1D
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
-_byte_values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans at once, from prefix sums of a polynomial hash."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_values[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes that the vectorised word hash reads; longer words go through a library hash.
+LONG_WORD = 64
+_masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] for many spans at once, eight bytes of all spans in a step."""
+    sizes = ends - starts
+    h = (sizes + (seed << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if seed:
+        h = mix(h)
+    if not len(sizes):
+        return h
+    symbols = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,))
+    h = mix(h ^ (symbols[starts] & _masks[np.minimum(sizes, 8)]))
+    live = np.flatnonzero(sizes > 8)
+    for depth in range(8, LONG_WORD, 8):
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (symbols[starts[live] + depth] & _masks[np.minimum(sizes[live] - depth, 8)]))
+        live = live[sizes[live] > depth + 8]
+    for k in live.tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=bytes([seed])).digest()
+        h[k] ^= np.uint64(int.from_bytes(digest, "little"))
+    return h
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different strings among data[start:end]: where each first stands, and for each span the number of its string.
+
+    Hashes bring equal strings together, their bytes are compared; should hashes collide, the strings decide.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, like = ends - starts, first[number]
+    same = sizes == sizes[like]
+    symbols = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, strides=(1,))
+    live, depth = np.flatnonzero(like != np.arange(len(like))), 0
+    while len(live) and same.all() and depth < LONG_WORD:
+        mask = _masks[np.minimum(sizes[live] - depth, 8)]
+        same[live] = (symbols[starts[live] + depth] & mask) == (symbols[starts[like[live]] + depth] & mask)
+        depth += 8
+        live = live[sizes[live] > depth]
+    raw = data.tobytes() if len(live) or not same.all() else b""
+    for k in live.tolist():
+        same[k] &= raw[starts[k] : ends[k]] == raw[starts[like[k]] : ends[like[k]]]
+    if same.all():
+        return first, number
+    seen: dict[bytes, int] = {}
+    number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(number, return_index=True)[1], number
+
+
+def gathered(parts: list[bytes], number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """parts[i] of every i in `number`, one after the other; and where each begins and the last ends."""
+    if not len(number):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = pa.array(parts, pa.large_binary()).take(pa.array(number)).buffers()
+    return data.to_pybytes() if data else b"", np.frombuffer(offsets, np.int64, len(number) + 1)
+
+
+class Recent:
+    """What a worker remembers by word: two generations of at most `size` bytes of words each, so that memory is bounded and
+    words that come often stay."""
+
+    def __init__(self, size: int = 1 << 20):
+        self.size, self.held, self.new, self.old = size, 0, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def get(self, word: bytes):
+        found = self.new.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is not None:
+                self.put(word, found)
+        return found
+
+    def put(self, word: bytes, value) -> None:
+        if self.held > self.size:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.new[word] = value
+        self.held += len(word)
 
 
 _space = np.zeros(256, bool)

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from . import common
 from .encoder import encoder
-from .token_store import _open
+from .token_store import Whole, _open
 
-#: Tokens in a block.
-BLOCK_TOKENS = 1 << 20
+#: Tokens in a block, and blocks that a scanning task reads.
+BLOCK_TOKENS, TASK_BLOCKS = 1 << 20, 16
 
 
 def write_flat(docs: DataFrame, path: str, separator: int, words_apart: bool = False, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,20 +27,16 @@ def write_flat(docs: DataFrame, path: str, separator: int, words_apart: bool = F
     Returns uri, ordinal (of the document in its file), doc_id, n_tokens_file (tokens in the file; on its last row only).
     Null text: no ids but the separator.  A partition without rows writes no file.
     """
-    folder = folder or common.shared_dir(docs.sparkSession)
+    folder = folder or common.folder(docs.sparkSession)
 
     def work(batches):
         enc, part = encoder(path, words_apart, literal=True), TaskContext.get().partitionId()
         stop, uri = np.array([separator], enc.kind).tobytes(), f"{folder}/flat-{part:06d}.bin"
-        fs, name = _open(uri)
-        fs.create_dir(name.rpartition("/")[0], recursive=True)
-        attempt, out, rows, size = f"{name}.{TaskContext.get().taskAttemptId()}.part", None, 0, 0
+        out, rows = None, 0
         held = None  # the latest rows, until it is known whether they are the last
         for b in common.chunks(batches):
-            out = out or fs.open_output_stream(attempt)
-            data = b"".join(x + stop for x in enc.encode(b.column("text").to_pylist()))
-            out.write(data)
-            size += len(data) // enc.width
+            out = out or Whole(uri, str(TaskContext.get().taskAttemptId()))
+            out.write(b"".join(enc.encode(b.column("text").to_pylist(), stop)))
             if held is not None:
                 yield held
             n = b.num_rows
@@ -48,8 +44,7 @@ def write_flat(docs: DataFrame, path: str, separator: int, words_apart: bool = F
             rows += n
         if out is not None:
             out.close()
-            fs.move(attempt, name)
-            last = pa.array([None] * (held.num_rows - 1) + [size], pa.int64())
+            last = pa.array([None] * (held.num_rows - 1) + [out.size // enc.width], pa.int64())
             yield held.set_column(3, held.schema.field(3), last)
 
     return common.written(common.documents(docs, id_col, text_col).mapInArrow(work, "uri string, ordinal long, doc_id long, n_tokens_file long"))
@@ -77,7 +72,9 @@ def separator_scan(files: DataFrame, separator: int, width: int, block: int = BL
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["uri", "at", "seps", "head", "tail", "inner"])
 
-    found = blocks.repartition("uri", "at").mapInArrow(work, "uri string, at long, seps long, head long, tail long, inner array<long>")
+    # a given number of partitions, as adaptive execution would join those of so small a table
+    tasks = max(1, (files.agg(F.sum(F.ceil(F.col("tokens") / block))).first()[0] or 0) // TASK_BLOCKS)
+    found = blocks.repartition(int(tasks), "uri", "at").mapInArrow(work, "uri string, at long, seps long, head long, tail long, inner array<long>")
     order = Window.partitionBy("uri").orderBy("at")
     found = found.withColumn("before", F.sum("seps").over(order) - F.col("seps")).withColumn("era", F.sum(F.expr("cast(seps > 0 as int)")).over(order))
     found = found.withColumn("open", F.sum("tail").over(Window.partitionBy("uri", "era").orderBy("at")))
@@ -88,7 +85,10 @@ def separator_scan(files: DataFrame, separator: int, width: int, block: int = BL
 
 
 def token_counts(docs: DataFrame, path: str, separator: int, words_apart: bool = False, block: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, n_tokens of every document, counted in flat files that are written for it."""
+    """doc_id, n_tokens of every document, counted in flat files that are written for it.
+
+    One row for each input row, repeated ones too.  Null or empty text: 0.  An empty table gives no rows.
+    """
     side = write_flat(docs, path, separator, words_apart)
     files = side.where("n_tokens_file is not null").select("uri", F.col("n_tokens_file").alias("tokens"))
     counts = separator_scan(files, separator, encoder(path, words_apart, literal=True).width, block)

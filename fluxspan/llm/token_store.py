@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,15 @@ from . import common
 from .encoder import encoder
 
 MAGIC = b"ZTOKENS1"
-#: Bytes of text, about, whose documents share a file.
-FILE_TEXT_BYTES = 16 << 20
-#: Bounds of the dictionary and of the sample of id arrays it is trained on.
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 2_000, 8 << 20
+#: Bytes of text, about, whose documents share a file; where that makes more than MOST_FILES, files are larger.
+FILE_TEXT_BYTES, MOST_FILES = 16 << 20, 50_000
+#: Bounds of the dictionary and of the sample that it is trained on: id arrays of documents up to SAMPLE_TEXT bytes, as the
+#: dictionary serves short documents.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = 64 << 10, 2_000, 4 << 20, 32 << 10
+#: Bytes of frames that a reader holds at once.
+READ_BYTES = 8 << 20
+#: Files whose tokens are summed together when documents are numbered.
+SUM_FILES = 1000
 NULL_ID = -(1 << 63)
 
 
@@ -35,14 +41,30 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+class Whole:
+    """A file that appears under its name only when it is complete, so that a repeated task replaces it."""
+
+    def __init__(self, uri: str, attempt: str = ""):
+        self.fs, self.path = _open(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.part, self.size = f"{self.path}.{attempt}.part", 0
+        self.out = self.fs.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+            self.fs.delete_file(self.path)  # of an earlier attempt; some stores don't move onto a file
+        self.fs.move(self.part, self.path)
+
+
 def put(uri: str, data: bytes) -> None:
-    """Writes a whole file under another name first, so that no reader sees half of it and a repeated task replaces it."""
-    fs, path = _open(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{hashlib.md5(data).hexdigest()[:8]}.part"
-    with fs.open_output_stream(part) as f:
-        f.write(data)
-    fs.move(part, path)
+    f = Whole(uri)
+    f.write(data)
+    f.close()
 
 
 def get(uri: str, start: int = 0, length: int | None = None) -> bytes:
@@ -62,49 +84,54 @@ def train_dictionary(arrays: list[bytes]) -> bytes:
         return b"".join(arrays)[-DICTIONARY_BYTES:]
 
 
-def pack_file(ids: list[int], frames: list[bytes], counts: list[int], width: int, digest: bytes) -> bytes:
-    body = b"".join(frames)
-    offsets = np.cumsum([0, *map(len, frames)]) + len(MAGIC) + 32
-    index = np.array([width, len(ids)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + offsets.astype("<i8").tobytes() + np.cumsum([0, *counts]).astype("<i8").tobytes()
-    return b"".join((MAGIC, digest, body, index, np.array([len(MAGIC) + 32 + len(body)], "<i8").tobytes(), MAGIC))
+def index_of(ids: list[int], sizes: list[int], counts: list[int], width: int) -> bytes:
+    """What follows the frames of a file."""
+    offsets = np.cumsum([0, *sizes]) + len(MAGIC) + 32
+    parts = ([width, len(ids)], ids, offsets, np.cumsum([0, *counts]), offsets[-1:])
+    return b"".join(np.asarray(p, "<i8").tobytes() for p in parts) + MAGIC
 
 
-def read_index(data: bytes) -> tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest of the dictionary, width, document ids, frame offsets, token offsets of a whole file."""
-    if data[:8] != MAGIC or data[-8:] != MAGIC:
-        raise ValueError("not a token file")
-    at = int(np.frombuffer(data, "<i8", 1, len(data) - 16)[0])
-    width, n = np.frombuffer(data, "<i8", 2, at).tolist()
-    ids = np.frombuffer(data, "<i8", n, at + 16)
-    offsets = np.frombuffer(data, "<i8", n + 1, at + 16 + 8 * n)
-    return data[8:40], width, ids, offsets, np.frombuffer(data, "<i8", n + 1, at + 24 + 16 * n)
+def read_index(uri: str) -> tuple[bytes, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of the dictionary, width, document ids, frame offsets, token offsets of a file."""
+    fs, path = _open(uri)
+    with fs.open_input_file(path) as f:
+        head = f.read(40)
+        f.seek(f.size() - 16)
+        tail = f.read(16)
+        if head[:8] != MAGIC or tail[8:] != MAGIC:
+            raise ValueError(f"{uri} is not a token file")
+        at = int(np.frombuffer(tail, "<i8", 1)[0])
+        f.seek(at)
+        index = f.read(f.size() - 16 - at)
+    width, n = np.frombuffer(index, "<i8", 2).tolist()
+    ids, offsets = np.frombuffer(index, "<i8", n, 16), np.frombuffer(index, "<i8", n + 1, 16 + 8 * n)
+    return head[8:], width, ids, offsets, np.frombuffer(index, "<i8", n + 1, 24 + 16 * n)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, words_apart: bool = False, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes all documents; returns the manifest: shard, uri, docs, tokens, first_token.
 
-    Documents are in ascending order of (id, hash of the text), null ids first.  Null text: no ids but `end_id`.
+    Documents are in ascending order of (id, hash of the text), null ids first; Spark's range partitioning deals them to
+    files.  Each row is written and counted, rows that repeat another too.  Null or empty text: no ids but `end_id`.  An
+    empty table gives an empty manifest.
     """
     spark: SparkSession = docs.sparkSession
-    folder = folder or common.shared_dir(spark)
+    folder = folder or common.folder(spark)
     d = common.documents(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    stats = d.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(stats.b or 0) // FILE_TEXT_BYTES))
-    cuts = d.where(f"doc_id > {NULL_ID}").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else []
-    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
-    end = b"" if end_id is None else None
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    stats = d.agg(F.sum(size).alias("b"), F.count_if(size <= SAMPLE_TEXT).alias("n"), F.sum(F.when(size <= SAMPLE_TEXT, size)).alias("short")).first()
+    files = max(1, min(MOST_FILES, -(-(stats.b or 0) // FILE_TEXT_BYTES)))
 
     def coded(texts: list[bytes]) -> list[bytes]:
         enc = encoder(path, words_apart)
-        stop = end if end is not None else np.array([end_id], enc.kind).tobytes()
-        return [x + stop for x in enc.encode(texts)]
+        return enc.encode(texts, b"" if end_id is None else np.array([end_id], enc.kind).tobytes())
 
     def sample(batches):
         for b in common.chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(coded(b.column("text").to_pylist()), pa.binary())], ["ids"])
 
-    share = min(1.0, SAMPLE_DOCS / max(stats.n, 1), SAMPLE_BYTES / max(stats.b or 0, 1))
-    arrays = [bytes(r.ids) for r in d.sample(share, 5).limit(2 * SAMPLE_DOCS).mapInArrow(sample, "ids binary").collect()]
+    share = min(1.0, SAMPLE_DOCS / max(stats.n, 1), SAMPLE_BYTES / max(stats.short or 0, 1))
+    arrays = [bytes(r.ids) for r in d.where(size <= SAMPLE_TEXT).sample(share, 5).limit(2 * SAMPLE_DOCS).mapInArrow(sample, "ids binary").collect()]
     words = train_dictionary(arrays)
     digest = hashlib.sha256(words).digest()
     put(f"{folder}/dictionary", words)
@@ -115,44 +142,86 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, words_apart
         for b in common.chunks(batches):
             ids = coded(b.column("text").to_pylist())
             width = encoder(path, words_apart).width
-            shard = np.searchsorted(bounds, b.column("doc_id").to_numpy(), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), b.column("mark"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([z.compress(x) for x in ids], pa.binary())], ["shard", "doc_id", "mark", "n", "frame"])
-
-    def write(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-        shard, counts = group.column("shard")[0].as_py(), group.column("n").to_pylist()
-        uri = f"{folder}/part-{shard:07d}.ztok"
-        put(uri, pack_file(group.column("doc_id").to_pylist(), group.column("frame").to_pylist(), counts, encoder(path, words_apart).width, digest))
-        return pa.table([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(counts)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["shard", "uri", "docs", "tokens"])
-
-    files = d.mapInArrow(frames, "shard int, doc_id long, mark long, n long, frame binary").groupBy("shard").applyInArrow(write, "shard int, uri string, docs long, tokens long")
-    files = common.written(files)  # one row for each file; writing happens once, here
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("tie"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([z.compress(x) for x in ids], pa.binary())], ["doc_id", "mark", "tie", "n", "frame"])
 
-
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """All documents of the files, in their order: doc_id, start (tokens before it in all files), ids (unsigned 32-bit)."""
+    def write(batches):
+        part, out, ids, sizes, counts = TaskContext.get().partitionId(), None, [], [], []
+        uri = f"{folder}/part-{part:07d}.ztok"
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                out = Whole(uri, str(TaskContext.get().taskAttemptId()))
+                out.write(MAGIC + digest)
+            blobs = b.column("frame").to_pylist()
+            out.write(b"".join(blobs))
+            ids += b.column("doc_id").to_pylist()
+            sizes += map(len, blobs)
+            counts += b.column("n").to_pylist()
+        if out is not None:
+            out.write(index_of(ids, sizes, counts, encoder(path, words_apart).width))
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(ids)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["shard", "uri", "docs", "tokens"])
+
+    # the number of the row parts even repeated rows; the frames are a table, so that finding the ranges encodes nothing again
+    coded_rows = common.written(d.withColumn("tie", F.monotonically_increasing_id()).mapInArrow(frames, "doc_id long, mark long, tie long, n long, frame binary"))
+    order = ["doc_id", "mark", "tie"]
+    ranges = coded_rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
+    manifest = common.written(ranges.mapInArrow(write, "shard int, uri string, docs long, tokens long"))
+    common.discard(coded_rows)
+    return numbered(manifest)
+
+
+def numbered(manifest: DataFrame) -> DataFrame:
+    """The manifest with first_token, the tokens in all files before: sums inside blocks of files, and over the blocks."""
+    block = F.floor(F.col("shard") / SUM_FILES).cast("int").alias("block")
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = manifest.groupBy(block).agg(F.sum("tokens").alias("tokens")).select("block", before(Window.orderBy("block")).alias("base"))
+    inside = manifest.select("*", block).withColumn("inside", before(Window.partitionBy("block").orderBy("shard")))
+    return inside.join(blocks, "block").withColumn("first_token", F.col("base") + F.col("inside")).drop("block", "base", "inside")
+
+
+def _read(manifest: DataFrame, made, schema: str) -> DataFrame:
+    """made(ids of documents, tokens before each, arrays of unsigned 32-bit ids) -> columns, for stretches of all files.
+
+    A task reads a few files, of each the index and then stretches of frames.
+    """
 
     def work(batches):
         for b in batches:
             for uri, first in zip(b.column("uri").to_pylist(), b.column("first_token").to_pylist(), strict=True):
-                words, data = get(f"{uri.rpartition('/')[0]}/dictionary"), get(uri)
-                digest, width, ids, offsets, tokens = read_index(data)
+                words = get(f"{uri.rpartition('/')[0]}/dictionary")
+                digest, width, ids, offsets, tokens = read_index(uri)
                 if hashlib.sha256(words).digest() != digest:
                     raise ValueError(f"{uri} was written with another dictionary")
                 z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-                for lo in range(0, len(ids), 2000):
-                    hi = min(lo + 2000, len(ids))
-                    arrays = [np.frombuffer(z.decompress(data[offsets[k] : offsets[k + 1]]), f"<u{width}").astype("<u4").tobytes() for k in range(lo, hi)]
+                lo = 0
+                while lo < len(ids):
+                    hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + READ_BYTES))), lo + 2000, len(ids))
+                    data = get(uri, int(offsets[lo]), int(offsets[hi] - offsets[lo]))
+                    at = (offsets[lo : hi + 1] - offsets[lo]).tolist()
+                    arrays = [np.frombuffer(z.decompress(data[x:y]), f"<u{width}").astype("<u4") for x, y in zip(at, at[1:], strict=False)]
                     doc = pa.array([None if i == NULL_ID else i for i in ids[lo:hi].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(first + tokens[lo:hi]), pa.array(arrays, pa.binary())], ["doc_id", "start", "ids"])
+                    columns = made(doc, pa.array(first + tokens[lo:hi]), arrays)
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                    lo = hi
 
-    return manifest.repartition(F.col("shard")).mapInArrow(work, "doc_id long, start long, ids binary")
+    # a given number of partitions, as adaptive execution would join those of so small a table
+    tasks = max(1, manifest.agg(F.max("shard")).first()[0] or 0)
+    return manifest.repartition(tasks, "shard").mapInArrow(work, schema)
+
+
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """All documents of the files: doc_id, start (tokens before it in all files), ids (unsigned 32-bit).
+
+    An empty manifest gives no rows.
+    """
+    made = lambda doc, start, arrays: {"doc_id": doc, "start": start, "ids": pa.array([x.tobytes() for x in arrays], pa.binary())}
+    return _read(manifest, made, "doc_id long, start long, ids binary")
 
 
 def read_document(uri: str, doc_id: int) -> list[int]:
-    """One document's ids from one file: reads the index and a single frame."""
+    """One document's ids from the file that holds it: reads the index and a single frame."""
     fs, path = _open(uri)
     with fs.open_input_file(path) as f:
         f.seek(f.size() - 16)
@@ -160,7 +229,10 @@ def read_document(uri: str, doc_id: int) -> list[int]:
         f.seek(at)
         index = f.read(f.size() - 16 - at)
         width, n = np.frombuffer(index, "<i8", 2).tolist()
-        k = int(np.searchsorted(np.frombuffer(index, "<i8", n, 16), doc_id))
+        ids = np.frombuffer(index, "<i8", n, 16)
+        k = int(np.searchsorted(ids, doc_id))
+        if k == n or ids[k] != doc_id:
+            raise KeyError(doc_id)
         lo, hi = np.frombuffer(index, "<i8", 2, 16 + 8 * n + 8 * k).tolist()
         f.seek(lo)
         frame = f.read(hi - lo)
@@ -170,11 +242,13 @@ def read_document(uri: str, doc_id: int) -> list[int]:
 
 
 def store_digests(docs: DataFrame, path: str, end_id: int = 1, words_apart: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, as the written files give them."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, as the written files give them.
 
-    def work(batches):
-        for b in batches:
-            arrays = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array([len(x) // 4 for x in arrays], pa.int64()), pa.array([zlib.crc32(x) for x in arrays], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    One row for each input row: rows that repeat another are encoded, written and numbered like any.  Null or empty text: the
+    end id alone.  An empty table gives no rows.
+    """
+
+    def made(doc, start, arrays):
+        return {"doc_id": doc, "start": start, "n_tokens": pa.array(map(len, arrays), pa.int64()), "ids_crc32": pa.array(map(zlib.crc32, arrays), pa.int64())}
 
-    return read_tokens(write_tokens(docs, path, end_id, words_apart)).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _read(write_tokens(docs, path, end_id, words_apart), made, "doc_id long, start long, n_tokens long, ids_crc32 long")
