@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fin, fin_nonneg, quadrature
+from .joins import near_join
+from .stats import sign_label
 
 
 def mention_counts(texts: DataFrame, pattern: str, article: str = "article", text: str = "text", aliases: DataFrame | None = None) -> DataFrame:
@@ -19,11 +21,18 @@ def mention_counts(texts: DataFrame, pattern: str, article: str = "article", tex
     return per.groupBy("name").agg(F.sum("n").alias("mention_count"), F.count("*").alias("n_articles"), F.array_join(F.array_sort(F.collect_set(F.col(article).cast("string"))), ";").alias("articles"))
 
 
-def availability(obs: DataFrame, g: list[str], filters: str = "filters", program: str = "proposal_id", obs_id: str = "obs_id") -> DataFrame:
-    """Counts, distinct filters and programmes, flags of both bands of each group's observations (AGG47)."""
+def availability(obs: DataFrame, g: list[str], filters: str = "filters", program: str = "proposal_id", obs_id: str = "obs_id", url: str = "dataURL") -> DataFrame:
+    """Counts, distinct filters and programmes, flags, observations and products of both bands of each group (AGG47)."""
     each = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ";")
     has = lambda f: F.coalesce(F.bool_or(F.upper(filters) == f), F.lit(False))
-    return obs.groupBy(*g).agg(F.count("*").alias("obs_count"), each(filters).alias("filters"), each(program).alias("programs"), has("F150W").alias("has_f150w"), has("F090W").alias("has_f090w"), F.countDistinct(obs_id).alias("n_obs_ids")).withColumn("recommended", F.col("has_f150w") & F.col("has_f090w"))
+    of = lambda c, f: F.array_join(F.array_sort(F.collect_list(F.when(F.upper(filters) == f, F.col(c).cast("string")))), ";")
+    bands = {b: b.upper() for b in ("f150w", "f090w")}
+    joined = [of(obs_id, f).alias(f"{b}_obsids") for b, f in bands.items()]
+    if url in obs.columns:
+        joined += [of(url, f).alias(f"{b}_dataurls") for b, f in bands.items()]
+    flags = [has(f).alias(f"has_{b}") for b, f in bands.items()]
+    out = obs.groupBy(*g).agg(F.count("*").alias("obs_count"), each(filters).alias("filters"), each(program).alias("programs"), *flags, F.countDistinct(obs_id).alias("n_obs_ids"), *joined)
+    return out.withColumn("recommended", F.col("has_f150w") & F.col("has_f090w"))
 
 
 def search_summary(cands: DataFrame, by: str = "source_class") -> DataFrame:
@@ -31,6 +40,12 @@ def search_summary(cands: DataFrame, by: str = "source_class") -> DataFrame:
     return cands.groupBy(by).agg(F.count("*").alias("n"), F.count_if("has_f150w").alias("n_f150w"), F.count_if("has_f090w").alias("n_f090w"), F.count_if(F.col("has_f150w") & F.col("has_f090w")).alias("n_both"))
 
 
+def observation_summary(obs: DataFrame, cols: list[str], g: list[str] | None = None) -> DataFrame:
+    """Number of observations and, of each column, the number of distinct values and the sorted values (AGG49)."""
+    each = [e for c in cols for e in (F.countDistinct(c).alias(f"n_{c}"), F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ";").alias(c))]
+    return (obs.groupBy(*g) if g else obs).agg(F.count("*").alias("n_observations"), *each)
+
+
 def candidate_union(parts: list[tuple[DataFrame, str]], name: str = "name") -> DataFrame:
     """Names of all parts; the first part's class wins, articles are merged (SET1)."""
     rows = reduce(lambda a, b: a.unionByName(b), [df.select(name, "article", F.lit(k).alias("_k"), F.lit(c).alias("source_class")) for k, (df, c) in enumerate(parts)])
@@ -38,8 +53,10 @@ def candidate_union(parts: list[tuple[DataFrame, str]], name: str = "name") -> D
 
 
 def sample_membership(samples: DataFrame) -> DataFrame:
-    """sample with its names -> each name's sorted samples (SET2)."""
-    return samples.select("sample", F.explode("names").alias("name")).groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("sample")), ";").alias("samples"), F.countDistinct("sample").alias("n_samples"))
+    """sample with its names, and its url if there is one -> each name's sorted samples and urls (SET2)."""
+    cols = ["sample", *(["url"] if "url" in samples.columns else [])]
+    sets = [F.array_join(F.array_sort(F.collect_set(c)), ";").alias(f"{c}s") for c in cols]
+    return samples.select(*cols, F.explode("names").alias("name")).groupBy("name").agg(*sets, F.countDistinct("sample").alias("n_samples"))
 
 
 def branch_union(parts: dict[str, DataFrame]) -> DataFrame:
@@ -97,6 +114,21 @@ def error_budget(rows: DataFrame, pr_frac: float = 0.25) -> DataFrame:
     return out.withColumns({"sigma_total": quadrature(*terms), "sigma_total_no_psf": quadrature(*[t for t in terms if t != "sigma_psf"]), "missing_components": missing})
 
 
+def pick_reddening(values: DataFrame, g: list[str], name: str = "column", value: str = "value") -> DataFrame:
+    """E(B-V) and its error from a table's columns by what their names say (AGG36): g, ebv, sigma_ebv, ebv_columns.
+
+    values: one row for each numeric column of a table.  The column with the highest score wins, then the last name.
+    """
+    low, has = F.lower(name), lambda *words: F.greatest(*[F.lower(name).contains(w).cast("int") for w in words], F.lit(0))
+    spread = has("std", "sigma", "err")
+    base = 8 * has("sandf", "schlafly") + 5 * has("sfd") + 3 * has("ebv", "e(b-v)", "reddening", "ext")
+    rows = values.where(fin_nonneg(value).isNotNull()).withColumns({"_mean": base + 4 * has("mean", "value"), "_std": F.when(spread == 1, base + 4), "_n": low})
+    best = lambda s, what: F.max_by(what, F.when(F.col(s) > 0, F.struct(s, "_n", value)))
+    out = rows.groupBy(*g).agg(best("_mean", value).alias("ebv"), best("_std", value).alias("sigma_ebv"), best("_mean", "_n").alias("_a"), best("_std", "_n").alias("_b"))
+    notes = F.concat_ws(";", F.concat(F.lit("ebv_col="), "_a"), F.concat(F.lit("sigma_col="), "_b"))
+    return out.withColumn("ebv_columns", notes).drop("_a", "_b")
+
+
 def extinction_sigma(rows: DataFrame, coefficient: float, floor: float = 0.10) -> DataFrame:
     """Extinction error by precedence: supplied, table, cache, common, E(B-V), else 0 and missing (AGG36)."""
     ebv = F.coalesce(fin_nonneg("sigma_ebv") * coefficient, floor * coefficient * fin_nonneg("ebv"))
@@ -105,6 +137,17 @@ def extinction_sigma(rows: DataFrame, coefficient: float, floor: float = 0.10) -
     return rows.withColumns({"sigma_ext": F.coalesce(*[v for _, v in steps], F.lit(0.0)), "sigma_ext_status": status})
 
 
+def saved_psf_sigma(comparisons: DataFrame, wanted: DataFrame, key: str = "galaxy", tol: float = 1e-9) -> DataFrame:
+    """|difference| of two saved measurements with the two point-spread tables at the wanted window and settings (AGG37).
+
+    comparisons: key, kmin, kmax, realisations, pad, psf_ext (DET_DIST or DET_SAMP), mbar; wanted: key, kmin, kmax,
+    realisations, pad.
+    """
+    same = near_join(wanted, comparisons, [key, "realisations", "pad"], ["kmin", "kmax"], tol)
+    side = lambda e: F.max(F.when(F.col("psf_ext") == e, F.col("mbar")))
+    return same.groupBy(key).agg(F.abs(side("DET_DIST") - side("DET_SAMP")).alias("psf_saved"))
+
+
 def psf_sigma(rows: DataFrame) -> DataFrame:
     """Point-spread error by precedence: supplied, branches, saved comparison, else 0 and missing (AGG37)."""
     steps = [("supplied", fin_nonneg("psf_supplied")), ("branches", fin_nonneg("psf_branch")), ("comparison", fin_nonneg("psf_saved"))]
@@ -112,9 +155,39 @@ def psf_sigma(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"sigma_psf": F.coalesce(*[v for _, v in steps], F.lit(0.0)), "sigma_psf_status": status})
 
 
-def experiment_metrics(regions: DataFrame, g: list[str], value: str = "resid_median") -> DataFrame:
-    """Sum of |median residual| over the regions of each experiment, with their number (AGG51)."""
-    return regions.groupBy(*g).agg(F.sum(F.abs(fin(value))).alias("abs_residual_sum"), F.count(fin(value)).alias("n_regions"))
+def experiment_metrics(regions: DataFrame, g: list[str], value: str = "resid_median", crossings: DataFrame | None = None, recommended: DataFrame | None = None) -> DataFrame:
+    """Sum of |median residual| over the regions of each experiment, with their number (AGG51).
+
+    crossings: g, shape, zero_x (`zero_crossing` of each bias profile) -> zero_cross_<shape>; recommended: g and a struct
+    `recommended`, whose fields become columns.
+    """
+    out = regions.groupBy(*g).agg(F.sum(F.abs(fin(value))).alias("abs_residual_sum"), F.count(fin(value)).alias("n_regions"))
+    if crossings is not None:
+        wide = crossings.groupBy(*g).agg(*[F.max(F.when(F.col("shape") == s, F.col("zero_x"))).alias(f"zero_cross_{s}") for s in ("circle", "ellipse")])
+        out = out.join(wide, g, "left")
+    if recommended is not None:
+        out = out.join(recommended.select(*g, "recommended.*"), g, "left")
+    return out
+
+
+#: Limits of the notes on how two models differ.
+VISIBLE, GROWS, WEAKENS, FLOOR = 0.01, 1.25, 0.80, 1e-12
+
+
+def overlap_notes(pixels: DataFrame, profile: DataFrame, edges: DataFrame, g: list[str], r: str, one: str, other: str) -> DataFrame:
+    """Sign of the difference inside the fitted range, and how it changes with radius (AGG11).
+
+    profile: `overlap_profile`; edges: g, edge - the fitted range of each group.  Rings count as inner up to half of it and
+    as outer from two thirds on.
+    """
+    inside = pixels.join(edges, g).where(F.col(r) <= F.col("edge")).groupBy(*g).agg(F.median(fin(one) - fin(other)).alias("inside_median"), F.avg(fin(one) - fin(other)).alias("inside_mean"))
+    p = profile.join(edges, g).where(F.col("r_mid") <= F.col("edge"))
+    size = F.abs("difference")
+    s = p.groupBy(*g).agg(F.median(F.when(F.col("r_mid") <= 0.5 * F.col("edge"), size)).alias("inner_abs"), F.median(F.when(F.col("r_mid") >= 2 / 3 * F.col("edge"), size)).alias("outer_abs"), F.median("one_median").alias("scale"))
+    a, b = F.greatest("inner_abs", F.lit(FLOOR)), F.col("outer_abs")
+    growth = F.when(F.col("inner_abs").isNull() | b.isNull(), "unknown").when(b > GROWS * a, "grows outwards").when(b < WEAKENS * a, "weakens outwards").otherwise("comparable")
+    seen = F.coalesce(F.col("inner_abs") > VISIBLE * F.greatest("scale", F.lit(FLOOR)), F.lit(False))
+    return inside.join(s, g, "left").withColumns({"inside_sign": sign_label("inside_median"), "visible_inside": seen, "growth": growth}).drop("scale")
 
 
 def overlap_profile(pixels: DataFrame, g: list[str], r: str, one: str, other: str, width: float, least: int = 10) -> DataFrame:

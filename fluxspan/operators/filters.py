@@ -24,12 +24,21 @@ def filter_products(prods: DataFrame, level: int, filters: list[str], name: str
     return prods.where(F.lower(name).endswith(suffix) & ~F.lower(name).rlike(r"^jw\d{5}-c\d{4}_") & (F.upper(science) == "SCIENCE") & named)
 
 
-def classify_products(prods: DataFrame, name: str = "file_name") -> DataFrame:
-    """Detector bucket, proposal and object tags, destination path (FLT3)."""
+#: What the destination is made of, by scheme.
+SCHEMES = {"detector": ["proposal", "object_tag", "detector"], "proposal": ["proposal", "detector"], "object": ["target", "detector"]}
+
+
+def classify_products(prods: DataFrame, name: str = "file_name", scheme: str = "detector", targets: DataFrame | None = None) -> DataFrame:
+    """Detector bucket, proposal and object tags, target, destination path by scheme (FLT3).
+
+    targets: object_tag, target - a small map; objects that it lacks keep their tag.
+    """
     low = F.lower(name)
     bucket = F.when(low.contains("nrcalong"), "nrcalong").when(low.contains("nrcblong"), "nrcblong").when(low.rlike(r"nrca[0-9]?"), "nrca").when(low.rlike(r"nrcb[0-9]?"), "nrcb").otherwise("unknown")
     out = prods.withColumns({"detector": bucket, "proposal": F.regexp_extract(low, r"^jw(\d{5})", 1), "object_tag": F.regexp_extract(low, r"^jw\d{5}-(o\d{3})", 1)})
-    return out.withColumn("destination", F.concat_ws("/", F.when(F.col("proposal") != "", F.col("proposal")).otherwise("other"), F.when(F.col("object_tag") != "", F.col("object_tag")).otherwise("none"), "detector", name))
+    out = out.withColumn("target", F.col("object_tag")) if targets is None else out.join(targets.select("object_tag", "target"), "object_tag", "left").withColumn("target", F.coalesce("target", "object_tag"))
+    empty = {"proposal": "other", "object_tag": "none", "target": "none", "detector": "unknown"}
+    return out.withColumn("destination", F.concat_ws("/", *[F.when(F.col(c) != "", F.col(c)).otherwise(empty[c]) for c in SCHEMES[scheme]], name))
 
 
 def filter_key(filter_col="FILTER", pupil_col="PUPIL") -> Column:

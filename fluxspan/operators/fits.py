@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fin, fin_pos
+from ..functions.scalar import ab_zeropoint, fin, fin_pos
+from ..plans.storage import written
 
 
 def _solve(s: list[Column], t: list[Column]) -> tuple[list[Column], list[list[Column]]]:
@@ -55,16 +56,28 @@ def _fit_columns(sums: DataFrame, g: list[str], degree: int) -> DataFrame:
     return out.withColumns({"chi2_red": F.when(F.col("n") > k, F.col("chi2") / (F.col("n") - k)), "aic": F.col("chi2") + 2 * k, "bic": F.col("chi2") + k * F.log(F.col("n").cast("double"))}).drop(*[c for c in sums.columns if c.startswith("_")])
 
 
-def intrinsic_scatter(df: DataFrame, g: list[str], degree: int, x: str = "x", y: str = "y", sigma: str = "sigma", pivot: float = 0.0, top: float = 1.28, ways: int = 16, rounds: int = 8) -> DataFrame:
+#: Fixed value: the largest scatter that the search tries, 0.02 doubled five times.
+LARGEST_SCATTER = 0.64
+
+
+def intrinsic_scatter(df: DataFrame, g: list[str], degree: int, x: str = "x", y: str = "y", sigma: str = "sigma", pivot: float = 0.0, top: float = LARGEST_SCATTER, ways: int = 16, rounds: int = 8) -> DataFrame:
     """Scatter that makes reduced chi2 one: 0 if it is at most one already, NULL above `top` (AGG40).
 
-    Each round tries a grid of values for all groups at once, in one pass over the rows, and keeps the cell that holds the root.
+    Weights depend on sigma alone, so rows are summed once for each group and sigma.  Each round tries a grid of values for
+    all groups at once on those sums and keeps the cell that holds the root.
     """
     base = weighted_poly_fit(df, g, degree, x, y, sigma, pivot)
+    ok = df.where(fin(x).isNotNull() & fin(y).isNotNull() & fin_pos(sigma).isNotNull()).select(*g, F.col(sigma).cast("double").alias("_e"), (F.col(x) - pivot).alias("_x"), F.col(y).cast("double").alias("_y"))
+    p = lambda k: F.pow("_x", k) if k else F.lit(1.0)
+    names = [*[f"_s{k}" for k in range(2 * degree + 1)], *[f"_t{k}" for k in range(degree + 1)], "_yy"]
+    terms = [*[p(k) for k in range(2 * degree + 1)], *[F.col("_y") * p(k) for k in range(degree + 1)], F.col("_y") * F.col("_y")]
+    sums = written(ok.groupBy(*g, "_e").agg(F.count("*").alias("_c"), *[F.sum(t).alias(c) for c, t in zip(names, terms, strict=True)]))
     cell = base.select(*g, F.lit(0.0).alias("lo"), F.lit(top).alias("hi"))
     for _ in range(rounds):
         grid = cell.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(ways)))).withColumn("si_try", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("_k") / ways)
-        fits = weighted_poly_fit(df.join(grid, g), [*g, "lo", "hi", "si_try"], degree, x, y, sigma, pivot, F.col("si_try"))
+        w = 1 / (F.pow("_e", 2) + F.pow("si_try", 2))
+        tried = sums.join(grid, g).groupBy(*g, "lo", "hi", "si_try").agg(F.sum("_c").alias("n"), *[F.sum(w * F.col(c)).alias(c) for c in names])
+        fits = _fit_columns(tried, [*g, "lo", "hi", "si_try"], degree)
         above = fits.groupBy(*g, "lo", "hi").agg(F.max(F.when(F.col("chi2_red") > 1, F.col("si_try"))).alias("_a"), F.min(F.when(F.col("chi2_red") <= 1, F.col("si_try"))).alias("_b"))
         cell = above.select(*g, F.coalesce("_a", "lo").alias("lo"), F.when(F.col("_b").isNull(), F.lit(None).cast("double")).otherwise(F.col("_b")).alias("hi"))
     found = F.when(F.col("chi2_red") <= 1, 0.0).when(F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2)
@@ -106,15 +119,22 @@ def residual_summary(df: DataFrame, g: list[str], value: str, sigma: str) -> Dat
 
 
 def model_comparison(df: DataFrame, g: list[str], x: str = "x", y: str = "y", sigma: str = "sigma", pivot: float = 0.0) -> DataFrame:
-    """Constant, linear and quadratic: fit quality, in-sample and leave-one-out scatter (AGG43)."""
+    """Constant, linear and quadratic: fit quality, intrinsic scatter, in-sample and leave-one-out scatter (AGG43).
+
+    Leave-one-out sigmas, and so the weights of their scatter, include the intrinsic scatter of the whole sample; scatters
+    are about their weighted mean.
+    """
+    rms = lambda w, r: F.sqrt(F.greatest(F.sum(w * F.pow(r, 2)) / F.sum(w) - F.pow(F.sum(w * F.col(r)) / F.sum(w), 2), F.lit(0.0)))
     out = None
     for degree, name in enumerate(("constant", "linear", "quadratic")):
         fit = weighted_poly_fit(df, g, degree, x, y, sigma, pivot)
         inside = predict_poly(df, fit, g, degree, x, pivot).withColumn("_r", F.col(y) - F.col("predicted"))
-        w = 1 / F.pow(sigma, 2)
-        scatter = inside.groupBy(*g).agg(F.sqrt(F.sum(w * F.pow("_r", 2)) / F.sum(w)).alias("wrms_in"))
-        loo = leave_one_out(df, g, degree, x, y, sigma, pivot).groupBy(*g).agg(F.sqrt(F.sum(w * F.pow("loo_residual", 2)) / F.sum(w)).alias("wrms_loo"), F.sqrt(F.avg(F.pow("loo_residual", 2))).alias("rms_loo"))
-        part = fit.select(*g, F.lit(name).alias("model"), "n", "chi2", "chi2_red", "aic", "bic").join(scatter, g).join(loo, g)
+        extra = intrinsic_scatter(df, g, degree, x, y, sigma, pivot).select(*g, "sigma_int")
+        scatter = inside.groupBy(*g).agg(rms(1 / F.pow(sigma, 2), "_r").alias("wrms_in"))
+        left = leave_one_out(df, g, degree, x, y, sigma, pivot).join(extra, g).where("loo_residual is not null")
+        w = 1 / (F.pow("loo_sigma", 2) + F.pow(F.coalesce("sigma_int", F.lit(0.0)), 2))
+        loo = left.groupBy(*g).agg(rms(w, "loo_residual").alias("wrms_loo"), F.stddev_samp("loo_residual").alias("rms_loo"))
+        part = fit.select(*g, F.lit(name).alias("model"), "n", "chi2", "chi2_red", "aic", "bic").join(extra, g).join(scatter, g).join(loo, g, "left")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -153,10 +173,29 @@ def gate_fit(fits: DataFrame) -> DataFrame:
 
 
 def power_budget(fits: DataFrame, area: str = "area") -> DataFrame:
-    """P0 less contaminants, fluctuation magnitude raw and corrected, formal sigma, first reason for failing (AGG28)."""
-    from ..functions.scalar import mbar
+    """P0 less contaminants, fluctuation power and magnitude raw and corrected, formal sigmas, first reason for failing (AGG28).
 
-    reason = F.when(fin("P0").isNull(), "no fit").when(F.col("P0") <= 0, "P0 not positive").when(fin("Imean").isNull() | (F.col("Imean") <= 0), "mean brightness not positive").when(F.col("P0") - F.coalesce(fin("Pr"), F.lit(0.0)) <= 0, "contaminants exceed P0").otherwise("")
-    raw = F.when(F.col("failure_reason").isin("", "contaminants exceed P0"), mbar(F.col("P0") / F.col("Imean"), F.lit(0.0), area))
-    left = (F.col("P0") - F.coalesce(fin("Pr"), F.lit(0.0))) / F.col("Imean")
-    return fits.withColumn("failure_reason", reason).withColumns({"P_fluc": F.col("P0") - F.coalesce(fin("Pr"), F.lit(0.0)), "mbar_raw": raw, "mbar": F.when(F.col("failure_reason") == "", mbar(left, F.lit(0.0), area)), "mbar_sigma": F.when(F.col("failure_reason") == "", 2.5 / F.log(F.lit(10.0)) * F.col("P0_fit_sigma") / (F.col("P0") - F.coalesce(fin("Pr"), F.lit(0.0))))})
+    fits: P0, Imean, Pr, P0_fit_sigma, `area` (arcsec2 of a pixel).  Raw values need P0 and Imean, corrected ones Pr as well:
+    a missing Pr is no zero.
+    """
+    p0, mean, pr, sigma = fin_pos("P0"), fin_pos("Imean"), fin("Pr"), fin_pos("P0_fit_sigma")
+    left = p0 - pr
+    reason = F.when(p0.isNull(), "bad raw P0").when(mean.isNull(), "bad Imean").when(pr.isNull(), "Pr is not finite").when(left <= 0, "non-positive corrected power").otherwise("")
+    ok, zero = left > 0, ab_zeropoint(area)
+    magnitude = lambda pf: -2.5 * F.log10(pf) + zero
+    have = F.when(p0.isNotNull() & mean.isNotNull(), p0 / mean)
+    corrected = F.when(ok, left / mean)
+    return fits.withColumns({
+        "failure_reason": reason,
+        "measurement_ok": reason == "",
+        "P_fluc": F.when(have.isNotNull(), left),
+        "Pr_over_P0": F.when(have.isNotNull(), pr / p0),
+        "Pf_raw": have,
+        "Pf": corrected,
+        "mbar_raw": magnitude(have),
+        "mbar": magnitude(corrected),
+        "Pf_sigma_raw": have * sigma / p0,
+        "Pf_sigma": corrected * sigma / left,
+        "mbar_sigma_raw": F.when(have.isNotNull(), 2.5 / F.log(F.lit(10.0)) * sigma / p0),
+        "mbar_sigma": F.when(corrected.isNotNull(), 2.5 / F.log(F.lit(10.0)) * sigma / left),
+    })

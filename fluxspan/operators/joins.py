@@ -10,11 +10,19 @@ from ..sources.tables import null_if_blank
 
 
 def assemble_paper(results: DataFrame, errors: DataFrame, targets: DataFrame, key: str = "galaxy") -> DataFrame:
-    """Results with their errors, and targets where there are any; difference of annuli and a quality flag (JN1)."""
+    """Results with their errors, and targets where there are any (JN1).
+
+    Adds the difference of annuli, a quality flag, and, where the columns exist, the weighted share of contaminants.
+    """
     both = [c for c in errors.columns if c in results.columns and c != key]
     e = errors.withColumnsRenamed({c: f"{c}_err" for c in both})
     out = results.join(e, key).join(targets, key, "left")
-    return out.withColumns({"inner_outer_delta": F.col("mbar_inner") - F.col("mbar_outer"), "quality_flag": F.coalesce(null_if_blank("warnings"), F.lit("clean"))})
+    out = out.withColumns({"inner_outer_delta": F.col("mbar_inner") - F.col("mbar_outer"), "quality_flag": F.coalesce(null_if_blank("warnings"), F.lit("clean"))})
+    shares = ["Pr_over_P0_inner", "Pr_over_P0_outer", "weight_inner", "weight_outer"]
+    if not set(shares) <= set(out.columns):
+        return out
+    pi, po, wi, wo = (F.col(c) for c in shares)
+    return out.withColumn("Pr_over_P0_weighted", (pi * wi + po * wo) / F.nullif(wi + wo, F.lit(0.0)))
 
 
 def calibration_input(paper: DataFrame, lit: DataFrame, key: str = "galaxy") -> DataFrame:
@@ -64,9 +72,17 @@ def cone_join(targets: DataFrame, obs: DataFrame, radius_deg: float) -> DataFram
 
 
 def sources_in_regions(sources: DataFrame, segments: DataFrame, region_pixels: DataFrame, key: str = "image_id") -> DataFrame:
-    """Sources of which any pixel lies in a region (JN7).  region_pixels: key, region, y, x."""
+    """Sources of which any pixel lies in a region (JN7).  region_pixels: key, region, y, x.
+
+    In images without any segment a source lies where its centroid does, rounded to a pixel.
+    """
     touched = segments.join(region_pixels, [key, "y", "x"]).select(key, "region", "label").distinct()
-    return sources.join(touched, [key, "label"])
+    known = sources.join(touched, [key, "label"])
+    bare = sources.join(segments.select(key).distinct(), key, "left_anti")
+    if not {"xcentroid", "ycentroid"} <= set(sources.columns):
+        return known
+    at = bare.withColumns({"y": F.rint("ycentroid").cast("int"), "x": F.rint("xcentroid").cast("int")}).join(region_pixels, [key, "y", "x"]).drop("y", "x")
+    return known.unionByName(at.select(*known.columns))
 
 
 def interp_join(points: DataFrame, nodes: DataFrame, g: list[str], x: str, nx: str, ny: str, outside: str = "null") -> DataFrame:

@@ -20,18 +20,39 @@ def gaussian(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     return [(k, v / sum(w)) for k, v in zip(range(-r, r + 1), w, strict=True)]
 
 
+#: Pixels on a side of the tiles that are smoothed at once, or four kernel radii if that is more.
+SMOOTH_TILE = 256
+
+
 def smooth(pixels: DataFrame, sigma: float, key: str = "image_id", truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing that leaves missing pixels out and divides by the weights met (NUM3).
 
-    Separable: along rows as a window of shifted rows would need the whole row, so each pixel is dealt to its neighbours
-    along x, summed, then along y.  Pixels outside the frame count as missing.
+    A tile takes its pixels and those within a kernel's radius of it, so a pixel goes to one tile, near a border to two or
+    four; in the tile rows and then columns are convolved.  Pixels outside the frame count as missing.
     """
-    kernel = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in gaussian(sigma, truncate)])
-    ok = pixels.select(key, "y", "x", F.coalesce(fin("value"), F.lit(0.0)).alias("_v"), fin("value").isNotNull().cast("double").alias("_w"))
-    for c in ("x", "y"):
-        other = "y" if c == "x" else "x"
-        ok = ok.withColumn("_k", F.explode(kernel)).groupBy(key, other, (F.col(c) + F.col("_k.o")).alias(c)).agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"), F.sum(F.col("_w") * F.col("_k.w")).alias("_w"))
-    return pixels.join(ok, [key, "y", "x"], "left").withColumn("smoothed", F.when(F.col("_w") > 1e-12, F.col("_v") / F.col("_w"))).drop("_v", "_w")
+    weights = np.array([w for _, w in gaussian(sigma, truncate)])
+    r = len(weights) // 2
+    size = max(SMOOTH_TILE, 4 * r)
+
+    def convolve(tile: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(tile["ty"].iloc[0]) * size, int(tile["tx"].iloc[0]) * size
+        y, x, v = tile["y"].to_numpy() - y0 + r, tile["x"].to_numpy() - x0 + r, tile["_v"].to_numpy()
+        planes = np.zeros((2, size + 2 * r, size + 2 * r))
+        planes[0, y, x], planes[1, y, x] = np.nan_to_num(v), ~np.isnan(v)
+        for axis in (1, 2):
+            n = planes.shape[axis] - 2 * r
+            planes = sum(w * np.take(planes, range(k, k + n), axis) for k, w in enumerate(weights))
+        own = (y >= r) & (y < size + r) & (x >= r) & (x < size + r)
+        total, met = (p[y[own] - r, x[own] - r] for p in planes)
+        out = tile.loc[own, ["g", "y", "x"]]
+        return out.assign(smoothed=np.where(met > 1e-12, total / np.where(met > 1e-12, met, 1), np.nan))
+
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / size).cast("int"), F.floor((F.col(c) + r) / size).cast("int")))
+    rows = pixels.select(F.col(key).cast("string").alias("g"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce(fin("value"), F.lit(float("nan"))).alias("_v"))
+    dealt = rows.withColumn("ty", tiles("y")).withColumn("tx", tiles("x"))
+    soft = dealt.groupBy("g", "ty", "tx").applyInPandas(convolve, "g string, y int, x int, smoothed double").select("g", F.col("y").alias("_sy"), F.col("x").alias("_sx"), fin("smoothed").alias("smoothed"))
+    same = (F.col(key).cast("string").eqNullSafe(F.col("g"))) & (F.col("y") == F.col("_sy")) & (F.col("x") == F.col("_sx"))
+    return pixels.join(soft, same, "left").drop("g", "_sy", "_sx")
 
 
 def _label_tile(tile: pd.DataFrame) -> pd.DataFrame:
@@ -86,6 +107,12 @@ def compact_mask(segments: DataFrame, largest: int = 625, key: str = "image_id")
     return segments.join(small, [key, "label"], "left_semi")
 
 
+def drop_big_labels(segments: DataFrame, frames: DataFrame, share: float = 0.005, key: str = "image_id") -> DataFrame:
+    """Pixels of labels that cover at most `share` of their frame (NUM5).  frames: key, n_pix."""
+    big = segments.groupBy(key, "label").agg(F.count("*").alias("n")).join(frames, key).where(F.col("n") > share * F.col("n_pix"))
+    return segments.join(big.select(key, "label"), [key, "label"], "left_anti")
+
+
 def dilate(mask: DataFrame, support: DataFrame, n: int = 1, shape: str = "cross", key: str = "image_id") -> DataFrame:
     """Mask grown n times by a cross, or once by a square of 2n+1, inside the support (NUM6)."""
     if shape == "cross":
@@ -108,6 +135,16 @@ def render_model(pixels: DataFrame, nodes: DataFrame, key: str = "image_id", r:
     return out.withColumns({"residual": F.col("value") - F.col("model"), "filled": F.coalesce(fin("value"), "model")})
 
 
+def model_or_smooth(pixels: DataFrame, nodes: DataFrame, least: int = 5, sigma: float = 10.0, key: str = "image_id", r: str = "r_ell") -> DataFrame:
+    """`render_model` for images with enough nodes, the smoothed image itself for the others (NUM7)."""
+    rich = nodes.where(fin("intens").isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    good = render_model(pixels.join(rich, key, "left_semi"), nodes, key, r)
+    poor = pixels.join(rich, key, "left_anti")
+    soft = smooth(poor, sigma, key=key).select(key, "y", "x", F.col("smoothed").alias("model"))
+    rest = poor.join(soft, [key, "y", "x"], "left").withColumns({"residual": F.col("value") - F.col("model"), "filled": F.coalesce(fin("value"), "model")})
+    return good.unionByName(rest.select(*good.columns))
+
+
 def unroll_ring(pixels: DataFrame, geom: DataFrame, r_in: float, r_out: float, subs: int = 6, angles: int = 360, key: str = "image_id", least: int = 10) -> DataFrame:
     """Mean and number of pixels in each cell of sub-annulus and angle, empty cells included (NUM8)."""
     dx, dy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")

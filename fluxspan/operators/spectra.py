@@ -65,6 +65,25 @@ def trapezoid(spectrum: DataFrame, g: list[str], k: str = "k", p: str = "power")
     return spectrum.withColumn("_a", (F.col(k) - F.lag(k).over(w)) * (F.col(p) + F.lag(p).over(w)) / 2).groupBy(*g).agg(F.sum("_a").alias("integral"))
 
 
+def parseval_power(pixels: DataFrame, g: str, edges: int = 80, least: int = 11) -> DataFrame:
+    """Radial power scaled so that the mean of the whole plane is the variance of the pixels (AGG24, older variant)."""
+    power = periodogram(pixels, g)
+    direct = pixels.groupBy(g).agg(F.var_pop(fin("value")).alias("_var"))
+    scale = power.groupBy(g).agg(F.avg("power").alias("_mean")).join(direct, g).select(g, (F.col("_var") / F.nullif(F.col("_mean"), F.lit(0.0))).alias("_scale"))
+    out = radial_power(power, [g], edges, least).join(scale, g)
+    return out.withColumn("power", F.col("power") * F.col("_scale")).drop("_scale")
+
+
+def unit_area(spectrum: DataFrame, g: list[str], k: str = "k", p: str = "power") -> DataFrame:
+    """Spectra divided by their integral (AGG24, older variant of E(k)); those without a positive integral go."""
+    return spectrum.join(trapezoid(spectrum, g, k, p).where("integral > 0"), g).withColumn(p, F.col(p) / F.col("integral")).drop("integral")
+
+
+def expectation_median(spectra: DataFrame, g: list[str]) -> DataFrame:
+    """Median over realisations of each bin: power, k and the number of realisations (AGG25)."""
+    return spectra.groupBy(*g, "kbin").agg(F.median("power").alias("power"), F.median("k").alias("k"), F.count("*").alias("n_realisations"))
+
+
 def white_noise(window: DataFrame, realisations: int, seed: int, key: str = "image_id") -> DataFrame:
     """Standard normal noise for each pixel and realisation from hashes of their numbers, whatever the partitioning (NUM2)."""
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed * 2 + k), "r", key, "y", "x"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -81,7 +100,7 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
     spread = noise.join(psf.select(key, "dy", "dx", F.col("value").alias("_p")), key).groupBy(key, "r", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).agg(F.sum(F.col("value") * F.col("_p")).alias("value"))
     seen = window.select(key, "y", "x").join(spread, [key, "y", "x"]).withColumn("_key", F.concat_ws("#", F.col(key).cast("string"), F.col("r").cast("string")))
     power = radial_power(periodogram(seen.select("_key", "y", "x", "value"), "_key"), ["_key"], edges, least)
-    return power.withColumn(key, F.substring_index("_key", "#", 1)).groupBy(key, "kbin").agg(F.median("power").alias("power"), F.median("k").alias("k"), F.count("*").alias("n_realisations"))
+    return expectation_median(power.withColumn(key, F.substring_index("_key", "#", 1)), [key])
 
 
 def window_fits(pk: DataFrame, ek: DataFrame, g: list[str], windows: list[tuple[float, float]], least: int = 10) -> DataFrame:
@@ -98,3 +117,15 @@ def k_diagnostic(pk: DataFrame, ek: DataFrame, fits: DataFrame, g: list[str]) ->
     d = F.col("p") - (F.col("P0") * F.col("e") + F.col("P1"))
     low = e.join(fits, g).where("k < kmin and P0 is not null and e is not null").withColumn("d", d)
     return low.groupBy(*g, "kmin", "kmax").agg(F.count("*").alias("n_low_bins"), F.avg("d").alias("low_mean_delta"), F.median("d").alias("low_median_delta"))
+
+
+def low_k_table(pk: DataFrame, ek: DataFrame, fits: DataFrame, g: list[str], bins: int = 15) -> DataFrame:
+    """The first bins of each spectrum with every window's fit and the difference from it (AGG29).
+
+    Also P - P1 beside P0 E, which agree where the model holds.
+    """
+    e = interp_join(pk.select(*g, "k", F.col("power").alias("p")), ek, g, "k", "k", "power").withColumnRenamed("interpolated", "e")
+    first = e.withColumn("bin", F.row_number().over(Window.partitionBy(*g).orderBy("k"))).where(F.col("bin") <= bins)
+    rows = first.join(fits.where("P0 is not null").select(*g, "kmin", "kmax", "P0", "P1"), g)
+    scaled = F.col("P0") * F.col("e")
+    return rows.select(*g, "kmin", "kmax", "bin", "k", "p", "e", (scaled + F.col("P1")).alias("fit"), (F.col("p") - scaled - F.col("P1")).alias("delta"), (F.col("p") - F.col("P1")).alias("p_less_p1"), scaled.alias("p0_e"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ab_zeropoint, fin, fin_pos, quadrature
+from ..functions.scalar import ab_zeropoint, fin, fin_pos, flux_from_mag, quadrature
 from ..plans.storage import written
 
+#: Magnitudes that are plausible.
+MBAR_RANGE = (10.0, 40.0)
 #: Bins, limits and defaults of the luminosity function.
 LF_BIN, LF_WIDTH, LF_GAMMA, LF_GAMMA_RANGE, LF_QUANTILE = 0.25, 1.5, 0.30, (0.10, 0.70), 0.80
 
@@ -94,12 +96,16 @@ def radial_profile(pixels: DataFrame, centers: DataFrame, dr: float = 1.0, min_p
 
 
 def guess_center(smoothed: DataFrame, key: str = "image_id", value: str = "smoothed", q: float = 0.995, least: int = 50) -> DataFrame:
-    """Centroid of the brightest pixels weighted by their height; the brightest pixel if they are few (AGG6)."""
+    """Centroid of the brightest pixels weighted by their height; the brightest pixel if they are few, the middle of the
+    frame if no pixel has a value (AGG6)."""
     v = smoothed.where(fin(value).isNotNull())
     s = v.groupBy(key).agg(F.percentile(value, F.lit(q)).alias("_t"), F.min(value).alias("_lo"), F.max_by("x", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_mx"), F.max_by("y", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_my"))
     w = F.col(value) - F.col("_lo") + 1e-12
     top = v.join(s, key).where(F.col(value) >= F.col("_t")).groupBy(key).agg(F.count("*").alias("n_bright"), (F.sum(w * F.col("x")) / F.sum(w)).alias("_wx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("_wy"))
-    return s.join(top, key).select(key, "n_bright", F.when(F.col("n_bright") >= least, F.col("_wx")).otherwise(F.col("_mx")).alias("cx"), F.when(F.col("n_bright") >= least, F.col("_wy")).otherwise(F.col("_my")).alias("cy"))
+    frame = smoothed.groupBy(key).agg(*[((F.max(c) + 1) / 2.0).alias(f"_f{c}") for c in ("x", "y")])
+    many = F.col("n_bright") >= least
+    at = lambda c: F.coalesce(F.when(many, F.col(f"_w{c}")).otherwise(F.col(f"_m{c}")), F.col(f"_f{c}")).alias(f"c{c}")
+    return frame.join(s.join(top, key), key, "left").select(key, F.coalesce("n_bright", F.lit(0)).alias("n_bright"), at("x"), at("y"))
 
 
 def ellipse_moments(pixels: DataFrame, g: list[str], weight: str = "value") -> DataFrame:
@@ -169,7 +175,35 @@ def variance_sbf(pixels: DataFrame, g: list[str], area: float, value: str = "val
     q = pixels.groupBy(*g).agg(F.percentile(fin(value), F.lit(0.05)).alias("_a"), F.percentile(fin(value), F.lit(0.95)).alias("_b"), F.avg(fin(model)).alias("i_mean"))
     s = pixels.join(q, g).where(F.col(value).between(F.col("_a"), F.col("_b"))).groupBy(*g).agg(F.count("*").alias("n_core"), F.var_pop(value).alias("var_core"), F.first("i_mean").alias("i_mean"))
     pf = F.when((F.col("n_core") >= least) & (F.col("i_mean") > 0) & (F.col("var_core") > 0), F.col("var_core") / F.col("i_mean"))
-    return s.withColumn("pf", pf).withColumn("mbar", -2.5 * F.log10("pf") + ab_zeropoint(F.lit(area)))
+    out = s.withColumn("pf", pf).withColumn("mbar", -2.5 * F.log10("pf") + ab_zeropoint(F.lit(area)))
+    return out.withColumn("warn_mbar", F.coalesce(~F.col("mbar").between(*MBAR_RANGE), F.lit(False)))
+
+
+#: Ring radii for large frames and others - start, stop, step, width, margin to the corner.
+LARGE_FRAME, LARGE_RINGS, SMALL_RINGS, SMALLEST_FRAME = 800.0, (100.0, 800.0, 50.0, 100.0, 50.0), (30.0, 60.0, 20.0, 60.0, 20.0), 60.0
+
+
+def frame_rings(pixels: DataFrame, centers: DataFrame, key: str = "image_id") -> DataFrame:
+    """Ring radii that fit the frame, by the nearest corner's distance from the centre: key, ring, r_in, r_out (AGG16)."""
+    size = pixels.groupBy(key).agg(F.max("x").alias("_x"), F.max("y").alias("_y")).join(centers, key)
+    corner = F.least(*[F.sqrt(F.pow(F.col("cx") - x, 2) + F.pow(F.col("cy") - y, 2)) for x in (F.lit(0), F.col("_x")) for y in (F.lit(0), F.col("_y"))])
+    large = F.col("_c") > LARGE_FRAME
+    pick = lambda k: F.when(large, LARGE_RINGS[k]).otherwise(SMALL_RINGS[k])
+    stop = F.when(large, F.least(F.lit(LARGE_RINGS[1]), F.col("_c") - LARGE_RINGS[4])).otherwise(F.greatest(F.lit(SMALL_RINGS[1]), F.col("_c") - SMALL_RINGS[4]))
+    s = size.withColumn("_c", corner).where(F.col("_c") > SMALLEST_FRAME).select(key, pick(0).alias("_a"), stop.alias("_b"), pick(2).alias("_s"), pick(3).alias("_w")).where("_b > _a")
+    # rings begin before the end of the range
+    rings = s.withColumn("ring", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("_b") - F.col("_a")) / F.col("_s")).cast("int") - 1, F.lit(0)))))
+    return rings.select(key, "ring", (F.col("_a") + F.col("ring") * F.col("_s")).alias("r_in"), (F.col("_a") + F.col("ring") * F.col("_s") + F.col("_w")).alias("r_out"))
+
+
+def scan_frame_rings(pixels: DataFrame, centers: DataFrame, area: float, key: str = "image_id", least: int = 100) -> DataFrame:
+    """`variance_sbf` in the rings that fit each frame (AGG16); the few rings of a pixel are a filter of its image's."""
+    rings = frame_rings(pixels, centers, key)
+    each = rings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r_in", "r_out", "ring"))).alias("_rings"))  # at most some dozens
+    r = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
+    p = pixels.join(centers, key).withColumn("r", r).join(each, key)
+    inside = p.withColumn("ring", F.explode(F.expr("transform(filter(_rings, q -> r >= q.r_in and r < q.r_out), q -> q.ring)"))).drop("_rings")
+    return variance_sbf(inside, [key, "ring"], area, least=least).join(rings, [key, "ring"])
 
 
 def scan_rings(pixels: DataFrame, centers: DataFrame, start: float, stop: float, step: float, width: float, area: float, key: str = "image_id", least: int = 100) -> DataFrame:
@@ -182,11 +216,23 @@ def scan_rings(pixels: DataFrame, centers: DataFrame, start: float, stop: float,
     return variance_sbf(p, [key, "ring"], area, least=least).withColumns({"r_in": start + F.col("ring") * step, "r_out": start + F.col("ring") * step + width})
 
 
-def source_catalog(pixels: DataFrame, segments: DataFrame, area: float, max_area: int = 625, key: str = "image_id") -> DataFrame:
-    """Position, area, signed and positive flux and magnitude of each label; large and non-positive ones go (AGG17)."""
+def labelled_sources(pixels: DataFrame, segments: DataFrame, area: float, max_area: int = 625, key: str = "image_id") -> DataFrame:
+    """Position, area, signed and positive flux and magnitude of each label, and why it is dropped, if it is (AGG17)."""
     s = segments.join(pixels, [key, "y", "x"]).groupBy(key, "label").agg(F.avg("x").alias("xcentroid"), F.avg("y").alias("ycentroid"), F.count("*").alias("area_pix"), F.sum(fin("value")).alias("flux_signed"), F.sum(F.greatest(fin("value"), F.lit(0.0))).alias("flux_positive"), F.max(fin("value")).alias("peak"))
     flux = F.when(F.col("flux_signed") > 0, F.col("flux_signed")).otherwise(F.col("flux_positive"))
-    return s.withColumn("flux_adopted", flux).where((F.col("area_pix") <= max_area) & (F.col("flux_adopted") > 0)).withColumn("mag_ab", -2.5 * F.log10("flux_adopted") + ab_zeropoint(F.lit(area)))
+    dropped = F.when(F.col("area_pix") > max_area, "too large").when(~F.coalesce(F.col("flux_adopted") > 0, F.lit(False)), "flux not positive").when(fin("mag_ab").isNull(), "no magnitude").otherwise("")
+    return s.withColumn("flux_adopted", flux).withColumn("mag_ab", -2.5 * F.log10(fin_pos("flux_adopted")) + ab_zeropoint(F.lit(area))).withColumn("dropped", dropped)
+
+
+def source_catalog(pixels: DataFrame, segments: DataFrame, area: float, max_area: int = 625, key: str = "image_id") -> DataFrame:
+    """The labels of `labelled_sources` that aren't dropped (AGG17)."""
+    return labelled_sources(pixels, segments, area, max_area, key).where("dropped = ''").drop("dropped")
+
+
+def drop_counters(sources: DataFrame, g: list[str]) -> DataFrame:
+    """Numbers of sources kept and dropped, by reason (AGG17)."""
+    n = lambda why: F.count_if(F.col("dropped") == why)
+    return sources.groupBy(*g).agg(n("").alias("n_kept"), n("too large").alias("n_too_large"), n("flux not positive").alias("n_not_positive"), n("no magnitude").alias("n_no_magnitude"))
 
 
 def residual_sources(pixels: DataFrame, segments: DataFrame, threshold: float, sigma: float, max_area: int = 3000, key: str = "image_id") -> DataFrame:
@@ -219,9 +265,10 @@ def limit_mag(sources: DataFrame, g: list[str], whole: list[str], mag: str = "ma
 
 
 def fit_lf(sources: DataFrame, limits: DataFrame, g: list[str], areas: DataFrame, mag: str = "mag_ab", least_bins: int = 3) -> DataFrame:
-    """Line through log10 of the source density in [m_lim - 1.5, m_lim], weighted by counts (AGG22).
+    """Line through log10 of the source density in [m_lim - 1.5, m_lim], weighted by counts, and its plain RMSE (AGG22).
 
-    Outside the allowed slopes, or with too few bins, the slope is fixed and the counts set the height.  areas: g, area.
+    Outside the allowed slopes, or with too few bins, the slope is fixed and the counts set the height; groups of `areas`
+    (g, area) without sources in the range have no height.
     """
     n_bins = int(round(LF_WIDTH / LF_BIN))
     at = F.floor((F.col(mag) - (F.col("m_lim") - LF_WIDTH)) / LF_BIN)
@@ -230,13 +277,21 @@ def fit_lf(sources: DataFrame, limits: DataFrame, g: list[str], areas: DataFrame
     x = (F.col("b") + 0.5) * LF_BIN - LF_WIDTH
     y = F.log10(F.col("n") / (F.col("area") * LF_BIN))
     w = F.col("n").cast("double")
-    s = bins.groupBy(*g).agg(F.count("*").alias("lf_n_fit_bins"), F.sum("n").alias("lf_n_fit_sources"), F.first("area").alias("area"), F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
+    one = F.lit(1.0)
+    s = bins.groupBy(*g).agg(F.count("*").alias("lf_n_fit_bins"), *[F.sum(e).alias(c) for c, e in (("ux", x), ("uy", y), ("uxx", x * x), ("uxy", x * y), ("uyy", y * y), ("u", one))], F.sum("n").alias("lf_n_fit_sources"), F.first("area").alias("area"), F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
     det = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when((F.col("lf_n_fit_bins") >= least_bins) & (det > 0), (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / det)
     fitted = F.coalesce(slope.between(*LF_GAMMA_RANGE), F.lit(False))
     fixed = F.col("lf_n_fit_sources") * LF_GAMMA * F.log(F.lit(10.0)) / (F.col("area") * (1 - F.pow(F.lit(10.0), F.lit(-LF_GAMMA * LF_WIDTH))))
-    phi = F.when(fitted, F.pow(F.lit(10.0), (F.col("sy") - slope * F.col("sx")) / F.col("s"))).otherwise(fixed)
-    return s.select(*g, "lf_n_fit_bins", "lf_n_fit_sources", F.when(fitted, slope).otherwise(F.lit(LF_GAMMA)).alias("lf_gamma"), phi.alias("lf_phi_mlim"), F.when(fitted, "weighted_line").otherwise("fixed_gamma").alias("lf_fit_method"))
+    height = (F.col("sy") - slope * F.col("sx")) / F.col("s")
+    phi = F.when(fitted, F.pow(F.lit(10.0), height)).otherwise(fixed)
+    a, b = height, slope
+    squares = F.col("uyy") + a * a * F.col("u") + b * b * F.col("uxx") - 2 * a * F.col("uy") - 2 * b * F.col("uxy") + 2 * a * b * F.col("ux")
+    rmse = F.when(fitted, F.sqrt(F.greatest(squares / F.col("u"), F.lit(0.0))))
+    found = s.select(*g, "lf_n_fit_bins", "lf_n_fit_sources", F.when(fitted, slope).otherwise(F.lit(LF_GAMMA)).alias("lf_gamma"), phi.alias("lf_phi_mlim"), F.when(fitted, "local_histogram").otherwise("local_window_norm_fixed_gamma").alias("lf_fit_method"), rmse.alias("lf_fit_rmse"))
+    out = areas.select(*g).join(found, g, "left")
+    none = {"lf_n_fit_bins": F.lit(0), "lf_n_fit_sources": F.lit(0), "lf_gamma": F.lit(LF_GAMMA), "lf_fit_method": F.lit("fixed_gamma_no_local_norm")}
+    return out.withColumns({c: F.coalesce(c, e) for c, e in none.items()})
 
 
 def contaminant_power(phi: Column | str, f_lim: Column | str, gamma: Column | str) -> Column:
@@ -245,6 +300,28 @@ def contaminant_power(phi: Column | str, f_lim: Column | str, gamma: Column | st
     return F.when(g < 0.8, fin(phi) * F.pow(fin(f_lim), 2) / ((0.8 - g) * F.log(F.lit(10.0))))
 
 
+def region_contaminants(regions: DataFrame, whole: DataFrame, keys: list[str], area: float) -> DataFrame:
+    """Contaminant power of each region, with what it inherits from the whole image, and notes (AGG23).
+
+    regions: keys, ..., m_lim, lf_gamma, lf_phi_mlim, lf_fit_method, n_detected_sources; whole: keys, lf_phi_mlim, Pr of
+    the image.  A region without a height takes the image's; one whose power is still missing takes the image's power.
+    """
+    ref = whole.select(*keys, fin_pos("lf_phi_mlim").alias("_phi"), fin("Pr").alias("_pr"))
+    own, phi = fin_pos("lf_phi_mlim"), F.coalesce(fin_pos("lf_phi_mlim"), F.col("_phi"))
+    borrowed = own.isNull() & F.col("_phi").isNotNull()
+    local = contaminant_power(phi, flux_from_mag("m_lim", F.lit(area)), "lf_gamma")
+    out = regions.join(ref, keys, "left").withColumns({"_borrowed": borrowed, "_local": local}).withColumns({"lf_phi_mlim": phi, "lf_fit_method": F.when(F.col("_borrowed"), F.concat("lf_fit_method", F.lit("+global_phi"))).otherwise(F.col("lf_fit_method"))})
+    pr = F.coalesce("_local", "_pr")
+    notes = F.array_compact(F.array(
+        F.when(F.col("_borrowed"), F.lit("used global LF normalization")),
+        F.when(F.col("_local").isNull() & F.col("_pr").isNotNull(), F.lit("used global Pr fallback")),
+        F.when(pr.isNotNull() & (F.col("n_detected_sources") == 0), F.lit("no local detected sources; correction inherited from global reference")),
+        F.when(pr < 0, F.lit("negative Pr clipped to NaN")),
+    ))
+    note = F.when(F.size(notes) == 0, F.lit("local combined contaminant LF")).otherwise(F.array_join(notes, "; "))
+    return out.withColumns({"pr_note": note, "Pr": F.when(pr >= 0, pr)}).drop("_phi", "_pr", "_borrowed", "_local")
+
+
 def robust_scatter(meas: DataFrame, g: list[str], value: str = "mbar") -> DataFrame:
     """Scatter across windows: 1.4826 MAD, else std, from three on; std of two, else half their range; with the method (AGG30)."""
     v = meas.where(fin(value).isNotNull())
@@ -291,6 +368,12 @@ def annulus_color(pairs: DataFrame, g: list[str], k: float = 3.0, iters: int = 5
     return s.join(mad, g).select(*g, "n_color", F.when(enough, F.col("color")).alias("color"), F.when(enough, F.col("color_mad")).alias("color_mad"), F.when(enough, F.col("color_mad") / F.sqrt("n_color")).alias("color_sem"), F.when(enough, "").otherwise("too few pixels").alias("note"))
 
 
+def coarse_color(pairs: DataFrame, g: list[str]) -> DataFrame:
+    """Colour from the medians of all unmasked pixels, without clipping; NULL unless both are positive (AGG33)."""
+    s = pairs.groupBy(*g).agg(F.count("*").alias("n_color"), F.median(fin("v090")).alias("_a"), F.median(fin("v150")).alias("_b"))
+    return s.select(*g, "n_color", F.when((F.col("_a") > 0) & (F.col("_b") > 0), -2.5 * F.log10(F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_a") / F.col("_b")))).alias("color"))
+
+
 def color_summary(colors: DataFrame, g: list[str], color: str = "color", sigma: str = "sigma") -> DataFrame:
     """Weighted and plain mean colour, std and half range (AGG34)."""
     w = 1 / F.pow(fin_pos(sigma), 2)

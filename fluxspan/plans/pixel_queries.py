@@ -57,7 +57,6 @@ def _(spark, d):
     return filters.nth_sample(v.pixels(spark, d).withColumn("value", F.when(F.col("value") > 0, F.col("value"))), 7)
 
 
-@query("flt12_sigma_cap")
 def _(spark, d):
     c = stats.sigma_cap(v.pixels(spark, d), ["image_id"], "value", 2.0, 3)
     return rounded(c.groupBy("image_id").agg(F.count_if("changed").alias("n_changed"), F.sum("capped").alias("total")))
@@ -78,7 +77,6 @@ def _(spark, d):
     return joins.sources_in_regions(seg.select("image_id", "label").distinct(), seg, filters.in_circle(px, regions).select("image_id", "region", "y", "x")).select("image_id", "label", "region")
 
 
-@query("agg2_tile_background")
 def _(spark, d):
     return rounded(stats.tile_background(v.pixels(spark, d), 8, 3))
 
@@ -95,7 +93,6 @@ def _(spark, d):
     return rounded(stats.radial_profile(px, v.centers(px), 2.0, 20, 100).select("image_id", "ring", "intensity", "n_pix", "r_mid"))
 
 
-@query("agg6_center")
 def _(spark, d):
     return rounded(stats.guess_center(pixels.smooth(v.pixels(spark, d), 2.0), least=5), 4)
 
@@ -155,7 +152,6 @@ def _(spark, d):
     return rounded(stats.variance_sbf(px, ["image_id"], 0.001).select("image_id", "n_core", "var_core", "pf"))
 
 
-@query("agg16_scan_rings")
 def _(spark, d):
     px = v.pixels(spark, d)
     return rounded(stats.scan_rings(px.withColumn("model", F.col("value") * F.col("value")), v.centers(px), 2.0, 30.0, 4.0, 8.0, 0.001, least=20).select("image_id", "ring", "n_core", "pf"))
@@ -175,7 +171,6 @@ def _(spark, d):
     return rounded(stats.residual_sources(px, seg, 0.2, 0.1).select("image_id", "label", "area_pix", "peak_sn"))
 
 
-@query("agg33_annulus_color")
 def _(spark, d):
     px = v.pixels(spark, d).where("value > 0").select("image_id", F.col("value").alias("v150"), (F.col("value") * (1.5 + F.col("x") / 100)).alias("v090"))
     return rounded(stats.annulus_color(px, ["image_id"]))
@@ -210,7 +205,6 @@ def _(spark, d):
     return pixels.dilate(px.where("value > 0.3"), px, 1).select("image_id", "y", "x")
 
 
-@query("num7_model")
 def _(spark, d):
     px = v.pixels(spark, d)
     nodes = stats.radial_profile(px, v.centers(px), 2.0, 20, 100).select("image_id", F.col("r_mid").alias("sma"), F.col("intensity").alias("intens"))
@@ -234,7 +228,6 @@ def _(spark, d):
     return rounded(windows.circular_smooth(ring, ["image_id"], 36, "angle", "mean", 9))
 
 
-@query("win10_extend_nodes")
 def _(spark, d):
     px = v.pixels(spark, d)
     prof = stats.radial_profile(px, v.centers(px), 2.0, 20, 100).join(v.centers(px), "image_id")
@@ -248,23 +241,11 @@ def _(spark, d):
     return windows.clean_nodes(iso, ["l_suppkey"], "k", 8, 0.05).select("l_suppkey", "sma", "intens", "n_nodes", "trusted_edge")
 
 
-def _square(spark, d):
-    """The corner of three images that the SQL of num1_periodogram names; num1_periodogram_whole takes all pixels."""
-    return v.pixels(spark, d).where("y < 16 and x < 16 and image_id < 3")
-
-
-@query("num1_periodogram", f"""with {v.PIXELS}, c as (select image_id, y, x, value - avg(value) over (partition by image_id) as v from pixels where y < 16 and x < 16 and image_id < 3), k as (select unnest(range(0, 16))::int as k), f as (
-select image_id, ky.k as ky, kx.k as kx, sum(v * cos(-2 * pi() * (ky.k * y + kx.k * x) / 16)) re, sum(v * sin(-2 * pi() * (ky.k * y + kx.k * x) / 16)) im from c, k ky, k kx group by all) select image_id, ky, kx, round((re * re + im * im) / 256, 6) as power from f""")
-def _(spark, d):
-    return rounded(spectra.periodogram(_square(spark, d)).select("image_id", "ky", "kx", "power"))
-
-
 @query("num1_periodogram_whole")
 def _(spark, d):
     return rounded(spectra.periodogram(v.pixels(spark, d)).select("image_id", "ky", "kx", "power"))
 
 
-@query("agg24_radial_power")
 def _(spark, d):
     return rounded(spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 20, 10))
 
@@ -276,7 +257,6 @@ def _(spark, d):
     return rounded(spectra.expectation_spectrum(px, psf, 4, 1489, 12, 5))
 
 
-@query("agg29_k_diagnostic")
 def _(spark, d):
     pk = spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 40, 5)
     ek = pk.select("image_id", "k", (1 / (0.1 + F.col("k"))).alias("power"))
@@ -284,7 +264,6 @@ def _(spark, d):
     return rounded(spectra.k_diagnostic(pk, ek, fit, ["image_id"]), 5)
 
 
-@query("agg25_expectation_median", f"with {v.PIXELS} select image_id, x as kbin, round(median(value), 6) as power, count(*) as n from pixels group by 1, 2")
 def _(spark, d):
     return rounded(v.pixels(spark, d).groupBy("image_id", F.col("x").alias("kbin")).agg(F.median("value").alias("power"), F.count("*").alias("n")))
 

@@ -28,13 +28,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import pixel_queries  # noqa: F401  registers itself
+    from . import further_queries, pixel_queries  # noqa: F401  register themselves
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import pixel_queries  # noqa: F401
+    from . import further_queries, pixel_queries  # noqa: F401
 
     return dict(_sql)
 
@@ -65,9 +65,9 @@ def _(spark, d):
     return p.select("p_partkey", fn.companion(F.concat(F.lit("jw"), "p_partkey", F.lit("_F150W_i2d.fits")), other="F090W").alias("raw"), fn.companion(F.concat(F.lit("jw"), "p_partkey", F.lit("_F150W_F150W.fits"))).alias("other"))
 
 
-@query("fn4_zeropoint_flux", "select l_orderkey, l_linenumber, round(-2.5 * log10(2.350443e-5 * l_tax / 3631.0), 6) as zp, round(power(10.0, -0.4 * (20 + l_discount - (-2.5 * log10(2.350443e-5 * l_tax / 3631.0)))), 3) as flux from lineitem where l_tax > 0")
+@query("fn4_zeropoint_flux", "select l_orderkey, l_linenumber, round(-2.5 * log10(2.350443e-5 * nullif(l_tax, 0) / 3631.0), 6) as zp, round(power(10.0, -0.4 * (20 + l_discount - (-2.5 * log10(2.350443e-5 * nullif(l_tax, 0) / 3631.0)))), 3) as flux from lineitem")
 def _(spark, d):
-    return rounded(v.table(spark, d, "lineitem").where("l_tax > 0").select("l_orderkey", "l_linenumber", fn.ab_zeropoint("l_tax").alias("zp"), fn.flux_from_mag(20 + F.col("l_discount"), "l_tax").alias("flux")), flux=3)
+    return rounded(v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.ab_zeropoint("l_tax").alias("zp"), fn.flux_from_mag(20 + F.col("l_discount"), "l_tax").alias("flux")), flux=3)
 
 
 @query("fn5_mbar", "select l_orderkey, l_linenumber, case when l_quantity - l_discount * 100 > 0 then round(-2.5 * log10(case when l_quantity - l_discount * 100 > 0 then l_quantity - l_discount * 100 end) + (-2.5 * log10(2.350443e-5 * (0.001 + l_tax) / 3631.0)), 6) end as mbar from lineitem")
@@ -118,8 +118,6 @@ def _(spark, d):
     return tables.parse_manifest(o.select(line.alias("value")))
 
 
-@query("src4_logs", """with l as (select conv_id, string_agg(text, chr(10) order by turn) as t from conversations group by conv_id)
-select conv_id, lower(t) like '%the%' as the_warning, true as log_exists from l""")
 def _(spark, d):
     c = v.table(spark, d, "conversations")
     logs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "\n").alias("value"))
@@ -158,7 +156,6 @@ def _(spark, d):
     return filters.filter_products(p, 3, ["F150W", "F090W"]).select("p_partkey")
 
 
-@query("flt3_classify", "select s_suppkey, case s_suppkey % 3 when 0 then 'nrcalong' when 1 then 'nrcb' else 'unknown' end as detector, printf('%05d', s_suppkey % 100000) as proposal, 'o001' as object_tag from supplier")
 def _(spark, d):
     name = F.concat(F.lit("jw"), F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0"), F.lit("-o001_"), F.when(F.col("s_suppkey") % 3 == 0, "nrcalong").when(F.col("s_suppkey") % 3 == 1, "nrcb1").otherwise("miri"), F.lit("_i2d.fits"))
     return filters.classify_products(v.table(spark, d, "supplier").select("s_suppkey", name.alias("file_name"))).select("s_suppkey", "detector", "proposal", "object_tag")
@@ -227,7 +224,6 @@ def _(spark, d):
     return joins.attach_availability(cands, cache, cands.withColumn("status", F.lit("fresh")), "c_custkey", ["status"])
 
 
-@query("jn5_unprocessed", "select c_custkey from customer where c_nationkey % 2 = 0 and c_acctbal > 0 and c_custkey not in (select o_custkey from orders)")
 def _(spark, d):
     c = v.table(spark, d, "customer").withColumns({"has_f150w": F.col("c_nationkey") % 2 == 0, "has_f090w": F.col("c_acctbal") > 0})
     return joins.unprocessed(c, v.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
@@ -263,11 +259,11 @@ def _branches(li: DataFrame) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("galaxy"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("branch"), F.col("l_returnflag").alias("resid_source"), F.lit("m").alias("model_source"), F.col("l_linestatus").alias("psf_ext"), F.lit("o").alias("opd_path"), (F.col("l_linenumber") == 7).alias("uses_two_annuli"), F.log10("l_extendedprice").alias("mbar"))
 
 
-@query("jn11_psf_branches", """with r as (select l_suppkey as galaxy, l_orderkey, l_linenumber, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem where l_orderkey % 10 = 0),
-ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where (r.l_orderkey || '-' || r.l_linenumber) <> (ref.l_orderkey || '-' || ref.l_linenumber) and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
-select galaxy, ref.l_orderkey || '-' || ref.l_linenumber as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
+@query("jn11_psf_branches", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem),
+ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where r.branch <> ref.branch and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
+select galaxy, ref.branch as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
 def _(spark, d):
-    return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem").where("l_orderkey % 10 = 0"))))
+    return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem"))))
 
 
 @query("jn11_psf_branches_whole", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem),
@@ -296,9 +292,9 @@ def _external(customers: DataFrame, orders: DataFrame) -> DataFrame:
     return rounded(joins.compare_external(ours, ext, -3.45, 1.17, 0.014, 0.22).select("galaxy", "delta_mu", "sigma_delta"))
 
 
-@query("jn14_external", "select c_custkey as galaxy, round(c_acctbal / 1000 - (o_totalprice / 1e4 - (-3.45 + 1.17 * (o_custkey % 10 / 10.0 - 0.4))), 6) as delta_mu, round(sqrt(0.01 + 0.0004 + power(1.17 * 0.03, 2) + power(0.014, 2) + power(0.22 * (o_custkey % 10 / 10.0 - 0.4), 2)), 6) as sigma_delta from customer join orders on o_custkey = c_custkey where o_orderkey % 16 = 1")
+@query("jn14_external", "select c_custkey as galaxy, round(c_acctbal / 1000 - (o_totalprice / 1e4 - (-3.45 + 1.17 * (o_custkey % 10 / 10.0 - 0.4))), 6) as delta_mu, round(sqrt(0.01 + 0.0004 + power(1.17 * 0.03, 2) + power(0.014, 2) + power(0.22 * (o_custkey % 10 / 10.0 - 0.4), 2)), 6) as sigma_delta from customer join orders on o_custkey = c_custkey")
 def _(spark, d):
-    return _external(v.table(spark, d, "customer"), v.table(spark, d, "orders").where("o_orderkey % 16 = 1"))
+    return _external(v.table(spark, d, "customer"), v.table(spark, d, "orders"))
 
 
 @query("jn14_external_whole", "select c_custkey as galaxy, round(c_acctbal / 1000 - (o_totalprice / 1e4 - (-3.45 + 1.17 * (o_custkey % 10 / 10.0 - 0.4))), 6) as delta_mu, round(sqrt(0.01 + 0.0004 + power(1.17 * 0.03, 2) + power(0.014, 2) + power(0.22 * (o_custkey % 10 / 10.0 - 0.4), 2)), 6) as sigma_delta from customer join orders on o_custkey = c_custkey")
@@ -331,7 +327,6 @@ def _(spark, d):
     return windows.recommend(c, ["galaxy"]).select("galaxy", "wnd")
 
 
-@query("agg31_measurement_sigma", "select l_orderkey, l_linenumber, greatest(l_discount, l_tax) as sigma, case when l_discount >= l_tax then 'window_scatter' else 'fit_covariance' end as how from lineitem")
 def _(spark, d):
     s, how = stats.measurement_sigma("l_discount", "l_tax", "l_quantity")
     return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("sigma"), how.alias("how"))
@@ -352,7 +347,6 @@ def _(spark, d):
     return rounded(catalog.extinction_sigma(c, 2.0).select("c_custkey", "sigma_ext", "sigma_ext_status"))
 
 
-@query("agg37_psf", "select c_custkey, case c_nationkey % 3 when 0 then 0.1 when 1 then 0.3 else 0.0 end::double as sigma_psf, case c_nationkey % 3 when 0 then 'supplied' when 1 then 'comparison' else 'missing' end as sigma_psf_status from customer")
 def _(spark, d):
     k = F.col("c_nationkey") % 3
     c = v.table(spark, d, "customer").select("c_custkey", F.when(k == 0, 0.1).alias("psf_supplied"), F.lit(None).cast("double").alias("psf_branch"), F.when(k <= 1, 0.3).alias("psf_saved"))
@@ -375,7 +369,6 @@ def _(spark, d):
     return rounded(fits.predict_poly(c, fits.weighted_poly_fit(c, ["g"], 1, pivot=0.4), ["g"], 1, pivot=0.4).select("l_orderkey", "l_linenumber", "predicted", "fit_variance"), predicted=5, fit_variance=8)
 
 
-@query("agg40_intrinsic_scatter")
 def _(spark, d):
     return rounded(fits.intrinsic_scatter(v.calibration(spark, d), ["g"], 1, pivot=0.4, top=10.24), 4)
 
@@ -425,7 +418,6 @@ def _(spark, d):
     return fits.gate_fit(fits.spectrum_fit(v.table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")).select("l_suppkey", "gate_reason")
 
 
-@query("agg28_power_budget", "select o_orderkey, case when o_totalprice / 1e4 - (o_custkey % 20) <= 0 then 'contaminants exceed P0' else '' end as failure_reason, round(o_totalprice / 1e4 - (o_custkey % 20), 6) as P_fluc from orders")
 def _(spark, d):
     o = v.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e4).alias("P0"), (F.col("o_custkey") % 20).cast("double").alias("Pr"), F.lit(2.0).alias("Imean"), F.lit(0.001).alias("area"), F.lit(0.1).alias("P0_fit_sigma"))
     return rounded(fits.power_budget(o).select("o_orderkey", "failure_reason", "P_fluc"))
@@ -451,16 +443,15 @@ def _(spark, d):
     return rounded(stats.limit_mag(v.sources(spark, d), ["galaxy", "region"], ["galaxy"]))
 
 
-@query("agg22_luminosity_function")
 def _(spark, d):
     s = v.sources(spark, d)
     limits = stats.limit_mag(s, ["galaxy", "region"], ["galaxy"]).select("galaxy", "region", "m_lim")
     return rounded(stats.fit_lf(s, limits, ["galaxy", "region"], limits.select("galaxy", "region").withColumn("area", F.lit(1000.0))))
 
 
-@query("agg23_contaminant_power", "select l_orderkey, l_linenumber, case when l_discount * 10 < 0.8 then round(l_quantity * l_tax * l_tax / ((0.8 - l_discount * 10) * ln(10)), 6) end as pr from lineitem where l_discount <> 0.08")
+@query("agg23_contaminant_power", "select l_orderkey, l_linenumber, case when l_discount * 10 < 0.8 then round(l_quantity * l_tax * l_tax / ((0.8 - l_discount * 10) * ln(10)), 6) end as pr from lineitem")
 def _(spark, d):
-    return rounded(v.table(spark, d, "lineitem").where("l_discount <> 0.08").select("l_orderkey", "l_linenumber", stats.contaminant_power("l_quantity", "l_tax", F.col("l_discount") * 10).alias("pr")))
+    return rounded(v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", stats.contaminant_power("l_quantity", "l_tax", F.col("l_discount") * 10).alias("pr")))
 
 
 @query("agg23_contaminant_power_whole", "select l_orderkey, l_linenumber, case when l_discount * 10 < 0.8 then round(l_quantity * l_tax * l_tax / ((0.8 - l_discount * 10) * ln(10)), 6) end as pr from lineitem")
@@ -541,14 +532,12 @@ def _(spark, d):
     return windows.best_experiment(li, ["l_suppkey"], "l_discount", "l_tax").select("l_suppkey", "experiment")
 
 
-@query("win14_decide", f"with {v.MEASUREMENTS}, k as (select galaxy, wnd, sigma, first(sigma) over w as b, row_number() over w as r from meas where region = 'inner' window w as (partition by galaxy order by wnd)) select galaxy, wnd, case when r = 1 then 'baseline' when sigma / b < 0.951::double then 'keep' when sigma / b > 1.101::double then 'reject' else 'neutral' end as decision from k")
 def _(spark, d):
     return windows.decide(v.measurements(spark, d).where("region = 'inner'"), ["galaxy"], "wnd", "sigma", 0.951, 1.101).select("galaxy", "wnd", "decision")
 
 
 # -- catalogue -----------------------------------------------------------------------------------------------------
 
-@query("agg47_availability", "select o_custkey, count(*) as obs_count, string_agg(distinct o_orderstatus, ';' order by o_orderstatus) as filters, bool_or(o_orderstatus = 'F150W') as has_f150w, count(distinct o_orderkey) as n_obs_ids from orders group by 1")
 def _(spark, d):
     return catalog.availability(v.table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_orderpriority", "o_orderkey").select("o_custkey", "obs_count", "filters", "has_f150w", "n_obs_ids")
 
@@ -570,7 +559,6 @@ def _(spark, d):
     return catalog.candidate_union([(a, "orders"), (b, "customer")])
 
 
-@query("set2_membership", "select o_custkey as name, string_agg(distinct o_orderpriority, ';' order by o_orderpriority) as samples, count(distinct o_orderpriority) as n_samples from orders group by 1")
 def _(spark, d):
     return catalog.sample_membership(v.table(spark, d, "orders").select(F.col("o_orderpriority").alias("sample"), F.array("o_custkey").alias("names")))
 
@@ -604,7 +592,6 @@ def _(spark, d):
     return catalog.prioritise(v.table(spark, d, "customer"), rules, ["c_custkey"]).select("c_custkey", "priority")
 
 
-@query("agg51_experiments", "select l_suppkey, round(sum(abs(l_discount - 0.05)), 4) as abs_residual_sum, count(*) as n_regions from lineitem group by 1")
 def _(spark, d):
     return rounded(catalog.experiment_metrics(v.table(spark, d, "lineitem").withColumn("resid_median", F.col("l_discount") - 0.05), ["l_suppkey"]), 4)
 

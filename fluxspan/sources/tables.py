@@ -49,27 +49,39 @@ def read_experiments(spark: SparkSession, glob: str) -> DataFrame:
     return df.select("*", F.explode_outer(F.map_entries("residual_regions")).alias("r")).select("*", F.col("r.key").alias("region_key"), F.col("r.value.*")).drop("r", "residual_regions")
 
 
-#: What a worker log says, and the name of the warning.
-LOG_WARNINGS = [("isophote fit on real data only failed", "isophote_real_only_failed"), ("file may have been truncated", "truncated_file_warning"), ("fit may be unsuccessful", "sersic_fit_warning")]
-NUMBER = r"([-+0-9.eE]+)"
+#: What a worker log says and the name of the warning, in the order in which names are joined.
+LOG_WARNINGS = [
+    ("File may have been truncated", "truncated_file_warning"),
+    ("No meaningful fit was possible", "isophote_real_only_failed"),
+    ("fit may be unsuccessful", "sersic_fit_warning"),
+]
+#: The lines of a log that are read.
+NUMBER = r"([+\-0-9.eE]+)"
+LOG_DATASET = r"\[ISO\] fit dataset used = ([^,\n]+)"
+LOG_EXTENSION = r"\[PSF\] selected extension = ([^\n]+)"
+LOG_CORNERS = rf"\[BKG-CHECK\] corners: med={NUMBER}, mean={NUMBER}, std={NUMBER}, N=([0-9]+)"
 
 
 def parse_logs(logs: DataFrame, galaxies: DataFrame, warnings: list[tuple[str, str]] = LOG_WARNINGS, key: str = "galaxy", text: str = "value") -> DataFrame:
-    """One metadata row for each galaxy from its log: warnings, dataset, extension, corner statistics (SRC4)."""
-    t = F.lower(F.col(text))
+    """One metadata row for each galaxy from its log: warnings, dataset, extension, corner statistics (SRC4).
+
+    Dataset and extension are empty, corner statistics NULL, where the log doesn't say them or there is no log.
+    """
+    t = F.col(text)
     found = lambda pattern, k=1: F.nullif(F.regexp_extract(F.col(text), pattern, k), F.lit(""))
-    corner = rf"\[BKG-CHECK\] corners: med={NUMBER}, mean={NUMBER}, std={NUMBER}, N=([0-9]+)"
     rows = logs.select(
         key,
         F.lit(True).alias("log_exists"),
         F.concat_ws(";", *[F.when(t.contains(said), F.lit(name)) for said, name in warnings]).alias("warnings"),
-        F.trim(found(r"\[ISO\] fit dataset used = ([^,\n]+)")).alias("iso_dataset"),
-        F.trim(found(r"\[PSF\] selected extension = ([^\n]+)")).alias("psf_extension"),
-        *[found(corner, k).try_cast("double").alias(f"bkg_check_{n}") for k, n in enumerate(("med", "mean", "std"), 1)],
-        found(corner, 4).try_cast("long").alias("bkg_check_n"),
+        F.trim(found(LOG_DATASET)).alias("iso_dataset"),
+        F.trim(found(LOG_EXTENSION)).alias("psf_extension"),
+        *[found(LOG_CORNERS, k).try_cast("double").alias(f"bkg_check_{n}") for k, n in enumerate(("med", "mean", "std"), 1)],
+        found(LOG_CORNERS, 4).try_cast("long").alias("bkg_check_n"),
     )
     out = galaxies.select(key).join(rows, key, "left")
-    return out.withColumn("warnings", F.when(F.col("log_exists"), F.col("warnings")).otherwise("log missing")).withColumn("log_exists", F.coalesce("log_exists", F.lit(False)))
+    filled = {c: F.coalesce(c, F.lit("")) for c in ("iso_dataset", "psf_extension")}
+    out = out.withColumns(filled | {"warnings": F.when(F.col("log_exists"), F.col("warnings")).otherwise("log missing")})
+    return out.withColumn("log_exists", F.coalesce("log_exists", F.lit(False)))
 
 
 def parse_manifest(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -139,9 +151,18 @@ def upsert_cache(cache: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in rest]).orderBy(key)
 
 
-def write_table(df: DataFrame, path: str, parts: list[str], mode: str = "overwrite") -> None:
-    """A partitioned Parquet table (SNK3); rows of a partition meet in one task, so that each writes one file."""
-    df.repartition(*[F.col(p) for p in parts]).write.mode(mode).partitionBy(*parts).parquet(path)
+def write_table(df: DataFrame, path: str, parts: list[str], mode: str = "overwrite", rows: int = 4_000_000) -> None:
+    """A partitioned Parquet table (SNK3): a file for about `rows` rows of each partition, so a large one has many tasks."""
+    tasks = df.groupBy(*parts).agg(F.ceil(F.count("*") / rows).cast("int").alias("_tasks"))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{p}`").eqNullSafe(F.col(f"_k{k}")) for k, p in enumerate(parts)])
+    sized = df.join(tasks.withColumnsRenamed({p: f"_k{k}" for k, p in enumerate(parts)}), same)
+    dealt = sized.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.col("_tasks")))
+    dealt.repartition(*[F.col(f"`{p}`") for p in parts], "_salt").select(*[f"`{c}`" for c in df.columns]).write.mode(mode).partitionBy(*parts).parquet(path)
+
+
+def sorted_table(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in order of `keys`, NULLs last; `-name` sorts from the largest (TOP2)."""
+    return df.orderBy(*[F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_last() for k in keys])
 
 
 def null_if_blank(c: Column | str) -> Column:

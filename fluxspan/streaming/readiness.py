@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 READY = "target string, ready boolean, reason string, at timestamp"
@@ -53,6 +54,21 @@ def ready_stream(events: DataFrame, timeout_s: int = 3600, share: float = 0.995)
     return events.groupBy("target").applyInPandasWithState(step, READY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def run_to_end(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Runs a stream over all input that is there, and ends.
+
+    Processing-time timeouts ask for one more batch after each batch, so batches without data are off meanwhile.
+    """
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        stream = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    stream.awaitTermination()
+
+
 def latest_status(rows: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """The newest status of each key; of equal times the larger (STR2)."""
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(time, value)).alias(value), F.max(time).alias(time))
@@ -70,6 +86,14 @@ def merge_status(stream: DataFrame, path: str, keys: list[str], time: str, value
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that `merge_status` keeps (STR2)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    newest = max(int(f.getPath().getName().removeprefix("v=")) for f in listed if f.getPath().getName().startswith("v="))
+    return spark.read.parquet(f"{path}/v={newest}")
+
+
 def still_to_do(work: DataFrame, status: DataFrame, keys: list[str], value: str = "status", done: str = "ok") -> DataFrame:
     """Keys without a completed result (STR2)."""
     return work.join(status.where(F.col(value) == done), keys, "left_anti")

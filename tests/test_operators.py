@@ -102,3 +102,143 @@ def test_header_and_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("g,v\nx,1.5\ny,nan\nz,inf\n")
     assert [r.v for r in tables.read_csv_table(spark, f"file://{tmp_path}/m.csv", tables.T.StructType([tables.T.StructField("g", tables.T.StringType()), tables.T.StructField("v", tables.T.DoubleType())])).collect()] == [1.5, None, None]
     assert tables.read_csv_table(spark, f"file://{tmp_path}/none.csv", "g string, v double").count() == 0
+
+
+def test_model_comparison(points):
+    """Every column against numpy, the leave-one-out weights with the intrinsic scatter of the whole sample."""
+    rows, df = points
+    x, y, sigma = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    n, got = len(x), {r.model: r for r in fits.model_comparison(df, ["g"], pivot=0.4).collect()}
+
+    def fitted(keep, degree, si=0.0):
+        w = 1 / np.sqrt(sigma[keep] ** 2 + si**2)
+        design = np.vander(x[keep] - 0.4, degree + 1) * w[:, None]
+        c, *_ = np.linalg.lstsq(design, y[keep] * w, rcond=None)
+        return c, float((((y[keep] - np.polyval(c, x[keep] - 0.4)) * w) ** 2).sum()), np.linalg.inv(design.T @ design)
+
+    def scatter(r, s):
+        w = 1 / s**2
+        return np.sqrt(np.average((r - np.average(r, weights=w)) ** 2, weights=w))
+
+    every = np.ones(n, bool)
+    for degree, name in enumerate(("constant", "linear", "quadratic")):
+        c, chi2, _ = fitted(every, degree)
+        k = degree + 1
+        lo, hi = 0.0, 0.64
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if fitted(every, degree, mid)[1] / (n - k) > 1 else (lo, mid)
+        bracketed = fitted(every, degree, 0.64)[1] / (n - k) <= 1
+        si = hi if bracketed else 0.0
+        r = got[name]
+        assert (r.sigma_int is None) if not bracketed else np.isclose(r.sigma_int, si, atol=1e-6)
+        assert np.allclose([r.chi2, r.chi2_red, r.aic, r.bic], [chi2, chi2 / (n - k), chi2 + 2 * k, chi2 + k * np.log(n)])
+        assert np.isclose(r.wrms_in, scatter(y - np.polyval(c, x - 0.4), sigma))
+        res, sig = [], []
+        for i in range(n):
+            keep = np.arange(n) != i
+            c, _, cov = fitted(keep, degree)
+            v = np.vander([x[i] - 0.4], degree + 1)[0]
+            res.append(y[i] - v @ c)
+            sig.append(np.sqrt(sigma[i] ** 2 + v @ cov @ v + si**2))
+        assert np.isclose(r.wrms_loo, scatter(np.array(res), np.array(sig)), rtol=1e-5)
+        assert np.isclose(r.rms_loo, np.std(res, ddof=1))
+
+
+def test_scatter_beyond_the_bracket_is_null(spark):
+    df = spark.createDataFrame([("a", float(k), float(y), 0.1) for k, y in enumerate((0, 5, 1, 6, 0, 7))], "g string, x double, y double, sigma double")
+    assert fits.intrinsic_scatter(df, ["g"], 1).first().sigma_int is None
+    assert fits.intrinsic_scatter(df.withColumn("sigma", df.sigma * 100), ["g"], 1).first().sigma_int == 0
+
+
+def stretches(y, least, widest):
+    return [(i, j) for i in range(len(y)) for j in range(i + least - 1, len(y)) if max(y[i : j + 1]) - min(y[i : j + 1]) <= widest]
+
+
+def test_plateau_choice(spark):
+    """Score of all stretches by brute force; a group without a plateau falls back to the row nearest its median."""
+    rng = np.random.default_rng(6)
+    x, y = np.arange(14.0), np.round(np.where(np.arange(14) < 7, 1.0, 2.0) + 0.05 * rng.standard_normal(14), 4)
+    rough = [0.0, 9.0, 3.0, 8.0, 1.0]
+    df = spark.createDataFrame([("a", a, float(b)) for a, b in zip(x.tolist(), y, strict=True)] + [("b", float(k), v) for k, v in enumerate(rough)], "g string, x double, y double")
+    got = {r.g: r for r in windows.find_plateau(df, ["g"], "x", "y", 3, 0.25).collect()}
+    parts = stretches(y.tolist(), 3, 0.25)
+    terms = []
+    for i, j in parts:
+        p, q = x[i : j + 1], y[i : j + 1]
+        c = np.polyfit(p, q, 1)
+        terms.append((abs(c[0]), np.sqrt(np.mean((q - np.polyval(c, p)) ** 2)), q.std() / np.sqrt(len(q)), len(q)))
+    t = np.array(terms, float)
+    mad = np.median(np.abs(t - np.median(t, 0)), 0)
+    z = (t - np.median(t, 0)) / np.where(mad > 0, 1.4826 * mad, 1)
+    best = int(np.argmin(z @ np.array([1, 1, 0.7, -0.5])))
+    assert (got["a"]["first"] - 1, got["a"]["last"] - 1) == parts[best] and got["a"].how == "plateau"
+    assert (got["b"].how, got["b"].n, got["b"].level) == ("most_robust", 1, 3.0)
+    picked = windows.pick_window(df, windows.find_plateau(df, ["g"], "x", "y", 3, 0.25), ["g"], "y", {"x": 1e-4}, ("x",)).collect()
+    i, j = parts[best]
+    assert {r.g: r.x for r in picked} == {"a": x[np.argmin(np.abs(y - y[i : j + 1].mean()) + 1e-4 * x)], "b": 2.0}
+    ring = {r.g: (r.x_first, r.x_last) for r in windows.ring_plateau(df, ["g"], "x", "y", 0.25, 3).collect()}
+    i, j = min(parts, key=lambda p: (p[0] - p[1], p[0] + p[1]))
+    assert ring == {"a": (x[i], x[j])}
+
+
+def test_continued_nodes(spark):
+    rng = np.random.default_rng(9)
+    sma = np.arange(5.0, 155, 5)
+    cols = {"x0": 100 + 0.5 * sma + rng.random(30), "y0": 80 + 0.003 * sma, "eps": 0.85 + 0.0002 * sma, "pa": 0.3 - 0.0001 * sma}
+    intens, frac = np.exp(-sma / 30 + 0.1 * rng.random(30)), np.where(sma > 100, 150 - sma, np.nan) / 60
+    rows = [("a", *map(float, r)) for r in zip(sma, intens, frac, *cols.values(), strict=True)]
+    nodes = spark.createDataFrame(rows, "g string, sma double, intens double, real_data_frac double, x0 double, y0 double, eps double, pa double")
+    for needed, radii in ((183.0, [160.0, 170.0, 180.0, 183.0]), (187.0, [160.0, 170.0, 180.0, 190.0]), (151.0, [151.0]), (150.2, [])):
+        got = windows.extend_nodes(nodes, spark.createDataFrame([("a", needed)], "g string, r_needed double"), ["g"]).where("node_origin = 'synthetic'").orderBy("sma").collect()
+        assert np.allclose([r.sma for r in got], radii)
+        w = np.clip(np.nan_to_num(frac[-20:], nan=0.25), 0.05, 1)
+        d = np.array(radii) - 150
+        for c, limit in (("x0", 1e-2), ("y0", 1e-2), ("eps", 3e-4), ("pa", 3e-4)):
+            slope = np.clip(np.polyfit(sma[-20:], cols[c][-20:], 1, w=w)[0], -limit, limit)
+            want = cols[c][-1] + slope * 250 * (1 - np.exp(-d / 250))
+            assert np.allclose([r[c] for r in got], np.clip(want, 0, 0.9) if c == "eps" else want)
+        fall = min(np.polyfit(sma[-20:], np.log(intens[-20:]), 1, w=w)[0], 0)
+        assert np.allclose([r.intens for r in got], intens[-1] * np.exp(fall * d))
+
+
+def test_circular_smoothing(spark):
+    rng = np.random.default_rng(7)
+    v = rng.random(36)
+    gone = [0, 5, 6, 7, 35]
+    df = spark.createDataFrame([("a", k, None if k in gone else float(v[k])) for k in range(36)], "g string, bin int, value double")
+    have = np.array([k for k in range(36) if k not in gone])
+    full = np.interp(np.arange(36), np.concatenate((have - 36, have, have + 36)), np.tile(v[have], 3))
+    kernel = np.hanning(11)[1:-1]
+    want = sum(k * np.roll(full, o) for o, k in zip(range(-4, 5), kernel / kernel.sum(), strict=True))
+    got = {r.bin: r.smoothed for r in windows.circular_smooth(df, ["g"], 36, width=9).collect()}
+    assert np.allclose([got[k] for k in range(36)], want)
+
+
+def test_model_or_smooth(spark):
+    """Images with enough nodes are interpolated in radius, the others smoothed."""
+    rng = np.random.default_rng(8)
+    image = rng.random((9, 9))
+    px = spark.createDataFrame([(g, y, x, float(image[y, x]), float(np.hypot(y - 4, x - 4))) for g in (1, 2) for y in range(9) for x in range(9)], "image_id int, y int, x int, value double, r_ell double")
+    sma, intens = np.arange(0.0, 7.0), np.exp(-np.arange(7.0))
+    nodes = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(sma, intens, strict=True)] + [(2, 1.0, 1.0)], "image_id int, sma double, intens double")
+    got = {1: np.zeros((9, 9)), 2: np.zeros((9, 9))}
+    for r in pixels.model_or_smooth(px, nodes, sigma=1.0).collect():
+        got[r.image_id][r.y, r.x] = r.model
+    yy, xx = np.mgrid[:9, :9] - 4
+    assert np.allclose(got[1], np.interp(np.round(np.hypot(yy, xx), 2), sma, intens))
+    k = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    soft = lambda a: np.apply_along_axis(np.convolve, 0, np.apply_along_axis(np.convolve, 1, a, k, "same"), k, "same")
+    assert np.allclose(got[2], soft(image) / soft(np.ones((9, 9))))
+
+
+def test_partitioned_table_spreads_a_large_value(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', null) as k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so small a table is one task
+    try:
+        tables.write_table(df, f"file://{tmp_path}/t", ["k"], rows=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = spark.read.parquet(f"file://{tmp_path}/t")
+    assert back.count() == 1000 and back.where("k = 'hot'").count() == 900
+    assert 1 < len(list((tmp_path / "t" / "k=hot").glob("*.parquet"))) <= 9
