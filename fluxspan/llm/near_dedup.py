@@ -1,10 +1,10 @@
 """MinHash near-deduplication: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates.
 
 Documents with equal shingle sets are one node.  Each bucket links its nodes to one centre, so candidates are at most one
-for each node and band.  They are confirmed on full sets: first each node with its closest centre, then the candidates that
-still join different components and whose sketches don't rule the similarity out.  A cluster of candidates whose nodes
-still lie in several components is compared exactly, block by block, so a star that hides a link loses nothing; such a
-task gives back only links that join components.
+for each node and band, and full sets confirm them.  A bucket whose nodes then still lie in several components may hide a
+link that no centre is part of.  There, sketches tell which nodes have a plausible partner in another component, and those
+nodes alone are compared on full sets, block by block.  No pairs are emitted but links that join components, blocks are
+bounded by bytes, and nothing depends on how large a bucket is.
 """
 
 from __future__ import annotations
@@ -19,14 +19,19 @@ from pyspark.sql import functions as F
 from . import common
 
 BANDS, ROWS = 40, 5
-#: Standard deviations below the threshold at which the share of equal sketch bytes rules a pair out.
-SKETCH_SIGMAS = 5.5
-#: Nodes that one comparing task holds at once, on either side; and nodes from which a cluster is compared by buckets.
-BLOCK, CLUSTER = 1000, 5000
+BINS = BANDS * ROWS
+#: Chance, at most, that the sketches of two sets of just the wanted similarity rule them out.
+SKETCH_RISK = 1e-9
+#: Nodes whose sketches, and bytes of the sets, that a comparing task holds at once on either side.
+BLOCK_NODES, BLOCK_BYTES = 1000, 8 << 20
+#: Pairs of sketches that are compared in one step.
+SLAB_PAIRS = 20_000
 NO_ID = (1 << 63) - 1
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 32
+#: For each bin the order in which an empty one looks at the others: a random permutation, alike for all documents.
+_probes = np.argsort(np.random.default_rng(17).random((BINS, BINS)), axis=1)
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +60,20 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return owner[new], value[new]
 
 
-def sketch_floor(n: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest share of equal sketch bytes that leaves a similarity of `percent` % possible for sets of n shingles: the
-    bins that n shingles fill count, as filled-up ones add nothing."""
-    p, bins = percent / 100, BANDS * ROWS
-    return p - SKETCH_SIGMAS * np.sqrt(p * (1 - p) / (bins * (1 - np.exp(-np.maximum(n, 1) / bins))))
+def sketch_floors(percent: int) -> np.ndarray:
+    """Smallest number of equal bins, by the number of bins that either set fills, that leaves a similarity possible.
+
+    Of the bins that the union fills, those whose smallest hash both sets share are a sample without replacement, so
+    Chernoff's bound exp(-n KL(x || p)) holds for a share x below p: rarer than SKETCH_RISK is ruled out.
+    """
+    p, floors = percent / 100, np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        k = np.arange(int(np.floor(n * p)) + 1)
+        x = k / n
+        kl = np.where(k > 0, x * np.log(np.maximum(x, 1e-300) / p), 0) + np.where(k < n, (1 - x) * np.log(np.maximum(1 - x, 1e-300) / max(1 - p, 1e-300)), 0)
+        may = np.flatnonzero(n * kl < -np.log(SKETCH_RISK))
+        floors[n] = may[0] if len(may) else n
+    return floors
 
 
 def hash_sequence(h: np.ndarray) -> int:
@@ -69,38 +83,33 @@ def hash_sequence(h: np.ndarray) -> int:
     return x
 
 
-def minima(owner: np.ndarray, value: np.ndarray, texts: int, bins: int) -> np.ndarray:
-    """One-permutation MinHash of each text, (texts, bins), empty bins filled from bins that a hash of bin and attempt picks."""
+def minima(owner: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """One-permutation MinHash of each text, (texts, BINS): as hashed, and with empty bins filled from the first full bin
+    that they look at.  A text without shingles stays empty."""
     empty = np.uint64((1 << 64) - 1)
-    m = np.full(texts * bins, empty, np.uint64)
+    m = np.full(texts * BINS, empty, np.uint64)
     v = common.mix(value ^ np.uint64(0x5851F42D4C957F2D))
-    np.minimum.at(m, owner * bins + (value >> np.uint64(33)).astype(np.int64) % bins, v)
-    full = m != empty
-    some = full.reshape(texts, bins).any(1)
-    todo = np.flatnonzero(~full & np.repeat(some, bins))
-    for attempt in range(1, 101):
+    np.minimum.at(m, owner * BINS + (value >> np.uint64(33)).astype(np.int64) % BINS, v)
+    bare, full = m.reshape(texts, BINS), m != empty
+    filled, todo = m.copy(), np.flatnonzero(~full & np.repeat(full.reshape(texts, BINS).any(1), BINS))
+    for step in range(BINS):
         if not len(todo):
             break
-        row, b = todo // bins, (todo % bins).astype(np.uint64)
-        pick = row * bins + (common.mix(b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) >> np.uint64(33)).astype(np.int64) % bins
+        bin_ = todo % BINS
+        pick = todo - bin_ + _probes[bin_, step]
         hit = full[pick]
-        m[todo[hit]] = m[pick[hit]]
+        filled[todo[hit]] = m[pick[hit]]
         todo = todo[~hit]
-    for at in todo.tolist():  # very few shingles: the next filled bin to the right
-        row = at // bins * bins
-        k = np.flatnonzero(np.roll(full[row : row + bins], -(at - row)))[0]
-        m[at] = m[row + (at - row + k) % bins]
-    return m.reshape(texts, bins)
+    return bare, filled.reshape(texts, BINS)
 
 
 SIGNED = "doc_id long, mark long, n_shingles int, node long, sketch binary, bands array<long>"
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """Of each document: number of shingles, hash of its set (its node), a byte of each minimum, band keys (none if empty)."""
+    """Of each document: number of shingles, hash of its set (its node), a byte of each minimum (0: empty), band keys (none if empty)."""
 
     def work(batches):
-        bins = BANDS * ROWS
         for b in common.chunks(batches, 2 << 20):
             n = b.num_rows
             owner, value = shingle_sets(b.column("text").to_pylist(), size)
@@ -108,33 +117,175 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             node = np.zeros(n, np.uint64)
             np.add.at(node, owner, common.mix(value ^ np.uint64(0xA0761D6478BD642F)))
             node = common.mix(node + count.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-            m = minima(owner, value, n, bins)
-            sketch = [r.tobytes() for r in ((m * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)]
+            bare, m = minima(owner, value, n)
+            byte = (common.mix(bare) >> np.uint64(40)) % np.uint64(255) + np.uint64(1)
+            sketch = np.where(bare == np.uint64((1 << 64) - 1), 0, byte).astype(np.uint8)
             g = m.reshape(n, BANDS, ROWS)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
             for k in range(ROWS):
                 key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + g[:, :, k])
-            have = (count > 0).tolist()
-            keys = key.view(np.int64)
-            bands = pa.array([keys[k] if have[k] else None for k in range(n)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(count.astype(np.int32)), pa.array(node.view(np.int64)), pa.array(sketch, pa.binary()), bands], ["doc_id", "mark", "n_shingles", "node", "sketch", "bands"])
+            have = count > 0
+            offsets = np.concatenate(([0], np.cumsum(have * BANDS))).astype(np.int32)
+            bands = pa.ListArray.from_arrays(offsets, pa.array(key[have].view(np.int64).ravel()), mask=pa.array(~have))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(count.astype(np.int32)), pa.array(node.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary()), bands], ["doc_id", "mark", "n_shingles", "node", "sketch", "bands"])
 
     return docs.mapInArrow(work, SIGNED)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of all nodes in `links` (a, b): smallest labels spread, then pointers jump."""
-    both = common.written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = common.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = common.written(step.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("far", "comp")).alias("comp"), "old"))
-        changed = new.where("comp != old").limit(1).count()
-        label = new.drop("old")
-        if not changed:
-            return label
+    """node, comp (smallest node reachable) of all nodes in `links` (a, b).
+
+    Each round hooks every node to its smallest neighbour, if that is smaller, and merges what is hooked together; links
+    inside a merged node go, so the rounds' tables shrink.
+    """
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = common.written(links.select(*ends).where("a != b").distinct())
+    nodes = common.written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")))
+    while edges.limit(1).count():
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        hooked = common.written(both.groupBy(F.col("a").alias("x")).agg(F.least(F.min("b"), F.col("a")).alias("y")))
+        jump = common.written(hooked.join(hooked.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", "z"))
+        moved = common.written(nodes.join(jump.withColumnRenamed("x", "comp"), "comp", "left").select("node", F.coalesce("z", "comp").alias("comp")))
+        left = edges.join(jump.select(F.col("x").alias("a"), F.col("z").alias("za")), "a").join(jump.select(F.col("x").alias("b"), F.col("z").alias("zb")), "b")
+        fewer = common.written(left.where("za != zb").select(F.least("za", "zb").alias("a"), F.greatest("za", "zb").alias("b")).distinct())
+        for old in (edges, nodes, hooked, jump):
+            common.discard(old)
+        edges, nodes = fewer, moved
+    return nodes
+
+
+def _whole_groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches cut so that no group is parted."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        last = np.ones(t.num_rows, bool)
+        for k in keys:
+            c = t.column(k).to_numpy()
+            last &= c == c[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None:
+        yield held
+
+
+class Sketches:
+    """What decides without full sets whether two nodes may be similar: sizes, sketches, and a shared bucket.
+
+    `band` of a row is the band of the bucket that it stands for, or -1 for all its buckets.
+    """
+
+    def __init__(self, t: pa.Table, percent: int, floors: np.ndarray):
+        self.n, self.band = t.column("n_shingles").to_numpy(), t.column("band").to_numpy()
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        self.bands = t.column("all_bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.percent, self.floors = percent, floors
+
+    def plausible(self, a: np.ndarray, b: np.ndarray, first: int | None = None) -> np.ndarray:
+        """For many pairs of rows.  first: the band that must be the first which they share; None: as their rows say."""
+        ok = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        a, b = a[ok], b[ok]
+        one, other = self.sketch[a], self.sketch[b]
+        may = ((one == other) & (one > 0)).sum(1) >= self.floors[((one > 0) | (other > 0)).sum(1)]
+        ok[ok] = may
+        a, b = a[may], b[may]
+        equal = self.bands[a] == self.bands[b]
+        at = equal.argmax(1)
+        ok[ok] = equal.any(1) & ((self.band[a] < 0) | (at == self.band[a])) if first is None else at == first
+        return ok
+
+
+def active_nodes(rows: DataFrame, percent: int) -> DataFrame:
+    """unit, node: nodes that have, in a bucket, a plausible partner in another component, each pair in its first common bucket.
+
+    rows: unit, i, j (block), side (0: compared with all of side 1), node, comp, n_shingles, sketch, all_bands, band.
+    """
+    floors, keys = sketch_floors(percent), ["unit", "i", "j"]
+
+    def work(batches):
+        for t in _whole_groups(batches, keys):
+            unit, i, j, side, node, comp = (t.column(c).to_numpy() for c in (*keys, "side", "node", "comp"))
+            sketches = Sketches(t, percent, floors)
+            new = np.concatenate(([True], (unit[1:] != unit[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            group = common.mix(np.cumsum(new).astype(np.uint64))
+            live = np.zeros(len(node), bool)
+            for band in range(BANDS):
+                use = (sketches.band < 0) | (sketches.band == band)
+                lefts, rights = np.flatnonzero(use & (side == 0)), np.flatnonzero(use & (side == 1))
+                key = common.mix(sketches.bands[:, band].view(np.uint64) ^ group)
+                rights = rights[np.argsort(key[rights])]
+                lo, hi = (np.searchsorted(key[rights], key[lefts], side=x) for x in ("left", "right"))
+                total = np.cumsum(hi - lo)
+                at = 0
+                while at < len(lefts):
+                    to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLAB_PAIRS, side="right")))
+                    count = (hi - lo)[at:to]
+                    a = np.repeat(lefts[at:to], count)
+                    b = rights[np.repeat(lo[at:to] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                    at = to
+                    apart = comp[a] != comp[b]
+                    a, b = a[apart], b[apart]
+                    ok = sketches.plausible(a, b, band)
+                    live[a[ok]] = live[b[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(unit[live]), pa.array(node[live])], ["unit", "node"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "unit long, node long").distinct()
+
+
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different components.
+
+    rows: those of `active_nodes`, and items (hashes, sorted unsigned).
+    """
+    floors = sketch_floors(percent)
+
+    def compare(group: pa.Table) -> pa.Table:
+        sketches = Sketches(group, percent, floors)
+        side, node, cls = (group.column(c).to_numpy() for c in ("side", "node", "comp"))
+        items = group.column("items").combine_chunks()
+        flat, at = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy().astype(np.int64)
+        n, cls = np.diff(at), np.unique(cls, return_inverse=True)[1]
+        right, links = np.flatnonzero(side == 1), []
+        for k in np.flatnonzero(side == 0).tolist():
+            r = right[cls[right] != cls[k]]
+            r = r[sketches.plausible(np.full(len(r), k), r)]
+            own = flat[at[k] : at[k + 1]]
+            while len(r):
+                some, r = r[:64], r[64:]
+                ends = np.cumsum(n[some])
+                theirs = flat[np.repeat(at[some] - (ends - n[some]), n[some]) + np.arange(ends[-1])]
+                found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(found.astype(np.int64), ends - n[some])
+                for x in some[100 * both >= percent * (n[some] + n[k] - both)].tolist():
+                    if cls[x] != cls[k]:
+                        links.append((int(node[k]), int(node[x])))
+                        cls[cls == cls[x]] = cls[k]
+                r = r[cls[r] != cls[k]]
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
+    return rows.groupBy("unit", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _blocks(rows: DataFrame, unit: str, weight: str, most: int, main: DataFrame) -> DataFrame:
+    """Rows as both sides of their unit's blocks, side 0 without the unit's main component.  Sides are cut by total weight."""
+    w = F.col(weight)
+    sums = rows.join(main, unit).groupBy(unit).agg(F.first("main").alias("main"), F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), w).otherwise(0)) / most).cast("int").alias("left"), F.ceil(F.sum(w) / most).cast("int").alias("right")).where("left > 0")
+    here = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    all_ = rows.join(sums, unit)
+    lefts = all_.where("comp != main").withColumns({"i": F.pmod(here, F.col("left")).cast("int"), "j": F.explode(F.expr("sequence(0, right - 1)")), "side": F.lit(0)})
+    rights = all_.withColumns({"j": F.pmod(here, F.col("right")).cast("int"), "i": F.explode(F.expr("sequence(0, left - 1)")), "side": F.lit(1)})
+    return lefts.drop("main", "left", "right").unionByName(rights.drop("main", "left", "right"))
+
+
+def _main(rows: DataFrame, unit: str) -> DataFrame:
+    """The component with the most rows of each unit that has several."""
+    sizes = rows.groupBy(unit, "comp").agg(F.count("*").alias("n"))
+    return sizes.groupBy(unit).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
 
 
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,106 +311,66 @@ def _marked(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str
     first = sig.where("bands is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("f"))
     nodes = first.select("node", F.col("f.doc_id").alias("doc_id"), F.col("f.mark").alias("mark"))
     reps = sig.join(nodes, ["node", "doc_id", "mark"]).dropDuplicates(["node"])
-    members = common.written(reps.select("node", F.explode("bands").alias("key")))
+    members = common.written(reps.select("node", F.posexplode("bands").alias("band", "key")))
     keys = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").drop("last")
-    inside = common.written(members.join(keys, "key").where("node != centre"))
-    stars = common.written(inside.groupBy("node", "centre").agg(F.count("*").alias("shared")))
-    used = stars.select("node").union(stars.select("centre")).distinct()
-    wanted = nodes.join(used, "node")
-    sketches = common.written(sig.join(wanted, ["node", "doc_id", "mark"]).dropDuplicates(["node"]).select("node", "n_shingles", "sketch"))
+    inside = common.written(members.join(keys, "key"))
+    stars = common.written(inside.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("shared")))
+    wanted = nodes.join(stars.select("node").union(stars.select("centre")).distinct(), "node")
 
     def set_rows(batches):
         for b in common.chunks(batches):
             owner, value = shingle_sets(b.column("text").to_pylist(), size)
-            at = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([value[x:y].tobytes() for x, y in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary())], ["node", "items"])
+            offsets = np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], ["node", "items"])
 
-    sets = common.written(d.join(wanted, ["doc_id", "mark"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(set_rows, "node long, items binary"))
-
-    def similar(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+    sets = common.written(d.join(wanted, ["doc_id", "mark"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(set_rows, "node long, items array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that are similar enough, by their full sets."""
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        return x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
-
-    def plausible(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
-            keep = pa.array((p == q).mean(1) >= sketch_floor(b.column("least").to_numpy(), percent))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+        both = x.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+        may = both.where(f"100 * least(size(x), size(y)) >= {percent} * greatest(size(x), size(y))")
+        return may.where(f"{100 + percent} * size(array_intersect(x, y)) >= {percent} * (size(x) + size(y))").select("a", "b")
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes and sketches allow the similarity."""
-        s = lambda c: sketches.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        return pairs.join(s("a"), "a").join(s("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb", F.least("na", "nb").alias("least")).mapInArrow(plausible, "a long, b long")
+    def labelled(df: DataFrame, comp: DataFrame, col: str, out: str) -> DataFrame:
+        return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
     best = stars.groupBy("node").agg(F.max_by("centre", F.struct("shared", "centre")).alias("b")).withColumnRenamed("node", "a")
-    links = common.written(confirmed(sized(best)))
+    links = common.written(confirmed(best))
     comp = components(links)
-
-    def labelled(df: DataFrame, col: str, out: str) -> DataFrame:
-        return df.join(comp.select(F.col("node").alias(col), F.col("comp").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-
     rest = stars.select(F.col("node").alias("a"), F.col("centre").alias("b")).join(best, ["a", "b"], "left_anti")
-    rest = labelled(labelled(rest, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-    more = common.written(confirmed(sized(rest)))
-    links = links.union(more)
-    comp = components(links)
-    # clusters of candidates whose nodes still lie in several components; in a large cluster, buckets take its place
-    clusters = labelled(components(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"))), "node", "root")
-    clusters = common.written(clusters.select("node", F.col("comp").alias("cluster"), F.col("root").alias("comp")))
-    big = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cluster", "size")
-    mixed = clusters.join(big, "cluster")
-    small = mixed.where(F.col("size") <= CLUSTER).select(F.col("cluster").alias("unit"), F.lit(0).alias("kind"), "node", "comp")
-    large = mixed.where(F.col("size") > CLUSTER).select("node", "comp").join(inside.select("node", "key"), "node").select(F.col("key").alias("unit"), F.lit(1).alias("kind"), "node", "comp")
-    apart = common.written(small.unionByName(large))
-    sizes = apart.groupBy("kind", "unit", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("kind", "unit").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = {"left": F.expr(f"cast(ceil((all - most) / {BLOCK}) as int)"), "right": F.expr(f"cast(ceil(all / {BLOCK}) as int)")}
-    open_nodes = apart.join(main, ["kind", "unit"]).join(sketches, "node").join(sets, "node").withColumns(blocks)
-    here = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-    lefts = open_nodes.where("comp != main").withColumns({"i": F.pmod(here, F.col("left")), "j": F.explode(F.expr("sequence(0, right - 1)")), "side": F.lit(0)})
-    rights = open_nodes.withColumns({"j": F.pmod(here, F.col("right")), "i": F.explode(F.expr("sequence(0, left - 1)")), "side": F.lit(1)})
-    cols = ["kind", "unit", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "side", "node", "comp", "n_shingles", "sketch", "items"]
-
-    def compare(group: pa.Table) -> pa.Table:
-        side, node, cls, n = (group.column(c).to_numpy() for c in ("side", "node", "comp", "n_shingles"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        items, cls = group.column("items").to_pylist(), np.unique(cls, return_inverse=True)[1]
-        right, links = np.flatnonzero(side == 1), []
-        for k in np.flatnonzero(side == 0).tolist():
-            r = right[(cls[right] != cls[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-            if not len(r):
-                continue
-            share = (sketch[r] == sketch[k]).mean(1)
-            may = share >= sketch_floor(np.minimum(n[r], n[k]), percent)
-            r = r[may][np.argsort(-share[may], kind="stable")]
-            own = np.frombuffer(items[k], np.uint64)
-            while len(r):
-                some, r = r[:64], r[64:]
-                flat = np.frombuffer(b"".join([items[x] for x in some.tolist()]), np.uint64)
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(n[some]) - n[some])
-                for x in some[100 * both >= percent * (n[some] + n[k] - both)].tolist():
-                    if cls[x] != cls[k]:
-                        links.append((int(node[k]), int(node[x])))
-                        cls[cls == cls[x]] = cls[k]
-                r = r[cls[r] != cls[k]]
-        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
-
-    last = common.written(lefts.select(*cols).union(rights.select(*cols)).groupBy("kind", "unit", "i", "j").applyInArrow(compare, "a long, b long"))
+    rest = labelled(labelled(rest, comp, "a", "ca"), comp, "b", "cb").where("ca != cb").select("a", "b")
+    more = common.written(confirmed(rest))
+    if more.limit(1).count():
+        links = links.union(more)
+        comp = components(links)
+    # what is left: clusters of candidates whose nodes still lie in several components
+    across = labelled(labelled(stars.select(F.col("node").alias("a"), F.col("centre").alias("b")), comp, "a", "ca"), comp, "b", "cb").where("ca != cb")
+    merged = components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
+    clusters = labelled(wanted.select("node"), comp, "node", "comp").join(merged, "comp")
+    main = _main(clusters, "cluster")
+    sizes = clusters.join(main, "cluster").groupBy("cluster").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("main")).alias("left"))
+    # either all nodes of a cluster meet block by block, or those of each of its buckets: whichever takes fewer rows
+    by_blocks = F.col("all") * F.ceil(F.col("left") / BLOCK_NODES) + F.col("left") * F.ceil(F.col("all") / BLOCK_NODES)
+    open_nodes = common.written(clusters.join(sizes.select("cluster", (by_blocks <= 2 * BANDS * F.col("all")).alias("whole")), "cluster"))
+    near = open_nodes.where("whole").select(F.col("cluster").alias("unit"), F.lit(-1).alias("band"), "node", "comp")
+    details = reps.select("node", "n_shingles", "sketch", F.col("bands").alias("all_bands"))
+    if open_nodes.where("not whole").limit(1).count():
+        # a bucket, and in it sizes that allow the similarity: one class and its neighbours
+        steps = F.floor(F.log("n_shingles") / float(np.log(100 / min(percent, 99)))).cast("int")
+        placed = open_nodes.where("not whole").join(inside.select("key", "band", "node"), "node").join(reps.select("node", steps.alias("cls")), "node")
+        placed = placed.withColumn("at", F.explode(F.array(F.col("cls"), F.col("cls") + 1))).withColumn("unit", F.xxhash64("key", "at"))
+        near = near.union(placed.select("unit", "band", "node", "comp"))
+    near = common.written(near.join(_main(near, "unit").select("unit"), "unit").join(details, "node"))
+    cols = ["unit", "i", "j", "side", "node", "comp", "n_shingles", "band", "sketch", "all_bands"]
+    blocks = _blocks(near.withColumn("one", F.lit(1)), "unit", "one", BLOCK_NODES, _main(near, "unit"))
+    active = common.written(active_nodes(blocks.select(*cols), percent))
+    again = near.join(active, ["unit", "node"]).join(sets, "node").withColumn("bytes", F.expr("8 * size(items) + 600"))
+    last = common.written(compared(_blocks(again, "unit", "bytes", BLOCK_BYTES, _main(again, "unit")).select(*cols, "items"), percent))
     if last.limit(1).count():
         comp = components(links.union(last))
     ids = sig.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    ids = labelled(ids, "node", "comp")
+    ids = labelled(ids, comp, "node", "comp")
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = ids.join(least, "comp").select("node", "component_id")
     bare = F.expr("bands is null")
