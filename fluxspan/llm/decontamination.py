@@ -8,6 +8,7 @@ may match, and the automaton reads those.
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .token_store import get, put
 
-#: Item words in one automaton; further items go to further automata, which the documents pass one after another.
-AUTOMATON_WORDS = 500_000
+#: Item words, about, in one automaton; further items go to further automata, which a task takes one after another.
+AUTOMATON_WORDS = 200_000
+#: Bytes of text that a task holds while it goes through several automata.
+HELD_BYTES = 64 << 20
 
 _gap = np.ones(256, bool)
 _gap[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -195,17 +199,62 @@ def match_chunk(texts: list[bytes], auto: SuffixAutomaton) -> tuple[np.ndarray,
     return n_words, found
 
 
-def automata(items: DataFrame, window: int, id_col: str, text_col: str, limit: int = AUTOMATON_WORDS) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in groups of at most about `limit` words each; a group is what one automaton and one task closure hold."""
-    it = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null")
+def item_groups(items: DataFrame, id_col: str, text_col: str, limit: int = AUTOMATON_WORDS) -> list[str]:
+    """Writes the items in groups of at most about `limit` words, and returns the files: none passes through the driver."""
+    it = items.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null").distinct()
     size = it.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // (6 * limit)))
-    for g in range(groups):
-        rows = it.where(F.expr(f"pmod(xxhash64(id, text), {groups}) = {g}")).orderBy("id", "text").collect()
-        yield [(r.id, normal_words(bytes(r.text))) for r in rows]
+    groups, base = max(1, -(-size // (6 * limit))), common.folder(items.sparkSession)
 
+    def write(group: pa.Table) -> pa.Table:
+        uri = f"{base}/items-{group.column('g')[0].as_py():06d}"
+        rows = sorted(zip(group.column("id").to_pylist(), group.column("text").to_pylist(), strict=True))
+        put(uri, pickle.dumps([(name, normal_words(text)) for name, text in rows]))
+        return pa.table([pa.array([uri])], ["uri"])
 
-MATCHED = "doc_id long, text binary, n_words long, starts array<int>, ends array<int>, items array<string>"
+    dealt = it.withColumn("g", F.expr(f"cast(pmod(xxhash64(id, text), {groups}) as int)")).groupBy("g").applyInArrow(write, "uri string")
+    return sorted(r.uri for r in dealt.collect())  # names of files alone
+
+
+_automata: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+def automaton(uri: str, window: int) -> SuffixAutomaton:
+    """The automaton of a group of items; a worker keeps the last one."""
+    if (uri, window) not in _automata:
+        _automata.clear()
+        _automata[uri, window] = SuffixAutomaton(pickle.loads(get(uri)), window)
+    return _automata[uri, window]
+
+
+def matched(batches, uris: list[str], window: int):
+    """(chunk, words of each text, spans and item names of texts with hits) for all chunks; `text` holds the texts.
+
+    Several automata: chunks are held up to HELD_BYTES, so that each is loaded once for many chunks.
+    """
+
+    def passed(held):
+        found: list[dict[int, tuple[list, set]]] = [{} for _ in held]
+        counts = [np.zeros(c.num_rows, np.int64) for c in held]
+        for uri in uris:
+            auto = automaton(uri, window)
+            for k, c in enumerate(held):
+                counts[k], new = match_chunk(c.column("text").to_pylist(), auto)
+                for d, (spans, hit) in new.items():
+                    have = found[k].setdefault(d, ([], set()))
+                    have[0].extend(spans)
+                    have[1].update(auto.names[i] for i in hit)
+        if not uris:
+            counts = [match_chunk(c.column("text").to_pylist(), SuffixAutomaton([], window))[0] for c in held]
+        yield from zip(held, counts, found, strict=True)
+
+    held, size = [], 0
+    for c in common.chunks(batches):
+        held.append(c)
+        size += c.column("text").nbytes
+        if len(uris) < 2 or size > HELD_BYTES:
+            yield from passed(held)
+            held, size = [], 0
+    yield from passed(held)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
@@ -213,45 +262,36 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.  Null or empty
     text: no words.  Items without words match nothing; repeated items count once; a null item id is the empty string.
+    Repeated documents have the same result; an empty table gives no rows.
     """
-    out = common.documents(docs, id_col, text_col).withColumns({"n_words": F.lit(0).cast("long"), "starts": F.array().cast("array<int>"), "ends": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    uris = item_groups(items, item_id, item_text, limit)
 
-    def passing(group):
-        def work(batches):
-            auto = SuffixAutomaton(group, window)
-            for b in common.chunks(batches):
-                n_words, found = match_chunk(b.column("text").to_pylist(), auto)
-                starts, ends, names = (b.column(c).to_pylist() for c in ("starts", "ends", "items"))
-                for d, (spans, items_hit) in found.items():
-                    starts[d] = starts[d] + [x for x, _ in spans]
-                    ends[d] = ends[d] + [x for _, x in spans]
-                    names[d] = sorted({*names[d], *(auto.names[i] for i in items_hit)})
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "starts", "ends", "items"])
-
-        return work
+    def work(batches):
+        for b, n_words, found in matched(batches, uris, window):
+            starts, ends, names = ([[] for _ in range(b.num_rows)] for _ in range(3))
+            for d, (spans, hit) in found.items():
+                starts[d], ends[d], names[d] = [x for x, _ in spans], [x for _, x in spans], sorted(hit)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "starts", "ends", "items"])
 
-    for group in automata(items, window, item_id, item_text, limit):
-        out = out.mapInArrow(passing(group), MATCHED)
-    return out
+    return common.documents(docs, id_col, text_col).mapInArrow(work, "doc_id long, text binary, n_words long, starts array<int>, ends array<int>, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **names) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated: as `matches`."""
+    uris, none = item_groups(items, item_id, item_text, limit), hashlib.sha256(b"").hexdigest()
 
     def work(batches):
-        for b in batches:
-            hits = []
-            for s, e in zip(b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True):
-                total, last = 0, 0
-                for x, y in sorted(zip(s, e, strict=True)):
-                    total += max(0, y - max(x, last))
+        for b, n_words, found in matched(batches, uris, window):
+            hits, n_items, sha = [0] * b.num_rows, [0] * b.num_rows, [none] * b.num_rows
+            for d, (spans, names) in found.items():
+                last = 0
+                for x, y in sorted(spans):
+                    hits[d] += max(0, y - max(x, last))
                     last = max(last, y)
-                hits.append(total)
-            items_hit = b.column("items").to_pylist()
-            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items_hit]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items_hit], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                n_items[d], sha[d] = len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hits], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return matches(docs, items, window, **names).drop("text").mapInArrow(work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return common.documents(docs, id_col, text_col).mapInArrow(work, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cut(text: bytes, n_words: int, spans: list[tuple[int, int]], max_coverage: float) -> bytes | None:
@@ -271,58 +311,32 @@ def cut(text: bytes, n_words: int, spans: list[tuple[int, int]], max_coverage: f
     return b"".join([*left, text[at:]])
 
 
-#: Columns of the spans that earlier passes of `clean_rows` found.
-SPANS = ("_span_starts", "_span_ends")
-
-
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
     """All columns of `docs`, texts without the spans inside item windows; rows whose words are covered by more than
-    `max_coverage` go.  Rows without hits are unchanged; in others `chars_col`, if given, is set to the new length.
+    `max_coverage` go.  Rows without hits are unchanged, those with null texts too; in others `chars_col`, if given, is set
+    to the new length.  Repeated rows are treated alike; an empty table gives no rows.
 
-    Each group of items is matched on the unchanged text; the last pass cuts the spans of all groups at once.
+    All items are matched on the unchanged text; the spans of all are cut at once.
     """
-    groups = list(automata(items, window, item_id, item_text, limit))
-    spans_type, several = pa.list_(pa.int32()), len(groups) > 1
-    out = docs.withColumns({c: F.array().cast("array<int>") for c in SPANS}) if several else docs
-    marked = out.schema
-
-    def passing(group, last):
-        def work(batches):
-            auto = SuffixAutomaton(group, window)
-            for b in batches:
-                at = b.schema.get_field_index(text_col)
-                small = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at).cast(pa.binary())], ["row", "text"])
-                for c in common.chunks([small]):
-                    rows, texts = c.column("row").to_pylist(), c.column("text").to_pylist()
-                    n_words, found = match_chunk(texts, auto)
-                    part = b.slice(rows[0], len(rows)) if rows else b.slice(0, 0)
-                    spans = {d: spans for d, (spans, _) in found.items()}
-                    if several:
-                        before = zip(*(part.column(k).to_pylist() for k in SPANS), strict=True)
-                        each = [[*zip(x, y, strict=True), *spans.get(d, [])] for d, (x, y) in enumerate(before)]
-                        if not last:
-                            for k, name in enumerate(SPANS):
-                                col = part.schema.get_field_index(name)
-                                part = part.set_column(col, part.schema.field(col), pa.array([[x[k] for x in row] for row in each], spans_type))
-                            yield part
-                            continue
-                        spans = {d: row for d, row in enumerate(each) if row}
-                        part = part.select([name for name in part.schema.names if name not in SPANS])
-                    if spans:
-                        new = {d: cut(texts[d], int(n_words[d]), row, max_coverage) for d, row in spans.items()}
-                        old = part.column(at).to_pylist()
-                        values = [new[d].decode("utf-8", "replace") if new.get(d) is not None else t for d, t in enumerate(old)]
-                        part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
-                        if chars_col in part.schema.names:
-                            k = part.schema.get_field_index(chars_col)
-                            sizes = [len(values[d]) if new.get(d) is not None else v for d, v in enumerate(part.column(k).to_pylist())]
-                            part = part.set_column(k, part.schema.field(k), pa.array(sizes, part.schema.field(k).type))
-                        part = part.filter(pa.array([not (d in new and new[d] is None) for d in range(part.num_rows)]))
-                    yield part
-
-        return work
-
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        out = out.mapInArrow(passing(group, last), docs.schema if last else marked)
-    return out
+    uris = item_groups(items, item_id, item_text, limit)
+
+    def work(batches):
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            small = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at).cast(pa.binary())], ["row", "text"])
+            for c, n_words, found in matched([small], uris, window):
+                rows, texts = c.column("row").to_pylist(), c.column("text").to_pylist()
+                part = b.slice(rows[0], len(rows)) if rows else b.slice(0, 0)
+                if found:
+                    new = {d: cut(texts[d], int(n_words[d]), spans, max_coverage) for d, (spans, _) in found.items()}
+                    old = part.column(at).to_pylist()
+                    values = [new[d].decode("utf-8", "replace") if new.get(d) is not None else t for d, t in enumerate(old)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
+                    if chars_col in part.schema.names:
+                        k = part.schema.get_field_index(chars_col)
+                        sizes = [len(values[d]) if new.get(d) is not None else v for d, v in enumerate(part.column(k).to_pylist())]
+                        part = part.set_column(k, part.schema.field(k), pa.array(sizes, part.schema.field(k).type))
+                    part = part.filter(pa.array([not (d in new and new[d] is None) for d in range(part.num_rows)]))
+                yield part
+
+    return docs.mapInArrow(work, docs.schema)

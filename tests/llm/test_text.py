@@ -61,7 +61,7 @@ def test_clean_rows_in_groups(spark):
     texts = [f"{own} {' '.join(p[:18])} end", f"{' '.join(p[20:30])} x y z {' '.join(p[30:40])}", f"{own} {' '.join(p[:5])} {' '.join(p[20:30])} {' '.join(p[5:10])} end", own, None]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     items = spark.createDataFrame([(k, " ".join(p[x:y])) for k, (x, y) in enumerate([(0, 12), (6, 18), (20, 30), (30, 40), (0, 10), (8, 18)])], "item_id long, text string")
-    assert len(list(dec.automata(items, 10, "item_id", "text", 2))) > 1
+    assert len(dec.item_groups(items, "item_id", "text", 2)) > 1
     whole, split = (sorted(map(tuple, dec.clean_rows(docs, items, **limit).collect())) for limit in ({}, {"limit": 2}))
     assert [r[0] for r in whole] == [0, 2, 3, 4]
     assert whole[0][1] == f"{own}  end" and whole[1][1] == f"{own} {' '.join(p[:5])}  {' '.join(p[5:10])} end"
