@@ -147,7 +147,7 @@ def _(spark, d):
 
 
 @query("jn7_centroids", f"""with {v.PIXELS}, {v.CENTERS}, s as (select image_id, y // 4 * 1000 + x // 4 as label, avg(x) as xc, avg(y) as yc, bool_or(power(x - cx, 2) + power(y - cy, 2) <= 100) as inside from pixels join centers using (image_id) group by 1, 2)
-select s.image_id, label from s join centers using (image_id) where case when image_id % 2 = 0 then inside else power(round_even(xc, 0) - cx, 2) + power(round_even(yc, 0) - cy, 2) <= 100 end""")
+select s.image_id, label::bigint as label from s join centers using (image_id) where case when image_id % 2 = 0 then inside else power(round_even(xc, 0) - cx, 2) + power(round_even(yc, 0) - cy, 2) <= 100 end""")
 def _(spark, d):
     px = v.pixels(spark, d)
     seg = px.select("image_id", "y", "x", F.expr("cast(y div 4 * 1000 + x div 4 as long)").alias("label"))
