@@ -7,11 +7,9 @@ Encoding a text is encoding its white-space separated words, each different word
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import unicodedata
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import common
+from .word_ids import SPLIT, WordIds, letter_pieces, plain_words
 
-#: Words that a task remembers; when there are more, it starts anew.
-CACHE_WORDS = 600_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
+    """The printable character that stands for each byte in byte-level vocabularies (fixed values of the file format)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -127,7 +124,8 @@ class SpeculativeBPE:
             single = np.bincount(owner, minlength=len(raws)) == 1
             first = np.searchsorted(owner, np.arange(len(raws)))
             self.stands[ids] = single & (got[np.minimum(first, len(got) - 1)] == ids)
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words = WordIds(np.dtype("<u4"), letter_pieces if self.split.pattern == SPLIT else plain_words)
+        self.spaced = [t + b" " for t in self.strings]
 
     # -- one word ----------------------------------------------------------------------------------------------
     def merge(self, word: bytes, last: bool = True) -> list[int]:
@@ -299,14 +297,10 @@ class SpeculativeBPE:
         letter = self._byte_of
         return [bytes(letter[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def learn(self, words) -> None:
-        """Encodes words that aren't known yet."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        todo, plan, strings = {}, [], self.strings
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, and their numbers."""
+        todo, plan, flat, counts = {}, [], [], []
         for w in words:
-            if w in self.words:
-                continue
             s, items = w.decode("utf-8", "replace"), []
             for i, piece in enumerate(self.special_re.split(s) if "<|" in s and self.special_re else [s]):
                 if i % 2:
@@ -314,14 +308,17 @@ class SpeculativeBPE:
                 elif piece:
                     for p in self.parts(piece):
                         items.append(todo.setdefault(p.encode(), ~len(todo)))
-            plan.append((w, items))
+            plan.append(items)
         coded = self.encode_split(list(todo))
-        for w, items in plan:
-            if len(items) == 1 and items[0] < 0:
-                ids = coded[~items[0]]
-            else:
-                ids = [t for x in items for t in (coded[~x] if x < 0 else [x])]
-            self.words[w] = pack(f"<{len(ids)}I", *ids), b" ".join([strings[t] for t in ids])
+        for items in plan:
+            before = len(flat)
+            for x in items:
+                if x < 0:
+                    flat += coded[~x]
+                else:
+                    flat.append(x)
+            counts.append(len(flat) - before)
+        return np.array(flat, "<u4"), np.array(counts, np.int64)
 
     def decode(self, ids) -> str:
         """The tokens, joined by blanks: the file has no decoder."""
@@ -329,20 +326,10 @@ class SpeculativeBPE:
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        split = [t.split() for t in texts]
-
-        def look() -> list[tuple[bytes, bytes]]:
-            known, out = self.words, []
-            for ws in split:
-                got = [known[w] for w in ws]
-                out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])))
-            return out
-
-        try:
-            return look()
-        except KeyError:
-            self.learn({w for ws in split for w in ws})
-            return look()
+        ids, ends = self.words.encode(texts, self.learn)
+        decoded, to = common.gathered(self.spaced, ids)
+        raw, at, to = ids.tobytes(), (4 * ends).tolist(), to[ends].tolist()
+        return [(raw[at[k] : at[k + 1]], decoded[to[k] : max(to[k], to[k + 1] - 1)]) for k in range(len(texts))]
 
 
 _coders: dict[str, SpeculativeBPE] = {}
@@ -350,7 +337,6 @@ _coders: dict[str, SpeculativeBPE] = {}
 
 def coder(path: str) -> SpeculativeBPE:
     if path not in _coders:
-        gc.disable()  # a worker keeps many small objects and makes no cycles
         _coders[path] = SpeculativeBPE(path)
     return _coders[path]
 
