@@ -177,17 +177,24 @@ def grow(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 50, depth:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", **grow_options) -> Forest:
-    """Forest from at most `rows` labelled documents.  Rows with a null id or label, or without a document, are left out."""
-    picked = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    """Forest from at most `rows` labelled documents.
+
+    Rows with a null id or label, or without a document, are left out; of several labels of one id the smallest counts, of
+    several texts the one with the smallest hash.  With no label left all documents are kept, with labels of one kind all
+    get that kind's verdict.
+    """
+    picked = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def work(batches):
         for b in common.chunks(batches):
             _, x = statistics(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("y"), *(pa.array(c) for c in x.T)], ["y", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("y"), *(pa.array(c) for c in x.T)], ["doc_id", "mark", "y", *FEATURES])
 
-    schema = "y int, " + ", ".join(f"{f} double" for f in FEATURES)
-    d = common.documents(docs, id_col, text_col)
-    got = d.join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(work, schema).toPandas()  # both bounded by `rows`
+    schema = "doc_id long, mark long, y int, " + ", ".join(f"{f} double" for f in FEATURES)
+    d = common.documents(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    each = d.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "y", "text").mapInArrow(work, schema)
+    one = each.groupBy("doc_id").agg(F.min_by(F.struct("y", *FEATURES), "mark").alias("r")).select("r.*")
+    got = one.toPandas()  # one row for each picked label: bounded by `rows`
     got = got.sort_values(list(got.columns), kind="stable")
     return grow(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy(float), list(FEATURES.values()), **grow_options)
 
@@ -210,7 +217,7 @@ def verdicts(docs: DataFrame, forest: Forest, least: float = 0.5, id_col: str =
 
 
 def keep_good(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that `verdicts` keeps, with all their columns."""
+    """The documents that `verdicts` keeps, with all their columns: none with a null or empty text; repeated rows alike."""
 
     def work(batches):
         for b in batches:
@@ -220,6 +227,7 @@ def keep_good(docs: DataFrame, forest: Forest, least: float = 0.5, text_col: str
                 base, x = statistics(c.column("text").to_pylist())
                 failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
                 good = ~failed & (forest.probability(x) >= least)
-                yield b.take(c.column("row").filter(pa.array(good)))
+                lo = c.column("row")[0].as_py()
+                yield b.slice(lo, c.num_rows).filter(pa.array(good))
 
     return docs.mapInArrow(work, docs.schema)
