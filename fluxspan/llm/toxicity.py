@@ -26,24 +26,29 @@ LANDMARKS = 200
 SPAN, DECAY = 6, 0.6
 #: A longer string is read in overlapping pieces of this length.
 PIECE = 32
-CACHE_WORDS = 600_000
 STEPS = [(a, b, c) for a in range(1, SPAN) for b in range(1, SPAN - a) for c in range(1, SPAN - a - b)]
 
 
+def spelled_out(data: np.ndarray, s: np.ndarray, e: np.ndarray, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Runs of three or more words of a single character, put together, and the text of each.  bounds: first words of texts."""
+    begins = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    single = np.concatenate(([False], begins[e] - begins[s] == 1, [False]))
+    apart = np.zeros(len(s) + 1, bool)
+    apart[bounds] = True
+    open_ = np.flatnonzero(single[1:-1] & (~single[:-2] | apart[:-1]))
+    shut = np.flatnonzero(single[1:-1] & (~single[2:] | apart[1:])) + 1
+    long = shut - open_ > 2
+    raw, runs = data.tobytes(), []
+    for a, b in zip(open_[long].tolist(), shut[long].tolist(), strict=True):
+        runs.append(b"".join([raw[x:y] for x, y in zip(s[a:b].tolist(), e[a:b].tolist(), strict=True)]))
+    return runs, np.searchsorted(bounds, open_[long], side="right") - 1
+
+
 def strings_of(text: bytes) -> list[bytes]:
     """The white-space separated strings of a text, and each run of three or more single characters put together."""
-    words = text.split()
-    out, run = words, []
-    if any(len(w) == 1 for w in words):
-        out = list(words)
-        for w in [*words, b".."]:
-            if len(w) == 1:
-                run.append(w)
-            else:
-                if len(run) > 2:
-                    out.append(b"".join(run))
-                run = []
-    return out
+    data, _ = common.joined([text])
+    s, e = common.word_spans(data)
+    return text.split() + spelled_out(data, s, e, np.array([0, len(s)]))[0]
 
 
 def normal_forms(word: bytes) -> list[str]:
@@ -253,49 +258,74 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
 
 
 def train(docs: DataFrame, labels: DataFrame, texts: int = TRAINING_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> StringMachine:
-    """Machine from at most `texts` labelled texts of each class.  Rows without an id, a label or a document are left out."""
-    rows = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna()
+    """Machine from at most `texts` labelled texts of each class.
+
+    Rows without an id, a label or a document are left out; of several labels of one id the largest counts, of several texts
+    the one with the smallest hash.
+    """
+    rows = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = rows.where("y = 1").orderBy(*order).limit(texts).union(rows.where("y = 0").orderBy(*order).limit(texts))
 
     def work(batches):
         for b in common.chunks(batches):
             bags = [sorted({f for w in set(strings_of(t)) for f in normal_forms(w)}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(["\n".join(x) for x in bags])], ["y", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("y"), pa.array(["\n".join(x) for x in bags])], ["doc_id", "mark", "y", "bag"])
 
-    d = common.documents(docs, id_col, text_col)
-    got = d.join(F.broadcast(picked), "doc_id").select("y", "text").mapInArrow(work, "y int, bag string").collect()  # bounded by `texts`
+    d = common.documents(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    each = d.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "y", "text").mapInArrow(work, "doc_id long, mark long, y int, bag string")
+    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "bag"), "mark").alias("r")).select("r.*").collect()  # one row for each picked label
     got.sort(key=lambda r: (r.y, r.bag))
     return fit([r.bag.split("\n") if r.bag else [] for r in got], np.array([r.y for r in got], np.int64))
 
 
-_known: dict[str, dict[bytes, float]] = {}
+_known: dict[str, common.Recent] = {}
+#: Margin of a text without any string.
+FLOOR = -2.0
 
 
 def scores(docs: DataFrame, machine: StringMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, of the worst string) of every document; a null or empty text scores like no string at all."""
     token = f"{abs(hash((machine.weights.tobytes(), machine.bias))):x}"
 
+    def worst_forms(words: list[bytes]) -> list[float]:
+        """The highest margin of each word's forms."""
+        out = []
+        for lo in range(0, len(words), 20_000):
+            forms = [normal_forms(w) for w in words[lo : lo + 20_000]]
+            best = np.full(len(forms), FLOOR)
+            np.maximum.at(best, np.repeat(np.arange(len(forms)), [len(f) for f in forms]), machine.margins([x for f in forms for x in f]))
+            out += best.tolist()
+        return out
+
     def work(batches):
-        known = _known.setdefault(token, {})
-        floor = -2.0
+        if token not in _known:
+            _known.clear()  # a worker serves one machine at a time
+            _known[token] = common.Recent()
+        known = _known[token]
+
+        def margins(words: list[bytes]) -> np.ndarray:
+            got = [known.get(w) for w in words]
+            new = [k for k, m in enumerate(got) if m is None]
+            for k, m in zip(new, worst_forms([words[k] for k in new]), strict=True):
+                got[k] = m
+                known.put(words[k], m)
+            return np.array(got, float)
+
         for b in common.chunks(batches):
-            split = [strings_of(t) for t in b.column("text").to_pylist()]
-            new = {w for ws in split for w in ws} - known.keys()
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = {w for ws in split for w in ws}
-            new = list(new)
-            for lo in range(0, len(new), 50_000):
-                part = new[lo : lo + 50_000]
-                forms = [normal_forms(w) for w in part]
-                counts = np.array([len(f) for f in forms])
-                m = machine.margins([x for f in forms for x in f])
-                best = np.full(len(part), floor)
-                np.maximum.at(best, np.repeat(np.arange(len(part)), counts), m)
-                known.update(zip(part, best.tolist(), strict=True))
-            get = known.__getitem__
-            worst = np.array([max(map(get, ws), default=floor) for ws in split])
+            texts = b.column("text").to_pylist()
+            data, text_starts = common.joined(texts)
+            s, e = common.word_spans(data)
+            bounds = np.searchsorted(s, text_starts)
+            first, number = common.distinct_spans(data, s, e)
+            raw = data.tobytes()
+            each = margins([raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)])[number]
+            worst = np.full(len(texts), FLOOR)
+            some = np.flatnonzero(bounds[1:] > bounds[:-1])
+            if len(some):
+                worst[some] = np.maximum.reduceat(each, bounds[some])
+            runs, text = spelled_out(data, s, e, bounds)
+            np.maximum.at(worst, text, margins(runs))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(machine.probability(worst))], ["doc_id", "score"])
 
     return common.documents(docs, id_col, text_col).mapInArrow(work, "doc_id long, score double")
@@ -307,6 +337,10 @@ def held_out(col):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7, texts: int = TRAINING_TEXTS) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from `least` on)."""
+    """doc_id, held_out, score, predicted (1 from `least` on).
+
+    One row for each document, repeated rows alike.  A null or empty text scores as one without strings.  Labels that are
+    null, or without a document, teach nothing; with none, or labels of one kind, all scores are that kind's.
+    """
     machine = train(docs, labels.where(~held_out(F.col("doc_id"))), texts)
     return scores(docs, machine).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.expr(f"cast(score >= {least} as int)").alias("predicted"))
