@@ -1,12 +1,13 @@
-"""What the two substring operators share: exact grouping of byte strings, packed runs of windows, and the Spark stages.
+"""What the two substring operators share: order of byte strings, packed runs of windows, and the Spark stages.
 
 A window is a fixed number of consecutive units (words or bytes) of one document.  Each window is assigned an anchor, the
 leftmost smallest-hashed gram inside it, which depends on the window's content alone; consecutive windows with one anchor
 form a run.  A run travels as one packed string to the bucket of its anchor, so equal windows always meet.
 
-Before the shuffle each chunk of texts settles its own repeats and sends only windows that are its first, which bounds a
-hot passage by one run for each chunk rather than each copy.  Anchors that are frequent in a sample are split further by
-the distance between window and anchor, which equal windows share.
+Before the shuffle each chunk of texts settles its own repeats and sends only windows that are its first.  Anchors that are
+frequent in a sample are split twice: by a second gram that equal windows share, which parts a common gram's contexts; and
+by chunks, whose parts settle first and pass on only their distinct windows, so that a passage that every chunk holds
+meets in two steps.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,26 @@ from . import common
 
 #: Packed bytes, about, that one bucket holds before compression.
 BUCKET_BYTES = 24 << 20
-#: Bytes of sampled text that splitters and frequent anchors are taken from.
-SAMPLE_BYTES = 8 << 20
+#: Bytes of sampled text that splitters and frequent anchors are taken from: at least, and as a share of all text.
+SAMPLE_BYTES, SAMPLE_SHARE = 8 << 20, 1 / 4096
+#: Runs of an anchor in the sample from which on its share counts, ranges that leading bytes are cut into at most.
+RECURS, RANGES = 4, 4096
 NULL_ID = -(1 << 63)
 #: zstandard level of packed runs: they are most of what the operators shuffle.
 PACK_LEVEL = 4
 
 
-def first_rank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each string data[start:end] the smallest rank among all equal strings: multikey quicksort on 8-byte symbols.
+def suffix_order(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings data[start:end], and whether each in that order equals its neighbour before.
 
-    Strings that differ so far leave at once; a group whose strings agree in the next symbol isn't sorted again.
-    `data` has at least 8 spare bytes at its end.
+    Multikey quicksort on 8-byte symbols: strings that differ so far are in place, and a group whose strings agree in the
+    next symbol isn't sorted again.  Strings that are equal up to the end of the shorter are ordered by length.  `data` has
+    at least 8 spare bytes at its end.
     """
-    out = rank.copy()
-    if len(starts) < 2:
-        return out
+    n = len(starts)
+    same = np.zeros(n, bool)
+    if n < 2:
+        return np.arange(n), same
     symbols = np.ndarray(len(data) - 7, ">u8", np.ascontiguousarray(data).data, strides=(1,))
     lengths = ends - starts
     masks = np.array([0] + [((1 << 64) - 1) ^ ((1 << (8 * (8 - k))) - 1) for k in range(1, 9)], np.uint64)
@@ -48,40 +54,53 @@ def first_rank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.
         at = np.minimum(starts[idx] + depth, len(symbols) - 1)
         return symbols[at].astype(np.uint64) & masks[np.clip(lengths[idx] - depth, 0, 8)]
 
-    def cut(idx: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members of groups of two or more, and where these groups begin; new: marks the first of each group."""
+    def cut(place: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of groups of two or more, and where these groups begin; new: marks the first of each group."""
         heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, len(idx)))
+        sizes = np.diff(np.append(heads, len(place)))
         keep = np.repeat(sizes > 1, sizes)
         sizes = sizes[sizes > 1]
-        return idx[keep], np.cumsum(sizes) - sizes
+        return place[keep], np.cumsum(sizes) - sizes
 
-    key = symbol(np.arange(len(starts)), 0)
-    idx = np.argsort(key)
-    key = key[idx]
-    new = np.ones(len(idx), bool)
+    key = symbol(np.arange(n), 0)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    idx, heads = cut(idx, new)
-    depth = 0
-    longest = int(lengths.max())
-    while len(idx) and depth < longest:
-        key = lengths[idx].astype(np.uint64) if depth == 0 else symbol(idx, depth)
-        depth += 8
-        sizes = np.diff(np.append(heads, len(idx)))
+    place, heads = cut(np.arange(n), new)
+    depth, longest = 8, int(lengths.max())
+    while len(place):
+        last = depth >= longest
+        idx = order[place]
+        key = lengths[idx].astype(np.uint64) if last else symbol(idx, depth)
+        sizes = np.diff(np.append(heads, len(place)))
         alike = np.logical_and.reduceat(key == np.repeat(key[heads], sizes), heads)
-        if alike.all():
-            continue
-        new = np.zeros(len(idx), bool)
-        new[heads] = True
-        part = np.flatnonzero(np.repeat(~alike, sizes))
-        group = np.repeat(np.arange(len(heads)), sizes)[part]
-        order = np.lexsort((key[part], group))
-        idx[part], key[part] = idx[part][order], key[part][order]
-        new[part[1:]] |= (key[part[1:]] != key[part[:-1]]) | (group[1:] != group[:-1])
-        idx, heads = cut(idx, new)
-    if len(idx):
-        sizes = np.diff(np.append(heads, len(idx)))
-        out[idx] = np.repeat(np.minimum.reduceat(rank[idx], heads), sizes)
+        if not alike.all():
+            new = np.zeros(len(place), bool)
+            new[heads] = True
+            part = np.flatnonzero(np.repeat(~alike, sizes))
+            group = np.repeat(np.arange(len(heads)), sizes)[part]
+            by = np.lexsort((key[part], group))
+            order[place[part]], key[part] = idx[part][by], key[part][by]
+            new[part[1:]] |= (key[part[1:]] != key[part[:-1]]) | (group[1:] != group[:-1])
+            place, heads = cut(place, new)
+        if last:
+            break
+        depth += 8
+    if len(place):
+        same[place] = True
+        same[place[heads]] = False
+    return order, same
+
+
+def first_rank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each string data[start:end] the smallest rank among all equal strings, which are neighbours in their order."""
+    if not len(starts):
+        return rank.copy()
+    order, same = suffix_order(data, starts, ends)
+    heads = np.flatnonzero(~same)
+    out = np.empty(len(rank), rank.dtype)
+    out[order] = np.repeat(np.minimum.reduceat(rank[order], heads), np.diff(np.append(heads, len(order))))
     return out
 
 
@@ -117,17 +136,16 @@ class Runs:
         r, p = run[head], pos[head]
         return Runs(self.doc[r], self.start[r] + p, np.diff(np.append(head, len(run))), self.anchor[r] - p, self.unit[r] + p)
 
-    def blocks(self, hot: np.ndarray, size: int) -> tuple[Runs, np.ndarray]:
-        """Runs marked hot cut where the distance to the anchor passes a multiple of `size`; and each piece's block, 0 if not hot."""
-        if not hot.any():
-            return self, np.zeros(len(self.n), np.int64)
+    def split(self, marked: np.ndarray, value: np.ndarray) -> tuple[Runs, np.ndarray]:
+        """Marked runs cut where `value`, of each window by its first unit in the chunk, changes; and each piece's value, 0 if
+        not marked."""
         run, pos = np.repeat(np.arange(len(self.n)), self.n), ramp(self.n)
-        block = np.where(hot[run], 1 + (self.anchor[run] - pos) // size, 0)
+        each = np.where(marked[run], value[np.minimum(self.unit[run] + pos, len(value) - 1)], np.uint64(0))
         new = np.ones(len(run), bool)
-        new[1:] = (run[1:] != run[:-1]) | (block[1:] != block[:-1])
+        new[1:] = (run[1:] != run[:-1]) | (each[1:] != each[:-1])
         head = np.flatnonzero(new)
         r, p = run[head], pos[head]
-        return Runs(self.doc[r], self.start[r] + p, np.diff(np.append(head, len(run))), self.anchor[r] - p, self.unit[r] + p), block[head]
+        return Runs(self.doc[r], self.start[r] + p, np.diff(np.append(head, len(run))), self.anchor[r] - p, self.unit[r] + p), each[head]
 
 
 @dataclass
@@ -229,6 +247,13 @@ def gather(data: np.ndarray, lo: np.ndarray, lengths: np.ndarray) -> bytes:
     return data[np.repeat(lo, lengths) + ramp(lengths)].tobytes()
 
 
+def packed(units: Units, size: int, runs: Runs, ids: np.ndarray, marks: np.ndarray) -> bytes:
+    """The runs with their text; ids and marks: of their documents."""
+    lo = units.begin(runs.unit)
+    lengths = units.end(runs.unit + runs.n - 1, size) - lo
+    return pack(ids, marks, runs.start, runs.n, runs.anchor, lengths, gather(units.data, lo, lengths))
+
+
 @dataclass
 class Method:
     """How an operator cuts texts into units and anchors, and deals anchors to buckets."""
@@ -237,22 +262,29 @@ class Method:
     gram: int  # units of an anchor
     #: texts -> units, runs; documents are numbered as given
     runs: Callable[[list[bytes]], tuple[Units, Runs]]
-    #: units, runs, anchors' numbers, splitters -> bucket of each run
+    #: units -> hash of the gram at each unit
+    grams: Callable[[Units], np.ndarray]
+    #: units, runs, anchors' numbers, splitters, buckets -> bucket of each run
     deal: Callable[[Units, Runs, np.ndarray, np.ndarray, int], np.ndarray]
     #: concatenated packed strings, windows of each run -> units, first unit of each run
     reread: Callable[[bytes, np.ndarray, np.ndarray], tuple[Units, np.ndarray]]
-    #: a sample's units and runs -> splitters
-    split: Callable[[Units, Runs, int], np.ndarray]
-    block: int  # distances to a hot anchor that stay together
+
+    def contexts(self, units: Units) -> np.ndarray:
+        """For each unit the smallest of other hashes of the grams of the window that begins there."""
+        g = common.mix(self.grams(units) ^ np.uint64(0x94D049BB133111EB))
+        return common.sliding_min(g, self.size - self.gram + 1)
 
 
-SENT = "bucket int, runs binary, done binary"
+SENT = "bucket int, sub int, runs binary, done binary"
 FOUND = "doc_id long, mark int, start int, n int"
 
 
-def sample_of(docs: DataFrame, total: int, method: Method, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters, and the sorted numbers of anchors that hold more than half a bucket; both from a sample of bounded size."""
-    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+def sample_of(docs: DataFrame, total: int, method: Method, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Splitters of leading bytes; sorted numbers of anchors that hold more than half a bucket, and how many buckets each fills.
+
+    The sample grows with the input, and is counted where it lies.
+    """
+    share = min(1.0, max(SAMPLE_BYTES, total * SAMPLE_SHARE) / max(total, 1))
 
     def work(batches):
         for b in common.chunks(batches):
@@ -262,17 +294,23 @@ def sample_of(docs: DataFrame, total: int, method: Method, buckets: int) -> tupl
             lead = np.ndarray(len(units.data) - 7, ">u8", np.ascontiguousarray(units.data).data, strides=(1,))[units.begin(at)].astype(np.uint64) if len(at) else anchors
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(lead.view(np.int64) ^ np.int64(-(1 << 63))), pa.array(runs.n.astype(np.int64) + method.size)], ["anchor", "lead", "weight"])
 
+    none = np.zeros(0, np.int64)
+    if buckets < 2:
+        return none, none.view(np.uint64), none
     got = docs.sample(share, 11).mapInArrow(work, "anchor long, lead long, weight long")
-    # the sample has a bounded size; only anchors that recur in it and evenly spaced splitters come to the driver
-    rows = got.groupBy("anchor", "lead").agg(F.sum("weight").alias("w"))
-    rows = rows.persist()
+    rows = got.groupBy("anchor", "lead").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).persist()
     try:
         all_w = rows.agg(F.sum("w")).first()[0] or 0
-        hot = [r[0] for r in rows.groupBy("anchor").agg(F.sum("w").alias("w")).where(F.col("w") * 2 * buckets > all_w).orderBy(F.desc("w")).limit(2 * buckets).collect()] if buckets > 1 else []
-        lead = rows.approxQuantile("lead", [k / buckets for k in range(1, buckets)], 0.25 / buckets) if buckets > 1 and all_w else []
+        # each has more than half a bucket, so there are at most twice as many as buckets
+        much = rows.groupBy("anchor").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where((F.col("w") * 2 * buckets > all_w) & (F.col("n") >= RECURS)).orderBy("anchor").collect()
+        ranges = min(buckets, RANGES)
+        lead = rows.approxQuantile("lead", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if all_w else []
     finally:
         rows.unpersist()
-    return np.array(sorted({int(x) for x in lead}), np.int64), np.unique(np.array(hot, np.int64).view(np.uint64))
+    hot = np.array([r.anchor for r in much], np.int64).view(np.uint64)
+    fills = np.array([-(-r.w * buckets // all_w) for r in much], np.int64)
+    order = np.argsort(hot)
+    return np.array(sorted({int(x) for x in lead}), np.int64), hot[order], np.maximum(fills[order], 2)
 
 
 def found_spans(docs: DataFrame, method: Method, buckets: int | None = None) -> DataFrame:
@@ -282,10 +320,10 @@ def found_spans(docs: DataFrame, method: Method, buckets: int | None = None) ->
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(1, -(-int(total * 3.3) // BUCKET_BYTES))
-    splitters, hot = sample_of(docs, total, method, buckets)
+    splitters, hot, fills = sample_of(docs, total, method, buckets)
 
     def send(batches):
-        for b in common.chunks(batches):
+        for number, b in enumerate(common.chunks(batches)):
             ids, marks = b.column("doc_id").to_numpy(), b.column("mark").to_numpy()
             units, runs = method.runs(b.column("text").to_pylist())
             ranks = doc_ranks(ids, marks)
@@ -294,44 +332,73 @@ def found_spans(docs: DataFrame, method: Method, buckets: int | None = None) ->
             runs = runs.pieces(~mask)
             if len(doc):
                 done = pack(ids[doc], marks[doc], start, n, n * 0, n * 0, b"")
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[doc[0]]) % buckets], pa.int32()), pa.array([None], pa.binary()), pa.array([done], pa.binary())], ["bucket", "runs", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[doc[0]]) % buckets], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([done], pa.binary())], ["bucket", "sub", "runs", "done"])
             if not len(runs.n):
                 continue
             anchors = units.anchors(runs)
-            runs, block = runs.blocks(np.isin(anchors, hot), method.block)
-            if len(block) != len(anchors):
+            sub, salt = np.zeros(len(anchors), np.int64), np.zeros(len(anchors), np.int64)
+            is_hot = np.isin(anchors, hot)
+            if is_hot.any():
+                runs, context = runs.split(is_hot, method.contexts(units))
                 anchors = units.anchors(runs)
-            bucket = (method.deal(units, runs, anchors, splitters, buckets) + block) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, runs = bucket[order], runs.take(order)
-            head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            lo = units.begin(runs.unit)
-            lengths = units.end(runs.unit + runs.n - 1, method.size) - lo
+                at = np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)
+                is_hot = hot[at] == anchors
+                parts = fills[at]
+                salt = np.where(is_hot, (common.mix(context) % parts.astype(np.uint64)).astype(np.int64), 0)
+                chunk = int(common.mix(np.array([TaskContext.get().partitionId() * 1_000_003 + number], np.uint64))[0] >> np.uint64(1))
+                sub = np.where(is_hot, 1 + chunk % np.ceil(np.sqrt(parts)).astype(np.int64), 0)
+            bucket = (method.deal(units, runs, anchors, splitters, buckets) + salt) % buckets
+            order = np.lexsort((sub, bucket))
+            bucket, sub, runs = bucket[order], sub[order], runs.take(order)
+            head = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (sub[1:] != sub[:-1]))))
             blobs = []
-            for a, z in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
-                d = runs.doc[a:z]
-                blobs.append(pack(ids[d], marks[d], runs.start[a:z], runs.n[a:z], runs.anchor[a:z], lengths[a:z], gather(units.data, lo[a:z], lengths[a:z])))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([None] * len(blobs), pa.binary())], ["bucket", "runs", "done"])
-
-    def settle(group: pa.Table) -> pa.Table:
-        outs = []
-        for blob in group.column("done").drop_null().to_pylist():
-            ids, marks, start, n, _, _, _ = unpack(blob)
-            outs.append((ids, marks, start, n))
-        parts = [unpack(x) for x in group.column("runs").drop_null().to_pylist()]
-        if parts:
-            ids, marks, start, n, anchor, lengths = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            data = b"".join(p[6] for p in parts)
-            del parts
-            units, unit = method.reread(data, n, lengths)
-            runs = Runs(np.arange(len(ids)), start, n, anchor, unit)
-            mask = repeated(units, runs, doc_ranks(ids, marks) + start)
-            run, start, n = spans(runs, mask)
-            outs.append((ids[run], marks[run], start, n))
+            for x, y in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
+                part = runs.take(slice(x, y))
+                blobs.append(packed(units, method.size, part, ids[part.doc], marks[part.doc]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), pa.array(sub[head].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([None] * len(blobs), pa.binary())], ["bucket", "sub", "runs", "done"])
+
+    def settled(blobs: list[bytes]) -> tuple[tuple, Callable[[], bytes | None]]:
+        """Repeated stretches among packed runs, and what packs the other windows again."""
+        parts = [unpack(x) for x in blobs]
+        ids, marks, start, n, anchor, lengths = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        data = b"".join(p[6] for p in parts)
+        del parts
+        units, unit = method.reread(data, n, lengths)
+        runs = Runs(np.arange(len(ids)), start, n, anchor, unit)
+        mask = repeated(units, runs, doc_ranks(ids, marks) + start)
+        run, start, n = spans(runs, mask)
+        left = runs.pieces(~mask)
+        return (ids[run], marks[run], start, n), lambda: packed(units, method.size, left, ids[left.doc], marks[left.doc]) if len(left.n) else None
+
+    def as_table(outs: list[tuple]) -> pa.Table:
         cols = [np.concatenate([o[k] for o in outs]) if outs else np.zeros(0, np.int64) for k in range(4)]
         return pa.table([pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], ["doc_id", "mark", "start", "n"])
 
-    return docs.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(settle, FOUND)
+    def settle(group: pa.Table) -> pa.Table:
+        outs, rest = [unpack(x)[:4] for x in group.column("done").drop_null().to_pylist()], None
+        runs = group.column("runs").drop_null().to_pylist()
+        if runs:
+            found, left = settled(runs)
+            outs.append(found)
+            rest = left() if group.column("sub")[0].as_py() else None
+        t = as_table(outs)
+        bucket = group.column("bucket")[0].as_py()
+        t = t.append_column("bucket", pa.array([bucket] * t.num_rows, pa.int32())).append_column("rest", pa.array([None] * t.num_rows, pa.binary()))
+        if rest is None:
+            return t
+        more = pa.table([pa.array([None], pa.int64()), *[pa.array([None], pa.int32())] * 3, pa.array([bucket], pa.int32()), pa.array([rest], pa.binary())], t.schema.names)
+        return pa.concat_tables([t, more])
+
+    def compare(group: pa.Table) -> pa.Table:
+        return as_table([settled(group.column("rest").to_pylist())[0]])
+
+    first = docs.mapInArrow(send, SENT).groupBy("bucket", "sub").applyInArrow(settle, FOUND + ", bucket int, rest binary")
+    if not len(hot):
+        return first.select("doc_id", "mark", "start", "n")
+    # the distinct windows of the parts of frequent anchors are compared across the parts
+    first = common.written(first)
+    second = first.where("rest is not null").groupBy("bucket").applyInArrow(compare, FOUND)
+    return first.where("rest is null").select("doc_id", "mark", "start", "n").union(second)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -54,17 +54,20 @@ def word_method(size: int = 20, gram: int = 4) -> Method:
         if len(s) < size:
             return units, Runs(none, none, none, none, none)
         doc = np.searchsorted(text_starts, s, side="right") - 1
-        h = common.span_hashes(data, s, e)
-        g = h[: len(h) - gram + 1].copy()
-        for k in range(1, gram):
-            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - gram + 1 + k]
-        where = leftmost_min(common.mix(g), size - gram + 1)
+        where = leftmost_min(grams(units), size - gram + 1)
         last = np.arange(len(s) - size + 1) + size - 1
         valid = np.flatnonzero(doc[last] == doc[: len(last)])
         first_word = np.searchsorted(s, text_starts[:-1])
         d = doc[valid]
         return units, anchored(valid, where[valid], d, valid - first_word[d])
 
+    def grams(units: Units) -> np.ndarray:
+        h = common.span_hashes(units.data[:-16], units.starts, units.ends)
+        g = h[: len(h) - gram + 1].copy()
+        for k in range(1, gram):
+            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - gram + 1 + k]
+        return common.mix(g)
+
     def deal(units, runs, anchors, splitters, buckets):
         return (common.mix(anchors) % np.uint64(buckets)).astype(np.int64)
 
@@ -78,7 +81,7 @@ def word_method(size: int = 20, gram: int = 4) -> Method:
         words = n + size - 1
         return Units(np.concatenate((flat, np.zeros(16, np.uint8))), size, gram, starts, ends), np.cumsum(words) - words
 
-    return Method(size, gram, runs, deal, reread, None, block=4)
+    return Method(size, gram, runs, grams, deal, reread)
 
 
 def substring_dedup(docs: DataFrame, size: int = 20, gram: int = 4, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

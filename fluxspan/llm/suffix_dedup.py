@@ -4,8 +4,9 @@ Suffixes are ordered by their leading bytes: splitters from a sample cut that or
 suffixes by multikey quicksort as far as a window reaches, and neighbours in that order tell which strings occur earlier.
 Sending all suffixes would multiply the input a hundredfold, so suffixes travel in runs: those whose window contains
 the same anchor (the smallest-hashed gram) are one packed string, placed by the suffix that begins at the anchor.  Equal
-windows have equal anchors, so no pair of equal suffixes is separated by a border between buckets, and an anchor too
-frequent for one bucket is spread over the following ones by the distance to the anchor, which equal windows share.
+windows have equal anchors, so no pair of equal suffixes is separated by a border between ranges; a range with an anchor
+too frequent for one bucket is cut into parts by text chunks, and the distinct suffixes of these parts, each ordered on its
+own, are compared across the borders of the parts.
 """
 
 from __future__ import annotations
@@ -34,16 +35,7 @@ def byte_method(size: int = 100, gram: int = 16) -> Method:
         windows = np.maximum(lengths - size + 1, 0)
         if not windows.sum():
             return units, Runs(none, none, none, none, none)
-        symbols = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
-        n = len(data) - 16
-        g = symbols[: n - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(8, gram, 8):
-            g ^= g >> np.uint64(31)
-            g += symbols[min(k, gram - 8) : n - gram + 1 + min(k, gram - 8)]
-            g *= np.uint64(0xD6E8FEB86659FD93)
-        g ^= g >> np.uint64(32)
-        g *= np.uint64(0x2545F4914F6CDD1D)
-        where = leftmost_min(g, size - gram + 1)
+        where = leftmost_min(grams(units), size - gram + 1)
         if (windows > 0).all() and len(texts) == 1:
             valid, doc = np.arange(windows[0]), np.zeros(windows[0], np.int64)
         else:
@@ -52,14 +44,29 @@ def byte_method(size: int = 100, gram: int = 16) -> Method:
             valid = np.arange(total[-1]) + (starts - (total - windows))[doc]
         return units, anchored(valid, where[valid], doc, valid - starts[doc])
 
+    def grams(units: Units) -> np.ndarray:
+        symbols = np.ndarray(len(units.data) - 7, "<u8", np.ascontiguousarray(units.data).data, strides=(1,))
+        n = len(units.data) - 16
+        g = symbols[: n - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(8, gram, 8):
+            g ^= g >> np.uint64(31)
+            g += symbols[min(k, gram - 8) : n - gram + 1 + min(k, gram - 8)]
+            g *= np.uint64(0xD6E8FEB86659FD93)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0x2545F4914F6CDD1D)
+        return g
+
     def deal(units, runs, anchors, splitters, buckets):
+        """The range of the suffix that begins at the anchor; a range that stands for several buckets is dealt by anchors."""
         lead = np.ndarray(len(units.data) - 7, ">u8", np.ascontiguousarray(units.data).data, strides=(1,))[runs.unit + runs.anchor]
-        return np.searchsorted(splitters, lead.astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63)), side="right")
+        range_ = np.searchsorted(splitters, lead.astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63)), side="right")
+        each = max(1, buckets // (len(splitters) + 1))
+        return range_ * each + (common.mix(anchors) % np.uint64(each)).astype(np.int64)
 
     def reread(data: bytes, n: np.ndarray, lengths: np.ndarray) -> tuple[Units, np.ndarray]:
         return Units(np.frombuffer(data + bytes(16), np.uint8), size, gram), np.cumsum(lengths) - lengths
 
-    return Method(size, gram, runs, deal, reread, None, block=16)
+    return Method(size, gram, runs, grams, deal, reread)
 
 
 def suffix_dedup(docs: DataFrame, size: int = 100, gram: int = 16, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
