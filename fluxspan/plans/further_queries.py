@@ -9,7 +9,7 @@ from ..functions import scalar as fn
 from ..operators import catalog, filters, fits, joins, pixels, spectra, stats, windows
 from ..sources import tables
 from ..streaming import readiness
-from . import storage
+from . import registry, storage
 from . import views as v
 from .registry import query, rounded
 
@@ -491,3 +491,6 @@ def _(spark, d):
     readiness.run_to_end(spark, readiness.merge_status(raw, f"{path}/table", ["user_id"], "ts", "event_type", f"{path}/state"))
     status = readiness.read_status(spark, f"{path}/table").select(F.col("user_id").alias("c_custkey"), "event_type")
     return readiness.still_to_do(v.table(spark, d, "customer").select("c_custkey"), status, ["c_custkey"], "event_type", "purchase")
+
+
+registry._sql["num1_periodogram_whole"] = registry._sql["num1_periodogram"]
