@@ -14,8 +14,10 @@ from . import common
 #: log2 of the buckets of a sketch, and the relative distance from the threshold inside which counts are exact.
 #: Three standard errors of 2**8 buckets are 0.2, and sketches of few sites are exact.
 SKETCH_LOG2, NEAR = 8, 0.25
-#: Parts that a frequent line is spread over when it meets its verdict.
-SALTS = 16
+#: Rows of the most frequent line for each of the parts that lines are spread over when they meet their verdicts, and how
+#: many parts there are at most; what is still skewed then is left to adaptive execution.
+SALT_ROWS, MOST_SALTS = 1_000_000, 64
+RESULTS = ["_kept", "_lines", "_removed"]
 
 
 def line_hashes(docs: DataFrame, text_col: str = "text", **keep) -> DataFrame:
@@ -25,46 +27,60 @@ def line_hashes(docs: DataFrame, text_col: str = "text", **keep) -> DataFrame:
     return lines.where(F.length(F.translate("line", " \t\x0b\x0c\r", "")) > 0).select(*keep, "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, sites: int, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """h, h2 of the lines on at least `sites` distinct sites.  A null site is no site."""
-    rows = line_hashes(docs, text_col, site=F.col(f"`{site_col}`").cast("string")).where("site is not null").drop("pos")
-    # partial sums before the shuffle: a line with fewer rows than `sites` needs no sketch
-    pairs = rows.groupBy("h", "h2", "site").agg(F.count("*").alias("n"))
+def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
+    """h, h2 and number of rows n of the lines on at least `sites` distinct sites.
+
+    lines: h, h2, site, in any number of rows.  A null site is no site; no lines give no rows.
+    """
+    rows = lines.where("site is not null")
+    # partial sums before the shuffle: a line with fewer rows than `sites`, or on one site alone, needs no sketch
     seen = rows.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    often = common.written(seen.where((F.col("n") >= sites) & ((F.col("lo") != F.col("hi")) | (F.lit(sites) <= 1))).select("h", "h2"))
-    few = pairs.join(often, ["h", "h2"]).select("h", "h2", "site")
-    spread = common.written(few.groupBy("h", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_LOG2)).alias("sketch")).select("h", "h2", F.hll_sketch_estimate("sketch").alias("estimate")))
-    sure = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("h", "h2")
+    often = seen.where((F.col("n") >= sites) & ((F.col("lo") != F.col("hi")) | (F.lit(sites) <= 1))).select("h", "h2", "n")
+    pairs = rows.groupBy("h", "h2", "site").agg(F.count("*").alias("m"))
+    few = common.written(pairs.join(often.hint("merge"), ["h", "h2"]).select("h", "h2", "site", "n"))
+    spread = few.groupBy("h", "h2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_LOG2)).alias("sketch"), F.max("n").alias("n"))
+    spread = common.written(spread.select("h", "h2", "n", F.hll_sketch_estimate("sketch").alias("estimate")))
+    sure = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("h", "h2", "n")
     near = spread.where(F.col("estimate").between(sites * (1 - NEAR), sites * (1 + NEAR))).select("h", "h2")
-    exact = few.join(near, ["h", "h2"]).groupBy("h", "h2").agg(F.countDistinct("site").alias("d")).where(F.col("d") >= sites).select("h", "h2")
+    exact = few.join(near.hint("merge"), ["h", "h2"]).groupBy("h", "h2").agg(F.countDistinct("site").alias("d"), F.max("n").alias("n")).where(F.col("d") >= sites).select("h", "h2", "n")
     return sure.union(exact)
 
 
 def without_boilerplate(docs: DataFrame, sites: int = 10, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, and _kept (the text without boilerplate lines), _lines and _removed (numbers of lines).
+    """All columns of `docs`, and _kept (the text without boilerplate lines), _lines and _removed (numbers of lines), which
+    replace input columns of these names.
 
     Lines end at line feeds; lines without a word are never boilerplate and stay; the others are joined as they were.
     Null text: _kept null, no lines.  Empty text: one line without a word.  Rows with equal id and text count as one
-    document for the cut, and each gets the result.  A line is known by 96 bits of hashes.
+    document for the cut, and each gets the result.  A line on exactly `sites` sites goes; a null site is no site, but
+    its lines are cut like others.  A line is known by 96 bits of hashes.  An empty table gives no rows.
     """
     # a row without an id has its text as its identity
     key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.xxhash64(F.col(f"`{text_col}`"))]
-    bad = common.written(boilerplate(docs, sites, site_col, text_col))
-    salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = line_hashes(docs, text_col, k1=key[0], k2=key[1]).withColumn("salt", F.pmod(F.hash("k1", "k2"), F.lit(SALTS)))
-    hits = rows.join(salted, ["h", "h2", "salt"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
-    out = docs.withColumns({"k1": key[0], "k2": key[1]}) if not {"k1", "k2", "_gone"} & set(docs.columns) else None
-    if out is None:
-        raise ValueError("columns k1, k2 and _gone are reserved")
-    text = F.col(f"`{text_col}`")
-    lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    joined = out.join(hits, ["k1", "k2"], "left")
-    return joined.select(*[f"`{c}`" for c in docs.columns], kept.alias("_kept"), F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_removed"))
+    # texts are split and hashed once; the table of hashes serves all passes but the last
+    lines = common.written(line_hashes(docs, text_col, k1=key[0], k2=key[1], site=F.col(f"`{site_col}`").cast("string")))
+    bad = common.written(boilerplate(lines, sites))
+    most = bad.agg(F.max("n")).first()[0] or 0
+    salts = min(MOST_SALTS, max(1, -(-most // SALT_ROWS)))
+    salted = bad.select("h", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = lines.withColumn("salt", F.pmod(F.hash("k1", "k2"), F.lit(salts)))
+    mark = "_gone"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    hits = rows.join(salted.hint("merge"), ["h", "h2", "salt"]).groupBy(F.col("k1").alias(f"{mark}1"), F.col("k2").alias(f"{mark}2")).agg(F.collect_set("pos").alias(mark))
+    text, gone = F.col(f"`{text_col}`"), F.col(mark)
+    parts = F.split(text, "\n", -1)
+    kept = F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(gone, i)), "\n"))
+    joined = docs.join(hits, (key[0] == F.col(f"{mark}1")) & (key[1] == F.col(f"{mark}2")), "left")
+    counts = [F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long")]
+    return joined.select(*[f"`{c}`" for c in docs.columns if c not in RESULTS], *[e.alias(n) for e, n in zip((kept, *counts), RESULTS, strict=True)])
 
 
 def line_report(docs: DataFrame, sites: int = 10, **names) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds; of nothing for a null text)."""
+    """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line feeds; of nothing for a null text).
+
+    As `without_boilerplate`: a row for each input row.
+    """
     out = without_boilerplate(docs.select("doc_id", "text", "source"), sites, **names)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
 
