@@ -80,6 +80,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"), BOILERPLATE_SITES)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_report
+
+    return importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +97,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .line_dedup import report_sql
+    from . import importance, line_dedup
 
-    return {"op10_line_dedup": report_sql(BOILERPLATE_SITES)}
+    return {"op10_line_dedup": line_dedup.report_sql(BOILERPLATE_SITES), "op12_importance_resampling": importance.report_sql()}
