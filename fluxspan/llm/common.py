@@ -46,6 +46,19 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
+def crc32_sql(digits: str) -> str:
+    """SQL for the crc32 of a text, from a column with its bytes in hexadecimal digits: four bits in a step."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = 0xEDB88320 ^ (k >> 1) if k & 1 else k >> 1
+        table.append(k)
+    value = "instr('0123456789ABCDEF', substr({d}, {at}, 1)) - 1"
+    low, high = (value.format(d=digits, at=at) for at in ("i + 1", "i"))
+    halves = f"flatten(list_transform(range(1, length({digits}), 2), lambda i: [{low}, {high}]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {halves}::bigint[]), lambda c, x: xor(list_extract({table}::bigint[], (xor(c, x) & 15) + 1), c >> 4)), 4294967295::bigint)"
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Bytes of text in all rows, to size buckets by."""
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0

@@ -226,12 +226,10 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
 def report_sql(buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> str:
     """The same report as SQL: checksums go through the texts' hexadecimal digits, four bits in a step."""
-    table = "[" + ", ".join(str(_nibble(k)) for k in range(16)) + "]"
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = f"list_filter(regexp_split_to_array(coalesce({lower}, ''), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     runs = " union all ".join(f"select tab, id, unnest(list_transform(range(1, len(w) - {k - 1} + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) as f from t where len(w) >= {k}" for k in range(1, ORDER + 1))
-    digits = "list_transform(range(1, length(h), 2), lambda i: [instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1, instr('0123456789ABCDEF', substr(h, i, 1)) - 1])"
-    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, flatten({digits})::bigint[]), lambda c, x: xor(list_extract({table}::bigint[], (xor(c, x) & 15) + 1), c >> 4)), 4294967295::bigint)"
+    crc = common.crc32_sql("h")
     return f"""
     with t as (select 'd' as tab, doc_id as id, {words} as w from documents union all select 'b', item_id, {words} from benchmark),
     g as ({runs}),
@@ -245,9 +243,3 @@ def report_sql(buckets: int = BUCKETS, percent: int = PERCENT, least_words: int
           (coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5)::double / 4294967296))))::bigint as score from h left join w on h.id = w.id),
     r as (select *, row_number() over (order by words >= {least_words} desc, score desc, id) as r, floor({percent} * sum((words >= {least_words})::int) over () / 100) as most from s)
     select id as doc_id, n_features, weight, score, case when r <= most then r end as rank from r"""
-
-
-def _nibble(k: int) -> int:
-    for _ in range(4):
-        k = 0xEDB88320 ^ (k >> 1) if k & 1 else k >> 1
-    return k

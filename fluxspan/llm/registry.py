@@ -86,6 +86,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair_report
+
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,6 +103,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import importance, line_dedup
+    from . import conversations, importance, line_dedup
 
-    return {"op10_line_dedup": line_dedup.report_sql(BOILERPLATE_SITES), "op12_importance_resampling": importance.report_sql()}
+    return {"op10_line_dedup": line_dedup.report_sql(BOILERPLATE_SITES), "op12_importance_resampling": importance.report_sql(), "op13_conversation_repair": conversations.report_sql()}
