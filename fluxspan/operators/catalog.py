@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fin, fin_nonneg, quadrature
 from .joins import near_join
+from .ranks import grouped
 from .stats import sign_label
 
 
@@ -180,7 +181,8 @@ def overlap_notes(pixels: DataFrame, profile: DataFrame, edges: DataFrame, g: li
     profile: `overlap_profile`; edges: g, edge - the fitted range of each group.  Rings count as inner up to half of it and
     as outer from two thirds on.
     """
-    inside = pixels.join(edges, g).where(F.col(r) <= F.col("edge")).groupBy(*g).agg(F.median(fin(one) - fin(other)).alias("inside_median"), F.avg(fin(one) - fin(other)).alias("inside_mean"))
+    d = fin(one) - fin(other)
+    inside = grouped(pixels.join(edges, g).where(F.col(r) <= F.col("edge")), g, [F.avg(d).alias("inside_mean")], {"inside_median": (d, 0.5)}).select(*g, "inside_median", "inside_mean")
     p = profile.join(edges, g).where(F.col("r_mid") <= F.col("edge"))
     size = F.abs("difference")
     s = p.groupBy(*g).agg(F.median(F.when(F.col("r_mid") <= 0.5 * F.col("edge"), size)).alias("inner_abs"), F.median(F.when(F.col("r_mid") >= 2 / 3 * F.col("edge"), size)).alias("outer_abs"), F.median("one_median").alias("scale"))
@@ -193,5 +195,5 @@ def overlap_notes(pixels: DataFrame, profile: DataFrame, edges: DataFrame, g: li
 def overlap_profile(pixels: DataFrame, g: list[str], r: str, one: str, other: str, width: float, least: int = 10) -> DataFrame:
     """Ring medians of two models' residuals, their difference and whether their signs agree (AGG11)."""
     b = F.floor(F.col(r) / width).cast("int")
-    s = pixels.groupBy(*g, b.alias("rbin")).agg(F.count("*").alias("n_pix"), F.median(fin(one)).alias("one_median"), F.median(fin(other)).alias("other_median"))
+    s = grouped(pixels.withColumn("rbin", b), [*g, "rbin"], [F.count("*").alias("n_pix")], {"one_median": (F.col(one), 0.5), "other_median": (F.col(other), 0.5)})
     return s.where(F.col("n_pix") >= least).withColumns({"difference": F.col("one_median") - F.col("other_median"), "same_sign": F.signum("one_median") == F.signum("other_median"), "r_mid": (F.col("rbin") + 0.5) * width})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import fin
 from .fits import spectrum_fit
 from .joins import interp_join
+from .ranks import grouped
 
 #: Columns of a row that stay together in the transpose.
 BLOCK = 64
@@ -55,7 +56,7 @@ def radial_power(power: DataFrame, g: list[str], edges: int = 80, least: int = 1
     p = p.withColumn("_top", F.lit(top)) if top else p.join(p.groupBy(*g).agg(F.max("k").alias("_top")), g)
     width = F.col("_top") / (edges - 1)
     b = p.where("k > 0 and k < _top").withColumn("kbin", F.floor(F.col("k") / width).cast("int"))
-    out = b.groupBy(*g, "kbin").agg(F.median("power").alias("power"), F.count("*").alias("n"), F.first("_top").alias("_top"))
+    out = grouped(b, [*g, "kbin"], [F.count("*").alias("n"), F.first("_top").alias("_top")], {"power": (F.col("power"), 0.5)})
     return out.where(F.col("n") >= least).withColumn("k", (F.col("kbin") + 0.5) * F.col("_top") / (edges - 1)).drop("_top")
 
 

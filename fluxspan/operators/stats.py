@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ab_zeropoint, fin, fin_pos, flux_from_mag, quadrature
-from ..plans.storage import written
+from ..plans.storage import discard, written
+from .ranks import beside, counted_bits, grouped, medians, quantiles, selected
 
 #: Magnitudes that are plausible.
 MBAR_RANGE = (10.0, 40.0)
@@ -18,21 +19,33 @@ def _counted(df: DataFrame, g: list[str], value: str) -> DataFrame:
     """Distinct finite values of each group with their counts, less the group's mean `_ref` for precise sums."""
     v = df.select(*g, fin(value).alias("_v")).where("_v is not null").groupBy(*g, "_v").agg(F.count("*").alias("_n"))
     ref = v.groupBy(*g).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_ref"))
-    return v.join(ref, g)
+    return counted_bits(v.join(ref, g), g)
 
 
-def _moments() -> list[Column]:
+def _moments(v: DataFrame, g: list[str], *also: Column) -> tuple[DataFrame, list[DataFrame], int]:
+    """_med, _sd, _mean, _c of counted values; the stored tables that they are read from; the number of values twice."""
     d, n = F.col("_v") - F.col("_ref"), F.col("_n")
     var = F.sum(n * d * d) / F.sum(n) - F.pow(F.sum(n * d) / F.sum(n), 2)
-    return [F.percentile("_v", F.lit(0.5), n).alias("_med"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), (F.first("_ref") + F.sum(n * d) / F.sum(n)).alias("_mean"), F.sum(n).alias("_c")]
+    sums = [F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), (F.first("_ref") + F.sum(n * d) / F.sum(n)).alias("_mean"), F.sum(n).alias("_c")]
+    med, stored, total = selected(v, g, {"_med": (F.col("_v"), 0.5)}, "_n", "_b")
+    return beside(v.groupBy(*g).agg(*sums, *also), med, g), stored, total
 
 
 def _rounds(v: DataFrame, g: list[str], k: float, iters: int) -> DataFrame:
-    """Bounds after `iters` rounds.  Only the bounds go from round to round, so each round reads the counted values once."""
-    bounds = v.select(*g).distinct().withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+    """Bounds after `iters` rounds, stored.  Only the bounds go from round to round, so each round reads the counted values
+    once; when a round has as many values as the one before, all groups have converged."""
+    bounds, last = written(v.groupBy(*g).agg(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))), None
     for _ in range(iters):
-        s = v.join(bounds, g).where("_v between lo and hi").groupBy(*g).agg(*_moments(), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        bounds = s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi"))
+        s, stored, total = _moments(v.join(bounds, g).where("_v between lo and hi"), g, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        if total != last:
+            new = written(s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi")))
+            stored.append(bounds)
+            bounds = new
+        for t in stored:
+            discard(t)
+        if total == last:
+            break
+        last = total
     return bounds
 
 
@@ -48,7 +61,10 @@ def clip_bounds(df: DataFrame, g: list[str], value: str, k: float, iters: int) -
 def sigma_clip_stats(df: DataFrame, g: list[str], value: str, k: float = 3.0, iters: int = 5) -> DataFrame:
     """Mean, median, standard deviation (ddof 0) and number of each group after clipping at median +- k sigma (AGG1)."""
     v = written(_counted(df, g, value))
-    s = v.join(_rounds(v, g, k, iters), g).where("_v between lo and hi").groupBy(*g).agg(*_moments())
+    s, stored, _ = _moments(v.join(_rounds(v, g, k, iters), g).where("_v between lo and hi"), g)
+    s = written(s)
+    for t in [*stored, v]:
+        discard(t)
     return s.select(*g, F.col("_mean").alias("mean"), F.col("_med").alias("median"), F.col("_c").alias("n"), F.col("_sd").alias("std"))
 
 
@@ -65,12 +81,14 @@ def tile_medians(pixels: DataFrame, box: int, key: str = "image_id", k: float =
 
 
 def tile_background(pixels: DataFrame, box: int = 256, filt: int = 5, key: str = "image_id") -> DataFrame:
-    """Background of each tile: the median of clipped tile medians in a filt x filt neighbourhood (AGG2)."""
+    """Background of each tile: the median of clipped tile medians in a filt x filt neighbourhood; and of the whole image: the
+    median of those (`scalar`, AGG2)."""
     tiles, r = tile_medians(pixels, box, key), filt // 2
     near = F.expr(f"sequence(-{r}, {r})")
     spread = tiles.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).select(key, (F.col("ty") + F.col("dy")).alias("ty"), (F.col("tx") + F.col("dx")).alias("tx"), "tile")
-    smooth = spread.groupBy(key, "ty", "tx").agg(F.median("tile").alias("background"))
-    return tiles.join(smooth, [key, "ty", "tx"])
+    smooth = spread.groupBy(key, "ty", "tx").agg(F.median("tile").alias("background"))  # filt * filt values at most
+    out = written(tiles.join(smooth, [key, "ty", "tx"]))
+    return out.join(medians(out, [key], {"scalar": F.col("background")}), key)
 
 
 def corner_check(pixels: DataFrame, frac: float = 0.1, least: int = 100, key: str = "image_id", k: float = 3.0, iters: int = 5) -> DataFrame:
@@ -90,7 +108,7 @@ def radial_profile(pixels: DataFrame, centers: DataFrame, dr: float = 1.0, min_p
     """Median of each ring; thin rings, and images with too few valid pixels, have none (AGG5)."""
     r = F.sqrt(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2))
     v = pixels.join(centers, key).where(fin("value").isNotNull()).withColumn("ring", F.floor(r / dr).cast("int"))
-    rings = v.groupBy(key, "ring").agg(F.median("value").alias("intensity"), F.count("*").alias("n_pix"))
+    rings = grouped(v, [key, "ring"], [F.count("*").alias("n_pix")], {"intensity": (F.col("value"), 0.5)}).select(key, "ring", "intensity", "n_pix")
     whole = v.groupBy(key).agg(F.count("*").alias("_all")).where(F.col("_all") >= least)
     return rings.where(F.col("n_pix") >= min_pix).join(whole.select(key), key).withColumn("r_mid", (F.col("ring") + 0.5) * dr)
 
@@ -99,7 +117,7 @@ def guess_center(smoothed: DataFrame, key: str = "image_id", value: str = "smoot
     """Centroid of the brightest pixels weighted by their height; the brightest pixel if they are few, the middle of the
     frame if no pixel has a value (AGG6)."""
     v = smoothed.where(fin(value).isNotNull())
-    s = v.groupBy(key).agg(F.percentile(value, F.lit(q)).alias("_t"), F.min(value).alias("_lo"), F.max_by("x", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_mx"), F.max_by("y", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_my"))
+    s = grouped(v, [key], [F.min(value).alias("_lo"), F.max_by("x", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_mx"), F.max_by("y", F.struct(F.col(value), -F.col("y"), -F.col("x"))).alias("_my")], {"_t": (F.col(value), q)})
     w = F.col(value) - F.col("_lo") + 1e-12
     top = v.join(s, key).where(F.col(value) >= F.col("_t")).groupBy(key).agg(F.count("*").alias("n_bright"), (F.sum(w * F.col("x")) / F.sum(w)).alias("_wx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("_wy"))
     frame = smoothed.groupBy(key).agg(*[((F.max(c) + 1) / 2.0).alias(f"_f{c}") for c in ("x", "y")])
@@ -126,7 +144,9 @@ def median_geometry(isophotes: DataFrame, g: list[str], cols=("x0", "y0", "eps",
 def value_stats(df: DataFrame, g: list[str], value: str = "value") -> DataFrame:
     """n, min, median, max, mean, std, p01, p99 of finite values (AGG8, AGG13)."""
     v = fin(value)
-    return df.groupBy(*g).agg(F.count(v).alias("n"), F.min(v).alias("v_min"), F.median(v).alias("v_median"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"), F.stddev_pop(v).alias("v_std"), F.percentile(v, F.lit(0.01)).alias("p01"), F.percentile(v, F.lit(0.99)).alias("p99"))
+    sums = [F.count(v).alias("n"), F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"), F.stddev_pop(v).alias("v_std")]
+    out = grouped(df, g, sums, {"v_median": (v, 0.5), "p01": (v, 0.01), "p99": (v, 0.99)})
+    return out.select(*g, "n", "v_min", "v_median", "v_max", "v_mean", "v_std", "p01", "p99")
 
 
 def quadrant_stats(pixels: DataFrame, centers: DataFrame, key: str = "image_id") -> DataFrame:
@@ -136,10 +156,11 @@ def quadrant_stats(pixels: DataFrame, centers: DataFrame, key: str = "image_id")
 
 def bias_profile(pixels: DataFrame, g: list[str], r: str = "r", bins: int = 24, boundary: float = 0.0, least: int = 200, cols=("value",)) -> DataFrame:
     """Median, mean and std in equal radial bins up to max(p99.5 of the radius, boundary) (AGG9)."""
-    top = pixels.groupBy(*g).agg(F.greatest(F.percentile(r, F.lit(0.995)), F.lit(float(boundary))).alias("_top"))
+    top = quantiles(pixels, g, {"_q": (F.col(r), 0.995)}).select(*g, F.greatest("_q", F.lit(float(boundary))).alias("_top"))
     b = F.floor(F.col(r) / (F.col("_top") / bins)).cast("int")
     binned = pixels.join(top, g).withColumn("rbin", b).where(F.col("rbin") < bins)
-    out = binned.groupBy(*g, "rbin").agg(F.count("*").alias("n_pix"), F.first("_top").alias("_top"), *[f(fin(c)).alias(f"{c}_{n}") for c in cols for n, f in (("median", F.median), ("mean", F.avg), ("std", F.stddev_pop))])
+    sums = [F.count("*").alias("n_pix"), F.first("_top").alias("_top"), *[f(fin(c)).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_pop))]]
+    out = grouped(binned, [*g, "rbin"], sums, {f"{c}_median": (F.col(c), 0.5) for c in cols})
     return out.where(F.col("n_pix") >= least).withColumn("r_mid", (F.col("rbin") + 0.5) * F.col("_top") / bins).drop("_top")
 
 
@@ -150,7 +171,8 @@ def sign_label(c: Column | str) -> Column:
 
 def region_bias(pixels: DataFrame, g: list[str], value: str = "value") -> DataFrame:
     """Median and mean of each region, and their signs (AGG10)."""
-    s = pixels.groupBy(*g).agg(F.count(fin(value)).alias("n_use"), F.median(fin(value)).alias("resid_median"), F.avg(fin(value)).alias("resid_mean"))
+    v = fin(value)
+    s = grouped(pixels, g, [F.count(v).alias("n_use"), F.avg(v).alias("resid_mean")], {"resid_median": (v, 0.5)}).select(*g, "n_use", "resid_median", "resid_mean")
     return s.withColumns({"median_sign": sign_label("resid_median"), "mean_sign": sign_label("resid_mean")})
 
 
@@ -161,18 +183,20 @@ def coverage(pixels: DataFrame, g: list[str], flags: list[str]) -> DataFrame:
 
 def zone_stats(df: DataFrame, g: list[str], value: str = "value", k: float = 3.0, iters: int = 5) -> DataFrame:
     """Quantiles, mean and std of raw values, and of values inside the clipping bounds (AGG14)."""
+    shares = {f"p{round(100 * p):02d}": p for p in (0.01, 0.05, 0.5, 0.95, 0.99)}
+
     def stats(v: Column, tag: str) -> list[Column]:
-        q = [F.percentile(v, F.lit(p)).alias(f"{tag}_p{round(100 * p):02d}") for p in (0.01, 0.05, 0.5, 0.95, 0.99)]
-        return [F.count(v).alias(f"{tag}_n"), F.min(v).alias(f"{tag}_min"), F.max(v).alias(f"{tag}_max"), F.avg(v).alias(f"{tag}_mean"), F.stddev_pop(v).alias(f"{tag}_std"), *q]
+        return [F.count(v).alias(f"{tag}_n"), F.min(v).alias(f"{tag}_min"), F.max(v).alias(f"{tag}_max"), F.avg(v).alias(f"{tag}_mean"), F.stddev_pop(v).alias(f"{tag}_std")]
 
     b = clip_bounds(df, g, value, k, iters)
-    inside = F.when(F.col(value).between(F.col("lo"), F.col("hi")), fin(value))
-    return df.join(b, g).groupBy(*g).agg(*stats(fin(value), "raw"), *stats(inside, "clip"))
+    raw, clip = fin(value), F.when(F.col(value).between(F.col("lo"), F.col("hi")), fin(value))
+    wanted = {f"{tag}_{n}": (v, p) for tag, v in (("raw", raw), ("clip", clip)) for n, p in shares.items()}
+    return grouped(df.join(b, g), g, [*stats(raw, "raw"), *stats(clip, "clip")], wanted)
 
 
 def variance_sbf(pixels: DataFrame, g: list[str], area: float, value: str = "value", model: str = "model", least: int = 100) -> DataFrame:
     """Variance between the 5th and 95th percentiles over the mean model brightness, as a magnitude (AGG15)."""
-    q = pixels.groupBy(*g).agg(F.percentile(fin(value), F.lit(0.05)).alias("_a"), F.percentile(fin(value), F.lit(0.95)).alias("_b"), F.avg(fin(model)).alias("i_mean"))
+    q = grouped(pixels, g, [F.avg(fin(model)).alias("i_mean")], {"_a": (F.col(value), 0.05), "_b": (F.col(value), 0.95)})
     s = pixels.join(q, g).where(F.col(value).between(F.col("_a"), F.col("_b"))).groupBy(*g).agg(F.count("*").alias("n_core"), F.var_pop(value).alias("var_core"), F.first("i_mean").alias("i_mean"))
     pf = F.when((F.col("n_core") >= least) & (F.col("i_mean") > 0) & (F.col("var_core") > 0), F.col("var_core") / F.col("i_mean"))
     out = s.withColumn("pf", pf).withColumn("mbar", -2.5 * F.log10("pf") + ab_zeropoint(F.lit(area)))
@@ -362,15 +386,16 @@ def annulus_color(pairs: DataFrame, g: list[str], k: float = 3.0, iters: int = 5
         c = clip_bounds(pairs, g, v, k, iters).withColumnsRenamed({"lo": f"lo_{v}", "hi": f"hi_{v}"})
         b = c if b is None else b.join(c, g)
     v = pairs.join(b, g).where("v150 between lo_v150 and hi_v150 and v090 between lo_v090 and hi_v090 and v150 > 0 and v090 > 0").withColumn("c", -2.5 * F.log10(F.col("v090") / F.col("v150")))
-    s = v.groupBy(*g).agg(F.count("*").alias("n_color"), (-2.5 * F.log10(F.median("v090") / F.median("v150"))).alias("color"), F.median("c").alias("_m"))
-    mad = v.join(s.select(*g, "_m"), g).groupBy(*g).agg((1.4826 * F.median(F.abs(F.col("c") - F.col("_m")))).alias("color_mad"))
+    s = grouped(v, g, [F.count("*").alias("n_color")], {"_a": (F.col("v090"), 0.5), "_b": (F.col("v150"), 0.5), "_m": (F.col("c"), 0.5)})
+    s = s.select(*g, "n_color", (-2.5 * F.log10(F.col("_a") / F.col("_b"))).alias("color"), "_m")
+    mad = medians(v.join(s.select(*g, "_m"), g), g, {"_d": F.abs(F.col("c") - F.col("_m"))}).select(*g, (1.4826 * F.col("_d")).alias("color_mad"))
     enough = F.col("n_color") >= least
     return s.join(mad, g).select(*g, "n_color", F.when(enough, F.col("color")).alias("color"), F.when(enough, F.col("color_mad")).alias("color_mad"), F.when(enough, F.col("color_mad") / F.sqrt("n_color")).alias("color_sem"), F.when(enough, "").otherwise("too few pixels").alias("note"))
 
 
 def coarse_color(pairs: DataFrame, g: list[str]) -> DataFrame:
     """Colour from the medians of all unmasked pixels, without clipping; NULL unless both are positive (AGG33)."""
-    s = pairs.groupBy(*g).agg(F.count("*").alias("n_color"), F.median(fin("v090")).alias("_a"), F.median(fin("v150")).alias("_b"))
+    s = grouped(pairs, g, [F.count("*").alias("n_color")], {"_a": (F.col("v090"), 0.5), "_b": (F.col("v150"), 0.5)})
     return s.select(*g, "n_color", F.when((F.col("_a") > 0) & (F.col("_b") > 0), -2.5 * F.log10(F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_a") / F.col("_b")))).alias("color"))
 
 

@@ -283,7 +283,8 @@ def _(spark, d):
 
 
 @query("agg2_tile_background", f"""with {v.PIXELS}, t as (select image_id, y // 8 as ty, x // 8 as tx, value from pixels), {clipped_sql('t', 'image_id, ty, tx', 3.0, 5)}, m as (select image_id, ty, tx, median(value) as tile, count(*) as n from c5 group by all)
-select m.image_id, m.ty::int as ty, m.tx::int as tx, round(max(m.tile), 6) as tile, max(m.n) as n_tile, round(median(o.tile), 6) as background from m join m o on o.image_id = m.image_id and abs(o.ty - m.ty) <= 1 and abs(o.tx - m.tx) <= 1 group by all""")
+select image_id, ty, tx, tile, n_tile, round(median(b) over (partition by image_id), 6) as scalar, round(b, 6) as background from (
+select m.image_id, m.ty::int as ty, m.tx::int as tx, round(max(m.tile), 6) as tile, max(m.n) as n_tile, median(o.tile) as b from m join m o on o.image_id = m.image_id and abs(o.ty - m.ty) <= 1 and abs(o.tx - m.tx) <= 1 group by all)""")
 def _(spark, d):
     return rounded(stats.tile_background(v.pixels(spark, d), 8, 3))
 
