@@ -474,13 +474,24 @@ def _(spark, d):
 
 # -- streams -------------------------------------------------------------------------------------------------------
 
-@query("str1_readiness", """with e as (select user_id as target, case when event_type in ('click', 'view') then 'f150w' else 'f090w' end as band, ts, row_number() over (partition by user_id, event_type in ('click', 'view') order by ts, event_id) as r from events),
-f as (select target, band, max(ts) as t from e where r = case when target % 2 = 0 then 1 else 2 end group by all) select target::varchar as target, true as ready, 'both bands' as reason, max(t) as "at" from f group by 1 having count(*) = 2""")
+#: Hours that events may be late, and that a target waits from its first poll on.
+LATE_H, WAIT_H = 2, 24
+
+
+@query("str1_readiness", f"""with e as (select user_id::varchar || '#' || strftime(ts, '%Y-%m-%d') as target, user_id % 4 as kind, case when event_type in ('click', 'view') then 'f150w' else 'f090w' end as band, ts, event_id % 3 > 0 as readable,
+row_number() over (partition by user_id, ts::date, event_type in ('click', 'view') order by ts) as poll, min(ts) over (partition by user_id, ts::date) as first, max(ts) over () - interval {LATE_H} hour as mark from events),
+b as (select target, band, min(ts) filter (ts <= mark and readable and (kind <> 1 or poll >= 3)) as t, any_value(first) + interval {WAIT_H} hour as late, any_value(mark) as mark from e group by all),
+r as (select target, any_value(late) as late, any_value(mark) as mark, case when count(t) = 2 then max(t) end as t from b group by 1)
+select target, t is not null as ready, case when t is not null then 'all bands' else 'timeout' end as reason, coalesce(t, late) as "at" from r where t is not null or late <= mark""")
 def _(spark, d):
     path = storage.folder(spark)
-    raw = spark.readStream.schema(v.events(spark, d).schema).parquet(f"{d}/events.parquet*")
-    ev = raw.select(F.col("user_id").cast("string").alias("target"), F.when(F.col("event_type").isin("click", "view"), "f150w").otherwise("f090w").alias("band"), F.lit(100).cast("long").alias("size"), F.when(F.col("user_id") % 2 == 0, 100).cast("long").alias("expected"), F.lit(True).alias("readable"), "ts")
-    ready = readiness.ready_stream(ev, timeout_s=86_400)
+    raw = spark.readStream.schema(v.events(spark, d).schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{LATE_H} hours")
+    size = F.when(F.col("user_id") % 4 == 3, 199).otherwise(100).cast("long")
+    expected = F.when(F.col("user_id") % 4 == 3, 200).when(F.col("user_id") % 4 != 1, 100).cast("long")
+    band = F.when(F.col("event_type").isin("click", "view"), "f150w").otherwise("f090w")
+    target = F.concat_ws("#", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    polls = raw.select(target.alias("target"), band.alias("band"), size.alias("size"), expected.alias("expected"), (F.col("event_id") % 3 > 0).alias("readable"), "ts")
+    ready = readiness.ready_stream(polls, timeout_s=WAIT_H * 3600)
     readiness.run_to_end(spark, ready.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append"))
     return spark.read.schema(readiness.READY).parquet(f"{path}/out")
 

@@ -8,60 +8,129 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 READY = "target string, ready boolean, reason string, at timestamp"
-STATE = "bands string, since double"
+_POLL = "band string, size long, expected long, readable boolean, at long"
 
 
-def ready_stream(events: DataFrame, timeout_s: int = 3600, share: float = 0.995) -> DataFrame:
-    """Targets whose two bands have arrived (STR1).
+class Readiness(StatefulProcessor):
+    """State of one target: polls that the watermark hasn't passed, what is known of each band, and since when it waits.
 
-    events: target, band, size, expected, readable, ts.  A band has arrived with its expected size, or from 99.5 % of it if
-    readable, or, without an expected size, unchanged in two consecutive events.  A smaller size than before starts anew.
-    A target is reported once; one that waits longer than the timeout is reported as not ready, and its state goes.
+    A poll counts when the watermark passes its time, so polls count in order of their times however they arrive.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], False, "timeout", pd.Timestamp(0))], columns=["target", "ready", "reason", "at"])
+    def __init__(self, timeout_s: int, share: float, bands: int):
+        self.timeout, self.share, self.n_bands = timeout_s * 1_000_000, share, bands
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _POLL)
+        self.bands = handle.getMapState("bands", "band string", "size long, same int, ok boolean")
+        self.since = handle.getValueState("since", "first long, last long, done boolean")
+
+    def _timer(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first, last, done = self.since.get() if self.since.exists() else (None, None, False)
+        new = []
+        for batch in rows:
+            micros = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+            for band, size, expected, readable, at in zip(batch["band"], batch["size"], batch["expected"], batch["readable"], micros.tolist(), strict=True):
+                new.append((band, -1 if pd.isna(size) else int(size), None if pd.isna(expected) else int(expected), bool(readable) if not pd.isna(readable) else False, at))
+        if not new:
+            return
+        times = [p[4] for p in new]
+        begin, end = min(times + ([first] if first is not None else [])), max(times + ([last] if last is not None else []))
+        if not done:
+            self.waiting.appendList(new)
+            for t in set(times):
+                self._timer(t)
+        if begin != first and not done or end != last and done:
+            self._timer((end if done else begin) + self.timeout)
+        self.since.update((begin, end, done))
+        yield from ()
+
+    def _counted(self, poll: tuple) -> bool:
+        """Takes one poll into account; whether all bands have arrived."""
+        band, size, expected, readable, _ = poll
+        old_size, same, ok = self.bands.getValue((band,)) if self.bands.containsKey((band,)) else (-1, 0, False)
+        same = same + 1 if size >= 0 and size == old_size else 0
+        whole = same >= 2 if expected is None else size == expected or size >= int(self.share * expected)
+        self.bands.updateValue((band,), (size, same, bool(ok or whole and readable and size >= 0)))
+        return sum(1 for v in self.bands.values() if v[2]) >= self.n_bands
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.since.exists():
             return
-        seen = json.loads(state.get[0]) if state.exists else {}
-        if seen.get("_done"):
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        first, last, done = self.since.get()
+        if done:
+            if last + self.timeout <= now:  # silent: it has been reported
+                self._forget()
             return
-        last = None
-        for row in pd.concat(list(batches)).sort_values(["ts", "band"]).itertuples():
-            old = seen.get(row.band, {"size": -1, "same": 0, "ok": False})
-            size = -1 if pd.isna(row.size) else int(row.size)
-            same = old["same"] + 1 if size == old["size"] else 0
-            if not pd.isna(row.expected):
-                ok = size == row.expected or size >= share * row.expected and bool(row.readable)
-            else:
-                ok = size >= 0 and same >= 1
-            seen[row.band] = {"size": size, "same": same, "ok": bool(ok)}
-            last = row.ts
-            if len(seen) >= 2 and all(b["ok"] for b in seen.values()):
-                seen["_done"] = True
+        polls = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda p: (p[4], p[0]))
+        rest = [p for p in polls if p[4] > now]
+        for p in polls:
+            if p[4] > now or p[4] > first + self.timeout:
                 break
-        state.update((json.dumps(seen), 0.0))
-        state.setTimeoutDuration(timeout_s * 1000)
-        if seen.get("_done"):
-            yield pd.DataFrame([(key[0], True, "both bands", last)], columns=["target", "ready", "reason", "at"])
+            if self._counted(p):
+                self.waiting.clear()
+                for (band,) in list(self.bands.keys()):
+                    self.bands.removeKey((band,))
+                self.since.update((first, last, True))
+                self._timer(last + self.timeout)
+                yield self._row(key, True, "all bands", p[4])
+                return
+        if first + self.timeout <= now:
+            self._forget()
+            yield self._row(key, False, "timeout", first + self.timeout)
+            late = [p for p in polls if p[4] > first + self.timeout]
+            if late:  # begins anew
+                self.waiting.put(late)
+                begin = min(p[4] for p in late)
+                self.since.update((begin, max(p[4] for p in late), False))
+                for t in {p[4] for p in late}:
+                    self._timer(max(t, now + 1))
+                self._timer(begin + self.timeout)
+        elif len(rest) < len(polls):
+            self.waiting.put(rest) if rest else self.waiting.clear()
+
+    def _forget(self) -> None:
+        self.waiting.clear()
+        self.since.clear()
+        for (band,) in list(self.bands.keys()):
+            self.bands.removeKey((band,))
+
+    def _row(self, key: tuple, ready: bool, reason: str, micros: int) -> pd.DataFrame:
+        return pd.DataFrame({"target": [key[0]], "ready": [ready], "reason": [reason], "at": pd.to_datetime([micros], unit="us")})
+
+    def close(self) -> None:
+        pass
+
+
+def ready_stream(events: DataFrame, timeout_s: int = 3600, share: float = 0.995, bands: int = 2) -> DataFrame:
+    """Targets whose bands have all arrived (STR1), on event time.
+
+    events: target, band, size, expected, readable, ts, with a watermark on ts.  A band has arrived when it is readable with its
+    expected size, or at least 99.5 % of it, or, without an expected size, unchanged in two polls after each other; it stays
+    arrived.  Polls count in the order of their times once the watermark has passed them; later ones are dropped.  A target is
+    reported once, with the time of the deciding poll; one that isn't ready within the timeout after its first poll is
+    reported as not ready, and begins anew with later polls.  A reported target stays silent; its state goes when it has had
+    no poll for the timeout.
+    """
+    return events.groupBy("target").transformWithStateInPandas(Readiness(timeout_s, share, bands), READY, "Append", "EventTime")
 
-    return events.groupBy("target").applyInPandasWithState(step, READY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def run_to_end(spark: SparkSession, writer: DataStreamWriter) -> None:
-    """Runs a stream over all input that is there, and ends.
 
-    Processing-time timeouts ask for one more batch after each batch, so batches without data are off meanwhile.
-    """
-    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+def run_to_end(spark: SparkSession, writer: DataStreamWriter) -> None:
+    """Runs a stream over all input that is there, with a last batch that lets timers fire, and ends."""
+    name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, STATE_STORE)
     try:
         stream = writer.trigger(availableNow=True).start()
     finally:
