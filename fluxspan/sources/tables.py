@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import fin
+from .heads import ImageHeads
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -107,7 +108,9 @@ def header_cards(content: DataFrame, blocks: int = 16, path: str = "path", data:
 
 
 def read_header_cards(spark: SparkSession, glob: str) -> DataFrame:
-    return header_cards(spark.read.format("binaryFile").load(glob).select("path", "content"))
+    """Header cards of the image files that match, whatever their size: only their first blocks are read (SRC6)."""
+    spark.dataSource.register(ImageHeads)
+    return header_cards(spark.read.format(ImageHeads.name()).option("path", glob).load())
 
 
 def target_coord(cards: DataFrame, path: str = "path") -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..plans.storage import discard, written
+
 READY = "target string, ready boolean, reason string, at timestamp"
 _POLL = "band string, size long, expected long, readable boolean, at long"
 
@@ -143,24 +148,100 @@ def latest_status(rows: DataFrame, keys: list[str], time: str, value: str) -> Da
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(time, value)).alias(value), F.max(time).alias(time))
 
 
-def merge_status(stream: DataFrame, path: str, keys: list[str], time: str, value: str, checkpoint: str):
-    """Stream into a table of the newest status of each key; each batch writes a new version beside the last (STR2)."""
+#: Buckets of a status table, by the hash of the key.
+BUCKETS = 64
+#: Manifests, and what they name, that stay when a new one comes: readers may still be on the last one.
+KEPT = 2
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _fs(spark, f"{path}/manifest")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def _read_manifest(spark: SparkSession, path: str, number: int) -> dict:
+    _, p = _fs(spark, f"{path}/manifest/{number}")
+    return json.loads("\n".join(r.value for r in spark.read.text(p.toString()).collect()))
+
+
+def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> None:
+    """The manifest appears whole, by a rename, or not at all."""
+    fs, draft = _fs(spark, f"{path}/manifest/.draft-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if not fs.rename(draft, _fs(spark, f"{path}/manifest/{number}")[1]):
+        fs.delete(draft, False)
+
+
+def merge_batch(batch: DataFrame, number: int, path: str, keys: list[str], time: str, value: str, buckets: int = BUCKETS) -> None:
+    """Merges one batch into the status table at `path` (STR2).
+
+    Keys lie in buckets by their hash.  Only the buckets that the batch touches are read and written, each as a new version
+    beside the old one; then a manifest that names the version of every bucket replaces the last.  A batch that a manifest
+    already names is skipped, so replaying it changes nothing; a failed one leaves the table as it was.
+    """
+    spark = batch.sparkSession
+    known = _manifests(spark, path)
+    last = _read_manifest(spark, path, known[-1]) if known else {"batch": -1, "buckets": {}}
+    if number <= last["batch"]:
+        return
+    new = latest_status(batch.select(*keys, time, value), keys, time, value).select(*keys, time, value)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = written(new.withColumn("bucket", bucket))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    paths = [f"{path}/{last['buckets'][str(b)]}" for b in touched if str(b) in last["buckets"]]
+    rows = new.drop("bucket")
+    if paths:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(*paths))
+    version = f"data/{number}-{uuid.uuid4().hex}"
+    merged = latest_status(rows, keys, time, value).select(*keys, time, value).withColumn("bucket", bucket)
+    if touched:
+        merged.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/{version}")
+    discard(new)
+    now = last["buckets"] | {str(b): f"{version}/bucket={b}" for b in touched}
+    _commit(spark, path, number, {"batch": number, "buckets": now, "schema": rows.schema.json()})
+    _compact(spark, path)
+
+
+def _compact(spark: SparkSession, path: str) -> None:
+    """Deletes bucket versions that none of the newest manifests names, and older manifests."""
+    known = _manifests(spark, path)
+    named = {b for n in known[-KEPT:] for b in _read_manifest(spark, path, n)["buckets"].values()}
+    fs, data = _fs(spark, f"{path}/data")
+    for v in fs.listStatus(data) if fs.exists(data) else []:
+        parts = [f.getPath() for f in fs.listStatus(v.getPath()) if f.getPath().getName().startswith("bucket=")]
+        own = {p.getName(): p for p in parts}
+        gone = [n for n in own if f"data/{v.getPath().getName()}/{n}" not in named]
+        if len(gone) == len(own):
+            fs.delete(v.getPath(), True)
+        else:
+            for n in gone:
+                fs.delete(own[n], True)
+    for n in known[:-KEPT]:
+        fs.delete(_fs(spark, f"{path}/manifest/{n}")[1], False)
+
+
+def merge_status(stream: DataFrame, path: str, keys: list[str], time: str, value: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """Stream into a table of the newest status of each key, one `merge_batch` for each micro-batch (STR2)."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*keys, time, value)
-        old = spark.read.schema(new.schema).option("recursiveFileLookup", True).parquet(f"{path}/v={number - 1}") if number else None
-        latest_status(new if old is None else old.unionByName(new), keys, time, value).select(*keys, time, value).write.mode("overwrite").parquet(f"{path}/v={number}")
+        merge_batch(batch, number, path, keys, time, value, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that `merge_status` keeps (STR2)."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    newest = max(int(f.getPath().getName().removeprefix("v=")) for f in listed if f.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{path}/v={newest}")
+    """The table that `merge_status` keeps, as its newest manifest names it (STR2)."""
+    manifest = _read_manifest(spark, path, _manifests(spark, path)[-1])
+    schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+    paths = [f"{path}/{b}" for b in manifest["buckets"].values()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def still_to_do(work: DataFrame, status: DataFrame, keys: list[str], value: str = "status", done: str = "ok") -> DataFrame:

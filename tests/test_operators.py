@@ -99,6 +99,14 @@ def test_header_and_csv(spark, tmp_path):
     got = tables.read_header_cards(spark, f"file://{tmp_path}/*.fits")
     assert {r.key: r.value for r in got.collect()}["OBJECT"] == "NGC 1380"
     assert tuple(tables.target_coord(got).select("ra", "dec", "source").first()) == (1.0, 2.0, "CRVAL1")
+    # a file of hundreds of MB is read up to the END of its header
+    with open(tmp_path / "big.fits", "wb") as f:
+        f.write("".join(c.ljust(80) for c in [*["COMMENT = 'x'"] * 40, *cards]).encode().replace(b"COMMENT", b"SIMPLE ", 1).ljust(3 * 2880))
+        f.truncate(400 << 20)
+    rows = {r.path.rpartition("/")[2]: r for r in spark.read.format("image_heads").option("path", f"file://{tmp_path}/*.fits").load().collect()}
+    assert (rows["big.fits"].length, rows["big.fits"].bytes_read) == (400 << 20, 2 * 2880) and rows["a.fits"].bytes_read == 2880 and rows["b.fits"].bytes_read == 2880
+    assert tables.target_coord(tables.read_header_cards(spark, f"file://{tmp_path}/*.fits")).count() == 2
+    assert tables.read_header_cards(spark, f"file://{tmp_path}/*.none").count() == 0
     (tmp_path / "m.csv").write_text("g,v\nx,1.5\ny,nan\nz,inf\n")
     assert [r.v for r in tables.read_csv_table(spark, f"file://{tmp_path}/m.csv", tables.T.StructType([tables.T.StructField("g", tables.T.StringType()), tables.T.StructField("v", tables.T.DoubleType())])).collect()] == [1.5, None, None]
     assert tables.read_csv_table(spark, f"file://{tmp_path}/none.csv", "g string, v double").count() == 0

@@ -55,3 +55,55 @@ def test_timeout_fires_and_finished_targets_stay_silent(spark, tmp_path):
     assert out[0] == [] and out[1] == done
     assert [r for r in out[2] if r[0] != "clock"] == [*done, ("B", False, "timeout", 60), ("C", False, "timeout", 62)]
     assert [r for r in out[4] if r[0] != "clock"] == [*done, ("B", False, "timeout", 60), ("B", True, "all bands", 91), ("C", False, "timeout", 62)]
+
+
+ROW = "k long, t long, v string"
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+def test_status_table_rewrites_touched_buckets_only(spark, tmp_path):
+    table, path = tmp_path / "table", f"file://{tmp_path}/table"
+    merge = lambda rows, n: readiness.merge_batch(spark.createDataFrame(rows, ROW), n, path, ["k"], "t", "v", buckets=16)
+    merge([(k, 1, "new") for k in range(2000)] + [(5, 3, "late"), (5, 2, "mid")], 0)
+    first = files_of(table)
+    merge([(5, 4, "ok"), (7, 0, "old")], 1)
+    second = files_of(table)
+    added = set(second) - set(first)
+    assert 1 <= len(added) <= 2 and sum(second[f] for f in added) < sum(first.values()) / 4
+    state = {r.k: (r.t, r.v) for r in readiness.read_status(spark, path).collect()}
+    assert len(state) == 2000 and state[5] == (4, "ok") and state[7] == (1, "new")
+    merge([(5, 9, "twice")], 1)  # a replayed batch changes nothing
+    assert files_of(table) == second and {r.k: (r.t, r.v) for r in readiness.read_status(spark, path).collect()} == state
+    for n in range(2, 7):
+        merge([(5, 10 + n, f"s{n}")], n)
+    assert len(files_of(table)) <= len(first) + 2  # older versions are gone
+    assert len(list((table / "manifest").glob("[0-9]*"))) == readiness.KEPT
+    got = readiness.read_status(spark, path)
+    assert got.count() == 2000 and got.where("k = 5").first().v == "s6"
+    merge([], 7)
+    assert readiness.read_status(spark, path).count() == 2000
+
+
+def test_failed_batch_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/table"
+    merge = lambda rows, n: readiness.merge_batch(spark.createDataFrame(rows, ROW), n, path, ["k"], "t", "v", buckets=4)
+    merge([(k, 1, "a") for k in range(20)], 0)
+    with monkeypatch.context() as m:
+        m.setattr(readiness, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            merge([(k, 2, "b") for k in range(20)], 1)
+    assert {r.v for r in readiness.read_status(spark, path).collect()} == {"a"}
+    merge([(k, 2, "b") for k in range(20)], 1)
+    assert {r.v for r in readiness.read_status(spark, path).collect()} == {"b"}
+
+
+def test_status_stream(spark, tmp_path):
+    src, path = tmp_path / "in", f"file://{tmp_path}/table"
+    for n in range(3):
+        spark.range(50).select((F.col("id") % (10 * (n + 1))).alias("k"), (F.col("id") + 100 * n).alias("t"), F.lit(f"b{n}").alias("v")).coalesce(1).write.mode("append").parquet(str(src))
+        readiness.run_to_end(spark, readiness.merge_status(spark.readStream.schema(ROW).parquet(str(src)), path, ["k"], "t", "v", str(tmp_path / "state"), 8))
+    got = readiness.read_status(spark, path)
+    assert got.count() == 30 and {r.v for r in got.collect()} == {"b2"}
