@@ -150,8 +150,10 @@ def saved_psf_sigma(comparisons: DataFrame, wanted: DataFrame, key: str = "galax
 
 
 def psf_sigma(rows: DataFrame) -> DataFrame:
-    """Point-spread error by precedence: supplied, branches, saved comparison, else 0 and missing (AGG37)."""
+    """Point-spread error by precedence: supplied, branches, saved comparison, a rerun with both tables (`psf_rerun`, where the
+    rows have it), else 0 and missing (AGG37)."""
     steps = [("supplied", fin_nonneg("psf_supplied")), ("branches", fin_nonneg("psf_branch")), ("comparison", fin_nonneg("psf_saved"))]
+    steps += [("rerun", fin_nonneg("psf_rerun"))] if "psf_rerun" in rows.columns else []
     status = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in steps], F.lit("missing"))
     return rows.withColumns({"sigma_psf": F.coalesce(*[v for _, v in steps], F.lit(0.0)), "sigma_psf_status": status})
 

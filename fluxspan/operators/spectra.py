@@ -5,32 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fin
+from ..plans.storage import written
 from .fits import spectrum_fit
 from .joins import interp_join
 from .ranks import grouped
+from .transforms import convolved, noise_spectra, power, row_spectra, stamp_bytes
 
-#: Columns of a row that stay together in the transpose.
-BLOCK = 64
 
-
-def _row_transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        out = [(g, y, b, part.real.tolist(), part.imag.tolist()) for g, y, v in zip(df["g"], df["y"], df["v"], strict=True) for f in [np.fft.fft(np.asarray(v, float))] for b, part in enumerate(np.split(f, range(BLOCK, len(f), BLOCK)))]
-        yield pd.DataFrame(out, columns=["g", "y", "block", "re", "im"])
-
-
-def _column_transform(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values("y")
-    f = np.fft.fft(np.vstack(block["re"]) + 1j * np.vstack(block["im"]), axis=0)
-    ny, width = f.shape
-    x0 = int(block["block"].iloc[0]) * BLOCK
-    ky, kx = np.divmod(np.arange(ny * width), width)
-    return pd.DataFrame({"g": block["g"].iloc[0], "ky": ky, "kx": kx + x0, "power": (np.abs(f) ** 2).ravel()})
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for nx, ps in zip(b.column("nx").to_pylist(), b.column("m").to_pylist(), strict=True):
+            row = np.zeros(nx)
+            row[[p["x"] for p in ps]] = [p["v"] for p in ps]
+            out.append(row.tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), pa.array(out, pa.binary())], ["g", "y", "v"])
 
 
 def periodogram(pixels: DataFrame, key: str = "image_id") -> DataFrame:
@@ -40,13 +34,16 @@ def periodogram(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     """
     s = pixels.groupBy(key).agg(F.avg(fin("value")).alias("_m"), F.count(fin("value")).alias("_n"), (F.max("x") + 1).cast("int").alias("nx"), (F.max("y") + 1).cast("int").alias("ny"))
     v = pixels.join(s, key).select(key, "y", "x", "nx", F.coalesce(fin("value") - F.col("_m"), F.lit(0.0)).alias("v"))
-    rows = v.groupBy(key, "y", "nx").agg(F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("m"))
-    rows = rows.select(F.col(key).cast("string").alias("g"), F.col("y").cast("int").alias("y"), F.expr("transform(sequence(0, nx - 1), i -> coalesce(m[i], 0D))").alias("v"))
-    half = rows.mapInPandas(_row_transform, "g string, y int, block int, re array<double>, im array<double>")
-    power = half.groupBy("g", "block").applyInPandas(_column_transform, "g string, ky int, kx int, power double")
+    rows = v.groupBy(key, "y", "nx").agg(F.collect_list(F.struct("x", "v")).alias("m"))
+    every = s.select(key, "nx", F.explode(F.expr("sequence(0, ny - 1)")).alias("y"))
+    rows = every.join(rows.drop("nx"), [key, "y"], "left").select(F.col(key).cast("string").alias("g"), F.col("y").cast("int").alias("y"), "nx", F.coalesce("m", F.array()).alias("m"))
+    rows = rows.mapInArrow(_packed, "g string, y int, v binary")
     back = s.select(F.col(key), F.col(key).cast("string").alias("g"), "_n", "nx", "ny")
-    f = lambda k, n: F.when(2 * F.col(k) < F.col(n), F.col(k)).otherwise(F.col(k) - F.col(n)) / F.col(n)
-    return power.join(back, "g").select(key, "ky", "kx", f("ky", "ny").alias("fy"), f("kx", "nx").alias("fx"), (F.col("power") / F.col("_n")).alias("power"))
+    return power(row_spectra(rows)).join(back, "g").select(key, "ky", "kx", _frequency("ky", "ny").alias("fy"), _frequency("kx", "nx").alias("fx"), (F.col("power") / F.col("_n")).alias("power"))
+
+
+def _frequency(k: str, n: str) -> Column:
+    return F.when(2 * F.col(k) < F.col(n), F.col(k)).otherwise(F.col(k) - F.col(n)) / F.col(n)
 
 
 def radial_power(power: DataFrame, g: list[str], edges: int = 80, least: int = 10, top: float | None = None) -> DataFrame:
@@ -85,23 +82,56 @@ def expectation_median(spectra: DataFrame, g: list[str]) -> DataFrame:
     return spectra.groupBy(*g, "kbin").agg(F.median("power").alias("power"), F.median("k").alias("k"), F.count("*").alias("n_realisations"))
 
 
-def white_noise(window: DataFrame, realisations: int, seed: int, key: str = "image_id") -> DataFrame:
-    """Standard normal noise for each pixel and realisation from hashes of their numbers, whatever the partitioning (NUM2)."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed * 2 + k), "r", key, "y", "x"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    each = window.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))))
-    return each.withColumn("value", F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1)))
-
-
-def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, seed: int, edges: int = 80, least: int = 10, key: str = "image_id") -> DataFrame:
+def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, seed: int, edges: int = 80, least: int = 10, key: str = "image_id", by: str | None = None) -> DataFrame:
     """Median over realisations of the radial power of noise seen through the PSF and the window (NUM2, AGG25).
 
-    psf: key, dy, dx, value - a small stamp; it is dealt to the pixels around each noise pixel.
+    window: key, y, x of the pixels that count; psf: key, dy, dx, value - a stamp that fits a task, around its centre - and
+    `by`, if an image has several: they see the same noise, and each has a spectrum.  Noise and PSF are multiplied as
+    transforms, so a realisation moves a few times its pixels, however wide the stamp is.  The mean inside the window goes.
     """
-    noise = white_noise(window.select(key, "y", "x"), realisations, seed, key)
-    spread = noise.join(psf.select(key, "dy", "dx", F.col("value").alias("_p")), key).groupBy(key, "r", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).agg(F.sum(F.col("value") * F.col("_p")).alias("value"))
-    seen = window.select(key, "y", "x").join(spread, [key, "y", "x"]).withColumn("_key", F.concat_ws("#", F.col(key).cast("string"), F.col("r").cast("string")))
-    power = radial_power(periodogram(seen.select("_key", "y", "x", "value"), "_key"), ["_key"], edges, least)
-    return expectation_median(power.withColumn(key, F.substring_index("_key", "#", 1)), [key])
+    names = [key, *([by] if by else [])]
+    size = window.groupBy(key).agg((F.max("x") + 1).cast("int").alias("nx"), (F.max("y") + 1).cast("int").alias("ny"), F.count("*").alias("n"))
+    flat = psf.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("dy", "dx", F.coalesce(fin("value"), F.lit(0.0)).alias("v")))).alias("s"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stamps = [stamp_bytes([p["dy"] for p in s], [p["dx"] for p in s], [p["v"] for p in s]) for s in b.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(stamps, pa.binary())], [*names, "stamp"])
+
+    types = dict(flat.dtypes)
+    stamps = flat.mapInArrow(pack, ", ".join(f"{n} {types[n]}" for n in names) + ", stamp binary")
+    g = F.concat_ws("#", *[F.col(n).cast("string") for n in names], F.col("r").cast("string"))
+    each = size.join(stamps, key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1)))).withColumn("g", g)
+    frames = written(each.select("g", *names, "r", "nx", "ny", "n"))
+    rows = each.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).select("g", F.col(key).cast("string").alias("name"), "r", "y", "nx", F.when(F.col("y") == 0, F.col("stamp")).alias("stamp"))
+    seen = convolved(noise_spectra(rows.repartition("g", "y"), seed))
+    inside = window.groupBy(key, F.col("y").cast("int").alias("y")).agg(F.array_sort(F.collect_list(F.col("x").cast("int"))).alias("xs"))
+    here = frames.select("g", key, "nx").join(inside, key).join(seen, ["g", "y"])
+
+    def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.frombuffer(v)[xs] for v, xs in zip(b.column("v").to_pylist(), b.column("xs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), b.column("nx"), b.column("xs"), pa.array([o.tobytes() for o in out], pa.binary()), pa.array([float(o.sum()) for o in out])], ["g", "y", "nx", "xs", "v", "total"])
+
+    kept = written(here.select("g", "y", "nx", "xs", "v").mapInArrow(crop, "g string, y int, nx int, xs array<int>, v binary, total double"))
+    mean = kept.groupBy("g").agg((F.sum("total") / F.sum(F.size("xs"))).alias("mean"))
+    # rows without a pixel in the window count as zeros
+    blank = frames.select("g", "nx", F.explode(F.expr("sequence(0, ny - 1)")).alias("y")).join(kept.select("g", "y"), ["g", "y"], "left_anti")
+    full = kept.join(mean, "g").select("g", "y", "nx", "xs", "v", "mean").unionByName(blank, allowMissingColumns=True)
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for nx, xs, v, m in zip(*[b.column(c).to_pylist() for c in ("nx", "xs", "v", "mean")], strict=True):
+                row = np.zeros(nx)
+                if xs:
+                    row[xs] = np.frombuffer(v) - m
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), pa.array(out, pa.binary())], ["g", "y", "v"])
+
+    p = power(row_spectra(full.mapInArrow(masked, "g string, y int, v binary")))
+    p = p.join(frames, "g").select("g", *names, _frequency("ky", "ny").alias("fy"), _frequency("kx", "nx").alias("fx"), (F.col("power") / F.col("n")).alias("power"))
+    return expectation_median(radial_power(p, ["g", *names], edges, least), names)
 
 
 def window_fits(pk: DataFrame, ek: DataFrame, g: list[str], windows: list[tuple[float, float]], least: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins, pixels, spectra, stats, windows
+from ..operators import catalog, filters, joins, pixels, psf_error, spectra, stats, windows
 from . import views as v
 from .registry import query, rounded
 
@@ -250,6 +250,22 @@ def _(spark, d):
     return rounded(spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 20, 10))
 
 
+@query("agg37_rerun")
+def _(spark, d):
+    """Images as galaxies, their halves as annuli; a narrow and a wide PSF table; one image in three has a supplied error."""
+    px = v.pixels(spark, d)
+    side = px.groupBy("image_id").agg(F.max("y").alias("_y"))
+    residuals = px.join(side, "image_id").select(F.col("image_id").alias("galaxy"), F.when(2 * F.col("y") < F.col("_y"), "inner").otherwise("outer").alias("region"), F.col("y").cast("int").alias("y"), "x", "value")
+    images = px.select(F.col("image_id").alias("galaxy")).distinct()
+    cells = [("DET_DIST", a, b, 0.2 if (a, b) == (0, 0) else 0.1) for a in (-1, 0, 1) for b in (-1, 0, 1)] + [("DET_SAMP", a, b, 0.04) for a in range(-2, 3) for b in range(-2, 3)]
+    stamp = F.explode(F.array(*[F.struct(F.lit(e).alias("psf_ext"), F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(value).alias("value")) for e, a, b, value in cells]))
+    regions = F.explode(F.array(F.struct(F.lit("inner").alias("region"), F.lit(0.05).alias("sigma")), F.struct(F.lit("outer").alias("region"), F.lit(0.1).alias("sigma"))))
+    science = images.select("galaxy", regions.alias("r")).select("galaxy", "r.*", F.lit(0.0).alias("Pr"), F.lit(1.0).alias("Imean"), F.lit(0.05).alias("kmin"), F.lit(0.6).alias("kmax"), F.lit(0.004).alias("pix_area"))
+    again = psf_error.rerun_psf_sigma(residuals, images.select("galaxy", stamp.alias("s")).select("galaxy", "s.*"), science, 3, 1489, 16, 5)
+    rows = images.select("galaxy", F.when(F.col("galaxy") % 3 == 0, 0.1).alias("psf_supplied"), F.lit(None).cast("double").alias("psf_branch"), F.lit(None).cast("double").alias("psf_saved")).join(again.select("galaxy", "psf_rerun"), "galaxy", "left")
+    return rounded(catalog.psf_sigma(rows).select("galaxy", "sigma_psf", "sigma_psf_status"))
+
+
 @query("num2_expectation")
 def _(spark, d):
     px = v.pixels(spark, d)
