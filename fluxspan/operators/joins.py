@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import COLOR_PIVOT, fin, quadrature
+from ..plans.storage import written
 from ..sources.tables import null_if_blank
 
 
@@ -85,19 +88,43 @@ def sources_in_regions(sources: DataFrame, segments: DataFrame, region_pixels: D
     return known.unionByName(at.select(*known.columns))
 
 
-def interp_join(points: DataFrame, nodes: DataFrame, g: list[str], x: str, nx: str, ny: str, outside: str = "null") -> DataFrame:
+#: Rows of points and nodes together in a range of the ordering.
+RANGE_ROWS = 2_000_000
+
+
+def interp_join(points: DataFrame, nodes: DataFrame, g: list[str], x: str, nx: str, ny: str, outside: str = "null", rows: int = RANGE_ROWS) -> DataFrame:
     """Value at each x on the line between neighbouring nodes (JN8).
 
-    outside: `null`, or `end` for the end nodes' values.  Points and nodes are ordered together once for each group.
+    outside: `null`, or `end` for the end nodes' values.  Points and nodes are ordered together by ranges of (group, x) with
+    sampled splitters, so a large group covers many tasks.  Inside a range each point finds the nodes around it; what lies
+    before a range's first node of its group, or after the last, takes those of the ranges beside it.
     """
     n = nodes.select(*g, F.col(nx).alias("_x"), F.col(ny).alias("_y"), F.lit(0).alias("_point"))
     names = [c for c in points.columns if c not in g]
     p = points.select(*g, F.col(x).alias("_x"), F.struct(*names).alias("_p"), F.lit(1).alias("_point"))
-    node = F.when(F.col("_point") == 0, F.struct("_x", "_y"))
-    w = Window.partitionBy(*g).orderBy("_x", "_point")
-    back = Window.partitionBy(*g).orderBy(F.desc("_x"), "_point")
     all_rows = n.unionByName(p, allowMissingColumns=True)
-    seen = all_rows.withColumn("_lo", F.last(node, ignorenulls=True).over(w)).withColumn("_hi", F.last(node, ignorenulls=True).over(back)).where("_point = 1")
+    stored = written(all_rows.withColumn("_tie", F.monotonically_increasing_id()))
+    parts = max(1, -(-stored.count() // rows))
+    key = [*g, "_part"]
+    if parts > 1:
+        placed = stored.repartitionByRange(parts, *g, "_x", "_point", "_tie").withColumn("_part", F.spark_partition_id())
+        placed = written(placed)
+    else:
+        placed = stored.withColumn("_part", F.lit(0))
+    node = F.when(F.col("_point") == 0, F.struct("_x", "_y"))
+    w = Window.partitionBy(*key).orderBy("_x", "_point")
+    back = Window.partitionBy(*key).orderBy(F.desc("_x"), "_point")
+    seen = placed.withColumn("_lo", F.last(node, ignorenulls=True).over(w)).withColumn("_hi", F.last(node, ignorenulls=True).over(back)).where("_point = 1")
+    if parts > 1:
+        # a row for each group and range; a group's rows meet in one task, as many as the ranges that it covers
+        ends = placed.groupBy(*key).agg(F.min_by(F.struct("_x", "_y"), F.when(F.col("_point") == 0, F.col("_x"))).alias("_first"), F.max_by(F.struct("_x", "_y"), F.when(F.col("_point") == 0, F.col("_x"))).alias("_last"))
+        before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*g).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        beside = written(ends.select(*key, F.last("_last", ignorenulls=True).over(before).alias("_before"), F.last("_first", ignorenulls=True).over(after).alias("_after")).where("_before is not null or _after is not null"))
+        inner_rows = seen.where("_lo is not null and _hi is not null")
+        open_rows = seen.where("_lo is null or _hi is null").alias("a").join(beside.alias("b"), reduce(lambda a, b: a & b, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in key]), "left")
+        filled = open_rows.select(*[f"a.`{c}`" for c in g], "a._x", "a._p", F.coalesce("a._lo", "b._before").alias("_lo"), F.coalesce("a._hi", "b._after").alias("_hi"))
+        seen = inner_rows.select(*g, "_x", "_p", "_lo", "_hi").unionByName(filled)
     span = F.col("_hi._x") - F.col("_lo._x")
     inner = F.when(span == 0, F.col("_lo._y")).otherwise(F.col("_lo._y") + (F.col("_hi._y") - F.col("_lo._y")) * (F.col("_x") - F.col("_lo._x")) / F.nullif(span, F.lit(0.0)))
     value = F.coalesce(inner, "_lo._y", "_hi._y") if outside == "end" else inner

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import fin
 from ..plans.storage import written
+from .graph import components
 from .joins import interp_join
 
 
@@ -78,7 +79,7 @@ def _label_tile(tile: pd.DataFrame) -> pd.DataFrame:
 def detect_sources(pixels: DataFrame, threshold: float, npix: int = 1, tile: int = 256, key: str = "image_id") -> DataFrame:
     """Pixels above the threshold with 8-connected labels of at least `npix` pixels (NUM4).
 
-    Tiles are labelled on their own; labels that touch across tile borders are joined by spreading the smallest.
+    Tiles are labelled on their own; labels that touch across tile borders are joined by contraction.
     A label is the number of the component's first pixel, y * 2^24 + x.
     """
     on = pixels.where(fin("value") > threshold).select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).withColumns({"pix": F.expr("y * 16777216 + x"), "ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
@@ -87,16 +88,8 @@ def detect_sources(pixels: DataFrame, threshold: float, npix: int = 1, tile: int
     edge = local.where((F.pmod("y", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("x", F.lit(tile)).isin(0, tile - 1)))
     near = edge.select(key, F.col("label").alias("a"), F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])).alias("p"))
     links = near.select(key, "a", "p.y", "p.x").join(edge.select(key, "y", "x", F.col("label").alias("b")), [key, "y", "x"]).where("a != b").select(key, "a", "b").distinct()
-    links = written(links)
-    label = written(links.groupBy(key, "a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    while True:
-        step = links.join(label.withColumnRenamed("a", "b"), [key, "b"]).groupBy(key, "a").agg(F.min("root").alias("near"))
-        new = written(label.join(step, [key, "a"]).select(key, "a", F.least("root", "near").alias("new"), "root"))
-        done = not new.where("new != root").limit(1).count()
-        label = new.select(key, "a", F.col("new").alias("root"))
-        if done:
-            break
-    out = local.join(label.withColumnRenamed("a", "label"), [key, "label"], "left").select(key, "y", "x", F.coalesce("root", "label").alias("label"))
+    roots, _ = components(links, [key])
+    out = local.join(roots.withColumnRenamed("node", "label"), [key, "label"], "left").select(key, "y", "x", F.coalesce("root", "label").alias("label"))
     big = out.groupBy(key, "label").agg(F.count("*").alias("n")).where(F.col("n") >= npix).select(key, "label")
     return out.join(big, [key, "label"])
 
