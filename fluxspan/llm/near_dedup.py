@@ -26,6 +26,8 @@ SKETCH_RISK = 1e-9
 BLOCK_NODES, BLOCK_BYTES = 1000, 8 << 20
 #: Pairs of sketches that are compared in one step.
 SLAB_PAIRS = 20_000
+#: Texts whose bins are filled in one step.
+SIGNED_TEXTS = 1000
 NO_ID = (1 << 63) - 1
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -110,7 +112,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Of each document: number of shingles, hash of its set (its node), a byte of each minimum (0: empty), band keys (none if empty)."""
 
     def work(batches):
-        for b in common.chunks(batches, 2 << 20):
+        for b in (c.slice(lo, SIGNED_TEXTS) for c in common.chunks(batches, 2 << 20) for lo in range(0, c.num_rows, SIGNED_TEXTS)):
             n = b.num_rows
             owner, value = shingle_sets(b.column("text").to_pylist(), size)
             count = np.bincount(owner, minlength=n)
