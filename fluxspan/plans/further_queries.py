@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import catalog, filters, fits, joins, pixels, spectra, stats, windows
+from ..operators import catalog, filters, fits, joins, mentions, pixels, spectra, stats, windows
 from ..sources import heads, tables
 from ..streaming import readiness
 from . import registry, storage
@@ -499,6 +499,28 @@ def _(spark, d):
     return spark.read.schema(readiness.READY).parquet(f"{path}/out")
 
 
+#: SQL: the words of a text.
+WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def runs_sql(table: str, keep: str) -> str:
+    """SQL: runs of two and three words of each text."""
+    return " union all ".join(f"select {keep}, unnest(list_transform(range(1, len(w) - {k - 1} + 1), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) as run from {table} where len(w) >= {k}" for k in (2, 3))
+
+
+@query("agg48_aliases", f"""with b as (select item_id, {WORDS} as w from benchmark where text is not null), a as (select run as alias, min('item ' || item_id) as name from ({runs_sql('b', 'item_id')}) group by 1),
+d as (select source, {WORDS} as w from documents where text is not null), p as (select name, source, count(*) as n from ({runs_sql('d', 'source')}) join a on run = alias group by all)
+select name, sum(n)::bigint as mention_count, count(*) as n_articles, string_agg(source, ';' order by source) as articles from p group by 1""")
+def _(spark, d):
+    """All runs of two and three words of the items, some 10,000 at the checked size, stand for their items."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
+    items = v.table(spark, d, "benchmark").where("text is not null").select("item_id", w.alias("w"))
+    runs = [items.where(F.size("w") >= k).select("item_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))")).alias("alias")) for k in (2, 3)]
+    aliases = runs[0].union(runs[1]).select("alias", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"))
+    return mentions.alias_mentions(v.table(spark, d, "documents"), aliases, "source")
+
+
 @query("str2_merge_status", "select c_custkey from customer where c_custkey not in (select user_id from (select user_id, arg_max(event_type, (epoch_us(ts), event_type)) as s from events group by 1) where s = 'purchase')")
 def _(spark, d):
     path = storage.folder(spark)
