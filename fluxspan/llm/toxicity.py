@@ -5,11 +5,13 @@ share, each weighted by a decay for the characters it stretches over, so insults
 close to the plain ones.  Landmarks span the feature space; a linear machine is trained in it.  Labels belong to whole
 texts, so training is by witnesses: each toxic text, as a bag of its sentences' strings, is represented by the string that
 scores highest, all strings of clean texts are negative.  Trained, the machine is one weight for each subsequence of the
-landmarks; a string's score is a normalised sum of weights, a text's that of its worst string.
+landmarks; a string's margin is a normalised sum of weights.  A text's score is a logistic curve of its worst strings'
+margins and of the share of its words that are suspicious, since beginnings of insults also begin rare harmless words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,15 @@ from .bpe import LongTable
 
 #: Labelled texts of each class that the machine is trained on, at most: those with the smallest hashes of their ids.
 TRAINING_TEXTS = 2_000
-LANDMARKS = 200
+#: Landmark strings, and strings of clean texts that a round trains against: the likeliest, and others drawn from all.
+LANDMARKS, NEAR_STRINGS, FAR_STRINGS = 200, 4_000, 8_000
+#: The worst strings of a text that its score looks at, and the margin from which on a string counts as suspicious.
+WORST, SUSPECT = 3, 0.0
+#: What a missed toxic text weighs against a clean one that is marked, when the curve is fitted.
+MISS_COST = 3.0
+#: Margin of a string that isn't there.
+FLOOR = -2.0
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN, DECAY = 6, 0.6
 #: A longer string is read in overlapping pieces of this length.
 PIECE = 32
@@ -69,18 +79,18 @@ def normal_forms(word: bytes) -> list[str]:
 
 
 def subsequences(words: list[str]):
-    """For each of the STEPS: (string, subsequence as a number, weight) arrays; strings are marked at both ends."""
+    """For each of the STEPS: (string, 64-bit hash of the subsequence's code points, weight) arrays; strings are marked at both ends."""
     text = np.frombuffer("\x02\x03".join(["", *words, ""]).encode("utf-32-le"), np.uint32)[1:-1].astype(np.int64) if words else np.zeros(0, np.int64)
     # \x03 begins a string and \x02 ends it; the first begin and the last end come from the outer joins
     owner = np.cumsum(text == 3) - 1
-    small = text & 0x7FFF
+    letters = text.view(np.uint64)
     for a, b, c in STEPS:
         n = len(text) - a - b - c
         if n <= 0:
             continue
         at = np.flatnonzero(owner[:n] == owner[a + b + c :])
-        code = ((small[at] << 15 | small[at + a]) << 15 | small[at + a + b]) << 15 | small[at + a + b + c]
-        yield owner[at], code, DECAY ** (a + b + c - 3)
+        code = ((letters[at] * _MIX + letters[at + a]) * _MIX + letters[at + a + b]) * _MIX + letters[at + a + b + c]
+        yield owner[at], code.view(np.int64), DECAY ** (a + b + c - 3)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,13 +116,12 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class StringMachine:
-    """codes and weights: of all landmark subsequences; bias; slope and shift turn a clipped margin into a probability."""
+    """codes and weights: of all landmark subsequences; bias; curve: weights of a text's features and of 1 in its log odds."""
 
     codes: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray
     most: float = 1.0  # margins count up to here
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -123,8 +132,21 @@ class StringMachine:
         hit = at >= 0
         return np.bincount(owner[hit], self.weights[at[hit]] * value[hit], minlength=len(words)) + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(margin, -1, self.most) + self.shift, -60, 60)))
+    def features(self, worst: np.ndarray, suspects: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Of texts: margins of the worst different strings, worst first; how many are suspicious, and their share of the words."""
+        tops = np.clip(worst, -1, self.most)
+        return np.column_stack([tops, np.log((suspects + 0.5) / (words + 50.0)), np.minimum(suspects, 2), np.log1p(suspects)])
+
+    def probability(self, worst: np.ndarray, suspects: np.ndarray, words: np.ndarray) -> np.ndarray:
+        odds = self.features(worst, suspects, words) @ self.curve[:-1] + self.curve[-1]
+        return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+    def of_text(self, margins: np.ndarray, words: int) -> float:
+        """Probability for one text, from the margins of its different strings and its number of words."""
+        worst = np.full((1, WORST), FLOOR)
+        top = np.sort(margins)[::-1][:WORST]
+        worst[0, : len(top)] = top
+        return float(self.probability(worst, np.array([(margins > SUSPECT).sum()]), np.array([words]))[0])
 
 
 def _kernel(words: list[str], codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -166,11 +188,13 @@ def _spread(word: str, rng: np.random.Generator) -> str:
     return "".join(c + (marks[rng.integers(4)] if rng.random() < 0.7 else "") for c in word[:-1]) + word[-1:]
 
 
-def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1) -> StringMachine:
-    """Trains on bags of distinct strings.  With labels of one kind only, all scores are 0 (none toxic) or 1 (all toxic)."""
-    none = np.zeros(0)
+def fit(bags: list[list[str]], toxic: np.ndarray, sizes: np.ndarray, toxic_share: float | None = None, landmarks: int = LANDMARKS, rounds: int = 3, seed: int = 1) -> StringMachine:
+    """Trains on bags of distinct strings of texts with `sizes` words; toxic_share: of toxic texts among all that are labelled, if
+    the given ones were picked by label.  With labels of one kind only, all scores are 0 (none toxic) or 1 (all toxic)."""
     if not len(toxic) or toxic.min() == toxic.max():
-        return StringMachine(np.zeros(0, np.int64), none, 0.0, 0.0, 60.0 if len(toxic) and toxic[0] else -60.0)
+        curve = np.zeros(WORST + 4)
+        curve[-1] = 60.0 if len(toxic) and toxic[0] else -60.0
+        return StringMachine(np.zeros(0, np.int64), np.zeros(0), 0.0, curve)
     rng = np.random.default_rng(seed)
     words = sorted({w for b in bags for w in b})
     number = {w: k for k, w in enumerate(words)}
@@ -209,8 +233,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
     for _ in range(rounds):
         extra = [m[np.argmax(score[m])] for m, t in zip(member, toxic, strict=True) if machine is not None and t and len(m) and not marked[m].any()]
         witness = np.union1d(surely, [k for k in extra if score[k] > 0 and not good[k]]).astype(np.int64)
-        near = clean[np.argsort(-score[clean], kind="stable")[:4000]]
-        far = rng.choice(clean, min(len(clean), 8000), replace=False) if len(clean) else clean
+        near = clean[np.argsort(-score[clean], kind="stable")[:NEAR_STRINGS]]
+        far = rng.choice(clean, min(len(clean), FAR_STRINGS), replace=False) if len(clean) else clean
         negative = np.unique(np.concatenate((near, far)))
         pos = [words[k] for k in witness]
         pos_weight = [bad[k] for k in witness]
@@ -233,27 +257,32 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS, ro
         against = good[negative] ** 0.5
         weight = np.concatenate((share / share.sum(), 0.3 * share / share.sum(), 6 * against / max(against.sum(), 1)))
         w = _svm(z, y, weight)
-        machine = StringMachine(codes, columns @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        machine = StringMachine(codes, columns @ (root @ w[:-1]), float(w[-1]), np.zeros(WORST + 4))
         score = np.concatenate([machine.margins(words[lo : lo + 20000]) for lo in range(0, len(words), 20000)])
-    # Platt's sigmoid on the texts' highest margins, clipped where that fits best
-    tops = np.array([score[m].max() if len(m) else -2.0 for m in member])
+    # a logistic curve of the texts' features, margins clipped where that fits best
+    worst, suspects = np.full((len(member), WORST), FLOOR), np.zeros(len(member))
+    for k, m in enumerate(member):
+        top = np.sort(score[m])[::-1][:WORST]
+        worst[k, : len(top)], suspects[k] = top, (score[m] > SUSPECT).sum()
     target = np.where(toxic > 0, (n_bad + 1) / (n_bad + 2), 1 / (n_good + 2))
-    fits = []
+    odds = n_bad / n_good if toxic_share is None else toxic_share / max(1 - toxic_share, 1e-9)
+    cost, fits = np.where(toxic > 0, MISS_COST * odds * n_good / n_bad, 1.0), []
     for most in (1.0, 2.0, 4.0, 8.0):
-        top = np.clip(tops, -1, most)
-        a, b = 4.0 / most, 0.0
+        machine.most = most
+        x = np.column_stack([machine.features(worst, suspects, sizes), np.ones(len(member))])
+        curve = np.zeros(x.shape[1])
         for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(a * top + b, -60, 60)))
-            d, h = p - target, np.maximum(p * (1 - p), 1e-9)
-            g = np.array([(d * top).sum() + 1e-3 * a, d.sum()])
-            hess = np.array([[(h * top**2).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum()]]) + 1e-6 * np.eye(2)
-            step = np.clip(np.linalg.solve(hess, g), -1, 1)
-            a, b = a - step[0], b - step[1]
+            p = 1 / (1 + np.exp(-np.clip(x @ curve, -60, 60)))
+            d, h = cost * (p - target), cost * np.maximum(p * (1 - p), 1e-9)
+            reg = np.full(len(curve), 1e-2)
+            reg[-1] = 1e-6
+            step = np.clip(np.linalg.solve((x * h[:, None]).T @ x + np.diag(reg) + 1e-9 * np.eye(len(curve)), x.T @ d + reg * curve), -1, 1)
+            curve -= step
             if np.abs(step).max() < 1e-6:
                 break
-        p = np.clip(1 / (1 + np.exp(-np.clip(a * top + b, -60, 60))), 1e-12, 1 - 1e-12)
-        fits.append((float(-(target * np.log(p) + (1 - target) * np.log(1 - p)).sum()), most, float(a), float(b)))
-    _, machine.most, machine.slope, machine.shift = min(fits)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ curve, -60, 60))), 1e-12, 1 - 1e-12)
+        fits.append((float(-(cost * (target * np.log(p) + (1 - target) * np.log(1 - p))).sum()), most, curve))
+    _, machine.most, machine.curve = min(fits, key=lambda f: f[0])
     return machine
 
 
@@ -264,29 +293,29 @@ def train(docs: DataFrame, labels: DataFrame, texts: int = TRAINING_TEXTS, id_co
     the one with the smallest hash.
     """
     rows = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    seen = {r.y: r.n for r in rows.where("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = rows.where("y = 1").orderBy(*order).limit(texts).union(rows.where("y = 0").orderBy(*order).limit(texts))
 
     def work(batches):
         for b in common.chunks(batches):
             bags = [sorted({f for w in set(strings_of(t)) for f in normal_forms(w)}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("y"), pa.array(["\n".join(x) for x in bags])], ["doc_id", "mark", "y", "bag"])
+            sizes = [len(t.split()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("y"), pa.array(["\n".join(x) for x in bags]), pa.array(sizes, pa.int64())], ["doc_id", "mark", "y", "bag", "size"])
 
     d = common.documents(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    each = d.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "y", "text").mapInArrow(work, "doc_id long, mark long, y int, bag string")
-    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "bag"), "mark").alias("r")).select("r.*").collect()  # one row for each picked label
+    each = d.join(F.broadcast(picked), "doc_id").select("doc_id", "mark", "y", "text").mapInArrow(work, "doc_id long, mark long, y int, bag string, size long")
+    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "bag", "size"), "mark").alias("r")).select("r.*").collect()  # one row for each picked label
     got.sort(key=lambda r: (r.y, r.bag))
-    return fit([r.bag.split("\n") if r.bag else [] for r in got], np.array([r.y for r in got], np.int64))
+    return fit([r.bag.split("\n") if r.bag else [] for r in got], np.array([r.y for r in got], np.int64), np.array([r.size for r in got], np.int64), seen.get(1, 0) / max(sum(seen.values()), 1))
 
 
 _known: dict[str, common.Recent] = {}
-#: Margin of a text without any string.
-FLOOR = -2.0
 
 
 def scores(docs: DataFrame, machine: StringMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1, of the worst string) of every document; a null or empty text scores like no string at all."""
-    token = f"{abs(hash((machine.weights.tobytes(), machine.bias))):x}"
+    """doc_id, score (0 to 1) of every document; a null or empty text scores like no string at all."""
+    token = hashlib.blake2b(machine.weights.tobytes() + machine.codes.tobytes() + np.float64(machine.bias).tobytes(), digest_size=16).hexdigest()
 
     def worst_forms(words: list[bytes]) -> list[float]:
         """The highest margin of each word's forms."""
@@ -320,13 +349,22 @@ def scores(docs: DataFrame, machine: StringMachine, id_col: str = "doc_id", text
             first, number = common.distinct_spans(data, s, e)
             raw = data.tobytes()
             each = margins([raw[x:y] for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)])[number]
-            worst = np.full(len(texts), FLOOR)
-            some = np.flatnonzero(bounds[1:] > bounds[:-1])
-            if len(some):
-                worst[some] = np.maximum.reduceat(each, bounds[some])
-            runs, text = spelled_out(data, s, e, bounds)
-            np.maximum.at(worst, text, margins(runs))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(machine.probability(worst))], ["doc_id", "score"])
+            runs, run_text = spelled_out(data, s, e, bounds)
+            # each different string of a text once; of those only the ones that may be among its worst
+            owner = np.concatenate((np.repeat(np.arange(len(texts)), np.diff(bounds)), run_text))
+            margin = np.concatenate((each, margins(runs)))
+            string = np.concatenate((number, len(first) + np.arange(len(runs))))
+            best = np.full(len(texts), FLOOR)
+            np.maximum.at(best, owner, margin)
+            near = np.flatnonzero((margin > -1) | (margin == best[owner]))
+            near = near[np.unique(owner[near] * (len(first) + len(runs) + 1) + string[near], return_index=True)[1]]
+            near = near[np.lexsort((-margin[near], owner[near]))]
+            rank = np.arange(len(near)) - np.searchsorted(owner[near], owner[near])
+            worst = np.full((len(texts), WORST), FLOOR)
+            top = near[rank < WORST]
+            worst[owner[top], rank[rank < WORST]] = margin[top]
+            suspects = np.bincount(owner[near[margin[near] > SUSPECT]], minlength=len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(machine.probability(worst, suspects, np.diff(bounds)))], ["doc_id", "score"])
 
     return common.documents(docs, id_col, text_col).mapInArrow(work, "doc_id long, score double")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from fluxspan.llm import bpe, quality, registry, toxicity
@@ -75,3 +76,22 @@ def test_labels_of_one_kind_or_none(odd, labels):
     assert quality.keep_good(docs, bad).count() == 0
     for some, score in ((none, 0), (good, 0), (labels.where("toxic = 1"), 1)):
         assert {round(r.score) for r in toxicity.scores(docs, toxicity.train(docs, some)).collect()} == {score}
+
+
+def test_many_lines_in_one_document(spark):
+    """A hundred thousand lines, every other one boilerplate."""
+    rows = [(0, "\n".join("shared" if k % 2 else f"own {k}" for k in range(100_000)), "s0")] + [(k, "shared\nmore", f"s{k}") for k in range(1, 4)]
+    got = {r.doc_id: r for r in lines.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3).collect()}
+    assert got[0]._removed == 50_000 and got[0]._kept == "\n".join(f"own {k}" for k in range(0, 100_000, 2))
+    assert got[1]._kept == "" and got[1]._removed == 2
+
+
+def test_code_points_beyond_two_bytes():
+    """Hangul, Han and emoji are told apart from each other and from Latin letters."""
+    words = ["abcd", "\u8061\u8062\u8063\u8064", "\uac00\uac01\uac02\uac03", "\U0001f600\U0001f601\U0001f602\U0001f603", "\U0001f600\U0001f601\U0001f602\U0001f604"]
+    codes = [set(toxicity.features([w])[1].tolist()) for w in words]
+    assert not codes[0] & codes[1] and not codes[0] & codes[2] and not codes[1] & codes[2] and codes[3] != codes[4]
+    bags = [["\uac00\uac01\uac02", "x"], ["y", "zz"]] * 12
+    machine = toxicity.fit(bags, np.array([1, 0] * 12), np.array([5] * 24))
+    margins = machine.margins(["\uac00\uac01\uac02", "\u8061\u8062\u8063", "zz"])
+    assert margins[0] > 0 > margins[1] and margins[2] < 0

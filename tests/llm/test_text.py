@@ -133,9 +133,9 @@ def test_gapped_insults():
     rng = random.Random(2)
     clean = ["".join(rng.choices(["ta", "ro", "min", "el", "us", "ka"], k=3)) for _ in range(300)]
     bags = [sorted(set(rng.choices(clean, k=25)) | ({rng.choice(["blockhead", "scoundrel"])} if k % 2 else set())) for k in range(200)]
-    m = toxicity.fit(bags, np.array([k % 2 for k in range(200)]))
-    score = lambda t: float(m.probability(max(m.margins([f for w in toxicity.strings_of(t.encode()) for f in toxicity.normal_forms(w)]))))
+    m = toxicity.fit(bags, np.array([k % 2 for k in range(200)]), np.array([len(b) for b in bags]))
+    score = lambda t: m.of_text(m.margins([f for w in toxicity.strings_of(t.encode()) for f in toxicity.normal_forms(w)]), len(t.split()))
     for bad in ("blockhead", "block.head", "b-l-o-c-k-h-e-a-d", "s c o u n d r e l", "scouxndrel"):
         assert score(bad) > 0.5, bad
     assert max(score(w) for w in clean[:50]) < 0.5
-    assert toxicity.fit(bags, np.zeros(200, int)).probability(np.zeros(1))[0] < 0.01
+    assert toxicity.fit(bags, np.zeros(200, int), np.full(200, 9)).of_text(np.zeros(1), 9) < 0.01
