@@ -55,14 +55,46 @@ def with_valid(pixels: DataFrame, value: str = "value", weight: str | None = "wh
     return pixels.withColumn("valid", ok)
 
 
+#: Pixels on a side of the tiles that cover regions.
+COVER_TILE = 32
+
+
+def tile_cover(pixels: DataFrame, regions: DataFrame, span: tuple[Column, Column], least: Column, most: Column, r_in: Column, r_out: Column, key: str, tile: int = COVER_TILE) -> DataFrame:
+    """Tiles that regions touch: the regions' columns, ty, tx, and _whole, where every pixel of the tile lies inside.
+
+    span: half the height and width of a region; least, most: bounds of the radius over the tile whose corners are _x0, _x1,
+    _y0, _y1.  Tiles outside, inside the inner border, or beyond the image have no row.
+    """
+    size = pixels.groupBy(key).agg(F.min("y").alias("_ya"), F.max("y").alias("_yb"), F.min("x").alias("_xa"), F.max("x").alias("_xb"))
+    boxes = regions.join(size, key)
+    for c, half in zip("yx", span, strict=True):
+        boxes = boxes.withColumn(f"_{c}l", F.floor(F.greatest(F.col(f"{c}0") - half, F.col(f"_{c}a")) / tile)).withColumn(f"_{c}h", F.floor(F.least(F.col(f"{c}0") + half, F.col(f"_{c}b")) / tile))
+    boxes = boxes.where("_yl <= _yh and _xl <= _xh")
+    tiles = boxes.withColumn("ty", F.explode(F.sequence("_yl", "_yh"))).withColumn("tx", F.explode(F.sequence("_xl", "_xh")))
+    tiles = tiles.withColumns({"_y0": F.col("ty") * tile - F.col("y0"), "_x0": F.col("tx") * tile - F.col("x0")}).withColumns({"_y1": F.col("_y0") + tile - 1, "_x1": F.col("_x0") + tile - 1})
+    tiles = tiles.withColumns({"_least": least, "_most": most}).where((F.col("_least") <= r_out * (1 + 1e-9)) & (F.col("_most") >= r_in * (1 - 1e-9)))
+    tiles = tiles.withColumn("_whole", (F.col("_least") >= r_in * (1 + 1e-9)) & (F.col("_most") <= r_out * (1 - 1e-9)))
+    return tiles.select(*[f"`{c}`" for c in regions.columns], "ty", "tx", "_whole")
+
+
+def _tiled(pixels: DataFrame, tile: int = COVER_TILE) -> DataFrame:
+    return pixels.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+
+
 def in_circle(pixels: DataFrame, regions: DataFrame, key: str = "image_id") -> DataFrame:
     """Pixels inside circular annuli with closed bounds; radii in arcsec by the pixel area (FLT6).
 
-    regions: key, region, x0, y0, r_in, r_out (arcsec), pix_area (arcsec2) - a few rows for each image.
+    regions: key, region, x0, y0, r_in, r_out (arcsec), pix_area (arcsec2).  Regions are covered with tiles: a pixel meets
+    only those whose border or inside its tile touches, and those that hold the whole tile need no test.
     """
-    d2 = F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2)
     scale = F.sqrt("pix_area")
-    return pixels.join(regions, key).where(d2.between(F.pow(F.col("r_in") / scale, 2), F.pow(F.col("r_out") / scale, 2)))
+    r_in, r_out = F.greatest(F.col("r_in"), F.lit(0.0)) / scale, F.col("r_out") / scale
+    gap = lambda c: F.greatest(F.col(f"_{c}0"), -F.col(f"_{c}1"), F.lit(0.0))
+    far = lambda c: F.greatest(F.abs(f"_{c}0"), F.abs(f"_{c}1"))
+    cover = tile_cover(pixels, regions, (r_out, r_out), F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")), F.sqrt(far("x") * far("x") + far("y") * far("y")), r_in, r_out, key)
+    d2 = F.pow(F.col("x") - F.col("x0"), 2) + F.pow(F.col("y") - F.col("y0"), 2)
+    inside = d2.between(F.pow(F.col("r_in") / scale, 2), F.pow(F.col("r_out") / scale, 2))
+    return _tiled(pixels).join(cover, [key, "ty", "tx"]).where(F.col("_whole") | inside).drop("ty", "tx", "_whole")
 
 
 def with_r_ell(pixels: DataFrame, geom: DataFrame, key: str = "image_id") -> DataFrame:
@@ -74,7 +106,25 @@ def with_r_ell(pixels: DataFrame, geom: DataFrame, key: str = "image_id") -> Dat
 
 
 def in_ellipse(pixels: DataFrame, geom: DataFrame, key: str = "image_id") -> DataFrame:
-    return with_r_ell(pixels, geom, key).where(F.col("r_ell").between(F.col("r_in"), F.col("r_out")))
+    """Pixels inside elliptical annuli with closed bounds, and their elliptical radius (FLT7), by a cover of tiles.
+
+    geom: key, x0, y0, pa, q, r_in, r_out.  The radius is convex: over a tile it is largest at a corner, and differs from that
+    at the tile's centre by half the diagonal over the smaller axis ratio at most.
+    """
+    q = F.greatest(F.col("q"), F.lit(1e-3))
+
+    def radius(x: Column, y: Column) -> Column:
+        u, v = x * F.cos("pa") + y * F.sin("pa"), y * F.cos("pa") - x * F.sin("pa")
+        return F.sqrt(u * u + F.pow(v / q, 2))
+
+    half = lambda along, across: F.col("r_out") * F.sqrt(along * along + F.pow(q * across, 2))
+    mid = radius((F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2)
+    slack = F.sqrt(F.pow(F.col("_x1") - F.col("_x0"), 2) + F.pow(F.col("_y1") - F.col("_y0"), 2)) / 2 / F.least(q, F.lit(1.0))
+    most = F.greatest(*[radius(F.col(x), F.col(y)) for x in ("_x0", "_x1") for y in ("_y0", "_y1")])
+    cover = tile_cover(pixels, geom, (half(F.sin("pa"), F.cos("pa")), half(F.cos("pa"), F.sin("pa"))), mid - slack, most, F.col("r_in"), F.col("r_out"), key)
+    r_ell = radius(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
+    joined = _tiled(pixels).join(cover, [key, "ty", "tx"]).withColumn("r_ell", r_ell)
+    return joined.where(F.col("_whole") | F.col("r_ell").between(F.col("r_in"), F.col("r_out"))).drop("ty", "tx", "_whole")
 
 
 def usable(pixels: DataFrame, keys: list[str], masked: str = "masked", residual: str = "residual", model: str = "model") -> tuple[DataFrame, DataFrame]:

@@ -152,7 +152,8 @@ def band_join(one: DataFrame, other: DataFrame, key: str = "galaxy") -> DataFram
 def psf_branch_sigma(branches: DataFrame, key: str = "galaxy") -> DataFrame:
     """Largest difference from the reference branch among branches that change only the point-spread function (JN11).
 
-    Reference: the first name with `detdist_ref`, else the first row of two annuli, else the first.
+    Reference: the first name with `detdist_ref`, else the first row of two annuli, else the first; of equal names the
+    smallest magnitude.
     """
     order = Window.partitionBy(key).orderBy(F.when(F.col("branch").contains("detdist_ref"), 0).when(F.col("uses_two_annuli"), 1).otherwise(2), "branch")
     ref = branches.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(key, *[F.col(c).alias(f"ref_{c}") for c in ("branch", "resid_source", "model_source", "psf_ext", "opd_path", "mbar")])

@@ -130,9 +130,19 @@ def pick_window(windows: DataFrame, plateau: DataFrame, g: list[str], y: str, pe
 
 
 def ring_plateau(rings: DataFrame, g: list[str], x: str = "r_mid", y: str = "mbar", widest: float = 0.4, least: int = 3) -> DataFrame:
-    """Longest run of rings within a range; of equally long ones the inner (WIN4)."""
-    s = segments(rings, g, x, y, least, widest).withColumn("r_mid", (F.col("x_first") + F.col("x_last")) / 2)
-    return s.withColumn("_r", F.row_number().over(Window.partitionBy(*g).orderBy(F.desc("n"), "r_mid"))).where("_r = 1").select(*g, "n", "x_first", "x_last", "r_mid", "level")
+    """Longest run of rings within a range; of equally long ones the inner (WIN4).
+
+    How far a run from each ring reaches is known, so only the longest one of a group is read again.
+    """
+    ok = rings.where(fin(x).isNotNull() & fin(y).isNotNull())
+    r = written(ok.select(*g, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.row_number().over(ordered(g, x)).alias("_i")))
+    runs = _reach(r, g, widest).where(F.col("_reach") >= least)
+    ends = runs.withColumn("_j", F.col("_i") + F.col("_reach") - 1)
+    mid = ends.join(r.select(*g, "_i", F.col("_x").alias("_a")), [*g, "_i"]).join(r.select(*g, F.col("_i").alias("_j"), F.col("_x").alias("_b")), [*g, "_j"])
+    best = mid.groupBy(*g).agg(F.min(F.struct(-F.col("_reach"), F.col("_a") + F.col("_b"), "_i", "_j")).alias("_m")).select(*g, F.col("_m._i").alias("_first"), F.col("_m._j").alias("_last"))
+    own = r.join(best, g).where("_i between _first and _last")
+    out = own.groupBy(*g).agg(F.count("*").cast("int").alias("n"), F.min("_x").alias("x_first"), F.max("_x").alias("x_last"), F.avg("_y").alias("level"))
+    return out.select(*g, "n", "x_first", "x_last", ((F.col("x_first") + F.col("x_last")) / 2).alias("r_mid"), "level")
 
 
 def zero_crossing(profile: DataFrame, g: list[str], x: str, y: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, filters, joins, pixels, psf_error, spectra, stats, windows
 from . import views as v
-from .registry import query, rounded
+from .registry import PLATEAU_SQL, query, rounded
 
 
 @query("flt5_valid", f"with {v.PIXELS} select image_id, count(*) as n, count(*) filter (value is not null and x % 3 > 0) as n_valid from pixels group by 1")
@@ -57,11 +57,6 @@ def _(spark, d):
     return filters.nth_sample(v.pixels(spark, d).withColumn("value", F.when(F.col("value") > 0, F.col("value"))), 7)
 
 
-def _(spark, d):
-    c = stats.sigma_cap(v.pixels(spark, d), ["image_id"], "value", 2.0, 3)
-    return rounded(c.groupBy("image_id").agg(F.count_if("changed").alias("n_changed"), F.sum("capped").alias("total")))
-
-
 @query("jn10_band_join", f"with {v.PIXELS} select a.image_id, count(*) as n, round(sum(a.value * b.value), 6) as dot from pixels a join pixels b on a.image_id = b.image_id and a.y = b.y and a.x = b.x where a.value > 0 and a.x % 4 > 0 group by 1")
 def _(spark, d):
     px = v.pixels(spark, d)
@@ -77,10 +72,6 @@ def _(spark, d):
     return joins.sources_in_regions(seg.select("image_id", "label").distinct(), seg, filters.in_circle(px, regions).select("image_id", "region", "y", "x")).select("image_id", "label", "region")
 
 
-def _(spark, d):
-    return rounded(stats.tile_background(v.pixels(spark, d), 8, 3))
-
-
 @query("agg3_corners", f"""with {v.PIXELS}, s as (select image_id, max(x) + 1 nx, max(y) + 1 ny from pixels group by 1), c as (select image_id, value from pixels join s using (image_id) where (x < floor(0.2 * nx) or x >= nx - floor(0.2 * nx)) and (y < floor(0.2 * ny) or y >= ny - floor(0.2 * ny))),
 b as (select image_id, median(value) - 2 * stddev_pop(value) lo, median(value) + 2 * stddev_pop(value) hi from c group by 1) select image_id, round(avg(value), 6) as mean, round(median(value), 6) as median, count(*) as n, round(stddev_pop(value), 6) as std from c join b using (image_id) where value between lo and hi group by 1 having count(*) > 50""")
 def _(spark, d):
@@ -93,10 +84,6 @@ def _(spark, d):
     return rounded(stats.radial_profile(px, v.centers(px), 2.0, 20, 100).select("image_id", "ring", "intensity", "n_pix", "r_mid"))
 
 
-def _(spark, d):
-    return rounded(stats.guess_center(pixels.smooth(v.pixels(spark, d), 2.0), least=5), 4)
-
-
 @query("agg7_moments", f"""with {v.PIXELS}, m as (select image_id, sum(value) w, sum(value * x) / sum(value) x0, sum(value * y) / sum(value) y0, sum(value * x * x) / sum(value) - power(sum(value * x) / sum(value), 2) vx, sum(value * y * y) / sum(value) - power(sum(value * y) / sum(value), 2) vy, sum(value * x * y) / sum(value) - sum(value * x) * sum(value * y) / power(sum(value), 2) vxy from pixels where value > 0 group by 1)
 select image_id, round(x0, 5) as x0, round(y0, 5) as y0, round(1 - sqrt(greatest((vx + vy) / 2 - sqrt(power((vx - vy) / 2, 2) + vxy * vxy), 0) / ((vx + vy) / 2 + sqrt(power((vx - vy) / 2, 2) + vxy * vxy))), 5) as eps, round(0.5 * atan2(2 * vxy, vx - vy), 5) as pa from m""")
 def _(spark, d):
@@ -152,11 +139,6 @@ def _(spark, d):
     return rounded(stats.variance_sbf(px, ["image_id"], 0.001).select("image_id", "n_core", "var_core", "pf"))
 
 
-def _(spark, d):
-    px = v.pixels(spark, d)
-    return rounded(stats.scan_rings(px.withColumn("model", F.col("value") * F.col("value")), v.centers(px), 2.0, 30.0, 4.0, 8.0, 0.001, least=20).select("image_id", "ring", "n_core", "pf"))
-
-
 @query("agg17_source_catalog", f"with {v.PIXELS}, s as (select image_id, y // 4 * 1000 + x // 4 as label, avg(x) as xc, count(*) as n, sum(value) as f, sum(greatest(value, 0)) as p from pixels group by all) select image_id, label, round(xc, 6) as xcentroid, n as area_pix, round(case when f > 0 then f else p end, 6) as flux_adopted from s where n <= 625 and case when f > 0 then f else p end > 0")
 def _(spark, d):
     px = v.pixels(spark, d)
@@ -171,11 +153,6 @@ def _(spark, d):
     return rounded(stats.residual_sources(px, seg, 0.2, 0.1).select("image_id", "label", "area_pix", "peak_sn"))
 
 
-def _(spark, d):
-    px = v.pixels(spark, d).where("value > 0").select("image_id", F.col("value").alias("v150"), (F.col("value") * (1.5 + F.col("x") / 100)).alias("v090"))
-    return rounded(stats.annulus_color(px, ["image_id"]))
-
-
 @query("agg52_branch_plan", f"with {v.PIXELS} select image_id, round(avg((value > 0.1)::int), 6) as masked_fraction from pixels group by 1")
 def _(spark, d):
     return rounded(stats.branch_plan(v.pixels(spark, d).withColumn("masked", F.col("value") > 0.1), ["image_id"]))
@@ -205,13 +182,6 @@ def _(spark, d):
     return pixels.dilate(px.where("value > 0.3"), px, 1).select("image_id", "y", "x")
 
 
-def _(spark, d):
-    px = v.pixels(spark, d)
-    nodes = stats.radial_profile(px, v.centers(px), 2.0, 20, 100).select("image_id", F.col("r_mid").alias("sma"), F.col("intensity").alias("intens"))
-    geom = v.centers(px).select("image_id", F.col("cx").alias("x0"), F.col("cy").alias("y0"), F.lit(0.0).alias("pa"), F.lit(1.0).alias("q"))
-    return rounded(pixels.render_model(filters.with_r_ell(px, geom), nodes).groupBy("image_id").agg(F.count("model").alias("n"), F.avg("residual").alias("mean_residual")))
-
-
 @query("num8_unroll", f"""with {v.PIXELS}, {v.CENTERS}, p as (select image_id, value, sqrt(power(x - cx, 2) + power(y - cy, 2)) r, atan2(y - cy, x - cx) / (2 * pi()) as t from pixels join centers using (image_id)), c as (select image_id, floor((r - 4) / (12 / 3.0))::int as sub, least(floor((t - floor(t)) * 12), 11)::int as angle, avg(value) as m, count(*) as n from p where r >= 4 and r < 16 group by all)
 select i.image_id, s.sub, a.angle, round(m, 6) as mean, coalesce(n, 0) as n from (select distinct image_id from c) i, (select unnest(range(0, 3))::int as sub) s, (select unnest(range(0, 12))::int as angle) a left join c on c.image_id = i.image_id and c.sub = s.sub and c.angle = a.angle""")
 def _(spark, d):
@@ -228,13 +198,6 @@ def _(spark, d):
     return rounded(windows.circular_smooth(ring, ["image_id"], 36, "angle", "mean", 9))
 
 
-def _(spark, d):
-    px = v.pixels(spark, d)
-    prof = stats.radial_profile(px, v.centers(px), 2.0, 20, 100).join(v.centers(px), "image_id")
-    nodes = prof.select("image_id", F.col("r_mid").alias("sma"), (F.col("intensity") + 1).alias("intens"), F.col("cx").alias("x0"), F.col("cy").alias("y0"), F.lit(0.2).alias("eps"), F.lit(0.1).alias("pa"))
-    return rounded(windows.extend_nodes(nodes, nodes.groupBy("image_id").agg((F.max("sma") + 35).alias("r_needed")), ["image_id"]), 5)
-
-
 @query("win9_clean_nodes", "with o as (select l_suppkey, l_quantity as sma, l_extendedprice as intens, l_discount as eps, l_tax as f, l_orderkey * 10 + l_linenumber as k from lineitem where l_quantity > 0), u as (select *, row_number() over (partition by l_suppkey, sma order by k desc) as r from o), s as (select l_suppkey, count(*) n, max(sma) filter (f >= 0.05) t from u where r = 1 group by 1) select l_suppkey, sma, intens, n as n_nodes, t as trusted_edge from u join s using (l_suppkey) where r = 1 and n >= 8")
 def _(spark, d):
     iso = v.table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("sma"), F.col("l_extendedprice").alias("intens"), F.col("l_discount").alias("eps"), F.col("l_tax").alias("real_data_frac"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
@@ -246,10 +209,6 @@ def _(spark, d):
     return rounded(spectra.periodogram(v.pixels(spark, d)).select("image_id", "ky", "kx", "power"))
 
 
-def _(spark, d):
-    return rounded(spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 20, 10))
-
-
 @query("agg37_rerun")
 def _(spark, d):
     """Images as galaxies, their halves as annuli; a narrow and a wide PSF table; one image in three has a supplied error."""
@@ -273,18 +232,7 @@ def _(spark, d):
     return rounded(spectra.expectation_spectrum(px, psf, 4, 1489, 12, 5))
 
 
-def _(spark, d):
-    pk = spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 40, 5)
-    ek = pk.select("image_id", "k", (1 / (0.1 + F.col("k"))).alias("power"))
-    fit = spectra.window_fits(pk, ek, ["image_id"], [(0.05, 0.4), (0.1, 0.5)], 5)
-    return rounded(spectra.k_diagnostic(pk, ek, fit, ["image_id"]), 5)
-
-
-def _(spark, d):
-    return rounded(v.pixels(spark, d).groupBy("image_id", F.col("x").alias("kbin")).agg(F.median("value").alias("power"), F.count("*").alias("n")))
-
-
-@query("win3_pick_window")
+@query("win3_pick_window", f"""with {PLATEAU_SQL} select p.event_type, round(p.x, 4) as x, round(abs(p.y - l.level) + 0.0001 * p.x, 4) as cost from profile p join plateau l on l.event_type = p.event_type qualify row_number() over (partition by p.event_type order by abs(p.y - l.level) + 0.0001 * p.x, p.y) = 1""")
 def _(spark, d):
     prof = v.profile(spark, d)
     plateau = windows.find_plateau(prof, ["event_type"], "x", "y", 3, 25.0)

@@ -118,13 +118,6 @@ def _(spark, d):
     return tables.parse_manifest(o.select(line.alias("value")))
 
 
-def _(spark, d):
-    c = v.table(spark, d, "conversations")
-    logs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "\n").alias("value"))
-    out = tables.parse_logs(logs, logs, [("the", "the_warning")], "conv_id")
-    return out.select("conv_id", (F.col("warnings") == "the_warning").alias("the_warning"), "log_exists")
-
-
 @query("src8_extract_values", "select page_id, try_cast(nullif(regexp_extract(html, '([0-9]+)', 1), '') as double) as number, case when regexp_extract(html, '([0-9]+)', 1) = '' then 'number' else '' end as missing from pages")
 def _(spark, d):
     return tables.extract_values(v.table(spark, d, "pages"), {"number": "([0-9]+)"}, "html").select("page_id", "number", "missing")
@@ -156,11 +149,6 @@ def _(spark, d):
     return filters.filter_products(p, 3, ["F150W", "F090W"]).select("p_partkey")
 
 
-def _(spark, d):
-    name = F.concat(F.lit("jw"), F.lpad((F.col("s_suppkey") % 100000).cast("string"), 5, "0"), F.lit("-o001_"), F.when(F.col("s_suppkey") % 3 == 0, "nrcalong").when(F.col("s_suppkey") % 3 == 1, "nrcb1").otherwise("miri"), F.lit("_i2d.fits"))
-    return filters.classify_products(v.table(spark, d, "supplier").select("s_suppkey", name.alias("file_name"))).select("s_suppkey", "detector", "proposal", "object_tag")
-
-
 @query("flt4_filter_key", "select c_custkey, case when c_custkey % 2 = 0 then 'F162M' else 'F150W' end as key from customer")
 def _(spark, d):
     return v.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "f162m").otherwise("CLEAR").alias("PUPIL"), F.lit("F150W ").alias("FILTER")).select("c_custkey", filters.filter_key().alias("key"))
@@ -224,11 +212,6 @@ def _(spark, d):
     return joins.attach_availability(cands, cache, cands.withColumn("status", F.lit("fresh")), "c_custkey", ["status"])
 
 
-def _(spark, d):
-    c = v.table(spark, d, "customer").withColumns({"has_f150w": F.col("c_nationkey") % 2 == 0, "has_f090w": F.col("c_acctbal") > 0})
-    return joins.unprocessed(c, v.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
-
-
 SKY = """t as (select s_suppkey, (s_suppkey * 37.77) % 360 as ra, (s_suppkey * 11.3) % 180 - 90 as dec from supplier), o as (select c_custkey, (c_custkey * 7.7) % 360 as ora, (c_custkey * 3.7) % 180 - 90 as odec from customer),
 h as (select s_suppkey, c_custkey, degrees(2 * asin(sqrt(least(1, power(sin((radians(odec) - radians(dec)) / 2), 2) + cos(radians(dec)) * cos(radians(odec)) * power(sin((radians(ora) - radians(ra)) / 2), 2))))) as sep from t, o)"""
 
@@ -259,16 +242,16 @@ def _branches(li: DataFrame) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("galaxy"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("branch"), F.col("l_returnflag").alias("resid_source"), F.lit("m").alias("model_source"), F.col("l_linestatus").alias("psf_ext"), F.lit("o").alias("opd_path"), (F.col("l_linenumber") == 7).alias("uses_two_annuli"), F.log10("l_extendedprice").alias("mbar"))
 
 
-@query("jn11_psf_branches", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem),
-ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where r.branch <> ref.branch and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
-select galaxy, ref.branch as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
+@query("jn11_psf_branches", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag as f, l_linestatus as s, log10(l_extendedprice) as m, first_value(l_orderkey || '-' || l_linenumber) over w as ref, first_value(l_returnflag) over w as rf, first_value(l_linestatus) over w as rs, first_value(log10(l_extendedprice)) over w as rm
+from lineitem window w as (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber, l_extendedprice))
+select galaxy, min(ref) as psf_branch_ref, round(max(abs(m - rm)) filter (branch <> ref and f = rf and s <> rs), 6) as sigma_psf, count(*) filter (branch <> ref and f = rf and s <> rs) as psf_branch_alt_count from r group by 1""")
 def _(spark, d):
     return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem"))))
 
 
-@query("jn11_psf_branches_whole", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag, l_linestatus, log10(l_extendedprice) as mbar, row_number() over (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber) as k from lineitem),
-ref as (select * from r where k = 1), x as (select r.galaxy, max(abs(r.mbar - ref.mbar)) as s, count(*) as n from r join ref using (galaxy) where r.branch <> ref.branch and r.l_returnflag = ref.l_returnflag and r.l_linestatus <> ref.l_linestatus group by 1)
-select galaxy, ref.branch as psf_branch_ref, round(x.s, 6) as sigma_psf, coalesce(x.n, 0) as psf_branch_alt_count from ref left join x using (galaxy)""")
+@query("jn11_psf_branches_whole", """with r as (select l_suppkey as galaxy, l_orderkey || '-' || l_linenumber as branch, l_returnflag as f, l_linestatus as s, log10(l_extendedprice) as m, first_value(l_orderkey || '-' || l_linenumber) over w as ref, first_value(l_returnflag) over w as rf, first_value(l_linestatus) over w as rs, first_value(log10(l_extendedprice)) over w as rm
+from lineitem window w as (partition by l_suppkey order by case when l_linenumber = 7 then 1 else 2 end, l_orderkey || '-' || l_linenumber, l_extendedprice))
+select galaxy, min(ref) as psf_branch_ref, round(max(abs(m - rm)) filter (branch <> ref and f = rf and s <> rs), 6) as sigma_psf, count(*) filter (branch <> ref and f = rf and s <> rs) as psf_branch_alt_count from r group by 1""")
 def _(spark, d):
     return rounded(joins.psf_branch_sigma(_branches(v.table(spark, d, "lineitem"))))
 
@@ -327,11 +310,6 @@ def _(spark, d):
     return windows.recommend(c, ["galaxy"]).select("galaxy", "wnd")
 
 
-def _(spark, d):
-    s, how = stats.measurement_sigma("l_discount", "l_tax", "l_quantity")
-    return v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("sigma"), how.alias("how"))
-
-
 @query("agg35_error_budget", """select s_suppkey, round(sqrt(pk * pk + pr * pr + sky * sky + 0.02 * 0.02), 6) as sigma_total, 'sigma_psf' as missing_components from (select s_suppkey, wi * 0.05 + wo * (0.01 + s_nationkey / 100.0) as pk,
 wi * (2.5 / ln(10) * 0.25 * 0.1 / 0.9) + wo * (2.5 / ln(10) * 0.25 * 0.2 / 0.8) as pr, wi * (2.5 / ln(10) * 0.01 / 2) + wo * (2.5 / ln(10) * 0.01 / 3) as sky from
 (select s_suppkey, s_nationkey, 400.0 / (400.0 + 1 / power(0.01 + s_nationkey / 100.0, 2)) as wi, 1 / power(0.01 + s_nationkey / 100.0, 2) / (400.0 + 1 / power(0.01 + s_nationkey / 100.0, 2)) as wo from supplier))""")
@@ -347,12 +325,6 @@ def _(spark, d):
     return rounded(catalog.extinction_sigma(c, 2.0).select("c_custkey", "sigma_ext", "sigma_ext_status"))
 
 
-def _(spark, d):
-    k = F.col("c_nationkey") % 3
-    c = v.table(spark, d, "customer").select("c_custkey", F.when(k == 0, 0.1).alias("psf_supplied"), F.lit(None).cast("double").alias("psf_branch"), F.when(k <= 1, 0.3).alias("psf_saved"))
-    return catalog.psf_sigma(c).select("c_custkey", "sigma_psf", "sigma_psf_status")
-
-
 SUMS = """s as (select g, count(*) n, sum(1/(sigma*sigma)) s0, sum((x-0.4)/(sigma*sigma)) s1, sum((x-0.4)*(x-0.4)/(sigma*sigma)) s2, sum(y/(sigma*sigma)) t0, sum(y*(x-0.4)/(sigma*sigma)) t1, sum(y*y/(sigma*sigma)) yy from cal group by g),
 fit as (select g, n, (s2*t0 - s1*t1)/(s0*s2 - s1*s1) c0, (s0*t1 - s1*t0)/(s0*s2 - s1*s1) c1, s2/(s0*s2 - s1*s1) v00, -s1/(s0*s2 - s1*s1) v01, s0/(s0*s2 - s1*s1) v11, s0, s1, s2, t0, t1, yy from s)"""
 
@@ -369,10 +341,6 @@ def _(spark, d):
     return rounded(fits.predict_poly(c, fits.weighted_poly_fit(c, ["g"], 1, pivot=0.4), ["g"], 1, pivot=0.4).select("l_orderkey", "l_linenumber", "predicted", "fit_variance"), predicted=5, fit_variance=8)
 
 
-def _(spark, d):
-    return rounded(fits.intrinsic_scatter(v.calibration(spark, d), ["g"], 1, pivot=0.4, top=10.24), 4)
-
-
 @query("agg42_leave_one_out", f"""with {v.CALIBRATION}, {SUMS}, d as (select l_orderkey, l_linenumber, x - 0.4 as u, y, 1/(sigma*sigma) w, s0 - 1/(sigma*sigma) a0, s1 - (x-0.4)/(sigma*sigma) a1, s2 - (x-0.4)*(x-0.4)/(sigma*sigma) a2, t0 - y/(sigma*sigma) b0, t1 - y*(x-0.4)/(sigma*sigma) b1 from cal join fit using (g))
 select l_orderkey, l_linenumber, round(y - ((a2*b0 - a1*b1)/(a0*a2 - a1*a1) + (a0*b1 - a1*b0)/(a0*a2 - a1*a1) * u), 5) as loo_residual from d""")
 def _(spark, d):
@@ -418,11 +386,6 @@ def _(spark, d):
     return fits.gate_fit(fits.spectrum_fit(v.table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")).select("l_suppkey", "gate_reason")
 
 
-def _(spark, d):
-    o = v.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e4).alias("P0"), (F.col("o_custkey") % 20).cast("double").alias("Pr"), F.lit(2.0).alias("Imean"), F.lit(0.001).alias("area"), F.lit(0.1).alias("P0_fit_sigma"))
-    return rounded(fits.power_budget(o).select("o_orderkey", "failure_reason", "P_fluc"))
-
-
 # -- sources and luminosity functions ------------------------------------------------------------------------------
 
 @query("agg19_source_summary", f"with {v.SOURCES} select galaxy, region, count(*) as n_overlap, count(mag_ab) as n_valid, count(*) filter (flux_adopted <= 0) as n_nonpositive, round(min(mag_ab), 6) as mag_min, round(median(mag_ab), 6) as mag_med, round(max(mag_ab), 6) as mag_max from sources group by all")
@@ -443,12 +406,6 @@ def _(spark, d):
     return rounded(stats.limit_mag(v.sources(spark, d), ["galaxy", "region"], ["galaxy"]))
 
 
-def _(spark, d):
-    s = v.sources(spark, d)
-    limits = stats.limit_mag(s, ["galaxy", "region"], ["galaxy"]).select("galaxy", "region", "m_lim")
-    return rounded(stats.fit_lf(s, limits, ["galaxy", "region"], limits.select("galaxy", "region").withColumn("area", F.lit(1000.0))))
-
-
 @query("agg23_contaminant_power", "select l_orderkey, l_linenumber, case when l_discount * 10 < 0.8 then round(l_quantity * l_tax * l_tax / ((0.8 - l_discount * 10) * ln(10)), 6) end as pr from lineitem")
 def _(spark, d):
     return rounded(v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", stats.contaminant_power("l_quantity", "l_tax", F.col("l_discount") * 10).alias("pr")))
@@ -493,12 +450,29 @@ def _(spark, d):
     return rounded(windows.isophote_windows(v.profile(spark, d), ["event_type"], "x", cols=("y",)))
 
 
-@query("win2_plateau")
+def stretches_sql(least: int, widest: float) -> str:
+    """CTEs r (numbered profile) and s: all stretches i..j of at least `least` rows whose range is `widest` at most."""
+    return f"""{v.PROFILE}, r as (select event_type, x, y, row_number() over (partition by event_type order by x) as i from profile),
+s as (select a.event_type, a.i as i, b.i as j, any_value(a.x) as x_first, any_value(b.x) as x_last, count(*)::int as n, avg(c.y) as level, regr_slope(c.y, c.x) as slope, regr_intercept(c.y, c.x) as icept, regr_sxx(c.y, c.x) as sxx, regr_syy(c.y, c.x) as syy, regr_sxy(c.y, c.x) as sxy
+from r a join r b on a.event_type = b.event_type and b.i >= a.i + {least - 1} join r c on c.event_type = a.event_type and c.i between a.i and b.i group by a.event_type, a.i, b.i having max(c.y) - min(c.y) <= {widest})"""
+
+
+PLATEAU_SQL = f"""{stretches_sql(3, 25.0)}, t as (select event_type, i, j, x_first, x_last, n, level, slope, sqrt(greatest(syy - coalesce(slope, 0) * sxy, 0) / n) as scatter, sqrt(greatest(syy, 0) / n) / sqrt(n) as err from s),
+m as (select event_type, median(abs(slope)) as a, median(scatter) as b, median(err) as c, median(n::double) as d from t group by 1),
+k as (select event_type, median(abs(abs(slope) - a)) as a, median(abs(scatter - b)) as b, median(abs(err - c)) as c, median(abs(n - d)) as d from t join m using (event_type) group by 1),
+z as (select t.*, (abs(slope) - m.a) / (case when k.a > 0 then 1.4826 * k.a else 1 end) + (scatter - m.b) / (case when k.b > 0 then 1.4826 * k.b else 1 end) + 0.7 * (err - m.c) / (case when k.c > 0 then 1.4826 * k.c else 1 end) - 0.5 * (n - m.d) / (case when k.d > 0 then 1.4826 * k.d else 1 end) as score
+from t join m using (event_type) join k using (event_type)),
+best as (select event_type, i, j, x_first, x_last, n, level, slope, scatter, score, 'plateau' as how from z qualify row_number() over (partition by event_type order by score, n desc, i) = 1),
+lone as (select r.event_type, i, i as j, x as x_first, x as x_last, 1 as n, y as level, null::double as slope, null::double as scatter, null::double as score, 'most_robust' as how from r join (select event_type, median(y) as med from r group by 1) q using (event_type)
+where r.event_type not in (select event_type from best) qualify row_number() over (partition by r.event_type order by abs(y - med), i) = 1), plateau as (select * from best union all select * from lone)"""
+
+
+@query("win2_plateau", f"""with {PLATEAU_SQL} select event_type, i::int as first, j::int as last, round(x_first, 5) as x_first, round(x_last, 5) as x_last, n, round(level, 5) as level, round(slope, 5) as slope, round(scatter, 5) as scatter, round(score, 5) as score, how from plateau""")
 def _(spark, d):
     return rounded(windows.find_plateau(v.profile(spark, d), ["event_type"], "x", "y", 3, 25.0), 5)
 
 
-@query("win4_ring_plateau")
+@query("win4_ring_plateau", f"""with {stretches_sql(3, 15.0)} select event_type, n, round(x_first, 5) as x_first, round(x_last, 5) as x_last, round((x_first + x_last) / 2, 5) as r_mid, round(level, 5) as level from s qualify row_number() over (partition by event_type order by n desc, x_first + x_last) = 1""")
 def _(spark, d):
     return rounded(windows.ring_plateau(v.profile(spark, d), ["event_type"], "x", "y", 15.0, 3), 5)
 
@@ -532,15 +506,8 @@ def _(spark, d):
     return windows.best_experiment(li, ["l_suppkey"], "l_discount", "l_tax").select("l_suppkey", "experiment")
 
 
-def _(spark, d):
-    return windows.decide(v.measurements(spark, d).where("region = 'inner'"), ["galaxy"], "wnd", "sigma", 0.951, 1.101).select("galaxy", "wnd", "decision")
-
-
 # -- catalogue -----------------------------------------------------------------------------------------------------
 
-def _(spark, d):
-    return catalog.availability(v.table(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_orderpriority", "o_orderkey").select("o_custkey", "obs_count", "filters", "has_f150w", "n_obs_ids")
-
 
 @query("agg48_mentions", "with w as (select doc_id, source, unnest(regexp_extract_all(text, '(of|the|und|que|les)')) as name from documents), p as (select name, source, count(*) n from w group by all) select name, sum(n)::bigint as mention_count, count(*) as n_articles, string_agg(source, ';' order by source) as articles from p group by 1")
 def _(spark, d):
@@ -559,10 +526,6 @@ def _(spark, d):
     return catalog.candidate_union([(a, "orders"), (b, "customer")])
 
 
-def _(spark, d):
-    return catalog.sample_membership(v.table(spark, d, "orders").select(F.col("o_orderpriority").alias("sample"), F.array("o_custkey").alias("names")))
-
-
 @query("set3_branch_union", "select 'reference' as branch, count(*) as n, count(x) as nx from (select *, null as x from orders where o_orderkey % 2 = 0) union all select 'variant', count(*), count(x) from (select *, 1 as x from orders where o_orderkey % 2 = 1)")
 def _(spark, d):
     o = v.table(spark, d, "orders")
@@ -592,10 +555,6 @@ def _(spark, d):
     return catalog.prioritise(v.table(spark, d, "customer"), rules, ["c_custkey"]).select("c_custkey", "priority")
 
 
-def _(spark, d):
-    return rounded(catalog.experiment_metrics(v.table(spark, d, "lineitem").withColumn("resid_median", F.col("l_discount") - 0.05), ["l_suppkey"]), 4)
-
-
 @query("str2_latest_status", "select user_id, arg_max(event_type, (epoch_us(ts), event_type)) as event_type, max(ts) as ts from events group by 1")
 def _(spark, d):
     from ..streaming.readiness import latest_status

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxspan.operators import graph, joins, pixels
+from fluxspan.operators import filters, graph, joins, pixels, windows
 
 
 def test_snake_across_tiles(spark):
@@ -71,3 +71,40 @@ def test_interpolation_plan_spreads_one_group(spark):
     assert len(spread) >= 5 and max(spread) < 20_000
     wrong = out.where(F.abs(F.col("interpolated") - F.col("x") * 100) > 1e-6).count()
     assert wrong == 0 and out.count() == 40_000
+
+
+def test_a_thousand_regions_on_one_image(spark):
+    """Joined rows stay near the hits: regions meet the pixels of their tiles only, not the whole image."""
+    rng, n = np.random.default_rng(6), 200
+    px = spark.range(n * n).select(F.lit(1).alias("image_id"), (F.col("id") / n).cast("int").alias("y"), (F.col("id") % n).cast("int").alias("x"), F.lit(1.0).alias("value")).repartition(4)
+    circles = [(1, k, float(rng.uniform(-10, 210)), float(rng.uniform(-10, 210)), float(rng.choice([0.0, 3.0, 20.0])), float(rng.uniform(3, 40)), 0.25) for k in range(1000)] + [(1, 1000, 100.0, 100.0, 0.0, 1e9, 1.0), (2, 0, 1.0, 1.0, 0.0, 5.0, 1.0)]
+    regions = spark.createDataFrame(circles, "image_id int, region int, x0 double, y0 double, r_in double, r_out double, pix_area double")
+    yy, xx = np.mgrid[:n, :n]
+    want = {k: int((((xx - x0) ** 2 + (yy - y0) ** 2 >= (a / s**0.5) ** 2) & ((xx - x0) ** 2 + (yy - y0) ** 2 <= (b / s**0.5) ** 2)).sum()) for i, k, x0, y0, a, b, s in circles if i == 1}
+    got = {r.region: r["count"] for r in filters.in_circle(px, regions).groupBy("region").count().collect()}
+    assert got == {k: c for k, c in want.items() if c}
+    scale = F.sqrt("pix_area")
+    gap = lambda c: F.greatest(F.col(f"_{c}0"), -F.col(f"_{c}1"), F.lit(0.0))
+    far = lambda c: F.greatest(F.abs(f"_{c}0"), F.abs(f"_{c}1"))
+    cover = filters.tile_cover(px, regions, (F.col("r_out") / scale, F.col("r_out") / scale), F.hypot(gap("x"), gap("y")), F.hypot(far("x"), far("y")), F.col("r_in") / scale, F.col("r_out") / scale, "image_id")
+    joined = filters._tiled(px).join(cover, ["image_id", "ty", "tx"]).count()
+    assert joined < 3 * sum(want.values()) + 5_000 < 1001 * n * n / 3
+
+
+def test_ellipses_by_tiles(spark):
+    rng, n = np.random.default_rng(7), 120
+    px = spark.range(n * n).select(F.lit(1).alias("image_id"), (F.col("id") / n).cast("int").alias("y"), (F.col("id") % n).cast("int").alias("x"))
+    shapes = [(1, k, float(rng.uniform(0, n)), float(rng.uniform(0, n)), float(rng.uniform(-4, 4)), float(rng.choice([0.0, 0.2, 0.7, 1.0, 1.5])), float(rng.choice([0.0, 10.0])), float(rng.uniform(5, 70))) for k in range(60)]
+    geom = spark.createDataFrame(shapes, "image_id int, region int, x0 double, y0 double, pa double, q double, r_in double, r_out double")
+    every = filters.with_r_ell(px, geom).where("r_ell between r_in and r_out").groupBy("region").agg(F.count("*").alias("n"), F.sum("r_ell").alias("s"))
+    got = filters.in_ellipse(px, geom).groupBy("region").agg(F.count("*").alias("n"), F.sum("r_ell").alias("s"))
+    a, b = ({r.region: (r.n, round(r.s, 6)) for r in d.collect()} for d in (every, got))
+    assert a == b and len(a) > 40
+
+
+def test_longest_run_of_flat_rings(spark):
+    """Rows that all lie within the range make one run, without a list of all stretches."""
+    n = 3000
+    df = spark.range(n).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("r_mid"), F.when(F.col("id") >= n - 10, 9.0).otherwise(F.col("id") % 3 / 10).alias("mbar"))
+    got = {r.g: (r.n, r.x_first, r.x_last) for r in windows.ring_plateau(df, ["g"], widest=0.4).collect()}
+    assert got == {0: (1495, 0.0, 2988.0), 1: (1495, 1.0, 2989.0)}
