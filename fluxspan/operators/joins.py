@@ -155,7 +155,7 @@ def psf_branch_sigma(branches: DataFrame, key: str = "galaxy") -> DataFrame:
     Reference: the first name with `detdist_ref`, else the first row of two annuli, else the first; of equal names the
     smallest magnitude.
     """
-    order = Window.partitionBy(key).orderBy(F.when(F.col("branch").contains("detdist_ref"), 0).when(F.col("uses_two_annuli"), 1).otherwise(2), "branch")
+    order = Window.partitionBy(key).orderBy(F.when(F.col("branch").contains("detdist_ref"), 0).when(F.col("uses_two_annuli"), 1).otherwise(2), "branch", "mbar")
     ref = branches.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(key, *[F.col(c).alias(f"ref_{c}") for c in ("branch", "resid_source", "model_source", "psf_ext", "opd_path", "mbar")])
     alt = branches.join(ref, key).where("branch != ref_branch and resid_source <=> ref_resid_source and model_source <=> ref_model_source and (not (psf_ext <=> ref_psf_ext) or not (opd_path <=> ref_opd_path))")
     diff = alt.groupBy(key).agg(F.max(F.abs(F.col("mbar") - F.col("ref_mbar"))).alias("sigma_psf"), F.count("*").alias("psf_branch_alt_count"))
