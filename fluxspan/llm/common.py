@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, folder, written  # noqa: F401
+from ..plans.storage import discard, folder, temporary, written  # noqa: F401
 
 #: Bytes of text that one vectorised step inside a task takes at once.  A longer text is taken alone and whole.
 CHUNK_BYTES = 4 << 20

@@ -11,6 +11,7 @@ before each document.  A short document is read by two small reads: the index, a
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
@@ -62,7 +63,7 @@ class Whole:
 
 
 def put(uri: str, data: bytes) -> None:
-    f = Whole(uri)
+    f = Whole(uri, uuid.uuid4().hex)  # attempts of one task write apart
     f.write(data)
     f.close()
 
