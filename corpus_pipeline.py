@@ -47,7 +47,15 @@ STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        path = common.folder(spark)
+        with common.temporary():  # a stage's own tables go when its result is stored
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        docs._shared_path = path
+        if last is not None:
+            common.discard(last)
+        last = docs
     return docs
