@@ -17,7 +17,7 @@ from ..plans.storage import discard, written
 
 #: Bits that are left after each pass; a prefix has at most 2^22 continuations.
 SHIFTS = (42, 21, 0)
-#: A prefix with at most so many rows for every rank needs no pass between: its values are counted one by one.
+#: A prefix, or a whole table, with at most so many rows needs no passes between: its values are counted one by one.
 FEW = 1_000_000
 #: Prefixes, one for each group and rank, that are broadcast at most; beyond, they meet the rows in a shuffle.
 BROADCAST_ROWS = 200_000
@@ -51,18 +51,18 @@ def quantiles(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float
     wanted: name -> (column, share).  NULL, NaN and infinite values don't count; a group without any other isn't there.
     weight: a column with the number of times that a row counts.
     """
-    lazy, temporary, _ = selected(df, g, wanted, weight)
+    lazy, temporary = selected(df, g, wanted, weight)
     out = written(lazy)
     for t in temporary:
         discard(t)
     return out
 
 
-def selected(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float]], weight: str | None = None, bits: str | None = None) -> tuple[DataFrame, list[DataFrame], int]:
-    """What `quantiles` returns, the stored tables that it reads, and the number of values for all ranks together.
+def selected(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float]], weight: str | None = None, bits: str | None = None, most_rows: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """What `quantiles` returns, and the stored tables that it reads.
 
-    bits: `ordered_bits` of the only column, where `df` comes from a stored table that has it; otherwise the values are
-    stored first.
+    bits: `ordered_bits` of the only column, where `df` comes from a stored table of at most `most_rows` rows that has it;
+    otherwise the values are stored first.
     """
     columns: dict[str, int] = {}
     of = {n: columns.setdefault(str(c), len(columns)) for n, (c, _) in wanted.items()}
@@ -77,21 +77,26 @@ def selected(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float]
         rows = df.select(*g, n_.alias("_n"), each).select(*g, "_n", "_e.*").where("_v is not null")
         rows = written(rows.withColumn("_b", ordered_bits(F.col("_v"))))
         temporary.append(rows)
+        most_rows = rows.count()
     asked = F.array(*[F.struct(F.lit(of[n]).alias("_q"), F.lit(n).alias("_name"), F.lit(float(p)).alias("_p"), F.lit(side).alias("_side")) for n, (_, p) in wanted.items() for side in (0, 1)])
 
     key = [*g, "_q"]
-    # first pass: prefixes, their place in the order of the group's, and the ranks that fall into each
+    whole = most_rows is not None and most_rows <= FEW
+    # first pass: prefixes, or in a small table whole values, and their place in the order of the group's; the ranks of each
     order = Window.partitionBy(*key).orderBy("_h")
-    counts = rows.groupBy(*key, F.shiftright("_b", SHIFTS[0]).alias("_h")).agg(F.sum("_n").alias("_c"))
+    counts = rows.groupBy(*key, (F.col("_b") if whole else F.shiftright("_b", SHIFTS[0])).alias("_h")).agg(F.sum("_n").alias("_c"), F.min("_v").alias("_v"))
     placed = counts.withColumns({"_end": F.sum("_c").over(order), "_all": F.sum("_c").over(Window.partitionBy(*key))})
     at = F.col("_p") * (F.col("_all") - 1)
-    ranks = placed.select("*", F.explode(F.filter(asked, lambda a: a["_q"] == F.col("_q"))).alias("_a")).select(*key, "_h", "_c", "_end", "_all", "_a._name", "_a._p", "_a._side")
+    ranks = placed.select("*", F.explode(F.filter(asked, lambda a: a["_q"] == F.col("_q"))).alias("_a")).select(*key, "_h", "_c", "_v", "_end", "_all", "_a._name", "_a._p", "_a._side")
     ranks = ranks.withColumn("_rank", F.when(F.col("_side") == 0, F.floor(at)).otherwise(F.ceil(at)))
     found = ranks.where("_rank >= _end - _c and _rank < _end").withColumn("_rank", F.col("_rank") - F.col("_end") + F.col("_c"))
-    found = written(found.select(*key, "_h", "_c", "_all", "_name", "_side", "_rank", (at - F.floor(at)).alias("_part")))
-    temporary.append(found)
-    most, n, total = found.agg(F.max("_c"), F.count("*"), F.sum("_all")).first()
-    shifts = [SHIFTS[0], 0] if (most or 0) <= FEW else list(SHIFTS)
+    found = found.select(*key, "_h", "_c", "_v", "_name", "_side", "_rank", (at - F.floor(at)).alias("_part"))
+    most, n = 0, 0
+    if not whole:
+        found = written(found)
+        temporary.append(found)
+        most, n = found.agg(F.max("_c"), F.count("*")).first()
+    shifts = [] if whole else [SHIFTS[0], 0] if (most or 0) <= FEW else list(SHIFTS)
     for before, shift in zip(shifts, shifts[1:], strict=False):
         # only rows under a prefix that holds a rank are counted by their next bits
         under = _meet(rows.withColumn("_h", F.shiftright("_b", before)), found.select(*key, "_h").distinct(), [*key, "_h"], n)
@@ -107,7 +112,7 @@ def selected(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float]
         low, high, part = (F.max(F.when((F.col("_name") == n) & (F.col("_side") == s), F.col(c))) for s, c in ((0, "_v"), (1, "_v"), (0, "_part")))
         return (low * (1 - part) + high * part).alias(n)
 
-    return found.groupBy(*g).agg(*[value(n) for n in wanted]), temporary, total or 0
+    return found.groupBy(*g).agg(*[value(n) for n in wanted]), temporary
 
 
 def medians(df: DataFrame, g: list[str], wanted: dict[str, Column]) -> DataFrame:

@@ -22,31 +22,29 @@ def _counted(df: DataFrame, g: list[str], value: str) -> DataFrame:
     return counted_bits(v.join(ref, g), g)
 
 
-def _moments(v: DataFrame, g: list[str], *also: Column) -> tuple[DataFrame, list[DataFrame], int]:
-    """_med, _sd, _mean, _c of counted values; the stored tables that they are read from; the number of values twice."""
+def _moments(v: DataFrame, g: list[str], most_rows: int, *also: Column) -> tuple[DataFrame, list[DataFrame]]:
+    """_med, _sd, _mean, _c of counted values, and the stored tables that they are read from."""
     d, n = F.col("_v") - F.col("_ref"), F.col("_n")
     var = F.sum(n * d * d) / F.sum(n) - F.pow(F.sum(n * d) / F.sum(n), 2)
     sums = [F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), (F.first("_ref") + F.sum(n * d) / F.sum(n)).alias("_mean"), F.sum(n).alias("_c")]
-    med, stored, total = selected(v, g, {"_med": (F.col("_v"), 0.5)}, "_n", "_b")
-    return beside(v.groupBy(*g).agg(*sums, *also), med, g), stored, total
+    med, stored = selected(v, g, {"_med": (F.col("_v"), 0.5)}, "_n", "_b", most_rows)
+    return beside(v.groupBy(*g).agg(*sums, *also), med, g), stored
 
 
-def _rounds(v: DataFrame, g: list[str], k: float, iters: int) -> DataFrame:
+def _rounds(v: DataFrame, g: list[str], k: float, iters: int, most_rows: int) -> DataFrame:
     """Bounds after `iters` rounds, stored.  Only the bounds go from round to round, so each round reads the counted values
     once; when a round has as many values as the one before, all groups have converged."""
-    bounds, last = written(v.groupBy(*g).agg(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))), None
+    bounds, last = written(v.groupBy(*g).agg(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("_c"))), None
     for _ in range(iters):
-        s, stored, total = _moments(v.join(bounds, g).where("_v between lo and hi"), g, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        if total != last:
-            new = written(s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi")))
-            stored.append(bounds)
-            bounds = new
-        for t in stored:
+        s, stored = _moments(v.join(bounds.drop("_c"), g).where("_v between lo and hi"), g, most_rows, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        new = written(s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi"), "_c"))
+        for t in [*stored, bounds]:
             discard(t)
-        if total == last:
+        bounds, n = new, new.agg(F.sum("_c")).first()[0]
+        if n == last:
             break
-        last = total
-    return bounds
+        last = n
+    return bounds.drop("_c")
 
 
 def clip_bounds(df: DataFrame, g: list[str], value: str, k: float, iters: int) -> DataFrame:
@@ -55,13 +53,15 @@ def clip_bounds(df: DataFrame, g: list[str], value: str, k: float, iters: int) -
     A group's values are counted first, so rounds work on distinct values.  A round that drops nothing leaves the bounds of
     a group as they are, so groups that have converged go on without effect.
     """
-    return _rounds(written(_counted(df, g, value)), g, k, iters)
+    v = written(_counted(df, g, value))
+    return _rounds(v, g, k, iters, v.count())
 
 
 def sigma_clip_stats(df: DataFrame, g: list[str], value: str, k: float = 3.0, iters: int = 5) -> DataFrame:
     """Mean, median, standard deviation (ddof 0) and number of each group after clipping at median +- k sigma (AGG1)."""
     v = written(_counted(df, g, value))
-    s, stored, _ = _moments(v.join(_rounds(v, g, k, iters), g).where("_v between lo and hi"), g)
+    n = v.count()
+    s, stored = _moments(v.join(_rounds(v, g, k, iters, n), g).where("_v between lo and hi"), g, n)
     s = written(s)
     for t in [*stored, v]:
         discard(t)
