@@ -22,7 +22,6 @@ def isophote_windows(isophotes: DataFrame, g: list[str], x: str = "sma", size: i
     out = isophotes.withColumn("_i", F.row_number().over(w) - 1).select(*g, "_i", F.first(x).over(span).alias("x_first"), F.last(x).over(span).alias("x_last"), F.count("*").over(span).alias("_n"), *[F.sort_array(F.collect_list(c).over(span)).alias(c) for c in cols])
     middle = lambda c: (F.element_at(c, (size + 1) // 2) + F.element_at(c, size // 2 + 1)) / 2
     out = out.where((F.col("_n") == size) & (F.col("_i") % step == 0)).withColumns({c: middle(c) for c in cols})
-    out = out.where((F.col("_n") == size) & (F.col("_i") % step == 0))
     return out.select(*g, (F.col("_i") / step).cast("int").alias("window"), "x_first", "x_last", ((F.col("x_last") - F.col("x_first")) / (size - 1)).alias("mean_gap"), *cols)
 
 
