@@ -190,7 +190,12 @@ def _(spark, d):
     return rounded(pixels.unroll_ring(px, geom, 4.0, 16.0, 3, 12))
 
 
-@query("win12_circular_smooth")
+@query("win12_circular_smooth", f"""with {v.PIXELS}, {v.CENTERS}, q as (select image_id, value, sqrt(power(x - cx, 2) + power(y - cy, 2)) as r, atan2(y - cy, x - cx) / (2 * pi()) as t from pixels join centers using (image_id)),
+c as (select image_id, least(floor((t - floor(t)) * 36), 35)::int as b, avg(value) as v from q where r >= 4 and r < 16 group by all),
+w as (select image_id, b + unnest([-36, 0, 36]) as b, v from c), n as (select *, lead(b) over o as nb, lead(v) over o as nv from w window o as (partition by image_id order by b)),
+f as (select image_id, k.b, v + (nv - v) * (k.b - n.b) / (nb - n.b) as v from n join (select unnest(range(0, 36)) as b) k on k.b >= n.b and k.b < n.nb),
+h as (select o, (0.5 - 0.5 * cos(2 * pi() * (o + 5) / 10)) as k from (select unnest(range(-4, 5)) as o)), z as (select sum(k) as total from h)
+select image_id, (((f.b + h.o) % 36 + 36) % 36)::int as angle, round(sum(f.v * h.k / (select total from z)), 6) as smoothed from f join h on true group by all""")
 def _(spark, d):
     px = v.pixels(spark, d)
     geom = v.centers(px).select("image_id", F.col("cx").alias("x0"), F.col("cy").alias("y0"))
