@@ -457,7 +457,14 @@ def _(spark, d):
     return rounded(spectra.low_k_table(*_low_k(spark, d), ["image_id"]), 5)
 
 
-@query("num7_model")
+@query("num7_model", f"""with {v.PIXELS}, {v.CENTERS}, rr as (select p.image_id, y, x, value, sqrt(power(x - cx, 2) + power(y - cy, 2)) as r from pixels p join centers using (image_id)),
+ring as (select image_id, floor(r / 2.0) as ring, median(value) as intens from rr group by all having count(*) >= 20), node as (select image_id, (ring + 0.5) * 2.0 as sma, intens from ring where image_id in (select image_id from rr group by 1 having count(*) >= 100) and (image_id > 0 or (ring + 0.5) * 2.0 < 5)),
+rich as (select image_id from node group by 1 having count(*) >= 5), q as (select distinct image_id, round(r, 2) as rq from rr where image_id in (select image_id from rich)),
+lo as (select q.image_id, rq, n.sma as a, n.intens as va from q asof left join node n on q.image_id = n.image_id and q.rq >= n.sma), hi as (select l.*, n.sma as b, n.intens as vb from lo l asof left join node n on l.image_id = n.image_id and l.rq <= n.sma),
+m as (select image_id, rq, case when a is null or b is null then coalesce(va, vb) when a = b then va else va + (vb - va) * (rq - a) / (b - a) end as model from hi),
+poor as (select * from pixels where image_id not in (select image_id from rich)), {smoothed_sql(1.0, 4, 'poor')},
+u as (select rr.image_id, y, x, model, value - model as residual from rr join m on m.image_id = rr.image_id and m.rq = round(rr.r, 2) union all select image_id, y, x, v, value - v from sm)
+select image_id, y, x, round(model, 6) as model, round(residual, 6) as residual from u""")
 def _(spark, d):
     px = v.pixels(spark, d)
     nodes = stats.radial_profile(px, v.centers(px), 2.0, 20, 100).select("image_id", F.col("r_mid").alias("sma"), F.col("intensity").alias("intens"))
