@@ -164,7 +164,11 @@ def _(spark, d):
     return rounded(pixels.smooth(v.pixels(spark, d), 1.0).select("image_id", "y", "x", "smoothed"))
 
 
-@query("num4_detect")
+@query("num4_detect", f"""with recursive {v.PIXELS}, lit as (select image_id, y::bigint * 16777216 + x as p, y, x from pixels where value > 0.2),
+adj as (select a.image_id, a.p, b.p as q from lit a join lit b on a.image_id = b.image_id and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 and a.p <> b.p),
+reach as (select image_id, p, p as l from lit where (image_id, p) not in (select image_id, p from adj where q < p) union select r.image_id, a.q, r.l from reach r join adj a on a.image_id = r.image_id and a.p = r.p),
+lab as (select image_id, p, min(l) as label from reach group by all)
+select image_id, label, count(*) as n from lab group by all having count(*) >= 2""")
 def _(spark, d):
     seg = pixels.detect_sources(v.pixels(spark, d), 0.2, 2, tile=16)
     return seg.groupBy("image_id", "label").agg(F.count("*").alias("n"))
