@@ -32,6 +32,8 @@ WORST, SUSPECT = 3, 0.0
 MISS_COST = 3.0
 #: Margin of a string that isn't there.
 FLOOR = -2.0
+#: Strings whose kernel rows are made in one step on the driver.
+STEP_STRINGS = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SPAN, DECAY = 6, 0.6
 #: A longer string is read in overlapping pieces of this length.
@@ -152,8 +154,8 @@ class StringMachine:
 def _kernel(words: list[str], codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Kernel of strings with landmarks.  columns: (subsequence, landmark) values, already normalised."""
     table, out = LongTable(codes, np.arange(len(codes))), []
-    for lo in range(0, len(words), 1000):
-        part = words[lo : lo + 1000]
+    for lo in range(0, len(words), STEP_STRINGS):
+        part = words[lo : lo + STEP_STRINGS]
         dense = np.zeros((len(part), len(codes)))
         owner, code, value = features(part)
         at = table(code)
@@ -205,11 +207,12 @@ def fit(bags: list[list[str]], toxic: np.ndarray, sizes: np.ndarray, toxic_share
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
     # evidence that a string, or a piece of it (four characters, or up to seven at its beginning), belongs to toxic texts: log likelihood ratios of its
     # numbers of texts, which must exceed the logarithm of the number of candidates
-    grams = [{f"^{w}"[i : i + 4] for i in range(max(1, len(w) - 2))} | {f"^{w[:k]}" for k in (4, 5, 6, 7)} for w in words]
-    pieces: dict[str, np.ndarray] = {}
+    one: dict[str, str] = {}  # equal pieces of different strings are kept once
+    grams = [tuple({one.setdefault(p, p) for p in {f"^{w}"[i : i + 4] for i in range(max(1, len(w) - 2))} | {f"^{w[:k]}" for k in (4, 5, 6, 7)}}) for w in words]
+    pieces: dict[str, list[int]] = {}
     for m, t in zip(member, toxic, strict=True):
         for g in {g for k in m.tolist() for g in grams[k]}:
-            pieces.setdefault(g, np.zeros(2))[int(t)] += 1
+            pieces.setdefault(g, [0, 0])[int(t)] += 1
     rate = n_bad / (n_bad + n_good)
 
     def evidence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,11 +221,12 @@ def fit(bags: list[list[str]], toxic: np.ndarray, sizes: np.ndarray, toxic_share
         return np.where(a > n * rate, llr, -llr)
 
     names = list(pieces)
-    both = np.array([pieces[g] for g in names]).reshape(-1, 2)
+    both = np.array([pieces[g] for g in names], float).reshape(-1, 2)
     of_piece = dict(zip(names, evidence(both[:, 1], both[:, 0]).tolist(), strict=True))
     own = evidence(bad, good)
     score = np.maximum(own, [max((of_piece[g] for g in gs), default=-9.0) for gs in grams])
     enough = np.log(len(words) + len(names))
+    del grams, pieces, of_piece, names, one, both
     surely = np.flatnonzero((score > enough) & ((good == 0) | (own > enough)) & (bad > 0))
     if not len(surely):
         surely = np.argsort(-own, kind="stable")[: max(1, n_bad // 2)]
@@ -258,7 +262,7 @@ def fit(bags: list[list[str]], toxic: np.ndarray, sizes: np.ndarray, toxic_share
         weight = np.concatenate((share / share.sum(), 0.3 * share / share.sum(), 6 * against / max(against.sum(), 1)))
         w = _svm(z, y, weight)
         machine = StringMachine(codes, columns @ (root @ w[:-1]), float(w[-1]), np.zeros(WORST + 4))
-        score = np.concatenate([machine.margins(words[lo : lo + 20000]) for lo in range(0, len(words), 20000)])
+        score = np.concatenate([machine.margins(words[lo : lo + 20 * STEP_STRINGS]) for lo in range(0, len(words), 20 * STEP_STRINGS)])
     # a logistic curve of the texts' features, margins clipped where that fits best
     worst, suspects = np.full((len(member), WORST), FLOOR), np.zeros(len(member))
     for k, m in enumerate(member):
