@@ -58,16 +58,24 @@ def unprocessed(cands: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def cone_join(targets: DataFrame, obs: DataFrame, radius_deg: float) -> DataFrame:
     """Pairs of targets (ra, dec) and observations (ora, odec) within an angular radius (JN6).
 
-    Declination bands as wide as the radius, and cells of right ascension as wide as the radius on the band's far side:
-    each target meets the 3 x 3 cells about it by equality, the distance decides.  Near the poles a band is one cell.
+    Declination bands as wide as the radius, cut into cells of right ascension: each target meets by equality the cells of
+    three bands that its cone may touch, the distance decides.  A cone at declination d reaches asin(sin r / cos d) to either
+    side, and all right ascensions if a pole lies in it.  Near the poles a band is one cell.
     """
     step = float(radius_deg)
-    band = lambda dec: F.floor((dec + 90) / step).cast("long")
-    cells = lambda b: F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90))))) / step)).cast("long")
-    o = obs.withColumn("_b", band(F.col("odec"))).withColumn("_n", cells(F.col("_b"))).withColumn("_c", F.floor(F.pmod(F.col("ora"), F.lit(360.0)) / 360 * F.col("_n")).cast("long"))
+    wide = step * (1 + 1e-9)  # a cone that ends on a border stays within three bands
+    band = lambda dec: F.floor((dec + 90) / wide).cast("long")
+    cells = lambda b: F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b * wide - 90), F.abs((b + 1) * wide - 90))))) / wide)).cast("long")
+    o = obs.withColumn("_b", band(F.col("odec"))).withColumn("_n", cells(F.col("_b"))).withColumn("_c", F.least(F.floor(F.pmod(F.col("ora"), F.lit(360.0)) / 360 * F.col("_n")).cast("long"), F.col("_n") - 1))
     t = targets.withColumn("_b", F.explode(F.array(*[band(F.col("dec")) + k for k in (-1, 0, 1)]))).withColumn("_n", cells(F.col("_b")))
-    mine = F.floor(F.pmod(F.col("ra"), F.lit(360.0)) / 360 * F.col("_n")).cast("long")
-    t = t.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(mine + k, F.col("_n")) for k in (-1, 0, 1)]))))
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(min(wide, 90.0)))) / F.cos(F.radians("dec"))))) + 1e-9
+    whole = F.abs("dec") + wide >= 90
+    at = lambda ra: F.floor(ra / 360 * F.col("_n")).cast("long")
+    ra0 = F.pmod(F.col("ra"), F.lit(360.0))
+    first, last = at(ra0 - side), at(ra0 + side)
+    first, last = F.when(whole, F.lit(0)).otherwise(first), F.when(whole, F.col("_n") - 1).otherwise(last)
+    reached = F.sequence(first, F.least(last, first + F.col("_n") - 1))
+    t = t.withColumn("_c", F.explode(reached)).withColumn("_c", F.pmod("_c", F.col("_n")))
     ra, dec, ora, odec = (F.radians(c) for c in ("ra", "dec", "ora", "odec"))
     h = F.pow(F.sin((odec - dec) / 2), 2) + F.cos(dec) * F.cos(odec) * F.pow(F.sin((ora - ra) / 2), 2)
     joined = t.join(o.drop("_n"), ["_b", "_c"]).withColumn("separation", F.degrees(2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))))

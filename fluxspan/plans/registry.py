@@ -218,8 +218,10 @@ h as (select s_suppkey, c_custkey, degrees(2 * asin(sqrt(least(1, power(sin((rad
 
 @query("jn6_cone_join", f"with {SKY} select s_suppkey, c_custkey, round(sep, 6) as separation from h where sep <= 1.5")
 def _(spark, d):
-    t = v.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * F.lit(37.77) % 360).alias("ra"), (F.col("s_suppkey") * F.lit(11.3) % 180 - 90).alias("dec"))
-    o = v.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * F.lit(7.7) % 360).alias("ora"), (F.col("c_custkey") * F.lit(3.7) % 180 - 90).alias("odec"))
+    # decimals, as in the SQL: separations on the radius depend on the last bit
+    at = lambda key, turn, n: F.expr(f"cast({key} as decimal(19, 0)) * {turn}BD % {n}BD")
+    t = v.table(spark, d, "supplier").select("s_suppkey", at("s_suppkey", 37.77, 360).cast("double").alias("ra"), (at("s_suppkey", 11.3, 180) - 90).cast("double").alias("dec"))
+    o = v.table(spark, d, "customer").select("c_custkey", at("c_custkey", 7.7, 360).cast("double").alias("ora"), (at("c_custkey", 3.7, 180) - 90).cast("double").alias("odec"))
     return rounded(joins.cone_join(t, o, 1.5).select("s_suppkey", "c_custkey", "separation"))
 
 

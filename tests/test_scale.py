@@ -108,3 +108,18 @@ def test_longest_run_of_flat_rings(spark):
     df = spark.range(n).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("r_mid"), F.when(F.col("id") >= n - 10, 9.0).otherwise(F.col("id") % 3 / 10).alias("mbar"))
     got = {r.g: (r.n, r.x_first, r.x_last) for r in windows.ring_plateau(df, ["g"], widest=0.4).collect()}
     assert got == {0: (1495, 0.0, 2988.0), 1: (1495, 1.0, 2989.0)}
+
+
+def test_cones_about_the_poles(spark):
+    """A cone near a pole reaches right ascensions far from its centre's."""
+    rng = np.random.default_rng(8)
+    dec = np.concatenate((rng.uniform(-90, -86, 150), rng.uniform(86, 90, 150), rng.uniform(-90, 90, 100), [-90, 90, 88.5, -88.5, 0]))
+    ra = rng.uniform(0, 360, len(dec))
+    t = spark.createDataFrame([(k, float(a), float(d)) for k, (a, d) in enumerate(zip(ra, dec, strict=True))], "t long, ra double, dec double")
+    o = t.selectExpr("t as o", "ra as ora", "dec as odec")
+    a, d = np.radians(ra), np.radians(dec)
+    h = np.sin((d[:, None] - d) / 2) ** 2 + np.cos(d)[:, None] * np.cos(d) * np.sin((a[:, None] - a) / 2) ** 2
+    sep = np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1))))
+    for radius in (1.5, 0.7, 100.0):
+        got = sorted((r.t, r.o) for r in joins.cone_join(t, o, radius).select("t", "o").collect())
+        assert got == sorted(zip(*(x.tolist() for x in np.nonzero(sep <= radius)), strict=True)), radius
