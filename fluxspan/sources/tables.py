@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import fin
-from .heads import ImageHeads
+from .heads import ImageHeads, read_files
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,10 +30,21 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str) -
     return finite_doubles(spark.read.schema(schema).csv(path, header=True, nanValue="nan", positiveInf="inf", negativeInf="-inf", enforceSchema=True))
 
 
+def parsed(files: DataFrame, schema: str, column: str = "content") -> DataFrame:
+    """Columns of the JSON object in each file; files without one are left out."""
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = files.select(F.from_json(F.col(column).cast("string"), schema + ", _corrupt_record string", how).alias("j")).where("j is not null")
+    return rows.select("j.*")
+
+
 def read_results(spark: SparkSession, glob: str, schema: str | None = None) -> DataFrame:
-    """One JSON object for each file; unreadable files are skipped, only status `ok` stays (SRC2)."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    df = (reader.schema(schema + ", _corrupt_record string") if schema else reader).json(glob)
+    """One JSON object for each file; unreadable files are skipped, only status `ok` stays (SRC2).
+
+    With a schema, tasks list and read the files; without one Spark's reader finds it, and the driver lists them.
+    """
+    if schema:
+        return parsed(read_files(spark, glob), schema).where("_corrupt_record is null and status = 'ok'").drop("_corrupt_record")
+    df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(glob)
     if "_corrupt_record" in df.columns:
         df = df.where("_corrupt_record is null").drop("_corrupt_record")
     return df.where("status = 'ok'")
@@ -46,7 +57,7 @@ resid_std double, resid_p01 double, resid_p99 double, model_mean double, science
 
 def read_experiments(spark: SparkSession, glob: str) -> DataFrame:
     """Experiment metrics with one row for each residual region (SRC3)."""
-    df = spark.read.option("multiLine", True).schema(EXPERIMENT).json(glob)
+    df = parsed(read_files(spark, glob), EXPERIMENT).drop("_corrupt_record")
     return df.select("*", F.explode_outer(F.map_entries("residual_regions")).alias("r")).select("*", F.col("r.key").alias("region_key"), F.col("r.value.*")).drop("r", "residual_regions")
 
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluxspan.operators import fits, pixels, spectra, stats, windows
-from fluxspan.sources import tables
+from fluxspan.sources import heads, tables
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +108,13 @@ def test_header_and_csv(spark, tmp_path):
     assert (rows["big.fits"].length, rows["big.fits"].bytes_read) == (400 << 20, 2 * 2880) and rows["a.fits"].bytes_read == 2880 and rows["b.fits"].bytes_read == 2880
     assert tables.target_coord(tables.read_header_cards(spark, f"file://{tmp_path}/*.fits")).count() == 2
     assert tables.read_header_cards(spark, f"file://{tmp_path}/*.none").count() == 0
+    # packed files are unpacked as far as their headers go
+    packed = spark.createDataFrame([(f"p{k}.fits.gz", "".join(c.ljust(80) for c in cards).ljust(2880).encode()) for k in range(3)], "name string, head binary")
+    heads.write_images(packed, f"file://{tmp_path}/packed", F.lit(200 * 2880))
+    assert sum(p.stat().st_size for p in (tmp_path / "packed").glob("*.gz")) < 3 * 2880
+    rows = spark.read.format("image_heads").option("path", f"file://{tmp_path}/packed/*.fits.gz").load().collect()
+    assert [r.bytes_read for r in rows] == [2880] * 3
+    assert {tuple(r)[1:] for r in tables.target_coord(tables.read_header_cards(spark, f"file://{tmp_path}/packed/*.fits.gz")).collect()} == {(1.0, 2.0, "CRVAL1")}
     (tmp_path / "m.csv").write_text("g,v\nx,1.5\ny,nan\nz,inf\n")
     assert [r.v for r in tables.read_csv_table(spark, f"file://{tmp_path}/m.csv", tables.T.StructType([tables.T.StructField("g", tables.T.StringType()), tables.T.StructField("v", tables.T.DoubleType())])).collect()] == [1.5, None, None]
     assert tables.read_csv_table(spark, f"file://{tmp_path}/none.csv", "g string, v double").count() == 0
@@ -250,3 +258,19 @@ def test_partitioned_table_spreads_a_large_value(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/t")
     assert back.count() == 1000 and back.where("k = 'hot'").count() == 900
     assert 1 < len(list((tmp_path / "t" / "k=hot").glob("*.parquet"))) <= 9
+
+
+def test_small_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """One object in each file: folders and patterns, several folders, unreadable and hidden files."""
+    rows = spark.range(300).select(F.concat("id", F.lit(".json")).alias("name"), F.expr("concat('{\\n \"id\": ', id, ', \"status\": \"', if(id % 3 = 0, 'failed', 'ok'), '\"}\\n')").alias("body"))
+    heads.write_files(rows, f"file://{tmp_path}/many")
+    folders = [p for p in (tmp_path / "many").iterdir()]
+    assert len(folders) > 1 and sum(1 for f in folders for _ in f.glob("*.json")) == 300
+    for name, text in (("half.json", '{"id": 1000, "sta'), ("empty.json", ""), ("wrong.json", '{"id": "x", "status": "ok"}'), ("_hidden.json", '{"id": 1001, "status": "ok"}')):
+        (folders[0] / name).write_text(text)
+    want = [k for k in range(300) if k % 3]
+    read = lambda glob: sorted(r.id for r in tables.read_results(spark, glob, "id long, status string").collect())
+    assert read(f"file://{tmp_path}/many/*/*.json") == read(f"{tmp_path}/many/*") == want
+    one = folders[0].name
+    assert read(f"{tmp_path}/many/{one}") == read(f"{tmp_path}/many/{one}/*.json") == sorted(int(p.stem) for p in folders[0].glob("[0-9]*.json") if int(p.stem) % 3)
+    assert read(f"{tmp_path}/many/{one}/*.none") == read(f"{tmp_path}/none/*") == []
