@@ -49,8 +49,9 @@ def _(spark, d):
     path = storage.folder(spark)
     region = F.struct(F.col("s_nationkey").cast("long").alias("n_use"), (F.col("s_acctbal") / 1000).alias("resid_median"))
     both = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("inner"), region, F.lit("outer"), region)).otherwise(F.create_map(F.lit("inner"), region))
-    v.table(spark, d, "supplier").select(F.col("s_name").alias("experiment"), both.alias("residual_regions")).write.option("maxRecordsPerFile", 1).json(path)
-    return tables.read_experiments(spark, path).select("experiment", "region_key", "resid_median", "n_use")
+    rows = v.table(spark, d, "supplier").select(F.struct(F.col("s_name").alias("experiment"), both.alias("residual_regions")).alias("j"))
+    heads.write_files(rows.select(F.concat(F.monotonically_increasing_id(), F.lit(".json")).alias("name"), F.to_json("j").alias("body")), path)
+    return tables.read_experiments(spark, f"{path}/*/*.json").select("experiment", "region_key", "resid_median", "n_use")
 
 
 @query("src4_logs", """select c_custkey, c_nationkey < 20 as log_exists, case when c_nationkey >= 20 then 'log missing' else concat_ws(';', case when c_custkey % 2 = 0 then 'truncated_file_warning' end,
