@@ -79,11 +79,11 @@ def _(spark, d):
         card(F.when(even, "TARG_RA").otherwise("CRVAL1"), F.col("s_acctbal")), card(F.when(even, "TARG_DEC").otherwise("CRVAL2"), F.col("s_nationkey")),
         card(F.lit("RA_TARG"), F.lit(1.0)), F.rpad(F.lit("END"), 80, " "), card(F.lit("DEC_TARG"), F.lit(2.0)),
     )
-    files = v.table(spark, d, "supplier").select(F.concat(F.translate("s_name", "#", "-"), F.lit(".fits")).alias("name"), F.rpad(cards, 2880, " ").cast("binary").alias("head"))
+    files = v.table(spark, d, "supplier").select(F.concat(F.translate("s_name", "#", "-"), F.lit(".fits.gz")).alias("name"), F.rpad(cards, 2880, " ").cast("binary").alias("head"))
     path = storage.folder(spark)
     heads.write_images(files, path, F.lit(200 * 2880))
-    found = tables.target_coord(tables.read_header_cards(spark, f"{path}/*.fits"))
-    return found.withColumn("path", F.translate(F.regexp_extract("path", "([^/]+)[.]fits$", 1), "-", "#"))
+    found = tables.target_coord(tables.read_header_cards(spark, f"{path}/*.fits.gz"))
+    return found.withColumn("path", F.translate(F.regexp_extract("path", "([^/]+)[.]fits[.]gz$", 1), "-", "#"))
 
 
 @query("src7_texts", "select lang, sum(length(text) + 1)::bigint as chars from documents where text is not null group by 1")
