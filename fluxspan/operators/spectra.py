@@ -14,7 +14,7 @@ from ..plans.storage import written
 from .fits import spectrum_fit
 from .joins import interp_join
 from .ranks import grouped
-from .transforms import convolved, noise_spectra, power, row_spectra, stamp_bytes
+from .transforms import block_width, convolved, noise_spectra, power, row_spectra, stamp_bytes
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,7 +24,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.zeros(nx)
             row[[p["x"] for p in ps]] = [p["v"] for p in ps]
             out.append(row.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), pa.array(out, pa.binary())], ["g", "y", "v"])
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), b.column("width"), pa.array(out, pa.binary())], ["g", "y", "width", "v"])
 
 
 def periodogram(pixels: DataFrame, key: str = "image_id") -> DataFrame:
@@ -35,9 +35,9 @@ def periodogram(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     s = pixels.groupBy(key).agg(F.avg(fin("value")).alias("_m"), F.count(fin("value")).alias("_n"), (F.max("x") + 1).cast("int").alias("nx"), (F.max("y") + 1).cast("int").alias("ny"))
     v = pixels.join(s, key).select(key, "y", "x", "nx", F.coalesce(fin("value") - F.col("_m"), F.lit(0.0)).alias("v"))
     rows = v.groupBy(key, "y", "nx").agg(F.collect_list(F.struct("x", "v")).alias("m"))
-    every = s.select(key, "nx", F.explode(F.expr("sequence(0, ny - 1)")).alias("y"))
-    rows = every.join(rows.drop("nx"), [key, "y"], "left").select(F.col(key).cast("string").alias("g"), F.col("y").cast("int").alias("y"), "nx", F.coalesce("m", F.array()).alias("m"))
-    rows = rows.mapInArrow(_packed, "g string, y int, v binary")
+    every = s.select(key, "nx", block_width("ny").alias("width"), F.explode(F.expr("sequence(0, ny - 1)")).alias("y"))
+    rows = every.join(rows.drop("nx"), [key, "y"], "left").select(F.col(key).cast("string").alias("g"), F.col("y").cast("int").alias("y"), "nx", "width", F.coalesce("m", F.array()).alias("m"))
+    rows = rows.mapInArrow(_packed, "g string, y int, width int, v binary")
     back = s.select(F.col(key), F.col(key).cast("string").alias("g"), "_n", "nx", "ny")
     return power(row_spectra(rows)).join(back, "g").select(key, "ky", "kx", _frequency("ky", "ny").alias("fy"), _frequency("kx", "nx").alias("fx"), (F.col("power") / F.col("_n")).alias("power"))
 
@@ -102,8 +102,8 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
     stamps = flat.mapInArrow(pack, ", ".join(f"{n} {types[n]}" for n in names) + ", stamp binary")
     g = F.concat_ws("#", *[F.col(n).cast("string") for n in names], F.col("r").cast("string"))
     each = size.join(stamps, key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1)))).withColumn("g", g)
-    frames = written(each.select("g", *names, "r", "nx", "ny", "n"))
-    rows = each.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).select("g", F.col(key).cast("string").alias("name"), "r", "y", "nx", F.when(F.col("y") == 0, F.col("stamp")).alias("stamp"))
+    frames = written(each.select("g", *names, "r", "nx", "ny", "n", block_width("ny").alias("width")))
+    rows = each.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).select("g", F.col(key).cast("string").alias("name"), "r", "y", "nx", block_width("ny").alias("width"), F.when(F.col("y") == 0, F.col("stamp")).alias("stamp"))
     seen = convolved(noise_spectra(rows.repartition("g", "y"), seed))
     inside = window.groupBy(key, F.col("y").cast("int").alias("y")).agg(F.array_sort(F.collect_list(F.col("x").cast("int"))).alias("xs"))
     here = frames.select("g", key, "nx").join(inside, key).join(seen, ["g", "y"])
@@ -117,7 +117,7 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
     mean = kept.groupBy("g").agg((F.sum("total") / F.sum(F.size("xs"))).alias("mean"))
     # rows without a pixel in the window count as zeros
     blank = frames.select("g", "nx", F.explode(F.expr("sequence(0, ny - 1)")).alias("y")).join(kept.select("g", "y"), ["g", "y"], "left_anti")
-    full = kept.join(mean, "g").select("g", "y", "nx", "xs", "v", "mean").unionByName(blank, allowMissingColumns=True)
+    full = kept.join(mean, "g").select("g", "y", "nx", "xs", "v", "mean").unionByName(blank, allowMissingColumns=True).join(frames.select("g", "width"), "g")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,9 +127,9 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
                 if xs:
                     row[xs] = np.frombuffer(v) - m
                 out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), pa.array(out, pa.binary())], ["g", "y", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), b.column("width"), pa.array(out, pa.binary())], ["g", "y", "width", "v"])
 
-    p = power(row_spectra(full.mapInArrow(masked, "g string, y int, v binary")))
+    p = power(row_spectra(full.mapInArrow(masked, "g string, y int, width int, v binary")))
     p = p.join(frames, "g").select("g", *names, _frequency("ky", "ny").alias("fy"), _frequency("kx", "nx").alias("fx"), (F.col("power") / F.col("n")).alias("power"))
     return expectation_median(radial_power(p, ["g", *names], edges, least), names)
 

@@ -10,12 +10,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a row that stay together in the transpose.
+#: Columns of a row that stay together in the transpose, at most.
 BLOCK = 64
-_PART = pa.schema([("g", pa.string()), ("block", pa.int32()), ("y", pa.int32()), ("part", pa.binary()), ("nx", pa.int32()), ("stamp", pa.binary())])
+#: Values of a block of columns, about: tall images have narrow blocks.
+BLOCK_VALUES = 1 << 19
+#: Rows that are turned into Arrow batches at once, by their values.
+BATCH_VALUES = 1 << 16
+_PART = pa.schema([("g", pa.string()), ("block", pa.int32()), ("y", pa.int32()), ("part", pa.binary()), ("nx", pa.int32()), ("x0", pa.int32()), ("stamp", pa.binary())])
+
+
+PARTS = "g string, block int, y int, part binary, nx int, x0 int, stamp binary"
 
 
 def normals(seed: int, name: str, r: int, y: int, n: int) -> np.ndarray:
@@ -24,8 +31,13 @@ def normals(seed: int, name: str, r: int, y: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=key)).standard_normal(n)
 
 
-def _parts(g: str, y: int, spectrum: np.ndarray, stamp: bytes | None) -> list[tuple]:
-    return [(g, b, y, spectrum[lo : lo + BLOCK].tobytes(), len(spectrum), stamp) for b, lo in enumerate(range(0, len(spectrum), BLOCK))]
+def block_width(ny: str) -> Column:
+    """Columns in a block of an image of so many rows."""
+    return F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.col(ny)))).cast("int")
+
+
+def _parts(g: str, y: int, spectrum: np.ndarray, width: int, stamp: bytes | None) -> list[tuple]:
+    return [(g, b, y, spectrum[lo : lo + width].tobytes(), len(spectrum), lo, stamp) for b, lo in enumerate(range(0, len(spectrum), width))]
 
 
 def _batches(rows: list[tuple], schema: pa.Schema):
@@ -35,42 +47,66 @@ def _batches(rows: list[tuple], schema: pa.Schema):
 
 
 def row_spectra(rows: DataFrame) -> DataFrame:
-    """g, block, y, part, nx, stamp: the transforms of rows, in blocks of columns.  rows: g, y, v (doubles as bytes)."""
+    """g, block, y, part, nx, x0, stamp: the transforms of rows, in blocks of columns.
+
+    rows: g, y, v (doubles as bytes), width (`block_width`).
+    """
 
     def work(batches):
         for b in batches:
-            out = []
-            for g, y, v in zip(*[b.column(c).to_pylist() for c in ("g", "y", "v")], strict=True):
-                out += _parts(g, y, np.fft.fft(np.frombuffer(v)), None)
+            out, held = [], 0
+            for g, y, v, width in zip(*[b.column(c).to_pylist() for c in ("g", "y", "v", "width")], strict=True):
+                out += _parts(g, y, np.fft.fft(np.frombuffer(v)), width, None)
+                held += len(v) // 8
+                if held >= BATCH_VALUES:
+                    yield from _batches(out, _PART)
+                    out, held = [], 0
             yield from _batches(out, _PART)
 
-    return rows.select("g", "y", "v").mapInArrow(work, "g string, block int, y int, part binary, nx int, stamp binary")
+    return rows.select("g", "y", "v", "width").mapInArrow(work, PARTS)
 
 
 def noise_spectra(rows: DataFrame, seed: int) -> DataFrame:
-    """`row_spectra` of noise that is made here.  rows: g, name, r, y, nx, stamp; equal names and r have equal noise."""
+    """`row_spectra` of noise that is made here.  rows: g, name, r, y, nx, width, stamp; equal names and r have equal noise."""
 
     def work(batches):
         for b in batches:
-            for g, name, r, y, nx, stamp in zip(*[b.column(c).to_pylist() for c in ("g", "name", "r", "y", "nx", "stamp")], strict=True):
-                yield from _batches(_parts(g, y, np.fft.fft(normals(seed, name, r, y, nx)), stamp), _PART)
+            out, held = [], 0
+            for g, name, r, y, nx, width, stamp in zip(*[b.column(c).to_pylist() for c in ("g", "name", "r", "y", "nx", "width", "stamp")], strict=True):
+                out += _parts(g, y, np.fft.fft(normals(seed, name, r, y, nx)), width, stamp)
+                held += nx
+                if held >= BATCH_VALUES:
+                    yield from _batches(out, _PART)
+                    out, held = [], 0
+            yield from _batches(out, _PART)
+
+    return rows.select("g", "name", "r", "y", "nx", "width", "stamp").mapInArrow(work, PARTS)
+
 
-    return rows.select("g", "name", "r", "y", "nx", "stamp").mapInArrow(work, "g string, block int, y int, part binary, nx int, stamp binary")
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes, without an object for each."""
+    n, size = len(rows), rows.itemsize * rows.shape[1]
+    offsets = np.arange(n + 1, dtype=np.int64) * size
+    large = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+    return large.cast(pa.binary())
 
 
-def _column_block(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    t = t.sort_by("y")
-    return t, np.fft.fft(np.vstack([np.frombuffer(p, complex) for p in t.column("part").to_pylist()]), axis=0)
+def _column_block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a block's rows, as they come, and the transform of its columns."""
+    y = t.column("y").to_numpy()
+    order = np.argsort(y)
+    rows = np.concatenate([np.frombuffer(c.buffers()[2], np.uint8)[slice(*np.frombuffer(c.buffers()[1], np.int32)[[c.offset, c.offset + len(c)]])] for c in t.column("part").chunks if len(c)])
+    return y[order], np.fft.fft(rows.view(complex).reshape(len(y), -1)[order], axis=0)
 
 
 def power(parts: DataFrame) -> DataFrame:
     """g, ky, kx, power (squared modulus) of each mode, from all rows' `row_spectra`."""
 
     def work(t: pa.Table) -> pa.Table:
-        t, f = _column_block(t)
-        ky, kx = np.divmod(np.arange(f.size), f.shape[1])
-        g, x0 = t.column("g")[0].as_py(), t.column("block")[0].as_py() * BLOCK
-        return pa.table({"g": pa.array([g] * f.size), "ky": pa.array(ky, pa.int32()), "kx": pa.array(kx + x0, pa.int32()), "power": (np.abs(f) ** 2).ravel()})
+        g, x0 = t.column("g")[0], t.column("x0")[0].as_py()
+        _, f = _column_block(t)
+        ky, kx = np.divmod(np.arange(f.size, dtype=np.int32), np.int32(f.shape[1]))
+        return pa.table({"g": pa.repeat(g, f.size), "ky": pa.array(ky, pa.int32()), "kx": pa.array(kx + x0, pa.int32()), "power": (np.abs(f) ** 2).ravel()})
 
     return parts.groupBy("g", "block").applyInArrow(work, "g string, ky int, kx int, power double")
 
@@ -100,11 +136,11 @@ def convolved(parts: DataFrame) -> DataFrame:
     """
 
     def columns(t: pa.Table) -> pa.Table:
-        t, f = _column_block(t)
-        stamp, nx = t.column("stamp")[0].as_py(), int(t.column("nx")[0].as_py())
-        f *= stamp_columns(stamp, len(f), t.column("block")[0].as_py() * BLOCK + np.arange(f.shape[1]), nx)
+        y, f = _column_block(t)
+        stamp = t.column("stamp").drop_null()[0].as_py()
+        f *= stamp_columns(stamp, len(f), t.column("x0")[0].as_py() + np.arange(f.shape[1]), t.column("nx")[0].as_py())
         back = np.fft.ifft(f, axis=0)
-        return pa.table({"g": t.column("g"), "block": t.column("block"), "y": t.column("y"), "part": pa.array([r.tobytes() for r in back], pa.binary())})
+        return pa.table({"g": t.column("g"), "block": t.column("block"), "y": pa.array(y, pa.int32()), "part": _bytes(back)})
 
     half = parts.groupBy("g", "block").applyInArrow(columns, "g string, block int, y int, part binary")
     whole = half.groupBy("g", "y").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxspan.operators import fits, pixels, spectra, stats, windows
+from fluxspan.operators import fits, pixels, spectra, stats, transforms, windows
 from fluxspan.sources import heads, tables
 
 
@@ -93,6 +93,24 @@ def test_periodogram(spark):
     assert np.allclose(got, want)
 
 
+def test_tall_images_have_narrow_blocks(spark, monkeypatch):
+    """A block of columns holds about BLOCK_VALUES values however tall the image is; the spectra stay the same."""
+    rng = np.random.default_rng(6)
+    image = rng.random((12, 9))
+    df = spark.createDataFrame([(7, y, x, float(image[y, x])) for y in range(12) for x in range(9)], "image_id int, y int, x int, value double")
+    psf = spark.createDataFrame([(7, 0, 0, 0.6), (7, 1, 0, 0.4)], "image_id int, dy int, dx int, value double")
+    spectrum = lambda: [tuple(round(v, 9) for v in r) for r in spectra.expectation_spectrum(df, psf, 2, 3, 6, 1).orderBy("kbin").select("kbin", "power", "k").collect()]
+    wide = spectrum()
+    monkeypatch.setattr(transforms, "BLOCK_VALUES", 24)
+    rows = spark.createDataFrame([("a", y, image[y].tobytes(), 12) for y in range(12)], "g string, y int, v binary, ny int").withColumn("width", transforms.block_width("ny"))
+    assert {(r.block, r.x0, len(r.part)) for r in transforms.row_spectra(rows).collect()} == {(b, 2 * b, 16 * min(2, 9 - 2 * b)) for b in range(5)}
+    want = np.abs(np.fft.fft2(image - image.mean())) ** 2 / image.size
+    got = np.zeros_like(want)
+    for r in spectra.periodogram(df).collect():
+        got[r.ky, r.kx] = r.power
+    assert np.allclose(got, want) and spectrum() == wide
+
+
 def test_header_and_csv(spark, tmp_path):
     cards = ["SIMPLE  =                    T", "TARG_RA =      10.5 / degrees", "OBJECT  = 'NGC 1380'", "CRVAL1  = 1.0", "CRVAL2  = 2.0", "END"]
     (tmp_path / "a.fits").write_bytes("".join(c.ljust(80) for c in cards).encode().ljust(2880))
