@@ -1,6 +1,7 @@
 """Streams: readiness on event time, the newest status as a keyed table."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,44 @@ def test_status_stream(spark, tmp_path):
         readiness.run_to_end(spark, readiness.merge_status(spark.readStream.schema(ROW).parquet(str(src)), path, ["k"], "t", "v", str(tmp_path / "state"), 8))
     got = readiness.read_status(spark, path)
     assert got.count() == 30 and {r.v for r in got.collect()} == {"b2"}
+
+
+def brute(polls, timeout, mark):
+    """Reports of one target whose polls (minute, band, size, expected, readable) are all there, up to the watermark."""
+    out, first, bands = [], None, {}
+    for m, band, size, expected, readable in sorted(polls, key=lambda p: p[:2]):
+        if m > mark:
+            break
+        if first is not None and m > first + timeout:
+            out.append((False, "timeout", first + timeout))
+            first, bands = None, {}
+        first = m if first is None else first
+        old, same, ok = bands.get(band, (-1, 0, False))
+        same = same + 1 if size == old else 0
+        bands[band] = (size, same, ok or readable and (same >= 2 if expected is None else size >= int(0.995 * expected)))
+        if sum(v[2] for v in bands.values()) >= 2:
+            return [*out, (True, "all bands", m)]  # and silent: no poll is an hour after the one before
+    if first is not None and first + timeout <= mark:
+        out.append((False, "timeout", first + timeout))
+    return out
+
+
+def test_many_targets_share_few_groups_of_state(spark, tmp_path):
+    rng = random.Random(7)
+    polls = {f"T{k}": [(m, rng.choice("ab"), rng.choice((5, 10)), rng.choice((None, 10)), rng.random() < 0.7) for m in rng.sample(range(0, 200), 8)] for k in range(400)}
+    polls = {t: p for t, p in polls.items() if all(b - a < 60 for a, b in zip(sorted(m for m, *_ in p), sorted(m for m, *_ in p)[1:], strict=False))}
+    assert len(polls) > 100
+    src, states = tmp_path / "in", []
+    for lo, hi in ((0, 70), (70, 140), (140, 200)):
+        rows = [(t, b, s, e, r, at(m)) for t, ps in polls.items() for m, b, s, e, r in ps if lo <= m < hi]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+        stream = readiness.ready_stream(spark.readStream.schema(SCHEMA).parquet(str(src)).withWatermark("ts", "10 minutes"), 3600, groups=3)
+        writer = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
+        run = writer.trigger(availableNow=True).start()
+        run.awaitTermination()
+        states.append(max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress))
+    mark = max(m for ps in polls.values() for m, *_ in ps) - 10
+    got = sorted((r.target, r.ready, r.reason, int((r.at - T0).total_seconds() // 60)) for r in spark.read.schema(readiness.READY).parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((t, *r) for t, ps in polls.items() for r in brute(ps, 60, mark))
+    assert {r[1] for r in got} == {True, False}
+    assert max(states) <= 3  # not one for each target
