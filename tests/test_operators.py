@@ -138,6 +138,26 @@ def test_header_and_csv(spark, tmp_path):
     assert tables.read_csv_table(spark, f"file://{tmp_path}/none.csv", "g string, v double").count() == 0
 
 
+def test_model_comparison_reads_its_input_once(spark, points):
+    """A row without a value has no part in any column, and the input is worked out once for all models and rounds."""
+    _, df = points
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    extra = df.limit(1).withColumns({"y": F.lit(None).cast("double"), "sigma": F.lit(0.001)})
+    n = df.count() + 1
+    got = fits.model_comparison(df.union(extra).coalesce(1).mapInArrow(counted, df.schema), ["g"], pivot=0.4).collect()
+    assert seen.value == n
+    want = {r.model: r for r in fits.model_comparison(df, ["g"], pivot=0.4).collect()}
+    assert len(got) == 3
+    for r in got:
+        assert np.allclose([r.n, r.chi2, r.wrms_in, r.wrms_loo, r.rms_loo], [want[r.model][c] for c in ("n", "chi2", "wrms_in", "wrms_loo", "rms_loo")])
+
+
 def test_model_comparison(points):
     """Every column against numpy, the leave-one-out weights with the intrinsic scatter of the whole sample."""
     rows, df = points
