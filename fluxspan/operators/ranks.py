@@ -17,10 +17,11 @@ from ..plans.storage import discard, written
 
 #: Bits that are left after each pass; a prefix has at most 2^22 continuations.
 SHIFTS = (42, 21, 0)
-#: A prefix, or a whole table, with at most so many rows needs no passes between: its values are counted one by one.
+#: A prefix, a group, or a whole table, with at most so many rows needs no passes between: its values are counted one by one.
 FEW = 1_000_000
-#: Prefixes, one for each group and rank, that are broadcast at most; beyond, they meet the rows in a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a table of groups, or of their prefixes, that are broadcast at most; beyond, they meet the other rows in a shuffle
+#: (Spark itself would broadcast them up to 10 MB of file, again and again, and each time through the driver).
+BROADCAST_ROWS = 20_000
 
 
 def ordered_bits(c: Column) -> Column:
@@ -33,9 +34,14 @@ def _same(names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in names])
 
 
+def small(few: DataFrame, n: int) -> DataFrame:
+    """A table of n rows, marked for a join: broadcast, or shuffled if it is not small."""
+    return F.broadcast(few) if n <= BROADCAST_ROWS else few.hint("merge")
+
+
 def _meet(rows: DataFrame, few: DataFrame, names: list[str], n: int) -> DataFrame:
     """Rows that agree with a table of at most n rows in `names`, and its other columns."""
-    b = F.broadcast(few) if n <= BROADCAST_ROWS else few
+    b = small(few, n)
     rest = [c for c in few.columns if c not in names]
     return rows.alias("a").join(b.alias("b"), _same(names)).select("a.*", *[f"b.`{c}`" for c in rest])
 
@@ -61,8 +67,8 @@ def quantiles(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float
 def selected(df: DataFrame, g: list[str], wanted: dict[str, tuple[Column, float]], weight: str | None = None, bits: str | None = None, most_rows: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """What `quantiles` returns, and the stored tables that it reads.
 
-    bits: `ordered_bits` of the only column, where `df` comes from a stored table of at most `most_rows` rows that has it;
-    otherwise the values are stored first.
+    bits: `ordered_bits` of the only column, where `df` comes from a stored table that has it, with at most `most_rows` rows in a
+    group; otherwise the values are stored first.
     """
     columns: dict[str, int] = {}
     of = {n: columns.setdefault(str(c), len(columns)) for n, (c, _) in wanted.items()}
@@ -124,5 +130,7 @@ def grouped(df: DataFrame, g: list[str], sums: list[Column], wanted: dict[str, t
     return beside(df.groupBy(*g).agg(*sums), quantiles(df, g, wanted), g)
 
 
-def beside(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
+def beside(a: DataFrame, b: DataFrame, g: list[str], n: int | None = None) -> DataFrame:
+    """Columns of b beside those of a, NULL where a group is missing.  n: groups at most, where that is known."""
+    b = b if n is None else small(b, n)
     return a.alias("a").join(b.alias("b"), _same(g), "left").select("a.*", *[f"b.`{c}`" for c in b.columns if c not in g])

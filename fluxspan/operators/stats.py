@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ab_zeropoint, fin, fin_pos, flux_from_mag, quadrature
 from ..plans.storage import discard, written
-from .ranks import beside, counted_bits, grouped, medians, quantiles, selected
+from .ranks import beside, counted_bits, grouped, medians, quantiles, selected, small
 
 #: Magnitudes that are plausible.
 MBAR_RANGE = (10.0, 40.0)
@@ -16,35 +16,42 @@ LF_BIN, LF_WIDTH, LF_GAMMA, LF_GAMMA_RANGE, LF_QUANTILE = 0.25, 1.5, 0.30, (0.10
 
 
 def _counted(df: DataFrame, g: list[str], value: str) -> DataFrame:
-    """Distinct finite values of each group with their counts, less the group's mean `_ref` for precise sums."""
+    """Distinct finite values of each group with their counts."""
     v = df.select(*g, fin(value).alias("_v")).where("_v is not null").groupBy(*g, "_v").agg(F.count("*").alias("_n"))
-    ref = v.groupBy(*g).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_ref"))
-    return counted_bits(v.join(ref, g), g)
+    return counted_bits(v, g)
 
 
-def _moments(v: DataFrame, g: list[str], most_rows: int, *also: Column) -> tuple[DataFrame, list[DataFrame]]:
+def _moments(v: DataFrame, g: list[str], most_rows: int, groups: int, *also: Column) -> tuple[DataFrame, list[DataFrame]]:
     """_med, _sd, _mean, _c of counted values, and the stored tables that they are read from."""
     d, n = F.col("_v") - F.col("_ref"), F.col("_n")
     var = F.sum(n * d * d) / F.sum(n) - F.pow(F.sum(n * d) / F.sum(n), 2)
     sums = [F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"), (F.first("_ref") + F.sum(n * d) / F.sum(n)).alias("_mean"), F.sum(n).alias("_c")]
     med, stored = selected(v, g, {"_med": (F.col("_v"), 0.5)}, "_n", "_b", most_rows)
-    return beside(v.groupBy(*g).agg(*sums, *also), med, g), stored
+    return beside(v.groupBy(*g).agg(*sums, *also), med, g, groups), stored
 
 
-def _rounds(v: DataFrame, g: list[str], k: float, iters: int, most_rows: int) -> DataFrame:
-    """Bounds after `iters` rounds, stored.  Only the bounds go from round to round, so each round reads the counted values
-    once; when a round has as many values as the one before, all groups have converged."""
-    bounds, last = written(v.groupBy(*g).agg(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("_c"))), None
+def _inside(v: DataFrame, bounds: DataFrame, g: list[str], groups: int) -> DataFrame:
+    return v.join(small(bounds.drop("_c"), groups), g).where("_v between lo and hi")
+
+
+def _rounds(v: DataFrame, g: list[str], k: float, iters: int) -> tuple[DataFrame, int, int]:
+    """Bounds after `iters` rounds, stored, the number of groups and the most values of one.  Only the bounds, with the group's mean `_ref` for precise
+    sums, go from round to round, so each round reads the counted values once; when a round has as many values as the one
+    before, all groups have converged."""
+    ref = (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("_ref")
+    bounds, last = written(v.groupBy(*g).agg(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.count("*").alias("_c"), ref)), None
+    groups, most_rows = bounds.agg(F.count("*"), F.max("_c")).first()
+    most_rows = most_rows or 0
     for _ in range(iters):
-        s, stored = _moments(v.join(bounds.drop("_c"), g).where("_v between lo and hi"), g, most_rows, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        new = written(s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi"), "_c"))
+        s, stored = _moments(_inside(v, bounds, g, groups), g, most_rows, groups, *[F.first(c).alias(c) for c in ("lo", "hi", "_ref")])
+        new = written(s.select(*g, F.greatest("lo", F.col("_med") - k * F.col("_sd")).alias("lo"), F.least("hi", F.col("_med") + k * F.col("_sd")).alias("hi"), "_c", "_ref"))
         for t in [*stored, bounds]:
             discard(t)
         bounds, n = new, new.agg(F.sum("_c")).first()[0]
         if n == last:
             break
         last = n
-    return bounds.drop("_c")
+    return bounds, groups, most_rows
 
 
 def clip_bounds(df: DataFrame, g: list[str], value: str, k: float, iters: int) -> DataFrame:
@@ -54,14 +61,14 @@ def clip_bounds(df: DataFrame, g: list[str], value: str, k: float, iters: int) -
     a group as they are, so groups that have converged go on without effect.
     """
     v = written(_counted(df, g, value))
-    return _rounds(v, g, k, iters, v.count())
+    return _rounds(v, g, k, iters)[0].select(*g, "lo", "hi")
 
 
 def sigma_clip_stats(df: DataFrame, g: list[str], value: str, k: float = 3.0, iters: int = 5) -> DataFrame:
     """Mean, median, standard deviation (ddof 0) and number of each group after clipping at median +- k sigma (AGG1)."""
     v = written(_counted(df, g, value))
-    n = v.count()
-    s, stored = _moments(v.join(_rounds(v, g, k, iters, n), g).where("_v between lo and hi"), g, n)
+    bounds, groups, most_rows = _rounds(v, g, k, iters)
+    s, stored = _moments(_inside(v, bounds, g, groups), g, most_rows, groups)
     s = written(s)
     for t in [*stored, v]:
         discard(t)
@@ -87,7 +94,7 @@ def tile_background(pixels: DataFrame, box: int = 256, filt: int = 5, key: str =
     near = F.expr(f"sequence(-{r}, {r})")
     spread = tiles.withColumn("dy", F.explode(near)).withColumn("dx", F.explode(near)).select(key, (F.col("ty") + F.col("dy")).alias("ty"), (F.col("tx") + F.col("dx")).alias("tx"), "tile")
     smooth = spread.groupBy(key, "ty", "tx").agg(F.median("tile").alias("background"))  # filt * filt values at most
-    out = written(tiles.join(smooth, [key, "ty", "tx"]))
+    out = written(tiles.join(small(smooth, tiles.count()), [key, "ty", "tx"]))
     return out.join(medians(out, [key], {"scalar": F.col("background")}), key)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxspan.operators import ranks
+from fluxspan.operators import ranks, stats
 
 
 def rows_of(seed):
@@ -49,3 +49,17 @@ def test_one_large_group(spark):
     assert "ercentile" not in out._jdf.queryExecution().toString()
     got = out.first()
     assert (got.a, got.m, got.z) == tuple(np.quantile(np.arange(n), p) for p in (0.25, 0.5, 0.999))
+
+
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    """Beyond the limit a table of groups meets the rows in a shuffle, with the same result."""
+    rows = spark.range(3000).select((F.col("id") % 300).alias("g"), F.when(F.col("id") < 300, 1e6).otherwise((F.col("id") * 37 % 101).cast("double")).alias("v"))
+    want = sorted(map(tuple, stats.sigma_clip_stats(rows, ["g"], "v", 2.0, 3).collect()))
+    few = spark.range(5).toDF("g")
+    plan = lambda n: rows.join(ranks.small(few, n), "g")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(5) and "BroadcastHashJoin" not in plan(ranks.BROADCAST_ROWS + 1)
+    joins = []
+    monkeypatch.setattr(stats, "written", lambda df, w=stats.written: joins.append(df._jdf.queryExecution().executedPlan().toString()) or w(df))
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 100)
+    assert sorted(map(tuple, stats.sigma_clip_stats(rows, ["g"], "v", 2.0, 3).collect())) == want
+    assert joins and not any("BroadcastHashJoin" in p for p in joins)
