@@ -9,7 +9,8 @@ from ..functions.scalar import ab_zeropoint, fin, fin_pos
 from ..plans.storage import written
 from .fits import spectrum_fit
 from .joins import interp_join
-from .spectra import expectation_spectrum, periodogram, radial_power
+from .spectra import expected, frames, image_power
+from .transforms import packed
 
 #: The two PSF tables that are compared.
 TABLES = ("DET_DIST", "DET_SAMP")
@@ -24,14 +25,16 @@ def rerun_psf_sigma(residuals: DataFrame, psfs: DataFrame, science: DataFrame, r
     inverse variances of their sigmas; an annulus without a fit, or without a positive sigma, doesn't count.
     """
     px = residuals.where(fin("value").isNotNull()).select(F.concat_ws("#", F.col(key).cast("string"), "region").alias("image"), key, "region", "y", "x", F.col("value").cast("double").alias("value"))
-    images = written(px.select("image", key, "region").distinct())
-    pk = written(radial_power(periodogram(px.select("image", "y", "x", "value"), "image"), ["image"], edges, least))
-    stamps = images.join(psfs.where(F.col("psf_ext").isin(*TABLES)), key).select("image", "psf_ext", "dy", "dx", "value")
-    ek = written(expectation_spectrum(px.select("image", "y", "x"), stamps, realisations, seed, edges, least, "image", by="psf_ext"))
-    tables = images.join(psfs.select(key, "psf_ext").distinct(), key).select("image", "psf_ext")
+    rows = written(packed(px, ["image", key, "region"]))
+    images = frames(rows, ["image", key, "region"])
+    rows, size = rows.drop(key, "region"), images.drop(key, "region")
+    pk = written(image_power(rows, size, "image", edges, least))
+    stamps = images.select("image", key).join(psfs.where(F.col("psf_ext").isin(*TABLES)), key).select("image", "psf_ext", "dy", "dx", "value")
+    ek = written(expected(rows, size, stamps, realisations, seed, edges, least, "image", "psf_ext"))
+    tables = images.select("image", key).join(psfs.select(key, "psf_ext").distinct(), key).select("image", "psf_ext")
     points = pk.join(tables, "image").select("image", "psf_ext", "k", F.col("power").alias("p"))
     points = interp_join(points, ek, ["image", "psf_ext"], "k", "k", "power").withColumnRenamed("interpolated", "e")
-    setup = images.join(science, [key, "region"])
+    setup = images.select("image", key, "region").join(science, [key, "region"])
     inside = points.join(setup.select("image", "kmin", "kmax"), "image").where("k between kmin and kmax")
     fits = spectrum_fit(inside, ["image", "psf_ext"], least=least)
     left = fin("P0") - fin("Pr")

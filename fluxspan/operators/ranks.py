@@ -7,8 +7,11 @@ Counts are summed before they are shuffled: no task sees the values of a group,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ FEW = 1_000_000
 #: (Spark itself would broadcast them up to 10 MB of file, again and again, and each time through the driver).
 BROADCAST_ROWS = 20_000
 
+#: Bits of a packed value that its leading bits leave: 64 brackets between a power of two and the next.
+PACKED_SHIFT = 46
+
 
 def ordered_bits(c: Column) -> Column:
     """A long that sorts as the double does."""
@@ -134,3 +140,46 @@ def beside(a: DataFrame, b: DataFrame, g: list[str], n: int | None = None) -> Da
     """Columns of b beside those of a, NULL where a group is missing.  n: groups at most, where that is known."""
     b = b if n is None else small(b, n)
     return a.alias("a").join(b.alias("b"), _same(g), "left").select("a.*", *[f"b.`{c}`" for c in b.columns if c not in g])
+
+
+def packed_medians(values: DataFrame, g: list[str]) -> DataFrame:
+    """g, n and power, the median, of values that come in chunks: n values of a group, each counting w times, v as sorted bytes.
+
+    Values are positive doubles or zero.  Chunks are counted by their values' leading bits, which leaves a bracket for each
+    group's middle ranks; in a second pass values outside the bracket are counted together, those inside go to `quantiles`.
+    """
+    chunks = written(values)
+    types = dict(chunks.dtypes)
+    names = ", ".join(f"`{c}` {types[c]}" for c in g)
+
+    def cut(batches: Iterator[pa.RecordBatch], inside) -> Iterator[pa.RecordBatch]:
+        """Rows of numbers from each chunk: group, number, times."""
+        for b in batches:
+            each = [inside(np.frombuffer(v), *more) for v, *more in zip(*[b.column(c).to_pylist() for c in b.schema.names if c not in (*g, "w")], strict=True)]
+            if not each:
+                continue
+            size = np.array([len(numbers) for numbers, _ in each])
+            at = pa.array(np.repeat(np.arange(len(each)), size))
+            numbers, times = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+            w = np.repeat(b.column("w").to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in g), pa.array(numbers), pa.array((times * w).astype(np.int64))], [*g, "_x", "_c"])
+
+    def leading(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(v.view(np.int64) >> PACKED_SHIFT, return_counts=True)
+
+    def bracket(v: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        bits = v.view(np.int64) >> PACKED_SHIFT
+        a, b = np.searchsorted(bits, low), np.searchsorted(bits, high, side="right")
+        kept, times = np.unique(v[a:b], return_counts=True)
+        below, above = min(1, a), min(1, len(v) - b)
+        return np.concatenate([v[:below], kept, v[len(v) - above :]]), np.concatenate([[a] * below, times, [len(v) - b] * above])
+
+    counts = chunks.select(*g, "w", "v").mapInArrow(lambda batches: cut(batches, leading), f"{names}, _x long, _c long")
+    counts = counts.groupBy(*g, "_x").agg(F.sum("_c").alias("_c"))
+    placed = counts.withColumns({"_end": F.sum("_c").over(Window.partitionBy(*g).orderBy("_x")), "_all": F.sum("_c").over(Window.partitionBy(*g))})
+    middle = (F.floor((F.col("_all") - 1) / 2) < F.col("_end")) & (F.ceil((F.col("_all") - 1) / 2) >= F.col("_end") - F.col("_c"))
+    bounds = written(placed.where(middle).groupBy(*g).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high")))
+    near = _meet(chunks.select(*g, "w", "v"), bounds, g, bounds.count())
+    near = near.mapInArrow(lambda batches: cut(batches, bracket), f"{names}, _x double, _c long")
+    medians_ = quantiles(near, g, {"power": (F.col("_x"), 0.5)}, weight="_c")
+    return beside(chunks.groupBy(*g).agg(F.sum(F.col("n") * F.col("w")).alias("n")), medians_, g)

@@ -13,8 +13,8 @@ from ..functions.scalar import fin
 from ..plans.storage import written
 from .fits import spectrum_fit
 from .joins import interp_join
-from .ranks import grouped
-from .transforms import block_width, convolved, noise_spectra, power, row_spectra, stamp_bytes
+from .ranks import grouped, packed_medians
+from .transforms import block_width, convolved, half_spectra, noise_spectra, packed, power, radial_values, row_spectra, stamp_bytes
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +82,28 @@ def expectation_median(spectra: DataFrame, g: list[str]) -> DataFrame:
     return spectra.groupBy(*g, "kbin").agg(F.median("power").alias("power"), F.median("k").alias("k"), F.count("*").alias("n_realisations"))
 
 
+def frames(rows: DataFrame, names: list[str]) -> DataFrame:
+    """names, g, nx, ny, n, mean, width: the images of `packed` rows, stored."""
+    size = rows.groupBy(*names).agg((F.max("last") + 1).alias("nx"), (F.max("y") + 1).alias("ny"), F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    return written(size.select(F.col(names[0]).cast("string").alias("g"), *names, "nx", "ny", "n", "mean", block_width("ny").alias("width")))
+
+
+def image_power(rows: DataFrame, size: DataFrame, key: str, edges: int = 80, least: int = 10) -> DataFrame:
+    """`radial_power` of the `periodogram` of images, from their stored `packed` rows and `frames`: key, kbin, n, power, k.
+
+    Bins take the powers of a block as they are made, in one row for each block and bin: no mode is a row of its own.
+    """
+    parts = half_spectra(rows.where("n > 0").join(size.drop("n"), key))
+    return _binned(parts, size, [key], edges, least)
+
+
+def _binned(parts: DataFrame, size: DataFrame, names: list[str], edges: int, least: int) -> DataFrame:
+    top = F.sqrt(F.pow(F.floor(F.col("nx") / 2) / F.col("nx"), 2) + F.pow(F.floor(F.col("ny") / 2) / F.col("ny"), 2))
+    bins = packed_medians(radial_values(parts, edges), ["g", "kbin"]).where(F.col("n") >= least)
+    out = bins.join(size.select("g", *names, "nx", "ny", F.col("n").alias("_n")), "g")
+    return out.select(*names, "kbin", "n", (F.col("power") / F.col("_n")).alias("power"), ((F.col("kbin") + 0.5) * top / (edges - 1)).alias("k"))
+
+
 def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, seed: int, edges: int = 80, least: int = 10, key: str = "image_id", by: str | None = None) -> DataFrame:
     """Median over realisations of the radial power of noise seen through the PSF and the window (NUM2, AGG25).
 
@@ -89,8 +111,16 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
     `by`, if an image has several: they see the same noise, and each has a spectrum.  Noise and PSF are multiplied as
     transforms, so a realisation moves a few times its pixels, however wide the stamp is.  The mean inside the window goes.
     """
+    rows = written(packed(window.withColumn("value", F.lit(0.0)), [key]))
+    return expected(rows, frames(rows, [key]), psf, realisations, seed, edges, least, key, by)
+
+
+def expected(rows: DataFrame, size: DataFrame, psf: DataFrame, realisations: int, seed: int, edges: int, least: int, key: str, by: str | None) -> DataFrame:
+    """`expectation_spectrum` in the window of stored `packed` rows, which have these `frames`.
+
+    An image's noise is transformed once, for all its stamps; only rows with a pixel in the window come back.
+    """
     names = [key, *([by] if by else [])]
-    size = window.groupBy(key).agg((F.max("x") + 1).cast("int").alias("nx"), (F.max("y") + 1).cast("int").alias("ny"), F.count("*").alias("n"))
     flat = psf.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("dy", "dx", F.coalesce(fin("value"), F.lit(0.0)).alias("v")))).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,38 +130,20 @@ def expectation_spectrum(window: DataFrame, psf: DataFrame, realisations: int, s
 
     types = dict(flat.dtypes)
     stamps = flat.mapInArrow(pack, ", ".join(f"{n} {types[n]}" for n in names) + ", stamp binary")
-    g = F.concat_ws("#", *[F.col(n).cast("string") for n in names], F.col("r").cast("string"))
-    each = size.join(stamps, key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(realisations - 1)))).withColumn("g", g)
-    frames = written(each.select("g", *names, "r", "nx", "ny", "n", block_width("ny").alias("width")))
-    rows = each.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).select("g", F.col(key).cast("string").alias("name"), "r", "y", "nx", block_width("ny").alias("width"), F.when(F.col("y") == 0, F.col("stamp")).alias("stamp"))
-    seen = convolved(noise_spectra(rows.repartition("g", "y"), seed))
-    inside = window.groupBy(key, F.col("y").cast("int").alias("y")).agg(F.array_sort(F.collect_list(F.col("x").cast("int"))).alias("xs"))
-    here = frames.select("g", key, "nx").join(inside, key).join(seen, ["g", "y"])
-
-    def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.frombuffer(v)[xs] for v, xs in zip(b.column("v").to_pylist(), b.column("xs").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), b.column("nx"), b.column("xs"), pa.array([o.tobytes() for o in out], pa.binary()), pa.array([float(o.sum()) for o in out])], ["g", "y", "nx", "xs", "v", "total"])
-
-    kept = written(here.select("g", "y", "nx", "xs", "v").mapInArrow(crop, "g string, y int, nx int, xs array<int>, v binary, total double"))
-    mean = kept.groupBy("g").agg((F.sum("total") / F.sum(F.size("xs"))).alias("mean"))
-    # rows without a pixel in the window count as zeros
-    blank = frames.select("g", "nx", F.explode(F.expr("sequence(0, ny - 1)")).alias("y")).join(kept.select("g", "y"), ["g", "y"], "left_anti")
-    full = kept.join(mean, "g").select("g", "y", "nx", "xs", "v", "mean").unionByName(blank, allowMissingColumns=True).join(frames.select("g", "width"), "g")
-
-    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for nx, xs, v, m in zip(*[b.column(c).to_pylist() for c in ("nx", "xs", "v", "mean")], strict=True):
-                row = np.zeros(nx)
-                if xs:
-                    row[xs] = np.frombuffer(v) - m
-                out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("y"), b.column("width"), pa.array(out, pa.binary())], ["g", "y", "width", "v"])
-
-    p = power(row_spectra(full.mapInArrow(masked, "g string, y int, width int, v binary")))
-    p = p.join(frames, "g").select("g", *names, _frequency("ky", "ny").alias("fy"), _frequency("kx", "nx").alias("fx"), (F.col("power") / F.col("n")).alias("power"))
-    return expectation_median(radial_power(p, ["g", *names], edges, least), names)
+    stamps = stamps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names[1:], "stamp"))).alias("stamps"))
+    run = F.explode(F.sequence(F.lit(0), F.lit(realisations - 1))).alias("r")
+    each = written(size.drop("mean").withColumnRenamed("g", "name").join(stamps, key).select("*", run).withColumn("g", F.concat_ws("#", "name", F.col("r").cast("string"))))
+    every = each.select("g", key, "name", "r", "nx", "width", "stamps.stamp", F.explode(F.expr("sequence(0, ny - 1)")).alias("y"))
+    noise = every.join(rows.where("n > 0").select(key, "y", "mask"), [key, "y"], "left")
+    noise = noise.select("g", "name", "r", "y", "nx", "width", "mask", F.when(F.col("y") == 0, F.col("stamp")).alias("stamps"))
+    seen = written(convolved(noise_spectra(noise.repartition("g", "y"), seed)))
+    mean = seen.groupBy("g", "s").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    one = each.select("g", *[c for c in ("name", "r", "nx", "ny", "n", "width", key) if c != "g"], F.posexplode("stamps").alias("s", "_s"))
+    one = one.join(mean, ["g", "s"]).withColumn("gs", F.concat_ws("#", "g", F.col("s").cast("string")))
+    one = written(one.select("g", "s", "gs", key, *[f"_s.{c}" for c in names[1:]], "r", "nx", "ny", "n", "mean", "width"))
+    full = seen.join(one.select("g", "s", "gs", "mean", "nx", "ny", "width"), ["g", "s"]).drop("g").withColumnRenamed("gs", "g")
+    binned = _binned(half_spectra(full), one.drop("g").withColumnRenamed("gs", "g"), [*names, "r"], edges, least)
+    return expectation_median(binned, names)
 
 
 def window_fits(pk: DataFrame, ek: DataFrame, g: list[str], windows: list[tuple[float, float]], least: int = 10) -> DataFrame:

@@ -63,3 +63,24 @@ def test_many_groups_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ranks, "BROADCAST_ROWS", 100)
     assert sorted(map(tuple, stats.sigma_clip_stats(rows, ["g"], "v", 2.0, 3).collect())) == want
     assert joins and not any("BroadcastHashJoin" in p for p in joins)
+
+
+def test_medians_of_packed_values(spark, monkeypatch):
+    """Chunks of sorted values with a weight, some empty, against numpy; only values near the middle become rows."""
+    rng = np.random.default_rng(4)
+    chunks, every = [], {}
+    for g, k in (("a", 1), ("a", 2), ("ties", 1), ("same", 1), ("two", 1), ("none", 1)):
+        for c in range(1 if g == "two" else 5):
+            some = {"a": rng.exponential(3.0, 4000 + c), "ties": rng.integers(0, 3, 500).astype(float), "same": np.zeros(7), "two": np.array([1e-300, 1e300]), "none": np.zeros(0)}[g]
+            chunks.append((g, k, c % 2 + 1, len(some) + 1, bytearray(np.sort(some).tobytes())))
+            every.setdefault((g, k), []).append((len(some) + 1, c % 2 + 1, some))
+    df = spark.createDataFrame(chunks, "g string, k int, w int, n long, v binary").repartition(3)
+    stored = []
+    monkeypatch.setattr(ranks, "written", lambda df, w=ranks.written: (t := w(df), stored.append(t.count()))[0])
+    got = {(r.g, r.k): r for r in ranks.packed_medians(df, ["g", "k"]).collect()}
+    assert got.keys() == every.keys() and got["none", 1].power is None
+    for key, each in every.items():
+        assert got[key].n == sum(n * w for n, w, _ in each)
+        if key[0] != "none":
+            assert math.isclose(got[key].power, np.median(np.concatenate([np.repeat(v, w) for _, w, v in each])), rel_tol=1e-14)
+    assert max(stored) < 2000

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fluxspan.operators import psf_error, spectra, transforms
+from fluxspan.operators import psf_error, ranks, spectra, transforms
 from fluxspan.plans import registry
 from fluxspan.plans import views as v
 
@@ -142,3 +142,29 @@ def test_psf_error_by_paired_spectra(spark):
     m = {e: float(np.average(v, weights=w)) for e, v in mags.items()}
     assert np.isclose(got.mbar_detdist, m["DET_DIST"], atol=1e-6) and np.isclose(got.mbar_detsamp, m["DET_SAMP"], atol=1e-6)
     assert np.isclose(got.psf_rerun, abs(m["DET_DIST"] - m["DET_SAMP"]), atol=1e-6) and got.psf_rerun > 0
+
+
+def test_modes_of_spectra_are_no_rows(spark, monkeypatch):
+    """Of 64 x 64 pixels and 24 x 24 seen through two stamps, no table that is stored has a row for each pixel or mode."""
+    rng = np.random.default_rng(9)
+    px = spark.createDataFrame([(g, region, y, x, float(rng.normal())) for g, n in (("g", 64), ("h", 24)) for region in ("inner", "outer") for y in range(n) for x in range(n) if (region, y % 5) != ("inner", 1)], "galaxy string, region string, y int, x int, value double")
+    psf = spark.createDataFrame([(g, e, 0, dx, 0.5) for g in ("g", "h") for e, n in (("DET_DIST", 1), ("DET_SAMP", 2)) for dx in range(n)], "galaxy string, psf_ext string, dy int, dx int, value double")
+    science = spark.createDataFrame([(g, region, -1e3, 1.0, 0.1, 0.05, 0.6, 0.004) for g in ("g", "h") for region in ("inner", "outer")], "galaxy string, region string, Pr double, Imean double, sigma double, kmin double, kmax double, pix_area double")
+    stored = []
+    for module in (psf_error, spectra, ranks):
+        monkeypatch.setattr(module, "written", lambda df, w=module.written: (t := w(df), stored.append(t.count()))[0])
+    psf_error.rerun_psf_sigma(px, psf, science, realisations=2, seed=3, edges=12, least=3).collect()
+    assert max(stored) < 2 * 64 * 64
+
+
+def test_power_of_images_with_gaps(spark):
+    """Bins filled by blocks are those of the modes one by one, for odd and even sizes, missing rows and values that are NaN."""
+    rng = np.random.default_rng(10)
+    px = [(g, y, x, float("nan") if rng.random() < 0.1 else float(rng.normal())) for g, ny, nx in ((1, 30, 17), (2, 21, 12), (3, 1, 9), (4, 9, 1)) for y in range(ny) for x in range(nx) if g > 2 or (y != 4 and rng.random() < 0.9)]
+    px = spark.createDataFrame([*px, (2, 24, 14, float("nan"))], "image_id int, y int, x int, value double")
+    rows = spectra.packed(px, ["image_id"])
+    got = {(r.image_id, r.kbin): r for r in spectra.image_power(rows, spectra.frames(rows, ["image_id"]), "image_id", 9, 2).collect()}
+    want = {(r.image_id, r.kbin): r for r in spectra.radial_power(spectra.periodogram(px), ["image_id"], 9, 2).collect()}
+    assert got.keys() == want.keys() and {g for g, _ in want} == {1, 2, 3, 4}
+    for key, r in want.items():
+        assert got[key].n == r.n and np.isclose(got[key].power, r.power, rtol=1e-9) and np.isclose(got[key].k, r.k, rtol=1e-12)
