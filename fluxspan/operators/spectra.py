@@ -97,6 +97,12 @@ def image_power(rows: DataFrame, size: DataFrame, key: str, edges: int = 80, lea
     return _binned(parts, size, [key], edges, least)
 
 
+def radial_periodogram(pixels: DataFrame, key: str = "image_id", edges: int = 80, least: int = 10) -> DataFrame:
+    """`image_power` of images that come as pixels."""
+    rows = written(packed(pixels, [key]))
+    return image_power(rows, frames(rows, [key]), key, edges, least)
+
+
 def _binned(parts: DataFrame, size: DataFrame, names: list[str], edges: int, least: int) -> DataFrame:
     top = F.sqrt(F.pow(F.floor(F.col("nx") / 2) / F.col("nx"), 2) + F.pow(F.floor(F.col("ny") / 2) / F.col("ny"), 2))
     bins = packed_medians(radial_values(parts, edges), ["g", "kbin"]).where(F.col("n") >= least)

@@ -423,7 +423,7 @@ def _(spark, d):
 
 @query("agg24_radial_power", f"with {DFT}, {radial_sql(20, 10)} select image_id, kbin, round(power, 6) as power, n, round((kbin + 0.5) * top / 19, 6) as k from pk")
 def _(spark, d):
-    return rounded(spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 20, 10))
+    return rounded(spectra.radial_periodogram(v.pixels(spark, d), "image_id", 20, 10))
 
 
 @query("agg24_parseval", f"""with {DFT}, {radial_sql(20, 11)}, va as (select image_id, var_pop(value) as v from pixels group by 1), me as (select image_id, avg(power) as p from dft group by 1), sc as (select pk.image_id, (kbin + 0.5) * top / 19 as k, power * v / p as power from pk join va using (image_id) join me using (image_id)),
@@ -443,7 +443,7 @@ ft as (select image_id, kmin, kmax, regr_slope(p, e) as p0, regr_intercept(p, e)
 
 
 def _low_k(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pk = spectra.radial_power(spectra.periodogram(v.pixels(spark, d)), ["image_id"], 40, 5)
+    pk = spectra.radial_periodogram(v.pixels(spark, d), "image_id", 40, 5)
     ek = pk.select("image_id", "k", (1 / (0.1 + F.col("k"))).alias("power"))
     return pk, ek, spectra.window_fits(pk, ek, ["image_id"], [(0.05, 0.4), (0.1, 0.5)], 5)
 
